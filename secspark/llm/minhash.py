@@ -135,11 +135,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept, and node (digest of the set, null if empty)."""
+    """One row per input row: doc_id, n_shingles, component_id, kept; and node (digest of the set), root (of its component), th (text hash)."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     signed_ = save(texts.mapInArrow(_sign(shingle, bands, rows), "doc_id long, th long, node binary, n_shingles long, bands array<long>"), "signed")
-    narrow = signed_.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), "n_shingles")
+    narrow = signed_.select("doc_id", "th", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), "n_shingles")
     did = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     per_set = signed_.where("n_shingles > 0").groupBy("node")
     keys = per_set.agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
@@ -174,6 +174,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     least = nodes.select("node", "least")
     named = least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = save(named.join(names, "root").select("node", "component_id"), "names")
-    out = narrow.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node")
+    by_node = save(named.join(names, "root").select("node", "root", "component_id"), "names")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = narrow.join(by_node, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), "node", "root", "th")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node", "root", "th")
+
+
+
+def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one for each component.
+
+    Rows are named by id and text hash. Of the rows whose id names their component, the one with the
+    smallest text hash stays (a null id counts as the largest); of equal rows, one. Rows without words
+    are linked with nothing and all stay.
+    """
+    found = near_duplicates(docs, shingle, percent, id_col=id_col, text_col=text_col)
+    linked = found.where(F.col("node").isNotNull())
+    did = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    best = linked.groupBy("root").agg(F.min(did).alias("did"))
+    best = linked.select("root", "th", did.alias("did")).join(best, ["root", "did"]).groupBy("root", "did").agg(F.min("th").alias("th"))
+    stay = save(best.select("did", "th").distinct(), "stay")
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("did"),
+        F.xxhash64(text_or_empty(text_col)).alias("th"),
+        text_or_empty(text_col).rlike(r"[^\x20\x09-\x0D]").alias("words"),
+    )
+    kept = packed.where("words").join(stay, ["did", "th"], "left_semi").dropDuplicates(["did", "th"])
+    return kept.select("_row.*").union(packed.where("not words").select("_row.*"))

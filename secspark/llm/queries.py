@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import sql
+from .bpe import token_digests
 from .common import table
 from .exact import duplicate_groups
+from .langid import predict_languages
+from .lines import drop_boilerplate
+from .media import document_media
 from .minhash import near_duplicates
+from .mixing import mix
+from .repair import read_documents, write_shards
+from .sharding import shard_documents
 from .substring import substring_dedup
 
 
@@ -14,19 +24,44 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), k=20).drop("is_copy")
 
 
+def op2_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_bpe_tree(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), path, spaces="dropped", glue=" ")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_boilerplate(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.concat_ws("\n", "kept"), 256).alias("kept_sha256"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("node")
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("node", "root", "th")
 
 
-QUERIES = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op3_exact_dedup": op3_exact_dedup,
-    "op6_minhash_near_dedup": op6_minhash_near_dedup,
-}
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_repair_tokens(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+    return read_documents(write_shards(table(spark, sf_dir, "documents"), path, end_id=2))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_media_sequences, op3_exact_dedup, op4_bpe_tree, op5_line_dedup, op6_minhash_near_dedup, op7_pfair_mixing, op8_language_id, op9_virtual_slots, op10_repair_tokens)}
 
 ORACLES = {
     "op1_substring_dedup": r"""
@@ -73,4 +108,6 @@ WITH RECURSIVE docs AS (
 )
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comp USING (doc_id)
 """,
+    "op5_line_dedup": sql.LINES,
+    "op7_pfair_mixing": sql.MIXING,
 }
