@@ -168,7 +168,8 @@ def repeated_paths(texts: DataFrame, k: int = WORDS, m: int = ANCHOR_WORDS) -> D
         "paths",
     )
     drop(edges)
-    source = paths.where("did = src_did").groupBy("h1", "h2", "len", "check").agg(F.min("src_did").alias("src_did"), F.min("start").alias("src_start"))
+    # written first: a join of two plain exchanges lets Spark split the rows of a passage that is everywhere
+    source = save(paths.where("did = src_did").groupBy("h1", "h2", "len", "check").agg(F.min("src_did").alias("src_did"), F.min("start").alias("src_start")), "source")
     return paths.where("did > src_did").drop("src_did").join(source, ["h1", "h2", "len", "check"]).select("did", "th", "start", "len", "src_did", "src_start")
 
 
