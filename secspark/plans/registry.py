@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from . import search_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (search_queries,):
+    QUERIES |= _m.R.queries
+    ORACLES |= _m.R.oracles
 FLAGSHIP = "slice1_top_failed_sources"
