@@ -6,7 +6,7 @@ as far each time, until the tokens at both of its ends agree with the tokens of
 then is the join final. A window that has reached both ends of the joined text is the text itself.
 
 Tokens are compared in units. A unit is a stretch of text that the pre-tokenizer can't join with its
-neighbours: it starts and ends at plain white space. The library encodes each distinct unit once for a
+neighbours: it starts and ends at plain white space, or between a letter and punctuation. The library encodes each distinct unit once for a
 worker's lifetime (a bounded cache); texts with white space other than space, tab, line feed and
 carriage return, or with a special token, are encoded whole by the library.
 
@@ -34,9 +34,15 @@ from .substring import _slices
 
 LEAF = 8192
 WINDOW = 64
-CACHE = 300_000
-#: Units by white space rule: "space joins the next word" (byte-level) or "white space is dropped" (word ends).
-_UNITS = {"joined": re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]"), "dropped": re.compile(r"[^ \t\n\r]+")}
+CACHE = 400_000
+# A run of letters, by explicit ranges of letters, that white space, the end or ASCII punctuation follows is
+# a unit of its own: no pattern of the pre-tokenizers goes from a letter on to one of those.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^ \t\n\r!-/:-@\\[-`{-~])"
+#: Units by white space rule: "joined" (a space joins the next word, byte-level) or "dropped" (word ends).
+_UNITS = {
+    "joined": re.compile(f" ?{_LETTERS}| ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]"),
+    "dropped": re.compile(f"{_LETTERS}|[^ \t\n\r]+"),
+}
 #: White space of Unicode besides the four above, and separators that some engines count as such.
 _ODD = re.compile("[" + "".join(map(chr, [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF])) + "]")
 
@@ -66,8 +72,6 @@ class Encoder:
 
     def learn(self, units: set) -> None:
         """Have every unit of the set in the young cache."""
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
         missing = []
         for u in units.difference(self.young):
             v = self.old.get(u)
@@ -82,6 +86,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[list]:
         """The values of each text's units, in order."""
+        if len(self.young) > CACHE:  # only here: a batch finds all its units in one cache
+            self.old, self.young = self.young, {}
         pieces, trees, out = [], [], [None] * len(texts)
         for i, t in enumerate(texts):
             if self.plain(t):

@@ -64,3 +64,12 @@ def test_cache_is_bounded(monkeypatch):
 
 def test_empty(spark):
     assert token_digests(spark.createDataFrame([], SCHEMA), WORD).count() == 0
+
+
+def test_cache_turns_over_in_joins(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "LEAF", 12)
+    monkeypatch.setattr(bpe, "WINDOW", 2)
+    enc, plain = Encoder(BYTE, "joined", ids_of), Tokenizer.from_file(BYTE)
+    for t in texts(8):
+        assert [i for u in enc.encode([t])[0] for i in u] == plain.encode(t, add_special_tokens=False).ids
