@@ -24,6 +24,7 @@ Defined results
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,13 @@ from .substring import _slices
 
 SHARD_IDS = 1 << 18
 FIRST = 1 << 20  # above every token id
-ROUNDS, PAIRS, LEAST = 6, 512, 8
+ROUNDS, PAIRS, LEAST = 4, 2048, 8
 SCHEMA = "part int, shard int, doc_id array<long>, n_ids array<long>, rules binary, lengths binary, seq binary, total long"
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, sequence) of one shard: each round replaces its most frequent pairs, left to right."""
-    seq, rules, lengths = ids.astype(np.int64), [], []
+    seq, rules, lengths, cells = ids.astype(np.int64), [], [], np.empty(1 << 16, dtype=np.int32)
     for _ in range(rounds):
         if len(seq) < 2:
             break
@@ -55,9 +56,16 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: i
             break
         if len(often) > pairs:
             often = often[np.argpartition(counts[often], len(often) - pairs)[-pairs:]]
-        chosen = np.sort(ordered[at[often]])
-        slot = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-        hit = chosen[slot] == keys
+        chosen = ordered[at[often]]
+        # a small hash table finds the pair of each place; of two pairs in one cell the more frequent one stays
+        cell = lambda k: ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+        rank = np.argsort(counts[often], kind="stable")
+        cells[:] = -1
+        cells[cell(chosen[rank])] = rank
+        chosen = chosen[np.sort(cells[cells >= 0])]
+        cells[cell(chosen)] = np.arange(len(chosen))
+        slot = cells[cell(keys)]
+        hit = (slot >= 0) & (chosen[slot] == keys)
         # of overlapping hits every second one is taken
         place = np.arange(len(hit))
         begin = np.maximum.accumulate(np.where(hit & ~np.concatenate(([False], hit[:-1])), place, 0))
@@ -105,7 +113,7 @@ def decode_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start:
 
 
 def raw_ids(tokenizer, batch: list[list[int]]) -> list[bytes]:
-    return [np.array(x, dtype="<u4").tobytes() for x in batch]
+    return [array("I", x).tobytes() for x in batch]
 
 
 def _write(path: str, spaces: str, end_id: int, shard_ids: int):
