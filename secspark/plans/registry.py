@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import detect_queries, panel_queries, rollup_queries, search_queries
+from . import data_queries, detect_queries, panel_queries, rollup_queries, search_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (search_queries, rollup_queries, detect_queries, panel_queries):
+for _m in (search_queries, data_queries, rollup_queries, detect_queries, panel_queries):
     QUERIES |= _m.R.queries
     ORACLES |= _m.R.oracles
 FLAGSHIP = "slice1_top_failed_sources"
