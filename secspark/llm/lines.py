@@ -54,7 +54,8 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
 
 def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, n_lines, n_dropped and the kept lines."""
-    rows = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), page_lines(F.col(html_col)).alias("lines"))
+    # written once: the patterns are the cost, and both the counts and the cut need the lines
+    rows = save(pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), page_lines(F.col(html_col)).alias("lines")), "lines")
     common = save(boilerplate(rows, ratio, min_pages), "boilerplate")
     joined = rows.join(common, "host", "left")
     stay = F.when(F.col("common").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("common", F.xxhash64(x))))
