@@ -50,7 +50,7 @@ _ODD = re.compile("[" + "".join(map(chr, [0x0B, 0x0C, *range(0x1C, 0x20), 0x85,
 class Encoder:
     """A tokenizer with a bounded cache of what ``value`` makes of each unit's ids."""
 
-    def __init__(self, path: str, spaces: str, value: Callable):
+    def __init__(self, path: str, spaces: str, value: Callable, cache: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -59,8 +59,10 @@ class Encoder:
         self.tokenizer.no_padding()
         self.unit = _UNITS[spaces]
         self.value = value
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word)}
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())) if special else None
+        self.fence = next(iter(special.items()), None)
+        self.cache = CACHE if cache is None else cache
         self.young: dict = {}
         self.old: dict = {}
 
@@ -79,14 +81,25 @@ class Encoder:
                 missing.append(u)
             else:
                 self.young[u] = v
-        for at in range(0, len(missing), 1024):
-            part = missing[at : at + 1024]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self.young.update(zip(part, self.value(self.tokenizer, ids)))
+        for at in range(0, len(missing), 512):
+            part = missing[at : at + 512]
+            self.young.update(zip(part, self.value(self.tokenizer, self._ids(part))))
+
+    def _ids(self, units: list[str]) -> list[list[int]]:
+        """Ids of each unit. One call for all: a special token between units, which none of them has, keeps them apart."""
+        if self.fence is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        text, fence = self.fence
+        ids, out, at = self.tokenizer.encode_batch_fast([text.join(units)], add_special_tokens=False)[0].ids, [], 0
+        for _ in range(len(units) - 1):
+            end = ids.index(fence, at)
+            out.append(ids[at:end])
+            at = end + 1
+        return [*out, ids[at:]]
 
     def encode(self, texts: list[str]) -> list[list]:
         """The values of each text's units, in order."""
-        if len(self.young) > CACHE:  # only here: a batch finds all its units in one cache
+        if len(self.young) > self.cache:  # only here: a batch finds all its units in one cache
             self.old, self.young = self.young, {}
         pieces, trees, out = [], [], [None] * len(texts)
         for i, t in enumerate(texts):
@@ -177,9 +190,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaces: str, value: Callable) -> Encoder:
+def encoder(path: str, spaces: str, value: Callable, cache: int | None = None) -> Encoder:
     """One for each worker process."""
-    return Encoder(path, spaces, value)
+    return Encoder(path, spaces, value, cache)
 
 
 def ids_and_text(tokenizer, batch: list[list[int]]) -> list[tuple[int, str, str]]:

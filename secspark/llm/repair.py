@@ -36,6 +36,7 @@ from .common import save, small_batches, text_or_empty
 from .substring import _slices
 
 SHARD_IDS = 1 << 18
+CACHE = 800_000  # units; their ids take less room than what the digests keep
 FIRST = 1 << 20  # above every token id
 ROUNDS, PAIRS, LEAST = 4, 2048, 8
 SCHEMA = "part int, shard int, doc_id array<long>, n_ids array<long>, rules binary, lengths binary, seq binary, total long"
@@ -133,7 +134,7 @@ def _write(path: str, spaces: str, end_id: int, shard_ids: int):
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("rules", pa.binary()), ("lengths", pa.binary()), ("seq", pa.binary()), ("total", pa.int64())])
 
     def run(batches):
-        enc = encoder(path, spaces, raw_ids)
+        enc = encoder(path, spaces, raw_ids, CACHE)
         part, shard, docs, held, size = None, 0, [], [], 0
         for whole in batches:
             for b in _slices(whole, "text"):
