@@ -23,6 +23,8 @@ def resolve_masks(rules: list[dict], role: str | None, tenant: str, env: str, kn
         if role in known_roles:
             if any(r.get(k) not in (None, v) for k, v in (("role", role), ("tenant", tenant), ("env", env))):
                 continue
+        elif r["mask"] == "clear":
+            continue
         weight = sum(r.get(k) is not None for k in ("role", "tenant", "env"))
         if r["mask"] == "deny":
             weight = 99

@@ -138,7 +138,7 @@ SPAN_KINDS = ["unspecified", "internal", "server", "client", "producer", "consum
 
 
 def _attributes(c: Column) -> Column:
-    entries = F.transform(F.coalesce(c, F.array().cast(_ATTR)), lambda a: F.struct(F.concat(F.lit("otel."), a["key"]).alias("key"), F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string"), a["value"]["boolValue"].cast("string")).alias("value")))
+    entries = F.transform(F.coalesce(c, F.array().cast(_ATTR)), lambda a: F.named_struct(F.lit("key"), F.concat(F.lit("otel."), a["key"]), F.lit("value"), F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string"), a["value"]["boolValue"].cast("string"))))
     first = F.filter(entries, lambda x, i: (F.array_position(F.transform(entries, lambda y: y["key"]), x["key"]) == i + 1) & x["value"].isNotNull())
     return F.map_from_entries(first)
 
