@@ -35,9 +35,10 @@ def merge_runs(rows: DataFrame, keep: str = "max", runs: int = RUNS, fan_in: int
     """Merge (doc_id, digest, n_bytes, h2) to one row per text: digest, n_bytes, h2, keep_id, group_size."""
     pick = {"max": F.max, "min": F.min}[keep]
     level = rows.select((F.spark_partition_id() % runs).alias("run"), "digest", "n_bytes", "h2", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    width = runs
-    while width > 1:
+    width, done = runs, False
+    while not done:
         width = -(-width // fan_in)
+        done = width == 1
         level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy("run", "digest", "n_bytes", "h2").agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     return level.drop("run")
 
