@@ -41,6 +41,14 @@ def replace(s: Column, old: str, new: str) -> Column:
     return F.replace(s, F.lit(old), F.lit(new))
 
 
+def re_cap(s: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match; null where the pattern doesn't match."""
+    from secspark.functions.predicates import java_pattern
+
+    java = java_pattern(pattern)
+    return F.when(s.rlike(java), F.regexp_extract(s, java, group))
+
+
 def number(c: Column) -> Column:
     """Text as a double; null where it is not a number."""
     return c.try_cast("double")

@@ -27,13 +27,17 @@ def risk_from_iocs(matched: DataFrame, points: dict[int, int] | None = None) ->
     return got.select(F.lit("ioc").alias("entity_type"), "entity", "ts", F.coalesce(table[F.col("severity")], F.lit(10)).alias("risk_score"), F.lit("threat-intel").alias("rule"), "severity", F.lit("").alias("mitre"), F.concat_ws("|", F.lit("ti"), "entity", F.col("hour").cast("string")).alias("dedup"))
 
 
+def attack_tactic(df: DataFrame, tactics: DataFrame, column: str = "mitre") -> DataFrame:
+    """``df`` with technique (the parent) and its tactic; null if unknown. ``tactics``: technique, tactic."""
+    return df.withColumn("technique", parent_technique(F.col(column))).join(tactics, "technique", "left")
+
+
 def risk_rollup(contributions: DataFrame, tactics: DataFrame, now: int) -> DataFrame:
     """Per entity over 24 hours: score, contributions, tactics, hot score (1 hour), severity, first and last.
 
     ``tactics``: technique, tactic.
     """
-    recent = contributions.where((F.col("ts") > now - DAY) & (F.col("ts") <= now)).withColumn("technique", parent_technique(F.col("mitre")))
-    named = recent.join(tactics, "technique", "left")
+    named = attack_tactic(contributions.where((F.col("ts") > now - DAY) & (F.col("ts") <= now)), tactics)
     return named.groupBy(*KEYS).agg(
         F.sum("risk_score").alias("score"), F.count("*").alias("contributions"), F.countDistinct("tactic").alias("n_tactics"), F.array_sort(F.collect_set("tactic")).alias("tactics"),
         F.sum(F.when(F.col("ts") > now - HOUR, F.col("risk_score")).otherwise(0)).alias("hot_score"), F.max("severity").alias("max_severity"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),

@@ -1,78 +1,114 @@
-"""A library of threshold rules over the canonical columns, as data for the rule evaluator.
+"""The shipped rules as data for the rule evaluator.
 
-Each is a search with a final aggregate and a limit; names, limits and windows are settings to adapt.
+A rule counts rows, or the groups whose count or number of distinct values is over a limit. Fields that are no
+columns are read from the bag. Rules that are off by default are there to be switched on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secspark.functions import predicates as P
+from secspark.model import RESERVED_SOURCE
 from secspark.operators.detect import Rule
 
-_COLUMNS = ("category", "action", "host", "message", "src_ip", "dst_ip", "url", "fields")
+COLUMNS = ("source", "category", "severity", "host", "message", "src_ip", "dst_ip", "url")
+
+# Name, tests, group by, (what, limit), threshold test, window, severity, technique, on by default.
+# A test "field>=" is numeric, "field!=" is inequality, a list is any of its values, "" is text in the message.
+# what is "count" or the field whose distinct values count; without a group it is the value itself.
+TABLE = [
+    ("cf-recon-low-and-slow", {"source": "cloudflare"}, "src_ip", ("path", 5), "> 0", 3600, 3, "T1595.002", True),
+    ("example-custom", {"source": "nginx", "status>=": 500}, "src_ip", ("count", 20), "> 0", 600, 3, "T1190", False),
+    ("fw-denied-portscan-any-vendor", {"category": "firewall", "action": "deny"}, "src_ip", ("dst_port", 50), "> 0", 1800, 3, "T1046", False),
+    ("fw-horizontal-scan-low-and-slow", {"category": "firewall", "action": "deny"}, "src_ip", ("dst_ip", 5), "> 0", 3600, 3, "T1046", True),
+    ("fw-malware-blocked-any-vendor", {"category": "malware", "action": "blocked"}, None, ("count", None), "> 0", 900, 4, "T1105", False),
+    ("fw-portscan-low-and-slow", {"category": "firewall", "action": "deny"}, "src_ip", ("dst_port", 8), "> 0", 3600, 3, "T1046", True),
+    ("portprobe-low-and-slow", {"source": "portprobe"}, "src_ip", ("count", 12), "> 0", 3600, 2, "T1046", True),
+    ("t1190-web-exploit-5xx-burst", {"category": "web", "status>=": 500}, "src_ip", ("path", 8), "> 0", 1800, 3, "T1190", True),
+    ("t1190-web-exploit-blocked", {"action": "blocked", "": "http"}, "src_ip", ("count", 0), "> 0", 900, 4, "T1190", True),
+    ("web-scan-404-breadth-cf", {"source": "cloudflare-http", "status": "404"}, "src_ip", ("path", 30), "> 0", 1800, 3, "T1595.002", True),
+    ("ca-cred-distributed-bruteforce", {"category": "auth", "action": "failure"}, None, ("src_ip", None), "> 0", 900, 2, "T1110", False),
+    ("ca-cred-mail-bruteforce", {"source": "mail", "action": "failure"}, "src_ip", ("count", 15), "> 0", 900, 3, "T1110", False),
+    ("ca-cred-password-spray-auditd", {"source": "auditd", "category": "auth", "action": "failure"}, "src_ip", ("acct", 5), "> 0", 1800, 3, "T1110.003", False),
+    ("ca-cred-web-login-bruteforce", {"source": "web", "status": "401"}, "src_ip", ("count", 20), "> 0", 900, 3, "T1110", False),
+    ("ca-ssh-authkeys-persistence", {"source": "integrity", "kind": "authkeys"}, None, ("count", None), "> 0", 3600, 4, "T1098.004", False),
+    ("cl-kube-anonymous-access", {"source": "kube-audit", "user": "*anonymous"}, None, ("count", None), "> 0", 900, 3, "T1078", False),
+    ("cl-object-store-public-bucket", {"source": "object-store", "kind": "bucket", "risk": "public"}, None, ("count", None), "> 0", 3600, 3, "T1530", False),
+    ("co-sensitive-cred-access", {"source": "dataaccess", "key": "service_creds", "action": "read"}, "user", ("count", 5), "> 0", 1800, 3, "T1552.001", False),
+    ("de-auditd-disabled", {"source": "auditd", "category": "exec", "exe": "*auditctl*"}, None, ("count", None), "> 0", 1800, 4, "T1562.001", False),
+    ("de-auditd-no-exec-rule", {"source": "auditd", "category": "config", "exec_rule_b64": "0"}, None, ("count", None), "> 0", 7200, 2, "T1562.001", False),
+    ("de-auditd-silent", {"source": "auditd"}, None, ("count", None), "< 1", 600, 4, "T1562.001", False),
+    ("de-collector-unavailable", {"category": "config", "collect_status": "unavailable"}, None, ("count", None), "> 0", 7200, 2, "T1562.001", False),
+    ("de-detection-content-mutated", {"source": RESERVED_SOURCE + "config", "category": "config", "kind": ["rule", "parser"]}, None, ("count", None), "> 0", 1800, 2, "T1562.001", True),
+    ("di-conntrack-internal-sweep", {"source": "conntrack", "scope": "internal", "dir": "outbound"}, "src_ip", ("dst_ip", 20), "> 0", 1800, 3, "T1046", False),
+    ("di-kube-forbidden-burst", {"source": "kube-audit", "action": "forbidden"}, "user", ("count", 15), "> 0", 900, 3, "T1069", False),
+    ("di-object-store-denied-recon", {"source": "object-audit", "status": "AccessDenied"}, "accessKey", ("count", 10), "> 0", 1800, 2, "T1526", False),
+    ("ex-egress-fanout-external", {"source": "conntrack", "dir": "outbound", "scope": "external", "proc!=": ["k3s-server", "containerd"]}, "proc", ("dst_ip", 50), "> 0", 1800, 2, "T1071", False),
+    ("ex-falco-runtime", {"source": "falco", "category": "ebpf", "severity>=": 3}, None, ("count", None), "> 0", 900, 3, "T1059", False),
+    ("ex-host-exec-from-tmp", {"source": "auditd", "category": "exec", "exe": ["/tmp/*", "/dev/shm/*", "/var/tmp/*", "/run/*"]}, None, ("count", None), "> 0", 900, 3, "T1059.004", False),
+    ("ex-ids-suricata-alert", {"source": "suricata", "category": "alert", "severity>=": 3}, None, ("count", None), "> 0", 900, 3, "T1190", False),
+    ("ex-mail-mass-outbound", {"source": "mail", "category": "mailflow"}, "sender", ("count", 200), "> 0", 1800, 2, "T1048", False),
+    ("ex-object-store-mass-get", {"source": "object-audit", "api": "GetObject"}, "accessKey", ("count", 500), "> 0", 1800, 3, "T1530", False),
+    ("ex-webshell-post-script", {"source": "web", "method": "POST", "status": "200", "path": "*.php"}, "src_ip", ("count", 3), "> 0", 900, 3, "T1505.003", False),
+    ("im-ban-storm", {"category": "ban"}, None, ("src_ip", None), "> 0", 900, 2, "T1595", False),
+    ("im-fim-mass-delete", {"category": "integrity", "fim_event": "deleted"}, "agent_name", ("count", 50), "> 0", 900, 4, "T1485", False),
+    ("im-fim-ransomware-modify", {"category": "integrity", "fim_event": "modified"}, "agent_name", ("count", 100), "> 0", 900, 4, "T1486", False),
+    ("im-kube-mass-delete", {"source": "kube-audit", "verb": "delete", "action": "allowed"}, "user", ("count", 15), "> 0", 900, 3, "T1485", False),
+    ("lm-conntrack-internal-ssh", {"source": "conntrack", "scope": "internal", "dir": "outbound", "dport": "22"}, "src_ip", ("dst_ip", 5), "> 0", 1800, 3, "T1021.004", False),
+    ("pe-kube-rolebinding-created", {"source": "kube-audit", "resource": "*rolebindings", "verb": "create"}, None, ("count", None), "> 0", 1800, 3, "T1098", False),
+    ("pe-kube-sa-clusteradmin", {"source": "kube-rbac", "role": "cluster-admin", "kind": "ServiceAccount"}, None, ("count", None), "> 0", 3600, 4, "T1098", False),
+    ("pe-new-suid-added", {"source": "integrity", "kind": "suid", "change": "ajout"}, None, ("count", None), "> 0", 3600, 4, "T1548.001", False),
+    ("pe-os-account-created", {"source": "auditd", "category": "account"}, None, ("count", None), "> 0", 1800, 3, "T1136.001", False),
+    ("re-web-403-breadth", {"source": "web", "action": "blocked", "status": "403"}, "src_ip", ("path", 20), "> 0", 1800, 2, "T1595.003", False),
+    ("re-web-exploit-path", {"source": "web", "path": "*etc/passwd*"}, "src_ip", ("count", 0), "> 0", 900, 3, "T1190", False),
+    ("re-web-scanner-ua", {"source": "web", "ua": "*sqlmap*"}, "src_ip", ("count", 0), "> 0", 900, 2, "T1595.002", False),
+]
 
 
 def canonical_rules(df: DataFrame) -> DataFrame:
-    """``df`` with every column that the library refers to; missing ones are null."""
-    return df.withColumns({c: F.lit(None).cast("string") for c in _COLUMNS if c not in df.columns})
+    """``df`` with every column that the rules refer to; missing ones are null."""
+    missing = {c: F.lit(None).cast("int" if c == "severity" else "string") for c in (*COLUMNS, "fields") if c not in df.columns}
+    return df.withColumns(missing)
 
 
-def _f(key: str):
-    return F.get_json_object("fields", f"$['{key}']")
+def _value(name: str) -> Column:
+    return F.col(name) if name in COLUMNS else F.get_json_object("fields", f"$['{name}']")
 
 
-def _most(by: str, what: str, *tests):
-    """Largest number of distinct ``what`` for one ``by``."""
-    return lambda s: s.search(*(t() for t in tests)).stats(("dc", what), by=[by]).sort("-dc").head(1)
+def _test(key: str, value) -> Column:
+    if key == "":
+        return P.free_text(value)
+    if key.endswith(">="):
+        return P.ge(_value(key[:-2]), value)
+    if key.endswith("!="):
+        return P.all_of([P.ne(_value(key[:-2]), v) for v in value])
+    return P.any_of([P.eq(_value(key), v) for v in (value if isinstance(value, list) else [value])])
 
 
-def _count(*tests):
-    return lambda s: s.search(*(t() for t in tests)).stats("count")
+def _query(tests: dict, by: str | None, what: str, limit: int | None):
+    def run(s):
+        s = s.search(*[_test(k, v) for k, v in tests.items()])
+        made = F.count("*") if what == "count" else F.countDistinct(_value(what))
+        if by is None:
+            return s.stats(made.alias("value"))
+        return s.eval(_by=_value(by)).stats(made.alias("value"), by=["_by"]).where(F.col("value") > limit).stats("count")
 
+    return run
 
-def _busiest(by: str, *tests):
-    return lambda s: s.search(*(t() for t in tests)).stats("count", by=[by]).sort("-count").head(1)
 
+def _rule(name, tests, by, measure, threshold, window, severity, mitre, enabled) -> Rule:
+    op, n = threshold.split()
+    return Rule(name, _query(tests, by, *measure), op, float(n), window, severity, mitre, enabled)
 
-def _is(column: str, *values):
-    return lambda: F.col(column).isin(list(values))
 
+LIBRARY = [_rule(*row) for row in TABLE]
+ENABLED = [r for r in LIBRARY if r.enabled]
 
-def _field(key: str, *values):
-    return lambda: _f(key).isin(list(values))
 
+def switched_on(*names: str) -> list[Rule]:
+    """The given rules, whatever their default."""
+    from dataclasses import replace
 
-def _at_least(key: str, n: float):
-    return lambda: P.ge(_f(key), n)
-
-
-def _text(pattern: str):
-    return lambda: P.regex(F.col("message"), pattern)
-
-
-FW = _is("category", "firewall", "ids", "network")
-BLOCKED = _is("action", "blocked", "failure")
-LIBRARY = [
-    Rule("port scan, low and slow", lambda s: s.search(FW(), BLOCKED()).eval(port=_f("dst_port")).stats(("dc", "port"), by=["src_ip"]).sort("-dc").head(1), ">=", 15, 86400, 3, "T1046"),
-    Rule("horizontal scan, low and slow", _most("src_ip", "dst_ip", FW, BLOCKED), ">=", 15, 86400, 3, "T1046"),
-    Rule("port scan, one hour", lambda s: s.search(FW()).eval(port=_f("dst_port")).stats(("dc", "port"), by=["src_ip"]).sort("-dc").head(1), ">=", 30, 3600, 3, "T1046"),
-    Rule("malware blocked at the edge", _count(_is("category", "malware")), ">", 0, 3600, 3, "T1204"),
-    Rule("web scan, many missing pages", lambda s: s.search(_field("status", "404")()).stats(("dc", "url"), by=["src_ip"]).sort("-dc").head(1), ">=", 30, 3600, 2, "T1595.002"),
-    Rule("web recon, low and slow", _most("src_ip", "url", _is("category", "web", "waf")), ">=", 50, 86400, 2, "T1595"),
-    Rule("server errors in a burst", _busiest("src_ip", _at_least("status", 500)), ">=", 20, 600, 3, "T1190"),
-    Rule("exploit attempts blocked", _busiest("src_ip", _is("category", "waf"), BLOCKED), ">=", 10, 3600, 3, "T1190"),
-    Rule("failed logins", _busiest("src_ip", _is("action", "failure")), ">=", 10, 600, 3, "T1110"),
-    Rule("password spray", lambda s: s.search(_is("action", "failure")()).eval(user=_f("user")).stats(("dc", "user"), by=["src_ip"]).sort("-dc").head(1), ">=", 8, 3600, 3, "T1110.003"),
-    Rule("login from many sources", lambda s: s.search(_is("action", "success")()).eval(user=_f("user")).stats(("dc", "src_ip"), by=["user"]).sort("-dc").head(1), ">=", 5, 3600, 2, "T1078"),
-    Rule("privilege escalation by sudo", _busiest("host", _is("action", "sudo")), ">=", 50, 3600, 2, "T1548.003"),
-    Rule("log cleared", _count(_text(r"(?i)(log|audit).{0,20}(cleared|truncated)")), ">", 0, 3600, 4, "T1070.001"),
-    Rule("new local account", _count(_text(r"(?i)\b(useradd|new user:)")), ">", 0, 3600, 3, "T1136.001"),
-    Rule("execution from a temporary folder", _busiest("host", _is("category", "exec", "process"), _text(r"(/tmp/|/dev/shm/|/var/tmp/)")), ">", 0, 3600, 3, "T1059.004"),
-    Rule("integrity change", _busiest("host", _is("category", "integrity")), ">=", 20, 3600, 3, "T1565.001"),
-    Rule("deleted objects in a store", _count(lambda: F.col("source") == "object-audit", lambda: F.col("severity") >= 4), ">=", 5, 3600, 4, "T1485"),
-    Rule("critical vulnerability", _count(_is("category", "vulnerability"), lambda: F.col("severity") >= 4), ">", 0, 86400, 3, ""),
-    Rule("posture failures", _busiest("host", _is("category", "posture"), _field("posture_result", "failed", "fail")), ">=", 25, 86400, 2, ""),
-    Rule("threat indicator hit", _count(lambda: _f("threat_intel").isNotNull()), ">", 0, 3600, 3, "T1071"),
-]
+    return [replace(r, enabled=True) for r in LIBRARY if r.name in names]

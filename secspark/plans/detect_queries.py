@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from secspark.functions import predicates as P
 from secspark.operators import detect as D
 from secspark.operators import risk as K
-from secspark.operators.rules import LIBRARY, canonical_rules
+from secspark.operators.rules import canonical_rules, switched_on
 
 from .base import T0, T1, Registry, ev
 
@@ -97,9 +96,18 @@ def _(spark, d):
     return D.drilldown(ev(spark, d), RULES[0], T0).select("id")
 
 
-@R.add("d19_rule_library", f"SELECT count(*) AS rules FROM (SELECT 1 FROM ev LIMIT 1), range({len(LIBRARY)})")
+@R.add("d19_rule_library", f""", p AS (SELECT src_ip FROM ev WHERE source = 'view' AND ts BETWEEN {T0 - 3600} AND {T0} GROUP BY src_ip HAVING count(*) > 12)
+ SELECT 'fw-portscan-low-and-slow' AS rule, CAST(0 AS DOUBLE) AS value, 3 AS severity, 'T1046' AS mitre, false AS fired FROM (SELECT 1 FROM ev LIMIT 1) UNION ALL
+ SELECT 'ca-cred-distributed-bruteforce', CAST(count(DISTINCT src_ip) AS DOUBLE), 2, 'T1110', count(DISTINCT src_ip) > 0 FROM ev WHERE action = 'failure' AND ts BETWEEN {T0 - 900} AND {T0} UNION ALL
+ SELECT 'portprobe-low-and-slow', CAST(count(*) AS DOUBLE), 2, 'T1046', count(*) > 0 FROM p UNION ALL
+ SELECT 'de-auditd-silent', CAST(count(*) AS DOUBLE), 4, 'T1562.001', count(*) < 1 FROM ev WHERE source = 'signup' AND ts BETWEEN {T0 - 600} AND {T0}""")
 def _(spark, d):
-    return D.evaluate_rules(canonical_rules(ev(spark, d)), [r for r in LIBRARY], T0).agg(F.count("*").alias("rules"))
+    e = ev(spark, d)
+    names = {"view": "portprobe", "signup": "auditd"}
+    source = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    bag = F.to_json(F.struct("action", F.get_json_object("fields", "$.k").alias("dst_port")))
+    e = e.select("id", "ts", F.coalesce(source[F.col("source")], "source").alias("source"), F.lit("auth").alias("category"), "severity", "host", "src_ip", bag.alias("fields"))
+    return D.evaluate_rules(canonical_rules(e), switched_on("fw-portscan-low-and-slow", "ca-cred-distributed-bruteforce", "portprobe-low-and-slow", "de-auditd-silent"), T0)
 
 
 _C = """, c AS (
