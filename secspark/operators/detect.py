@@ -91,40 +91,25 @@ def suppress(units: DataFrame, last_fires: DataFrame, window: int, now: int) ->
     return units.join(recent, "key", "left_anti")
 
 
-def match_steps(times: list[Column], counts: list[int]) -> Column:
-    """Time at which the last step is complete, or null: each step needs its count at or after the one before.
+def correlate_sequence(df: DataFrame, steps: list[tuple[Column, int]], key: str, start: int, end: int) -> DataFrame:
+    """key, completed: entities whose events satisfy the steps in order, in [start, end].
 
-    ``times`` are arrays of timestamps, one for each step (16 at most).
+    Each step needs its count of events at or after the time the step before was complete (16 steps at most).
+    A step is one rank by key: Spark keeps the first n events of a key in each task before it shuffles, so a
+    busy entity is never gathered.
     """
-    if not 0 < len(times) <= 16:
+    if not 0 < len(steps) <= 16:
         raise ValueError("1 to 16 steps")
-    anchor = None
-    for ts, n in zip(times, counts):
-        ordered = F.array_sort(ts)
+    window = df.where(F.col("ts").between(start, end) & F.col(key).isNotNull())
+    rank, anchor = F.row_number().over(Window.partitionBy(key).orderBy("ts")), None
+    for predicate, n in steps:
+        rows = window.where(predicate).select(key, "ts")
         if anchor is not None:
-            ordered = _from(ordered, anchor)
-        anchor = F.try_element_at(ordered, F.lit(n))
+            rows = rows.join(anchor, key).where(F.col("ts") >= F.col("completed")).select(key, "ts")
+        anchor = rows.withColumn("_n", rank).where(F.col("_n") == n).select(key, F.col("ts").alias("completed"))
     return anchor
 
 
-def _from(ordered: Column, anchor: Column) -> Column:
-    return F.filter(ordered, lambda t: t >= anchor)
-
-
-def correlate_sequence(df: DataFrame, steps: list[tuple[Column, int]], key: str, start: int, end: int) -> DataFrame:
-    """key, completed: entities whose events satisfy the steps in order, in [start, end].
-
-    One pass: each event goes to the arrays of the steps it matches. The arrays of an entity are bounded by its
-    matching events in the window, and are built by partial aggregation.
-    """
-    rows = df.where(F.col("ts").between(start, end) & F.col(key).isNotNull())
-    any_step = reduce(lambda a, b: a | b, [p for p, _ in steps])
-    lists = [F.collect_list(F.when(p, F.col("ts"))).alias(f"_{i}") for i, (p, _) in enumerate(steps)]
-    found = rows.where(any_step).groupBy(key).agg(*lists)
-    done = match_steps([F.col(f"_{i}") for i in range(len(steps))], [n for _, n in steps])
-    return found.select(key, done.alias("completed")).where("completed is not null")
-
-
 def baseline_scores(df: DataFrame, entity: str, bucket_s: int, window_s: int, min_samples: int) -> DataFrame:
     """entity, bucket, value, n, mean, sd, z of each bucket against the entity's earlier ones in the window.
 

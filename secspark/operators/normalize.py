@@ -298,9 +298,19 @@ def processor_counts(df: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def sample_every_n(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """First of every n rows of each key, by ts and id."""
-    w = Window.partitionBy(*keys).orderBy("ts", "id")
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") % n == (1 % n)).drop("_n")
+    """First of every n rows of each key, by ts and id.
+
+    Rows are numbered inside each hour and the rows of earlier hours added, so that a busy key, or no key at
+    all, never puts all rows into one task.
+    """
+    rows = df.withColumn("_hour", F.floor(F.col("ts") / 3600))
+    before = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_hour").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_hour").alias("_h"), "_before")
+    number = F.row_number().over(Window.partitionBy(*keys, "_hour").orderBy("ts", "id"))
+    on = all_of([F.col("_hour").eqNullSafe(F.col("_h")), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]])
+    out = rows.withColumn("_n", number).join(offsets, on).where((F.col("_n") + F.col("_before")) % n == (1 % n))
+    return out.select(*df.columns)
 
 
 def dedup_events(df: DataFrame) -> DataFrame:
