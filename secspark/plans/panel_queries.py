@@ -234,7 +234,7 @@ def _(spark, d):
     return G.purge_plan(ev(spark, d), {"host": "h3", "start": T0, "end": T1}).drop("digest")
 
 
-@R.add("g08_verify_chain", "SELECT CAST(4242 AS BIGINT) AS first_broken FROM ev LIMIT 1")
+@R.add("g08_verify_chain", "SELECT CAST(42 AS BIGINT) AS first_broken FROM ev LIMIT 1")
 def _(spark, d):
     from pyspark.sql import Window
 
@@ -245,7 +245,7 @@ def _(spark, d):
     tail = e.where("id % 2 = 1").join(head.select("pair", F.col("hash").alias("prev_hash")), "pair")
     tail = tail.withColumn("hash", G.chain_hash(F.col("prev_hash")))
     both = head.select(*tail.columns).unionByName(tail)
-    broken = both.withColumn("detail", F.when(F.col("id") == 4242, "changed").otherwise(F.col("detail")))
+    broken = both.withColumn("detail", F.when(F.col("id") == 42, "changed").otherwise(F.col("detail")))
     return G.verify_chain(broken, "pair").agg(F.min("first_broken").alias("first_broken"))
 
 
