@@ -2,10 +2,11 @@
 
 For each language raw-content zstandard dictionaries are cut from a bounded sample of labelled texts. A
 text is put in lower case, everything but letters becomes one space, and the whole of it is compressed
-with every dictionary; the language with the smallest result wins. Texts under ``SHORT`` bytes, where a
-byte more or less decides, are compressed with several dictionaries of each language and their sizes
-summed. The score is the margin: how much smaller the result is than the second smallest, as a share.
-Narrow margins can be rejected.
+with every dictionary, in pieces of ``PIECE`` bytes that each start from the fresh dictionary, so that a
+dictionary helps a long text as much as a short one; the language with the smallest sum wins. Texts under
+``SHORT`` bytes, where a byte more or less decides, are compressed with several dictionaries of each
+language and their sizes summed. The score is the margin: how much smaller the result is than the second
+smallest, as a share. Narrow margins can be rejected.
 
 The sample is bounded by ``docs_per_lang`` and ``dict_bytes`` (parameters): the rows of a language with the
 smallest hashes of their id, whatever the size of the data. Everything else reads all rows.
@@ -32,6 +33,7 @@ DOCS_PER_LANG = 600
 DICT_BYTES = 112 << 10
 DICTS = 3
 SHORT = 512
+PIECE = 4 << 10
 LEVEL = 9
 UNKNOWN = "und"
 LETTER = r"\p{L}"
@@ -79,7 +81,8 @@ def _classify(model: list[tuple[str, list[bytes]]], level: int):
                         continue
                     data = letters(text).encode()
                     n = DICTS if len(data) < SHORT else 1
-                    sizes = sorted((sum(len(c.compress(data)) for c in own[:n]) / len(own[:n]), i) for i, (_, own) in enumerate(coders))
+                    pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
+                    sizes = sorted((sum(len(c.compress(x)) for c in own[:n] for x in pieces) / len(own[:n]), i) for i, (_, own) in enumerate(coders))
                     langs.append(coders[sizes[0][1]][0])
                     scores.append(1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0)
                 yield pa.RecordBatch.from_arrays([b["row"], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])

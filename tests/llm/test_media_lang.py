@@ -1,9 +1,12 @@
 import hashlib
+import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
-from secspark.llm.langid import held_out, keep_identified, predict_languages
+from secspark.llm.langid import LEVEL, _classify, held_out, keep_identified, predict_languages, train
+from secspark.llm.langid import letters as only_letters
 from secspark.llm.media import describe, document_media, feature, parse_pages, read_form, references, resolve, sequence
 
 from .helpers import SCHEMA, as_set, rows, table
@@ -69,6 +72,20 @@ def test_rejects(spark, docs):
     assert kept.columns == docs.columns and docs.count() * 0.98 < kept.count() <= docs.count()
 
 
+def test_long_texts_stay(spark, docs):
+    """One language's text from 1 KB to 20 MB stays, with much the same score."""
+    found = docs.where("lang = 'en' and text is not null").orderBy("doc_id").select("text").collect()
+    words = only_letters(" ".join(r["text"] for r in found)).split()
+    text = " ".join(random.Random(1).choices(words, k=6_000_000))  # no passage comes again
+    assert len(text) > 20_000_000
+    sizes = [1_000, 10_000, 100_000, 1_000_000, 4_000_000, 20_000_000]
+    run = _classify(train(docs), LEVEL)
+    batch = pa.RecordBatch.from_pydict({"row": sizes, "text": [text[:n] for n in sizes], "letter": [True] * len(sizes)})
+    found = [r for b in run([batch]) for r in b.to_pylist()]
+    assert [(r["row"], r["lang_pred"]) for r in found] == [(n, "en") for n in sizes]
+    assert min(r["score"] for r in found) > 0.02 and found[-1]["score"] > 0.5 * found[1]["score"]
+
+
 def test_unknown(spark):
     data = rows(n=60) + [(900, "123 !!!", "en", "a", 1, 1, "s", "k")]
     out = predict_languages(table(spark, data)).collect()
