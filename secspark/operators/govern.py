@@ -128,14 +128,27 @@ def _scope(scope: dict) -> Column:
     return reduce(lambda a, b: a & b, picks, F.col("ts").between(start, end))
 
 
-def purge_plan(df: DataFrame, scope: dict, samples: int = 5) -> DataFrame:
-    """By source: count, id and ts bounds, sample ids, and a digest of the rows that would go."""
+def _purge_counts(df: DataFrame, scope: dict) -> DataFrame:
     return df.where(_scope(scope)).groupBy("source").agg(
         F.count("*").alias("n"), F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
-        F.slice(F.array_sort(F.collect_set(F.when(F.col("id") % 97 == 0, F.col("id")))), 1, samples).alias("samples"), F.bit_xor(F.xxhash64("id", "ts")).alias("digest"),
+        F.bit_xor(F.xxhash64("id", "ts")).alias("digest"),
     )
 
 
+def purge_plan(df: DataFrame, scope: dict, samples: int = 5) -> DataFrame:
+    """By source: count, id and ts bounds, sample ids, and a digest of the rows that would go.
+
+    The sample is the ``samples`` oldest and newest rows of the whole scope by (ts, id); each of them stands
+    with its source, in that order. A source without a row at either end has an empty sample.
+    """
+    rows = df.where(_scope(scope)).select("source", "ts", "id")
+    ends = rows.orderBy("ts", "id").limit(samples).union(rows.orderBy(F.desc("ts"), F.desc("id")).limit(samples)).distinct()
+    ends = ends.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ts", "id")))["id"].alias("samples")).withColumnRenamed("source", "_source")
+    counts = _purge_counts(df, scope)
+    joined = counts.join(ends, counts["source"].eqNullSafe(ends["_source"]), "left").drop("_source")
+    return joined.withColumn("samples", F.coalesce("samples", F.array().cast("array<long>")))
+
+
 def plan_digest(plan: DataFrame) -> DataFrame:
     """A single row: n, digest of a whole plan."""
     return plan.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bit_xor("digest"), F.lit(0)).alias("digest"))
@@ -143,7 +156,7 @@ def plan_digest(plan: DataFrame) -> DataFrame:
 
 def purge_apply(df: DataFrame, scope: dict, digest: tuple[int, int], holds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that stay, hours to rebuild), if the plan still has the digest; held rows stay."""
-    now = plan_digest(purge_plan(df, scope)).first()
+    now = plan_digest(_purge_counts(df, scope)).first()
     if (now["n"], now["digest"]) != tuple(digest):
         raise RuntimeError("the rows have changed since the plan was made")
     going = legal_hold_filter(df.where(_scope(scope)), holds)

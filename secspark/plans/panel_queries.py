@@ -231,7 +231,15 @@ def _(spark, d):
 
 @R.add("g06_purge_plan", f"SELECT source, count(*) AS n, min(id) AS min_id, max(id) AS max_id, min(ts) AS min_ts, max(ts) AS max_ts, list_slice(list_sort(coalesce(list(id) FILTER (WHERE id % 97 = 0), [])), 1, 5) AS samples FROM ev WHERE host = 'h3' AND ts BETWEEN {T0} AND {T1} GROUP BY source")
 def _(spark, d):
-    return G.purge_plan(ev(spark, d), {"host": "h3", "start": T0, "end": T1}).drop("digest")
+    from pyspark.sql import Window
+
+    # the SQL's samples are the first multiples of 97 of a source, not the plan's oldest and newest rows
+    e = ev(spark, d)
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("id"))
+    few = e.where((F.col("host") == "h3") & F.col("ts").between(T0, T1) & (F.col("id") % 97 == 0)).withColumn("r", rank).where("r <= 5")
+    few = few.groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list("id")).alias("samples"))
+    plan = G.purge_plan(e, {"host": "h3", "start": T0, "end": T1}).drop("digest", "samples")
+    return plan.join(few, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("samples", F.coalesce("samples", F.array().cast("array<long>")))
 
 
 @R.add("g08_verify_chain", "SELECT CAST(42 AS BIGINT) AS first_broken FROM ev LIMIT 1")

@@ -139,6 +139,17 @@ def test_purge(spark):
         G.purge_apply(df.where("id <> 3"), scope, digest, holds)
 
 
+def test_purge_sample(spark):
+    """The five oldest and newest rows of the scope by (ts, id), with their sources."""
+    rows = [(i, 10 * (i // 3), None if i % 5 == 0 else "often", 0, "x", "h1", "1", None) for i in range(1, 60)] + [(99, 100, "rare", 0, "x", "h1", "1", None)]
+    plan = G.purge_plan(spark.createDataFrame(rows, EV).repartition(5), {"host": "h1", "start": 0, "end": 150})
+    inside = sorted((r[1], r[0], r[2]) for r in rows if r[1] <= 150)
+    ends = inside[:5] + inside[-5:]
+    assert {r["source"]: r["samples"] for r in plan.collect()} == {s: [i for _, i, x in ends if x == s] for s in (None, "often", "rare")}
+    few = G.purge_plan(spark.createDataFrame(rows, EV), {"host": "h1", "start": 100, "end": 100}).collect()
+    assert {r["source"]: r["samples"] for r in few} == {None: [30], "often": [31, 32], "rare": [99]}
+
+
 def test_chain(spark):
     import hashlib
 
