@@ -14,7 +14,7 @@ from .langid import predict_languages
 from .lines import drop_boilerplate
 from .media import document_media
 from .minhash import near_duplicates
-from .mixing import mix
+from .mixing import SLOTS, mix
 from .repair import read_documents, write_shards
 from .sharding import shard_documents
 from .substring import substring_dedup
@@ -46,7 +46,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), slots=SLOTS)  # its SQL has whole slots
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

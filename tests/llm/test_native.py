@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from secspark.llm.lines import drop_boilerplate
-from secspark.llm.mixing import in_order, mix, period
+from secspark.llm.mixing import in_order, mix, period, schedule
 from secspark.llm.sharding import build_map, load_map, rebalance, shard_documents, slot_totals, slotted, store_map
 
 from .helpers import SCHEMA, as_set, rows, table
@@ -89,6 +89,38 @@ def test_mix(spark):
         assert blocks == sorted(blocks)
 
 
+def test_schedule(spark):
+    """Stretches joined give the same as one run over all slots."""
+    rates = {"a": (1_000_003, 90), "b": (77, 3), "c": (333_333, 40), "d": (2_000_001, 150)}
+    got = schedule(spark.createDataFrame([(s, r, n) for s, (r, n) in rates.items()], "source string, rate long, blocks long"), steps=16).collect()
+    total, had, want = sum(r for r, _ in rates.values()), dict.fromkeys(rates, 0), []
+    while any(had[s] < n for s, (_, n) in rates.items()):
+        t = sum(had.values())
+        due, s = min((-(-(had[s] + 1) * total // r), s) for s, (r, _) in rates.items() if had[s] * total // r <= t)
+        if had[s] < rates[s][1]:
+            want.append((s, had[s], had[s] * total // rates[s][0], due, t))
+        had[s] += 1
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
+def test_mix_keeps_target_weights(spark):
+    """While all sources last, each has had within one block of its target, not of a rounded one."""
+    weights = {"hot": 0.8714} | {f"s{i:02}": 0.0001 * (i + 1) for i in range(25)} | {"mid": 0.0961}
+    total = sum(weights.values())
+    data = [(k, "x" * 99, "en", s, 99, 1, "s", "k") for k, s in enumerate(s for s, w in weights.items() for _ in range(int(2_000 * w) + 1))]
+    out = sorted(mix(table(spark, data), weights, block_bytes=100).collect(), key=lambda r: r["position"])
+    assert len(out) == len(data)
+    had, n = Counter(), Counter(d[3] for d in data)
+    for r in out:
+        if any(n[s] == had[s] for s in n):
+            break
+        had[r["source"]] += 1
+        assert r["release"] <= r["slot"] < r["deadline"]
+        assert all(abs(had[s] - (r["slot"] + 1) * w / total) < 1.001 for s, w in weights.items())
+    assert sum(had.values()) > 300
+
+
 def test_in_order_keeps_every_row(spark):
     docs = table(spark, n=150)
     cols = docs.columns
