@@ -212,20 +212,23 @@ def _digests(path: str, spaces: str, glue: str):
                     n.append(sum(u[0] for u in units))
                     ids.append(hashlib.sha256(" ".join([u[1] for u in units]).encode()).hexdigest())
                     text.append(hashlib.sha256(glue.join([u[2] for u in units]).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                found = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]
+                names = [x for x in b.schema.names if x != "text"]
+                yield pa.RecordBatch.from_arrays([b[x] for x in names] + found, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def token_digests(docs: DataFrame, path: str, spaces: str = "dropped", glue: str = " ", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again.
+def token_digests(docs: DataFrame, path: str, spaces: str = "dropped", glue: str = " ", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``carry``, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again.
 
     ``spaces`` is how the tokenizer treats white space ("dropped" or "joined"), ``glue`` what its decoder
     puts between tokens (a space where the file has no decoder, else nothing).
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_digests(path, spaces, glue), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, text_or_empty(text_col).alias("text"))
+    kept = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in carry)
+    return rows.mapInArrow(_digests(path, spaces, glue), f"doc_id long, {kept}n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def ids_of(tokenizer, batch: list[list[int]]) -> list[list[int]]:

@@ -38,6 +38,33 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, tokens))
 
 
+def test_positions(spark, tmp_path):
+    """The result of run() has each document's place in a brute-force schedule of those that stay."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, sf)
+    docs.write.parquet(f"file://{tmp_path}/near")
+    by_source = defaultdict(list)
+    for r in spark.read.parquet(f"file://{tmp_path}/near").collect():
+        by_source[r["source"] or ""].append((hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"], len((r["text"] or "").encode()) + 1))
+    root = {s: sum(x[2] for x in v) ** 0.5 for s, v in by_source.items()}
+    rate = {s: round(x / sum(root.values()) * 2**31) for s, x in root.items()}
+    total, had, blocks = sum(rate.values()), dict.fromkeys(rate, 0), defaultdict(list)
+    for s, v in by_source.items():
+        before = 0
+        for _, i, size in sorted(v):
+            blocks[s, before // 16_384].append(i)
+            before += size
+    want = []
+    while sum(map(len, by_source.values())) > len(want):
+        t = sum(had.values())
+        _, s = min((-(-(had[s] + 1) * total // r), s) for s, r in rate.items() if had[s] * total // r <= t)
+        want += blocks[s, had[s]]
+        had[s] += 1
+    assert [r["doc_id"] for r in sorted(corpus_pipeline.run(spark, sf).collect(), key=lambda r: r["position"])] == want
+
+
 def _representatives(sets):
     root = {i: i for i in sets}
 
