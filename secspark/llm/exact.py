@@ -1,8 +1,8 @@
-"""Exact dedup: tree-merge of sorted digest runs.
+"""Exact dedup: digest runs merged in rounds of aggregates.
 
-Every input partition is a run of (digest, length, smallest or largest id, count). Runs are merged in
+Input partitions, by their number modulo ``RUNS``, are runs (not sorted) of (digest, length, smallest or largest id, count). Runs are merged in
 rounds: a round brings ``FAN_IN`` runs together for each slice of the digest space, merges equal
-digests, and keeps one verified identifier for each. After the last round a digest has one row. The
+digests by a hash aggregate, and keeps one verified identifier for each. After the last round a digest has one row. The
 digest space is dealt over all tasks in every round, so no task ever holds a whole run of the
 corpus, and a hot text reaches a merge as one row from each run.
 
