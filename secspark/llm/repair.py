@@ -1,9 +1,15 @@
 """Token output as Re-Pair grammars.
 
 Documents are put in ascending id order over range partitions, encoded, and cut into shards of about
-``SHARD_IDS`` ids. In each shard the most frequent pairs of neighbouring ids are replaced by new
-symbols again and again; the shard keeps its rules, the remaining sequence, and how many ids each
-symbol stands for, so any range of ids is decoded by a search in the sums of those lengths.
+``SHARD_IDS`` ids. In each shard pairs of neighbouring ids are replaced by new symbols again and again,
+until no pair occurs ``LEAST`` times: a rule takes 12 bytes (two symbols and a length) and each
+replacement saves 4, so from the fourth on a rule pays. The shard keeps its rules, the remaining
+sequence, and how many ids each symbol stands for, so any range of ids is decoded by a search in the
+sums of those lengths.
+
+A pass over the sequence replaces many pairs at once: at each place the pair that occurs more often than
+both pairs it overlaps (ties: by the pair). The most frequent pair of all is replaced everywhere, so each
+pass makes progress, and the passes end where one pair at a time would end: with no pair left.
 
 File format: Parquet, one row a shard, columns
   part, shard      order of the shard: by part, then by shard
@@ -17,89 +23,126 @@ Spark's writer commits a task's file once, so a lost executor leaves no partial
 Defined results
 - null text counts as empty: the document has the end id alone;
 - null ids come first; rows with the same id are ordered by a hash of their text;
-- a document larger than a shard is a shard of its own, compressed in blocks that share no rules;
-- an empty table gives an empty result.
+- a document larger than a shard is a shard of its own, with one grammar for every ``GRAMMAR_IDS`` ids of it
+  (16 MB of text), which bounds a task's memory;
+- extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
-from .common import save, small_batches, text_or_empty
+from .common import save, text_or_empty
 from .substring import _slices
+from .units import units
 
 SHARD_IDS = 1 << 18
-CACHE = 800_000  # units; their ids take less room than what the digests keep
+GRAMMAR_IDS = 1 << 22
+SLICE_BYTES = 6 << 20
 FIRST = 1 << 20  # above every token id
-ROUNDS, PAIRS, LEAST = 4, 2048, 8
+LEAST = 4
+_CELLS = 18
 SCHEMA = "part int, shard int, doc_id array<long>, n_ids array<long>, rules binary, lengths binary, seq binary, total long"
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, lengths, sequence) of one shard: each round replaces its most frequent pairs, left to right."""
-    seq, rules, lengths, cells = ids.astype(np.int64), [], [], np.empty(1 << 16, dtype=np.int32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        keys = (seq[:-1] << 32) | seq[1:]
-        ordered = np.sort(keys)
-        at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(at, len(ordered)))
+def _frequent(seq: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that occur ``least`` times without overlapping themselves: places by pair, the pairs' keys, first places and counts."""
+    keys = (seq[:-1] << bits) | seq[1:]
+    # pairs in cells of a hash table: in a cell with too few of them none is frequent
+    cell = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CELLS)).view(np.int64)
+    at = np.flatnonzero((np.bincount(cell, minlength=1 << _CELLS) >= least)[cell])
+    twin = np.flatnonzero(keys[1:] == keys[:-1]) + 1
+    if len(twin):  # of a run of one symbol every second place counts
+        start = np.concatenate(([True], np.diff(twin) != 1))
+        first = twin[start][np.cumsum(start) - 1] - 1
+        odd = np.zeros(len(keys), dtype=bool)
+        odd[twin[(twin - first) % 2 == 1]] = True
+        at = at[~odd[at]]
+    place = int(len(keys)).bit_length()
+    if 2 * bits + place < 64:  # sorting key and place as one number is faster
+        packed = (keys[at] << place) | at
+        packed.sort()
+        key, at = packed >> place, packed & ((1 << place) - 1)
+    else:
+        at = at[np.argsort(keys[at], kind="stable")]
+        key = keys[at]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else at
+    return at, key, first, np.diff(np.append(first, len(key)))
+
+
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, lengths, sequence) of one grammar."""
+    used = np.zeros(int(ids.max(initial=0)) + 1, dtype=bool)
+    used[ids] = True
+    terminals = np.flatnonzero(used)
+    dense = np.cumsum(used) - 1  # ids as 0, 1, 2 ...; rules follow
+    seq, m = dense[ids.astype(np.int64)], len(terminals)
+    rules, lengths = [], [np.ones(m, dtype=np.int64)]
+    made = made_as = np.zeros(0, dtype=np.int64)  # pairs that have a rule, sorted, and their symbols
+    size = m
+    while len(seq) > 1:
+        bits = int(size).bit_length()
+        at, key, first, counts = _frequent(seq, bits, least)
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        if len(often) > pairs:
-            often = often[np.argpartition(counts[often], len(often) - pairs)[-pairs:]]
-        chosen = ordered[at[often]]
-        # a small hash table finds the pair of each place; of two pairs in one cell the more frequent one stays
-        cell = lambda k: ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-        rank = np.argsort(counts[often], kind="stable")
-        cells[:] = -1
-        cells[cell(chosen[rank])] = rank
-        chosen = chosen[np.sort(cells[cells >= 0])]
-        cells[cell(chosen)] = np.arange(len(chosen))
-        slot = cells[cell(keys)]
-        hit = (slot >= 0) & (chosen[slot] == keys)
-        # of overlapping hits every second one is taken
-        place = np.arange(len(hit))
-        begin = np.maximum.accumulate(np.where(hit & ~np.concatenate(([False], hit[:-1])), place, 0))
-        take = hit & ((place - begin) % 2 == 0)
-        base = FIRST + sum(map(len, rules))
-        sizes = np.concatenate([*lengths, np.zeros(0, np.int64)])
-        length_of = lambda x: np.where(x >= FIRST, sizes[np.maximum(x - FIRST, 0)] if len(sizes) else 1, 1)
-        a, b = chosen >> 32, chosen & 0xFFFFFFFF
-        rules.append(np.stack((a, b), axis=1))
-        lengths.append(length_of(a) + length_of(b))
-        out = seq.copy()
-        where = np.flatnonzero(take)
-        out[where] = base + slot[where]
+        often = often[np.argsort(counts[often], kind="stable")]
+        rank = np.zeros(len(counts), dtype=np.int32)
+        rank[often] = np.arange(1, len(often) + 1)
+        ranks = np.zeros(len(seq) + 1, dtype=np.int32)  # of the pair at each place, with a zero at both ends
+        ranks[at + 1] = np.repeat(rank, counts)
+        here = ranks[1:-1]
+        take = np.flatnonzero((here > ranks[:-2]) & (here > ranks[2:]))
+        fine = np.bincount(here[take], minlength=len(often) + 1) >= least
+        take = take[fine[here[take]]]
+        pair = key[first[often[fine[1:]]]]
+        pair = np.stack((pair >> bits, pair & ((1 << bits) - 1)), axis=1)
+        # places that an earlier pass had to leave to another pair take the rule that is there
+        code = (pair[:, 0] << 32) | pair[:, 1]
+        near = np.minimum(np.searchsorted(made, code), max(len(made) - 1, 0))
+        old = made[near] == code if len(made) else np.zeros(len(code), dtype=bool)
+        symbol = np.where(old, made_as[near] if len(made) else 0, size + np.cumsum(~old) - 1)
+        name = np.zeros(len(fine), dtype=np.int64)
+        name[fine] = symbol
+        seq[take] = name[here[take]]
+        pair = pair[~old]
+        rules.append(pair)
+        known = np.concatenate(lengths)
+        lengths = [known, known[pair].sum(axis=1)]
+        made, made_as = np.concatenate((made, code[~old])), np.concatenate((made_as, symbol[~old]))
+        order = np.argsort(made, kind="stable")
+        made, made_as = made[order], made_as[order]
         keep = np.ones(len(seq), dtype=bool)
-        keep[where + 1] = False
-        seq = out[keep]
+        keep[take + 1] = False
+        seq = seq[keep]
+        size += len(pair)
     flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return flat.astype("<u4"), np.concatenate([*lengths, np.zeros(0, np.int64)]).astype("<u4"), seq.astype("<u4")
+    symbols = np.concatenate((terminals, np.arange(FIRST, FIRST + size - m))).astype("<u4")
+    return symbols[flat], np.concatenate(lengths)[m:].astype("<u4"), symbols[seq]
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The ids that a sequence of symbols stands for."""
-    seq = seq.astype(np.int64)
-    while True:
-        big = seq >= FIRST
-        if not big.any():
-            return seq.astype("<u4")
-        n = 1 + big
-        out = np.repeat(seq, n)
-        at = (np.cumsum(n) - n)[big]
-        pair = rules[seq[big] - FIRST].astype(np.int64)
-        out[at], out[at + 1] = pair[:, 0], pair[:, 1]
-        seq = out
+    """The ids that a sequence of symbols stands for: each symbol's halves are put in their places, level by level."""
+    symbol, sizes = seq.astype(np.int64), lengths.astype(np.int64)
+    n = np.ones(len(symbol), dtype=np.int64)
+    big = symbol >= FIRST
+    n[big] = sizes[symbol[big] - FIRST]
+    place = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), dtype="<u4")
+    while len(symbol):
+        big = symbol >= FIRST
+        out[place[~big]] = symbol[~big]
+        pair, at = rules[symbol[big] - FIRST].astype(np.int64), place[big]
+        left = np.ones(len(pair), dtype=np.int64)
+        deep = pair[:, 0] >= FIRST
+        left[deep] = sizes[pair[deep, 0] - FIRST]
+        symbol, place = np.concatenate((pair[:, 0], pair[:, 1])), np.concatenate((at, at + left))
+    return out
 
 
 def decode_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: int, stop: int) -> np.ndarray:
@@ -113,53 +156,52 @@ def decode_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start:
     return expand(seq[i : j + 1], rules, lengths)[skip : skip + stop - start]
 
 
-def raw_ids(tokenizer, batch: list[list[int]]) -> list[bytes]:
-    return [array("I", x).tobytes() for x in batch]
-
-
-def _write(path: str, spaces: str, end_id: int, shard_ids: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
+def _write(path: str, end_id: int, shard_ids: int, grammar_ids: int):
     def row(part, shard, docs, ids):
         rules, lengths, seqs, done = [], [], [], 0
-        for at in range(0, len(ids), 4 * shard_ids):  # more than one block only for a document larger than a shard
-            r, n, s = compress(ids[at : at + 4 * shard_ids])
+        for at in range(0, len(ids), grammar_ids):
+            r, n, s = compress(ids[at : at + grammar_ids])
             shift = np.uint32(done)
             rules.append(np.where(r >= FIRST, r + shift, r))
             lengths.append(n)
             seqs.append(np.where(s >= FIRST, s + shift, s))
             done += len(r)
-        return {"part": part, "shard": shard, "doc_id": [d for d, _ in docs], "n_ids": [n for _, n in docs], "rules": np.concatenate(rules).astype("<u4").tobytes(), "lengths": np.concatenate(lengths).astype("<u4").tobytes(), "seq": np.concatenate(seqs).astype("<u4").tobytes(), "total": len(ids)}
+        raw = lambda x: np.concatenate(x).astype("<u4").tobytes()
+        return {"part": part, "shard": shard, "doc_id": [d for d, _ in docs], "n_ids": [n for _, n in docs], "rules": raw(rules), "lengths": raw(lengths), "seq": raw(seqs), "total": len(ids)}
 
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("rules", pa.binary()), ("lengths", pa.binary()), ("seq", pa.binary()), ("total", pa.int64())])
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches):
-        enc = encoder(path, spaces, raw_ids, CACHE)
+        encoder = units(path)
         part, shard, docs, held, size = None, 0, [], [], 0
         for whole in batches:
-            for b in _slices(whole, "text"):
+            for b in _slices(whole, "text", SLICE_BYTES):
                 part = b["part"][0].as_py()
-                for d, units in zip(b["doc_id"].to_pylist(), enc.encode(b["text"].to_pylist())):
-                    ids = b"".join(units) + end
-                    docs.append((d, len(ids) // 4))
-                    held.append(ids)
-                    size += len(ids) // 4
+                ids, counts = encoder.encode(b["text"])
+                stops = np.cumsum(counts)
+                for d, a, z in zip(b["doc_id"].to_pylist(), (stops - counts).tolist(), stops.tolist()):
+                    docs.append((d, z - a + 1))
+                    held += [ids[a:z], end]
+                    size += z - a + 1
                     if size >= shard_ids:
-                        yield pa.RecordBatch.from_pylist([row(part, shard, docs, np.frombuffer(b"".join(held), "<u4"))], schema)
+                        yield pa.RecordBatch.from_pylist([row(part, shard, docs, np.concatenate(held))], schema)
                         shard, docs, held, size = shard + 1, [], [], 0
         if docs:
-            yield pa.RecordBatch.from_pylist([row(part, shard, docs, np.frombuffer(b"".join(held), "<u4"))], schema)
+            yield pa.RecordBatch.from_pylist([row(part, shard, docs, np.concatenate(held))], schema)
 
     return run
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int, spaces: str = "joined", shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, compress and write ``docs``; returns the table of shards read back from its files."""
-    small_batches(docs.sparkSession)
+def write_shards(docs: DataFrame, path: str, end_id: int, shard_ids: int = SHARD_IDS, grammar_ids: int = GRAMMAR_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode, compress and write ``docs``; returns the table of shards read back from its files.
+
+    ``path`` names a byte-level BPE tokenizer.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     parts = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    return save(parts.mapInArrow(_write(path, spaces, end_id, shard_ids), SCHEMA), "shards")
+    return save(parts.mapInArrow(_write(path, end_id, shard_ids, grammar_ids), SCHEMA), "shards")
 
 
 def _read(batches):
@@ -185,7 +227,6 @@ def read_documents(shards: DataFrame) -> DataFrame:
     ``start`` adds the ids of earlier parts, of earlier shards of the part, and of earlier documents of
     the shard; only one total a part is ordered in a single task.
     """
-    shards.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     zero = F.lit(0).cast("long")
     totals = shards.groupBy("part").agg(F.sum("total").alias("total"))
     parts = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), zero).alias("p"))

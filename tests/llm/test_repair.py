@@ -1,12 +1,16 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from secspark.llm.repair import FIRST, compress, decode_range, expand, read_documents, write_shards
+from secspark.llm.bpe import encode_all
+from secspark.llm.repair import FIRST, LEAST, compress, decode_range, expand, read_documents, write_shards
+from secspark.llm.units import Units
 
 from .helpers import SCHEMA, as_set, rows, table
 
@@ -35,15 +39,49 @@ def test_round_trip(ids):
         assert (decode_range(seq, rules, lengths, a, b) == ids[a:b]).all()
 
 
+def pairs(seq):
+    """How often each pair occurs, not overlapping itself."""
+    n, last = Counter(), {}
+    for i, p in enumerate(zip(seq, seq[1:])):
+        if last.get(p) != i - 1 or p[0] != p[1]:
+            n[p] += 1
+            last[p] = i
+    return n
+
+
+@pytest.mark.parametrize("ids", list(samples()))
+def test_fixed_point(ids):
+    """No pair is left that would pay, every rule pays, and no two rules are the same."""
+    rules, _, seq = compress(ids)
+    assert all(k < LEAST for k in pairs(seq.tolist()).values())
+    assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+    assert all(max(r) < FIRST + k for k, r in enumerate(rules.tolist()))
+    assert 4 * len(seq) + 12 * len(rules) <= 4 * len(ids)
+
+
+def test_units_are_exact():
+    r = random.Random(5)
+    bits = ["don't", "'ll", "we're", "Hello", "naïve", "x1y22", "…", "!!", "日本語", "é", "a" * 30, "%%%", "tion", "́", "̣", "😀", "'s", "''", " ", "  ", "\n", "\n\n", "\t", "\xa0", " ", "　", "\x85", "\x0b", "\x1c", "​", "÷", "×", "ÿ", "Ж", "“", "—", "<|endoftext|>", "١٢", "½", "12", "’s", "ª", "\x7f", "\x00", "﻿", "ẞ", "ก", "'", "-", "'re", " '", "' ", "s", "t"]
+    encoder = Units(BYTE, cache=500)
+    for _ in range(60):
+        data = ["".join(r.choice(bits) + r.choice(["", "", " "]) for _ in range(r.randint(0, 40))) for _ in range(50)]
+        ids, n = encoder.encode(pa.array(data))
+        at = np.cumsum(n)
+        for t, want, a, b in zip(data, encode_all(BYTE, data), at - n, at):
+            assert ids[a:b].tolist() == want, repr(t)
+        assert len(encoder.young) + len(encoder.old) < 4000
+    assert encoder.encode(pa.array([], pa.string()))[0].tolist() == []
+
+
 def test_repetition_shrinks():
     ids = np.tile(np.arange(16, dtype=np.uint32), 2000)
     assert len(compress(ids)[2]) < len(ids) / 8
 
 
-@pytest.mark.parametrize("shard_ids", [1 << 18, 500])
-def test_brute_force(spark, shard_ids):
+@pytest.mark.parametrize("shard_ids,grammar_ids", [(1 << 18, 1 << 22), (500, 300)])
+def test_brute_force(spark, shard_ids, grammar_ids):
     data, t = rows(n=150), Tokenizer.from_file(BYTE)
-    got = read_documents(write_shards(table(spark, data).repartition(5), BYTE, 2, shard_ids=shard_ids))
+    got = read_documents(write_shards(table(spark, data).repartition(5), BYTE, 2, shard_ids=shard_ids, grammar_ids=grammar_ids))
     docs = []
     for i, x, *_ in data:
         ids = t.encode(x or "", add_special_tokens=False).ids + [2]
