@@ -1,254 +1,242 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is cut into halves again and again until the pieces are short. Pieces are encoded side by
-side, and two neighbours are joined by encoding a window around the cut anew: the window grows, twice
-as far each time, until the tokens at both of its ends agree with the tokens of the two halves. Only
-then is the join final. A window that has reached both ends of the joined text is the text itself.
-
-Tokens are compared in units. A unit is a stretch of text that the pre-tokenizer can't join with its
-neighbours: it starts and ends at plain white space, or between a letter and punctuation. The library encodes each distinct unit once for a
-worker's lifetime (a bounded cache); texts with white space other than space, tab, line feed and
-carriage return, or with a special token, are encoded whole by the library.
+A text of up to ``LEAF`` characters is encoded by the library as it is. A longer text, unsplit runs
+included, is cut in halves, again and again, until the pieces are that short. Each piece is a row of its
+own, dealt over all tasks and encoded there with the offsets of its tokens. Neighbours are then joined
+level by level: a window of text around the cut is encoded anew, twice as far each time, until at both
+of its ends ``AGREE`` tokens in a row have the same ids and offsets as in the halves. What the halves have
+outside of these places stands, between them the window's tokens do. A window that has reached both ends
+is the text itself, so a join always settles.
+
+Why that is exact: a sequence of tokens is what BPE gives for a text if each two neighbours are what it
+gives for their own text, and every two neighbours of a join stand together either in a half or in the
+window. Cuts and windows never part a character from its combining marks.
 
 Defined results
 - null text counts as empty: no tokens, the digest of the empty string;
 - truncation and padding are off; no special tokens are added;
-- a text without white space is one unit, and its windows grow to the whole text;
-- repeated rows and null ids are kept as they are; an empty table gives an empty result.
+- repeated rows and null ids are kept as they are; extra columns are ignored; an empty table gives an
+  empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import drop, save, text_or_empty
 from .substring import _slices
 
-LEAF = 8192
+LEAF = 1 << 16
 WINDOW = 64
-CACHE = 400_000
-# A run of letters, by explicit ranges of letters, that white space, the end or ASCII punctuation follows is
-# a unit of its own: no pattern of the pre-tokenizers goes from a letter on to one of those.
-_LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^ \t\n\r!-/:-@\\[-`{-~])"
-#: Units by white space rule: "joined" (a space joins the next word, byte-level) or "dropped" (word ends).
-_UNITS = {
-    "joined": re.compile(f" ?{_LETTERS}| ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]"),
-    "dropped": re.compile(f"{_LETTERS}|[^ \t\n\r]+"),
-}
-#: White space of Unicode besides the four above, and separators that some engines count as such.
-_ODD = re.compile("[" + "".join(map(chr, [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF])) + "]")
-
-
-class Encoder:
-    """A tokenizer with a bounded cache of what ``value`` makes of each unit's ids."""
-
-    def __init__(self, path: str, spaces: str, value: Callable, cache: int | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.unit = _UNITS[spaces]
-        self.value = value
-        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word)}
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())) if special else None
-        self.fence = next(iter(special.items()), None)
-        self.cache = CACHE if cache is None else cache
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def plain(self, text: str) -> bool:
-        return not _ODD.search(text) and not (self.special and self.special.search(text))
-
-    def whole(self, text: str):
-        return self.value(self.tokenizer, [self.tokenizer.encode(text, add_special_tokens=False).ids])[0]
-
-    def learn(self, units: set) -> None:
-        """Have every unit of the set in the young cache."""
-        missing = []
-        for u in units.difference(self.young):
-            v = self.old.get(u)
-            if v is None:
-                missing.append(u)
-            else:
-                self.young[u] = v
-        for at in range(0, len(missing), 512):
-            part = missing[at : at + 512]
-            self.young.update(zip(part, self.value(self.tokenizer, self._ids(part))))
-
-    def _ids(self, units: list[str]) -> list[list[int]]:
-        """Ids of each unit. One call for all: a special token between units, which none of them has, keeps them apart."""
-        if self.fence is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        text, fence = self.fence
-        ids, out, at = self.tokenizer.encode_batch_fast([text.join(units)], add_special_tokens=False)[0].ids, [], 0
-        for _ in range(len(units) - 1):
-            end = ids.index(fence, at)
-            out.append(ids[at:end])
-            at = end + 1
-        return [*out, ids[at:]]
-
-    def encode(self, texts: list[str]) -> list[list]:
-        """The values of each text's units, in order."""
-        if len(self.young) > self.cache:  # only here: a batch finds all its units in one cache
-            self.old, self.young = self.young, {}
-        pieces, trees, out = [], [], [None] * len(texts)
-        for i, t in enumerate(texts):
-            if self.plain(t):
-                trees.append((i, self._plant(t, 0, len(t), pieces)))
-            else:
-                out[i] = [self.whole(t)]
-        split = [self.unit.findall(p) for p in pieces]
-        units: set = set()
-        for s in split:
-            units.update(s)
-        self.learn(units)
-        known = self.young
-        for i, tree in trees:
-            out[i] = [known[u] for u in (split[tree] if isinstance(tree, int) else self._join(texts[i], tree, split)[2])]
-        return out
-
-    def _plant(self, text: str, a: int, b: int, pieces: list):
-        """A tree of halves; its leaves are indexes into ``pieces``."""
-        if b - a <= LEAF:
-            pieces.append(text[a:b])
-            return len(pieces) - 1 if (a, b) == (0, len(text)) else (a, b, len(pieces) - 1)
-        mid = (a + b) // 2
-        return self._plant(text, a, mid, pieces), self._plant(text, mid, b, pieces)
-
-    def _join(self, text: str, tree, split: list) -> tuple[int, int, list]:
-        """(start, end, units) of a tree."""
-        if len(tree) == 3:
-            return tree[0], tree[1], split[tree[2]]
-        (a, mid, left), (_, b, right) = self._join(text, tree[0], split), self._join(text, tree[1], split)
-        reach = WINDOW
-        while True:
-            lo, hi = max(a, mid - reach), min(b, mid + reach)
-            window = [(m.start(), m.group()) for m in self.unit.finditer(text, lo, hi)]
-            head = self._agree_left(text, left, window, a, lo, mid)
-            tail = self._agree_right(text, right, window, b, hi, mid)
-            if head and tail:
-                break
-            reach *= 2
-        inner = [u for s, u in window if head[1] <= s < tail[1]]
-        self.learn(set(inner))
-        return a, b, left[: head[0]] + inner + right[tail[0] :]
-
-    def _agree_left(self, text, left, window, a, lo, mid):
-        """(units of the left half that stand, start of the window's first new unit)."""
-        if lo == a:
-            return 0, lo
-        starts = {s: u for s, u in window}
-        at, n = self._from_end(text, left, a, mid, lo)
-        # the first unit of the window may be cut: a later one, whole in both, must be equal
-        for k in range(len(at) - 1):
-            s, u = at[k]
-            if s > lo and starts.get(s) == u and s + len(u) < mid:
-                return n + k, s
-        return None
-
-    def _agree_right(self, text, right, window, b, hi, mid):
-        if hi == b:
-            return len(right), b + 1
-        known, pos = dict(window[:-1]), mid  # the last unit of the window may be cut
-        for k, (s, u) in enumerate(self._walk(text, right, mid, hi)):
-            pos = s
-            if k and s > mid and known.get(s) == u:
-                return k, pos
-        return None
-
-    def _walk(self, text, units, start, stop):
-        """Units with their starts, from ``start`` up to ``stop``."""
-        pos = start
-        for u in units:
-            pos = text.index(u, pos)
-            if pos >= stop:
-                return
-            yield pos, u
-            pos += len(u)
-
-    def _from_end(self, text, units, a, end, lo):
-        """Units of a half that start at ``lo`` or later, with starts, and how many stand before them."""
-        pos, out, n = end, [], len(units)
-        while n:
-            u = units[n - 1]
-            s = text.rindex(u, a, pos)
-            if s < lo:
-                break
-            out.append((s, u))
-            pos, n = s, n - 1
-        return out[::-1], n
+AGREE = 3
+_HALF = "row long, n long, text string, starts array<int>, ends array<int>, ids array<int>"
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaces: str, value: Callable, cache: int | None = None) -> Encoder:
+def tokenizer(path: str):
     """One for each worker process."""
-    return Encoder(path, spaces, value, cache)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    from tokenizers import Tokenizer
 
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
 
-def ids_and_text(tokenizer, batch: list[list[int]]) -> list[tuple[int, str, str]]:
-    """For each unit: number of ids, decimal ids joined by a space, decoded text."""
-    decoded = tokenizer.decode_batch(batch, skip_special_tokens=False)
-    return [(len(i), " ".join(map(str, i)), d) for i, d in zip(batch, decoded)]
 
+@lru_cache(maxsize=4)
+def _numerals(path: str) -> list[str]:
+    return [str(i) for i in range(tokenizer(path).get_vocab_size(with_added_tokens=True))]
+
+
+def encode_all(path: str, texts: list[str]) -> list[list[int]]:
+    return [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def split(text: str, leaf: int) -> list[str]:
+    """Halves of halves until each piece has at most ``leaf`` characters; marks stay with their character."""
+    parts = 1
+    while -(-len(text) // parts) > leaf:
+        parts *= 2
+    cuts = [0]
+    for k in range(1, parts):
+        at = max(cuts[-1], len(text) * k // parts)
+        while at < len(text) and unicodedata.combining(text[at]):
+            at += 1
+        cuts.append(at)
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
+class Half:
+    """A stretch of text with its tokens."""
+
+    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray):
+        self.text, self.starts, self.ends, self.ids = text, starts, ends, ids
+
+    @classmethod
+    def encoded(cls, t, text: str) -> Half:
+        e = t.encode(text, add_special_tokens=False)
+        at = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+        return cls(text, at[:, 0], at[:, 1], np.array(e.ids, dtype=np.int64))
+
+    def places(self, lo: int, hi: int, shift: int) -> dict[tuple, int]:
+        """Where ``AGREE`` tokens in a row begin that lie between ``lo`` and ``hi``: shifted tokens to index.
+
+        Only runs that begin with a new character count: tokens inside of one share their offsets.
+        """
+        a, b = np.searchsorted(self.starts, lo), np.searchsorted(self.ends, hi, side="right")
+        row = list(zip((self.starts[a:b] + shift).tolist(), (self.ends[a:b] + shift).tolist(), self.ids[a:b].tolist()))
+        before = [int(self.starts[a - 1]) + shift if a else -1, *[x[0] for x in row]]
+        return {tuple(row[k : k + AGREE]): int(a) + k for k in range(len(row) - AGREE + 1) if row[k][0] != before[k]}
+
+
+def join(t, left: Half, right: Half, window: int | None = None) -> Half:
+    """The tokens of both texts as one."""
+    mid, n = len(left.text), len(left.text) + len(right.text)
+    reach = WINDOW if window is None else window
+    while True:
+        lo, hi = max(0, mid - reach), min(n, mid + reach)
+        while lo > 0 and unicodedata.combining(left.text[lo]):
+            lo -= 1
+        while hi < n and unicodedata.combining(right.text[hi - mid]):
+            hi += 1
+        mine = Half.encoded(t, left.text[lo:] + right.text[: hi - mid])
+        head = (0, 0) if lo == 0 else _first(mine.places(0, mid - lo - 1, lo), left.places(lo, mid - 1, 0))
+        tail = (len(mine.ids), len(right.ids)) if hi == n else _first(mine.places(mid - lo + 1, hi - lo, lo), right.places(1, hi - mid, mid))
+        if head and tail and head[0] <= tail[0]:
+            break
+        reach *= 2
+    (a, k), (b, q) = head, tail
+    pick = lambda x, y, z, s: np.concatenate((x[:k], y[a:b] + (lo if s else 0), z[q:] + (mid if s else 0)))
+    return Half(left.text + right.text, pick(left.starts, mine.starts, right.starts, True), pick(left.ends, mine.ends, right.ends, True), pick(left.ids, mine.ids, right.ids, False))
+
+
+def _first(window: dict, half: dict) -> tuple[int, int] | None:
+    """(index in the window, index in the half) of the first place where both agree."""
+    return next(((i, half[x]) for x, i in window.items() if x in half), None)
+
+
+def encode_tree(path: str, text: str, leaf: int | None = None, window: int | None = None) -> list[int]:
+    """The same in one process: ids of a text."""
+    t, level = tokenizer(path), [Half.encoded(tokenizer(path), x) for x in split(text, LEAF if leaf is None else leaf)]
+    while len(level) > 1:
+        level = [join(t, *level[i : i + 2], window) for i in range(0, len(level), 2)]
+    return level[0].ids.tolist()
+
+
+def _split(leaf: int):
+    def run(batches):
+        for b in batches:
+            for row, text in zip(b["row"].to_pylist(), b["text"]):
+                pieces = split(text.as_py(), leaf)
+                for at in range(0, len(pieces), 64):
+                    part = pieces[at : at + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.string())], names=["row", "n", "text"])
+
+    return run
 
-def _digests(path: str, spaces: str, glue: str):
+
+def _batch(row: list[int], n: list[int], halves: list[Half]) -> pa.RecordBatch:
+    ints = pa.list_(pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(row, pa.int64()), pa.array(n, pa.int64()), pa.array([h.text for h in halves], pa.string()), *[pa.array([getattr(h, c) for h in halves], ints) for c in ("starts", "ends", "ids")]],
+        names=["row", "n", "text", "starts", "ends", "ids"],
+    )
+
+
+def _leaves(path: str):
     def run(batches):
-        enc = encoder(path, spaces, ids_and_text)
+        t = tokenizer(path)
         for whole in batches:
             for b in _slices(whole, "text"):
-                n, ids, text = [], [], []
-                for units in enc.encode(b["text"].to_pylist()):
-                    units = [u for u in units if u[0]]
-                    n.append(sum(u[0] for u in units))
-                    ids.append(hashlib.sha256(" ".join([u[1] for u in units]).encode()).hexdigest())
-                    text.append(hashlib.sha256(glue.join([u[2] for u in units]).encode()).hexdigest())
-                found = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]
-                names = [x for x in b.schema.names if x != "text"]
-                yield pa.RecordBatch.from_arrays([b[x] for x in names] + found, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield _batch(b["row"].to_pylist(), b["n"].to_pylist(), [Half.encoded(t, x) for x in b["text"].to_pylist()])
 
     return run
 
 
-def token_digests(docs: DataFrame, path: str, spaces: str = "dropped", glue: str = " ", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``carry``, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again.
+def _join_rows(path: str, window: int):
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["n"])
+        halves = [Half(r["text"], *[np.array(r[c], dtype=np.int64) for c in ("starts", "ends", "ids")]) for r in rows]
+        both = join(tokenizer(path), *halves, window) if len(halves) > 1 else halves[0]
+        return pa.Table.from_batches([_batch([rows[0]["row"]], [rows[0]["n"] // 2], [both])])
 
-    ``spaces`` is how the tokenizer treats white space ("dropped" or "joined"), ``glue`` what its decoder
-    puts between tokens (a space where the file has no decoder, else nothing).
-    """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, text_or_empty(text_col).alias("text"))
-    kept = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in carry)
-    return rows.mapInArrow(_digests(path, spaces, glue), f"doc_id long, {kept}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return run
 
 
-def ids_of(tokenizer, batch: list[list[int]]) -> list[list[int]]:
-    return batch
+def _long_ids(rows: DataFrame, path: str, leaf: int, window: int, longest: int) -> DataFrame:
+    """row, ids of the texts of ``rows`` (row, text), all longer than a leaf."""
+    pieces = rows.select("row", "text").mapInArrow(_split(leaf), "row long, n long, text string")
+    level = pieces.repartition("row", "n").mapInArrow(_leaves(path), _HALF)
+    parts = 1
+    while -(-longest // parts) > leaf:
+        parts *= 2
+        pair = F.floor(F.col("n") / 2)
+        level = level.groupBy("row", pair.alias("pair")).applyInArrow(_join_rows(path, window), _HALF)
+    return level.select("row", "ids")
 
 
-def _tokens(path: str, spaces: str):
-    def run(batches):
-        enc = encoder(path, spaces, ids_of)
+def encoded(docs: DataFrame, path: str, finish: Callable, kinds: str, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", leaf: int | None = None, window: int | None = None) -> DataFrame:
+    """doc_id, the columns of ``carry`` and what ``finish`` makes of a batch's lists of ids (Arrow columns of ``kinds``)."""
+    leaf, window = LEAF if leaf is None else leaf, WINDOW if window is None else window
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, text_or_empty(text_col).alias("text"))
+    size = F.length("text")
+    kept = ["doc_id", *carry]
+    schema = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in kept) + kinds
+
+    def made(batch: pa.RecordBatch, ids: list[list[int]]) -> pa.RecordBatch:
+        found = finish(ids)
+        return pa.RecordBatch.from_arrays([*[batch[c] for c in kept], *found.values()], names=[*kept, *found])
+
+    def short(batches) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _slices(whole, "text"):
-                ids = [[i for u in units for i in u] for units in enc.encode(b["text"].to_pylist())]
-                text = enc.tokenizer.decode_batch(ids, skip_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array(text, pa.string())], names=["doc_id", "ids", "decoded"])
+                yield made(b, encode_all(path, b["text"].to_pylist()))
 
-    return run
+    def long(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield made(b.slice(i, 1), [b["ids"][i].as_py()])
+
+    out = rows.where(size <= leaf).mapInArrow(short, schema)
+    longest = rows.agg(F.max(size)).first()[0] or 0
+    if longest <= leaf:
+        return out
+    # written, so that the row numbers stay what they are when a task runs again
+    held = save(rows.where(size > leaf).withColumn("row", F.monotonically_increasing_id()), "long")
+    ids = save(_long_ids(held, path, leaf, window, longest), "ids")
+    tree = save(held.select("row", *kept).join(ids, "row").mapInArrow(long, schema), "tree")
+    drop(held, ids)
+    return out.unionByName(tree)
 
 
-def tokens(docs: DataFrame, path: str, spaces: str = "dropped", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), leaf: int | None = None, window: int | None = None) -> DataFrame:
+    """doc_id, the columns of ``carry``, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again."""
+
+    def finish(ids: list[list[int]]) -> dict[str, pa.Array]:
+        text = tokenizer(path).decode_batch(ids, skip_special_tokens=False)
+        numerals = _numerals(path)
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        joined = [sha(" ".join([numerals[i] for i in x])) for x in ids]
+        return {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array(joined, pa.string()), "decoded_sha256": pa.array([sha(x) for x in text], pa.string())}
+
+    return encoded(docs, path, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", carry, id_col, text_col, leaf, window)
+
+
+def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids and the text decoded from them."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_tokens(path, spaces), "doc_id long, ids array<int>, decoded string")
+
+    def finish(ids: list[list[int]]) -> dict[str, pa.Array]:
+        text = tokenizer(path).decode_batch(ids, skip_special_tokens=False)
+        return {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(text, pa.string())}
+
+    return encoded(docs, path, finish, "ids array<int>, decoded string", id_col=id_col, text_col=text_col)

@@ -5,30 +5,34 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from secspark.llm import bpe
-from secspark.llm.bpe import Encoder, ids_of, token_digests, tokens
+from pyspark.sql import functions as F
+
+from secspark.llm.bpe import encode_all, encode_tree, split, token_digests, tokens
 
 from .helpers import SCHEMA, as_set, rows, table
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["don't we'll I'd", "a  b   c \n\n d\t\te", "x y z\x1cq", "<|endoftext|> a  <|endoftext|>b", "été ́x", "'s 't're  's", "12345 6 七八", "\n\n", " lead", "trail  ", "\r\nA\r\nB", "!!'s ??", "ÉÀ ẞ İ", "\x85a​b﻿"]
+ODD = ["don't we'll I'd", "a  b   c \n\n d\t\te", "x y z\x1cq", "<|endoftext|> a  <|endoftext|>b", "été ́x", "'s 't're  's", "12345 6 七八", "\n\n", " lead", "trail  ", "\r\nA\r\nB", "!!'s ??", "ÉÀ ẞ İ", "\x85a​b﻿", "ẹ́́ô" * 20, "😀👩‍👩‍👧 " * 30]
 
 
 def texts(seed, n=60):
     r = random.Random(seed)
-    bits = ["don't", "'ll", "we're", "Hello", "naïve", "x1y22", "…", "!!", "日本語", "é", "a" * 30, "%%%", "tion"]
-    return ["".join(r.choice(bits) + r.choice([" ", "  ", "\n", "", "", "\t", " \n "]) for _ in range(r.randint(0, 80))) for _ in range(n)] + ODD
+    bits = ["don't", "'ll", "we're", "Hello", "naïve", "x1y22", "…", "!!", "日本語", "é", "a" * 30, "%%%", "tion", "́", "̣", "😀", "'s", "''"]
+    return ["".join(r.choice(bits) + r.choice([" ", "  ", "\n", "", "", "\t", " \n ", "", ""]) for _ in range(r.randint(0, 80))) for _ in range(n)] + ODD
+
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@pytest.mark.parametrize("leaf,window", [(16, 1), (7, 2), (40, 3), (100, 64), (3, 1)])
+def test_joins_are_exact(path, leaf, window):
+    data = [t for seed in range(4) for t in texts(seed + leaf)]
+    for t, want in zip(data, encode_all(path, data)):
+        assert encode_tree(path, t, leaf, window) == want, repr(t)
 
-@pytest.mark.parametrize("path,spaces", [(WORD, "dropped"), (BYTE, "joined")])
-@pytest.mark.parametrize("leaf,window", [(8192, 64), (16, 1), (7, 2), (40, 3)])
-def test_joins_are_exact(monkeypatch, path, spaces, leaf, window):
-    monkeypatch.setattr(bpe, "LEAF", leaf)
-    monkeypatch.setattr(bpe, "WINDOW", window)
-    enc, plain = Encoder(path, spaces, ids_of), Tokenizer.from_file(path)
-    data = texts(leaf)
-    for t, units in zip(data, enc.encode(data)):
-        assert [i for u in units for i in u] == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+def test_halves():
+    for t in [*texts(1), "", "á" * 50, "́" * 50]:
+        pieces = split(t, 9)
+        assert "".join(pieces) == t and (len(pieces) == 1 or len(pieces) & (len(pieces) - 1) == 0)
 
 
 def brute(data, path):
@@ -41,35 +45,36 @@ def brute(data, path):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("path,spaces,glue", [(WORD, "dropped", " "), (BYTE, "joined", "")])
-def test_brute_force(spark, path, spaces, glue):
+@pytest.mark.parametrize("path,leaf,window", [(WORD, None, None), (BYTE, None, None), (WORD, 300, 8), (BYTE, 50, 2)])
+def test_brute_force(spark, path, leaf, window):
     data = rows() + [(1000 + i, t, "en", "a", 1, 1, "s", "k") for i, t in enumerate(texts(5))]
-    got = token_digests(table(spark, data), path, spaces, glue)
+    got = token_digests(table(spark, data), path, leaf=leaf, window=window)
     assert as_set(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == brute(data, path)
 
 
+def test_long_unsplit_text_is_shared_by_tasks(spark):
+    """A megabyte without white space: its halves are rows on several partitions, and the result is the library's."""
+    from secspark.llm import bpe
+
+    r = random.Random(4)
+    data = [(k, "".join(r.choices("abcdefghijklmnopqrstuvwxyzé", k=1_000_000)), "en", "a", 1, 1, "s", "k") for k in range(2)]
+    docs = table(spark, data)
+    pieces = docs.select(F.col("doc_id").alias("row"), "text").mapInArrow(bpe._split(bpe.LEAF), "row long, n long, text string")
+    assert pieces.repartition(4, "row", "n").select(F.spark_partition_id()).distinct().count() > 1 and pieces.count() == 32
+    assert as_set(token_digests(docs, WORD), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == brute(data, WORD)
+
+
 def test_round_trip(spark):
     data = [(i, t, "en", "a", 1, 1, "s", "k") for i, t in enumerate(texts(6)) if "\x1c" not in t]
-    got = {x["doc_id"]: x["decoded"] for x in tokens(table(spark, data), BYTE, "joined").collect()}
+    got = {x["doc_id"]: x["decoded"] for x in tokens(table(spark, data), BYTE).collect()}
     assert all(got[i] == t for i, t, *_ in data)
 
 
-def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 10)
-    enc = Encoder(WORD, "dropped", ids_of)
-    for i in range(200):
-        enc.encode([f"w{i} w{i + 1}"])
-    assert len(enc.young) + len(enc.old) < 30
+def test_clashing_columns(spark):
+    docs = table(spark, n=20).withColumn("row", F.lit("x")).withColumn("n", F.lit("y")).withColumn("ids", F.lit(1)).withColumn("starts", F.lit(2))
+    got = token_digests(docs, WORD, leaf=100, carry=("source",))
+    assert as_set(got, "doc_id", "n_tokens") == as_set(token_digests(docs.select("doc_id", "text"), WORD), "doc_id", "n_tokens")
 
 
 def test_empty(spark):
     assert token_digests(spark.createDataFrame([], SCHEMA), WORD).count() == 0
-
-
-def test_cache_turns_over_in_joins(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 3)
-    monkeypatch.setattr(bpe, "LEAF", 12)
-    monkeypatch.setattr(bpe, "WINDOW", 2)
-    enc, plain = Encoder(BYTE, "joined", ids_of), Tokenizer.from_file(BYTE)
-    for t in texts(8):
-        assert [i for u in enc.encode([t])[0] for i in u] == plain.encode(t, add_special_tokens=False).ids
