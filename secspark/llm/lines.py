@@ -10,7 +10,8 @@ Defined results
 - lines: the text between block tags of the HTML, scripts, styles, comments and tags removed, the five
   basic entities and no-break spaces resolved, trimmed; empty lines don't count;
 - a null or unreadable url has the host ''; null HTML has no lines;
-- a line must be on ``min_pages`` pages of the host at least, so that small sites keep their text;
+- a line must be on ``min_pages`` pages of the host at least, two: a line of one page repeats nothing, so a
+  site of a single page keeps its text;
 - repeated rows are pages of their own; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import save
 
 RATIO = 0.3
-MIN_PAGES = 3
+MIN_PAGES = 2
 HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:\s[^>]*)?/?>"
 TAG = r"<[!/?a-zA-Z][^>]*>"

@@ -14,11 +14,14 @@ from .langid import predict_languages
 from .lines import drop_boilerplate
 from .media import document_media
 from .minhash import near_duplicates
-from .mixing import SLOTS, mix
+from .mixing import mix_blocks
 from .repair import read_documents, write_shards
 from .sharding import shard_documents
 from .substring import substring_dedup
 
+#: Target weights of the sources; any other source has weight 1.
+TARGETS = {f"src{i}": 1 + i % 4 for i in range(20)}
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), k=20).drop("is_copy")
@@ -33,7 +36,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_tree(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
-    return token_digests(table(spark, sf_dir, "documents"), path, spaces="dropped", glue=" ")
+    return token_digests(table(spark, sf_dir, "documents"), path)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), slots=SLOTS)  # its SQL has whole slots
+    return mix_blocks(table(spark, sf_dir, "documents"), TARGETS)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,4 +113,5 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 """,
     "op5_line_dedup": sql.LINES,
     "op7_pfair_mixing": sql.MIXING,
+    "op9_virtual_slots": sql.SHARDS,
 }

@@ -31,7 +31,8 @@ def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_co
     """doc_id, size, text_crc32, vslot."""
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    return rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))
+    return rows.withColumn("vslot", (F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % slots).cast("int"))
 
 
 def slot_totals(rows: DataFrame, slots: int = SLOTS) -> DataFrame:

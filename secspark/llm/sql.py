@@ -17,7 +17,7 @@ WITH text AS (
   SELECT host, l, count(*) AS n FROM (SELECT host, unnest(list_distinct(ls)) AS l FROM pl) GROUP BY ALL
 ), bad AS (
   SELECT host, list(l) AS b FROM counts JOIN (SELECT host, count(*) AS p FROM pl GROUP BY host) USING (host)
-  WHERE n >= 3 AND n > 0.3 * p GROUP BY host
+  WHERE n >= 2 AND n > 0.3 * p GROUP BY host
 ), kept AS (
   SELECT page_id, host, ls, list_filter(ls, lambda x: NOT list_contains(coalesce(b, []), x)) AS ks FROM pl LEFT JOIN bad USING (host)
 )
@@ -26,34 +26,70 @@ SELECT page_id, host, len(ls) AS n_lines, len(ls) - len(ks) AS n_dropped, sha256
 
 MIXING = r"""
 WITH RECURSIVE docs AS (
-  SELECT doc_id, coalesce(source, '') AS source, strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  SELECT doc_id, coalesce(source, '') AS source, CAST(strlen(coalesce(text, '')) AS BIGINT) + 1 AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
   FROM documents
 ), sizes AS (
-  SELECT source, CAST(sum(size) AS DOUBLE) AS b FROM docs GROUP BY source
-), quanta AS (
-  SELECT source, greatest(1, CAST(round(sqrt(b) / sum(sqrt(b)) OVER () * 200) AS INT)) AS q FROM sizes
+  SELECT source, CAST(sum(size) AS BIGINT) AS b FROM docs GROUP BY source
+), rates AS (
+  SELECT source, (CAST(sum(size) AS BIGINT) - 1) // 16384 + 1 AS blocks,
+    CAST(CASE WHEN regexp_matches(source, '^src([0-9]|1[0-9])$') THEN 1 + CAST(substr(source, 4) AS BIGINT) % 4 ELSE 1 END AS BIGINT) AS rate
+  FROM docs GROUP BY source
 ), plan AS (
-  SELECT list(source ORDER BY source) AS s, list(q ORDER BY source) AS q, CAST(sum(q) AS BIGINT) AS p FROM quanta
+  SELECT list(source ORDER BY source) AS s, list(rate ORDER BY source) AS q, CAST(sum(rate) AS BIGINT) AS p, max((blocks * (SELECT sum(rate) FROM rates) + rate - 1) // rate) AS stop FROM rates
 ), edf AS (
-  SELECT CAST(-1 AS BIGINT) AS t, list_transform(q, lambda x: CAST(0 AS BIGINT)) AS had, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS j, p, q FROM plan
+  SELECT CAST(-1 AS BIGINT) AS t, list_transform(q, lambda x: CAST(0 AS BIGINT)) AS had, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS j, p, q, stop FROM plan
   UNION ALL
-  SELECT t + 1, list_transform(had, lambda n, i: CASE WHEN i = pos THEN n + 1 ELSE n END), pos, had[pos], p, q
+  SELECT t + 1, list_transform(had, lambda n, i: CASE WHEN i = pos THEN n + 1 ELSE n END), pos, had[pos], p, q, stop
   FROM (
     SELECT *, CAST(list_position(dues, list_min(dues)) AS BIGINT) AS pos FROM (
-      SELECT *, list_transform(had, lambda k, i: CASE WHEN k < q[i] AND k * p // q[i] <= t + 1 THEN ((k + 1) * p + q[i] - 1) // q[i] ELSE 4611686018427387903 END) AS dues
-      FROM edf WHERE t + 1 < p
+      SELECT *, list_transform(had, lambda k, i: CASE WHEN k * p // q[i] <= t + 1 THEN ((k + 1) * p + q[i] - 1) // q[i] ELSE 4611686018427387903 END) AS dues
+      FROM edf WHERE t + 1 < stop
     )
   )
-), period AS (
-  SELECT plan.s[pick] AS source, j, t AS inner_slot, plan.q[pick] AS quanta, plan.p AS p FROM edf, plan WHERE t >= 0
+), slots AS (
+  SELECT plan.s[pick] AS source, j AS block, j * plan.p // plan.q[pick] AS release, ((j + 1) * plan.p + plan.q[pick] - 1) // plan.q[pick] AS deadline, t AS slot
+  FROM edf, plan WHERE t >= 0
 ), placed AS (
-  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT doc_id, source, size, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
   FROM docs
-), blocks AS (
-  SELECT *, CAST(before AS BIGINT) // 16384 AS block FROM placed
-), slots AS (
-  SELECT b.*, block * p // quanta AS release, ((block + 1) * p + quanta - 1) // quanta AS deadline, block // quanta * p + inner_slot AS slot
-  FROM blocks b JOIN period USING (source) WHERE j = block % quanta
+), pieces AS (
+  SELECT *, unnest(range(before // 16384, (before + size - 1) // 16384 + 1)) AS block FROM placed
+)
+SELECT doc_id, source, size, block, greatest(0, block * 16384 - before) AS start,
+  least(size, (block + 1) * 16384 - before) - greatest(0, block * 16384 - before) AS bytes,
+  release, deadline, slot, row_number() OVER (ORDER BY slot, before, doc_id, size) - 1 AS position
+FROM pieces JOIN slots USING (source, block)
+"""
+
+SHARDS = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY n) AS tab FROM (
+    SELECT n, list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) x(n)
+  )
+), texts AS (
+  SELECT DISTINCT coalesce(text, '') AS text FROM documents
+), sums AS (
+  SELECT text, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(range(1, CAST(strlen(text) AS BIGINT) + 1), lambda i: CAST(instr('0123456789ABCDEF', substr(h, 2 * i - 1, 1)) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i, 1)) - 17 AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]))) AS text_crc32
+  FROM (SELECT text, hex(encode(text)) AS h FROM texts), crc
+), docs AS (
+  SELECT doc_id, CAST(strlen(coalesce(d.text, '')) AS BIGINT) + 1 AS size, text_crc32 FROM documents d JOIN sums s ON coalesce(d.text, '') = s.text
+), slotted AS (
+  SELECT *, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(text_crc32 AS VARCHAR)), 1, 8) AS BIGINT) % 4096 AS INT) AS vslot FROM docs
+), totals AS (
+  SELECT CAST(v AS INT) AS vslot, coalesce(n, 0) AS n, coalesce(b, 0) AS b FROM range(4096) r(v) LEFT JOIN (SELECT vslot, count(*) AS n, CAST(sum(size) AS BIGINT) AS b FROM slotted GROUP BY vslot) ON vslot = v
+), items AS (
+  SELECT list({'b': b, 'v': vslot} ORDER BY b DESC, vslot) AS x FROM totals
+), dealt AS (
+  SELECT 0 AS k, CAST(NULL AS INT) AS vslot, CAST(NULL AS BIGINT) AS shard, list_transform(range(16), lambda i: CAST(0 AS BIGINT)) AS load
+  UNION ALL
+  SELECT k + 1, x[k + 1].v, pos, list_transform(load, lambda l, i: CASE WHEN i = pos + 1 THEN l + x[k + 1].b ELSE l END)
+  FROM (SELECT *, CAST(list_position(load, list_min(load)) - 1 AS BIGINT) AS pos FROM dealt), items WHERE k < 4096
+), map AS (
+  SELECT t.vslot, CAST(shard AS INT) AS shard, CAST(coalesce(sum(n) OVER (PARTITION BY shard ORDER BY t.vslot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base
+  FROM totals t JOIN dealt d ON d.vslot = t.vslot
 )
-SELECT doc_id, source, size, block, release, deadline, slot, row_number() OVER (ORDER BY slot, before, doc_id, size) - 1 AS position FROM slots
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, base + row_number() OVER (PARTITION BY vslot ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard, vslot
+FROM slotted JOIN map USING (vslot)
 """

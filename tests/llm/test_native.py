@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from secspark.llm.lines import drop_boilerplate
-from secspark.llm.mixing import in_order, mix, period, schedule
+from secspark.llm.mixing import in_order, mix, mix_blocks, schedule
 from secspark.llm.sharding import build_map, load_map, rebalance, shard_documents, slot_totals, slotted, store_map
 
 from .helpers import SCHEMA, as_set, rows, table
@@ -54,31 +54,9 @@ def test_map_versions(spark, tmp_path):
     assert {r["vslot"]: r["shard"] for r in load_map(spark, path, 1).collect()} == a
 
 
-def edf(quanta):
-    total, had, out = sum(quanta.values()), dict.fromkeys(quanta, 0), []
-    for t in range(total):
-        ready = [(-(-(had[s] + 1) * total // q), s) for s, q in sorted(quanta.items()) if had[s] < q and had[s] * total // q <= t]
-        _, s = min(ready)
-        out.append((s, had[s], t))
-        had[s] += 1
-    return out
-
-
-@pytest.mark.parametrize("quanta", [{"a": 3, "b": 2, "c": 1}, {"a": 1}, {"a": 7, "b": 7, "c": 7}, {"x": 97, "y": 2, "z": 1, "w": 50}, {f"s{i}": i + 1 for i in range(15)}])
-def test_period_is_fair(spark, quanta):
-    got = period(spark.createDataFrame(list(quanta.items()), "source string, quanta int")).collect()
-    assert sorted((r["source"], r["j"], r["slot"]) for r in got) == sorted(edf(quanta))
-    total, had = sum(quanta.values()), Counter()
-    for t, r in enumerate(sorted(got, key=lambda r: r["slot"])):
-        assert r["slot"] == t
-        had[r["source"]] += 1
-        for s, q in quanta.items():
-            assert abs(had[s] * total - q * (t + 1)) < total  # less than one block
-
-
 def test_mix(spark):
     data = rows(n=300)
-    out = mix(table(spark, data), {"a": 0.5, "b": 0.3, "c": 0.1}, slots=10, block_bytes=300).collect()
+    out = mix(table(spark, data), {"a": 0.5, "b": 0.3, "c": 0.1}, block_bytes=300).collect()
     assert sorted(str((r["doc_id"], r["size"], r["source"])) for r in out) == sorted(str((i, len((t or "").encode()) + 1, s or "")) for i, t, _, s, *_ in data)
     assert sorted(r["position"] for r in out) == list(range(len(data)))
     out.sort(key=lambda r: r["position"])
@@ -89,6 +67,44 @@ def test_mix(spark):
         assert blocks == sorted(blocks)
 
 
+@pytest.mark.parametrize("weights", [{"a": 3, "b": 2, "c": 1}, {"a": 0.7213, "b": 0.2, "c": 0.0787}, {"a": 1, "b": 1, "c": 5}])
+def test_bytes_put_out_are_fair(spark, weights):
+    """Records of ten blocks and of a tenth: until a source ends, its bytes are within one block of its share."""
+    block, data, n = 1000, [], 0
+    for s in weights:
+        for k in range(60):
+            data.append((n, "x" * ([9_999, 99, 2_500, 0][k % 4]), "en", s, 1, 1, "s", "k"))
+            n += 1
+    out = sorted(mix_blocks(table(spark, data), weights, block_bytes=block).collect(), key=lambda r: r["position"])
+    whole = Counter()
+    for r in out:
+        assert 0 < r["bytes"] <= block and r["release"] <= r["slot"] < r["deadline"]
+        whole[r["doc_id"]] += r["bytes"]
+    assert whole == {i: len(t) + 1 for i, t, *_ in data}
+    total, held, by_slot = sum(weights.values()), Counter(), defaultdict(list)
+    size = Counter()
+    for i, t, _, s, *_ in data:
+        size[s] += len(t) + 1
+    for r in out:
+        by_slot[r["slot"]].append(r)
+    for t in range(max(by_slot) + 1):
+        assert len({r["source"] for r in by_slot[t]}) <= 1 and sum(r["bytes"] for r in by_slot[t]) <= block
+        for r in by_slot[t]:
+            held[r["source"]] += r["bytes"]
+        if any(held[s] > size[s] - block for s in weights):
+            break
+        assert all(abs(held[s] - (t + 1) * block * w / total) < block * 1.001 for s, w in weights.items())
+    assert t > 100
+
+
+def test_slots_are_bounded(spark, monkeypatch):
+    from secspark.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 50)
+    out = mix_blocks(table(spark, n=200), {"a": 1, "b": 9}, block_bytes=1).collect()
+    assert max(r["slot"] for r in out) < 60 and len({(r["doc_id"], r["start"], r["size"]) for r in out}) > 150
+
+
 def test_schedule(spark):
     """Stretches joined give the same as one run over all slots."""
     rates = {"a": (1_000_003, 90), "b": (77, 3), "c": (333_333, 40), "d": (2_000_001, 150)}
@@ -138,7 +154,7 @@ def test_lines(spark):
     data += [(30, None, "<p>alone</p>", "x", "y"), (31, "http://b.example/", None, "x", "y"), (None, "bad", "", "x", "y"), (0, "https://a.example/0", data[0][2], "x", "y")]
     got = {(r["page_id"], r["host"], r["n_dropped"]): r["kept"] for r in drop_boilerplate(spark.createDataFrame(data, PAGES)).collect()}
     assert got[(3, "a.example", 4)] == ["Text 3"]
-    assert got[(20, "b.example", 0)] == ["Home", "one 0"]
+    assert got[(20, "b.example", 1)] == ["one 0"]  # on two of three pages
     assert got[(30, "", 0)] == ["alone"] and got[(31, "b.example", 0)] == []
     assert sum(1 for _ in drop_boilerplate(spark.createDataFrame(data, PAGES)).collect()) == len(data)
 
