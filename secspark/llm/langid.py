@@ -1,15 +1,14 @@
 """Language identification by compression.
 
-For each language raw-content zstandard dictionaries are cut from a bounded sample of labelled texts. A
-text is put in lower case, everything but letters becomes one space, and the whole of it is compressed
-with every dictionary, in pieces of ``PIECE`` bytes that each start from the fresh dictionary, so that a
-dictionary helps a long text as much as a short one; the language with the smallest sum wins. Texts under
-``SHORT`` bytes, where a byte more or less decides, are compressed with several dictionaries of each
-language and their sizes summed. The score is the margin: how much smaller the result is than the second
-smallest, as a share. Narrow margins can be rejected.
+For each language one raw-content zstandard dictionary is filled with labelled texts. A text is put in lower
+case, everything but letters becomes one space, and the whole of it is compressed with every dictionary, in
+pieces of ``PIECE`` bytes that each start from the fresh dictionary, so that a dictionary helps a long text
+as much as a short one; the language with the smallest sum wins. The score is the margin: how much smaller
+the result is than the second smallest, as a share. Narrow margins can be rejected.
 
-The sample is bounded by ``docs_per_lang`` and ``dict_bytes`` (parameters): the rows of a language with the
-smallest hashes of their id, whatever the size of the data. Everything else reads all rows.
+The sample is bounded by ``docs_per_lang`` and ``dict_bytes`` (parameters): whole texts of a language in the
+order of the hashes of their ids, whatever the size of the data, until its dictionary is full. Everything
+else reads all rows, and all texts are treated alike whatever their length.
 
 Defined results
 - null text, or text without a letter: ``und`` with score 0;
@@ -26,13 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import text_or_empty
 from .substring import _slices
 
 DOCS_PER_LANG = 600
 DICT_BYTES = 112 << 10
-DICTS = 3
-SHORT = 512
 PIECE = 4 << 10
 LEVEL = 9
 UNKNOWN = "und"
@@ -44,24 +41,27 @@ def letters(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, dict_bytes: int = DICT_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[bytes]]]:
+def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, dict_bytes: int = DICT_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
     """Languages of ``labelled`` with their dictionaries, the most frequent language first."""
-    piece = 1 + DICTS * dict_bytes // docs_per_lang
     rows = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     counts = dict(rows.groupBy("lang").count().collect())  # a row for each language
     if not counts:
         return []
     steps = 1 << 20
     part = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(steps, -(-8 * docs_per_lang * steps // n)))])
-    few = rows.where(F.pmod("h", F.lit(steps)) < part[F.col("lang")]).select("lang", "h", F.substring("text", 1, piece).alias("text"))
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= docs_per_lang)
+    # no more of a text than a dictionary holds
+    few = rows.where(F.pmod("h", F.lit(steps)) < part[F.col("lang")]).select("lang", "h", F.substring("text", 1, dict_bytes).alias("text"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    ranked = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_per_lang)
+    held = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranked.withColumn("held", held).where(F.col("held") < dict_bytes)
     found: dict[str, list[str]] = {}
-    for r in ranked.orderBy("lang", "r").collect():  # at most docs_per_lang short pieces for each language
+    for r in ranked.orderBy("lang", "r").collect():  # twice dict_bytes for each language at most
         found.setdefault(r["lang"], []).append(letters(r["text"]))
-    return [(k, [" ".join(found[k][i::DICTS]).encode()[-dict_bytes:] for i in range(DICTS)]) for k in sorted(counts, key=lambda k: (-counts[k], k)) if k in found]
+    return [(k, " ".join(found[k]).encode()[:dict_bytes]) for k in sorted(counts, key=lambda k: (-counts[k], k)) if k in found]
 
 
-def _classify(model: list[tuple[str, list[bytes]]], level: int):
+def _classify(model: list[tuple[str, bytes]], level: int):
     def run(batches):
         import zstandard
 
@@ -70,7 +70,7 @@ def _classify(model: list[tuple[str, list[bytes]]], level: int):
             d.precompute_compress(level=level)
             return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-        coders = [(k, [coder(x) for x in contents if x]) for k, contents in model]
+        coders = [(k, coder(x)) for k, x in model if x]
         for whole in batches:
             for b in _slices(whole, "text"):
                 langs, scores = [], []
@@ -80,9 +80,8 @@ def _classify(model: list[tuple[str, list[bytes]]], level: int):
                         scores.append(0.0)
                         continue
                     data = letters(text).encode()
-                    n = DICTS if len(data) < SHORT else 1
                     pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
-                    sizes = sorted((sum(len(c.compress(x)) for c in own[:n] for x in pieces) / len(own[:n]), i) for i, (_, own) in enumerate(coders))
+                    sizes = sorted((sum(len(c.compress(x)) for x in pieces), i) for i, (_, c) in enumerate(coders))
                     langs.append(coders[sizes[0][1]][0])
                     scores.append(1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0)
                 yield pa.RecordBatch.from_arrays([b["row"], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
@@ -90,9 +89,8 @@ def _classify(model: list[tuple[str, list[bytes]]], level: int):
     return run
 
 
-def classify(docs: DataFrame, model: list[tuple[str, list[bytes]]], carry: list[Column], level: int = LEVEL, text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: list[tuple[str, bytes]], carry: list[Column], level: int = LEVEL, text_col: str = "text") -> DataFrame:
     """struct ``row`` of the carried columns, lang_pred, score."""
-    small_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     rows = docs.select(F.struct(*carry).alias("row"), text.alias("text"), text.rlike(LETTER).alias("letter"))
     return rows.mapInArrow(_classify(model, level), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")

@@ -12,7 +12,9 @@ Defined results
 - null text counts as empty; an empty payload is one row of zeros;
 - equal texts have the same stored form and digest, hence equal values;
 - a reference whose digest is not in the table stays in its place with a null payload;
-- captions belong to the media of their figure; text outside figures becomes text items in order;
+- captions belong to the media of their figure, those of an outer figure to media without one; text outside
+  figures becomes text items in order;
+- the sources of a picture, audio or video are alternatives: one item stands for all of them;
 - repeated rows and null ids are kept; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -28,22 +30,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small_batches, text_or_empty
+from .common import save, scratch, text_or_empty
 
 WIDTH = 64
 SCHEME = "media:"
 _MEDIA = {"img", "audio", "video", "source", "embed"}
+_CHOICE = {"picture", "audio", "video"}  # their sources are alternatives
 _SILENT = {"script", "style", "template", "noscript"}
 _BREAKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "td", "article", "section", "figure", "header", "footer", "nav", "title", "ul", "ol", "table"}
 ITEMS = "array<struct<pos:int,kind:string,text:string,src:string,caption:string>>"
 
 
+def _address(attrs: dict) -> str | None:
+    """Where a media tag points: its src, else the first candidate of its srcset."""
+    if attrs.get("src"):
+        return attrs["src"]
+    first = (attrs.get("srcset") or "").split(",")[0].split()
+    return first[0] if first else None
+
+
 class _Sequence(HTMLParser):
     """Collects the items of one page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.text, self.silent, self.figure, self.caption = [], [], 0, None, None
+        self.items, self.text, self.silent, self.caption = [], [], 0, None
+        self.figures: list[list] = []  # open figures: media items and caption texts
+        self.choices: list[list] = []  # open picture, audio and video tags: [tag, does an item stand for it, first source]
 
     def flush(self):
         text = " ".join("".join(self.text).split())
@@ -51,44 +64,74 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "src": None, "caption": None})
 
+    def media(self, src, alt):
+        self.flush()
+        self.items.append({"kind": "media", "text": alt, "src": src, "caption": None})
+        if self.figures:
+            self.figures[-1].append(self.items[-1])
+
     def handle_starttag(self, tag, attrs):
         if tag in _SILENT:
             self.silent += 1
-        elif tag in _MEDIA and dict(attrs).get("src"):
-            self.flush()
+        elif self.silent:
+            pass
+        elif tag in _MEDIA or tag == "picture":
             a = dict(attrs)
-            self.items.append({"kind": "media", "text": a.get("alt"), "src": a["src"], "caption": None})
-            if self.figure is not None:
-                self.figure.append(self.items[-1])
+            src, inside = _address(a), self.choices[-1] if self.choices else None
+            if tag == "source" and inside and inside[0] == "picture":
+                inside[2] = inside[2] or src  # the picture's img comes last and names it
+            elif tag == "source" and inside:
+                if src and not inside[1]:
+                    inside[1] = True
+                    self.media(src, None)
+            elif tag == "img" and inside and inside[0] == "picture":
+                src = src or inside[2]
+                if src and not inside[1]:
+                    inside[1] = True
+                    self.media(src, a.get("alt"))
+            elif src:
+                self.media(src, a.get("alt"))
+            if tag in _CHOICE:
+                self.choices.append([tag, bool(src) and tag != "picture", None])
         elif tag == "figcaption":
             self.flush()
             self.caption = []
         elif tag in _BREAKS:
             self.flush()
             if tag == "figure":
-                self.figure = []
+                self.figures.append([])
 
     def handle_endtag(self, tag):
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
+        elif tag in _CHOICE:
+            if any(c[0] == tag for c in self.choices):
+                while True:
+                    name, done, src = self.choices.pop()
+                    if src and not done:
+                        self.media(src, None)
+                    if name == tag:
+                        break
         elif tag == "figcaption" and self.caption is not None:
             text = " ".join("".join(self.caption).split())
             self.caption = None
-            if self.figure is None:
-                self.text.append(text)
+            if self.figures:
+                self.figures[-1].append(text)
             else:
-                self.figure.append(text)
+                self.text.append(text)
         elif tag in _BREAKS:
             self.flush()
-            if tag == "figure" and self.figure is not None:
-                captions = " ".join(x for x in self.figure if isinstance(x, str)) or None
-                media = [x for x in self.figure if not isinstance(x, str)]
+            if tag == "figure" and self.figures:
+                figure = self.figures.pop()
+                caption = " ".join(x for x in figure if isinstance(x, str)) or None
+                media = [x for x in figure if not isinstance(x, str)]
                 for x in media:
-                    x["caption"] = captions
-                if captions and not media:
-                    self.text.append(captions)
+                    x["caption"] = x["caption"] or caption
+                if caption and not media:
+                    self.text.append(caption)
                     self.flush()
-                self.figure = None
+                if self.figures:
+                    self.figures[-1] += media  # an outer caption is for those without one of their own
 
     def handle_data(self, data):
         if not self.silent:
@@ -100,9 +143,11 @@ def sequence(html: str | None) -> list[dict]:
     p = _Sequence()
     p.feed(html or "")
     p.close()
+    while p.choices:
+        p.handle_endtag(p.choices[-1][0])
     if p.caption is not None:
         p.handle_endtag("figcaption")
-    if p.figure is not None:
+    while p.figures:
         p.handle_endtag("figure")
     p.flush()
     return [{"pos": i} | x for i, x in enumerate(p.items)]
@@ -116,7 +161,6 @@ def _parse(batches):
 
 def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, items: the ordered text and media-reference structs of each page."""
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_parse, f"page_id long, items {ITEMS}")
 
@@ -180,7 +224,6 @@ def _describe(batches):
 
 def describe(media: DataFrame) -> DataFrame:
     """One row for each digest of (digest, media): sizes, digests and features, all from the stored bytes."""
-    small_batches(media.sparkSession, 256)
     rows = media.select("digest", "media").mapInArrow(_describe, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     names = [c for c in rows.columns if c != "digest"]
     return rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in names])
@@ -193,7 +236,8 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("digest", F.sha2("media", 256))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     html = F.concat(F.lit("<article><p>Document "), name, F.lit(f'</p><figure><img src="{SCHEME}'), F.col("digest"), F.lit('" alt="document"><figcaption>Bytes of document '), name, F.lit("</figcaption></figure></article>"))
-    stored = save(rows.select("doc_id", "digest", "media", html.alias("html")), "media")
-    refs = references(parse_pages(stored, "doc_id"))
-    known = save(describe(stored), "described")
-    return resolve(refs, known).select(F.col("page_id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    with scratch(docs.sparkSession):  # the stored forms are a copy of the corpus: they go with it
+        stored = save(rows.select("doc_id", "digest", "media", html.alias("html")), "media")
+        refs = references(parse_pages(stored, "doc_id"))
+        found = resolve(refs, save(describe(stored), "described"))
+        return save(found.select(F.col("page_id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption"), "sequences", outlive=True)

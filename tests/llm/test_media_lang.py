@@ -1,9 +1,12 @@
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from secspark.llm.langid import LEVEL, _classify, held_out, keep_identified, predict_languages, train
 from secspark.llm.langid import letters as only_letters
@@ -29,6 +32,34 @@ def test_sequence():
     assert sequence(None) == [] and sequence("<figure><img src=x><figcaption>open")[0]["caption"] == "open"
 
 
+def test_nested_figures_and_alternatives():
+    html = """<figure><figure><img src="media:a"><figcaption>inner</figcaption></figure><img src="media:b"><figcaption>outer</figcaption></figure>
+    <picture><source srcset="media:big 2x, media:huge 3x"><img src="media:c" alt="C"></picture><picture><source srcset="media:d 1x"><img></picture>
+    <video><source src="media:e"><source src="media:f"></video><video src="media:g"><source src="media:h"></video><img srcset="media:i 1x, media:j 2x"><picture><source srcset="media:k">"""
+    assert [(x["src"], x["text"], x["caption"]) for x in sequence(html) if x["kind"] == "media"] == [
+        ("media:a", None, "inner"), ("media:b", None, "outer"), ("media:c", "C", None), ("media:d", None, None), ("media:e", None, None), ("media:g", None, None), ("media:i", None, None), ("media:k", None, None),
+    ]
+    assert [x["pos"] for x in sequence(html)] == list(range(len(sequence(html))))
+
+
+def test_pages_interleave(spark):
+    """The given pages, with a picture after every paragraph: order, captions and payloads stay aligned."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    pictures = [(hashlib.sha256(str(k).encode()).hexdigest(), f"payload {k}".encode()) for k in range(5)]
+    html = {r["page_id"]: re.sub("(?is)<script.*?</script>|<!--.*?-->", "", r["html"] or "") for r in pages.collect()}
+    for i, x in html.items():
+        parts = x.split("</p>")
+        html[i] = parts[0] + "".join(f'</p><figure><img src="media:{pictures[(i + k) % 5][0]}"><figcaption>{i} {k}</figcaption></figure>' + p for k, p in enumerate(parts[1:]))
+    out = resolve(references(parse_pages(spark.createDataFrame(list(html.items()), "page_id long, html string"))), spark.createDataFrame(pictures, "digest string, payload binary")).collect()
+    assert len(out) == sum(x.count("media:") for x in html.values()) > 200
+    for r in out:
+        i, k = map(int, r["caption"].split())
+        assert i == r["page_id"] and bytes(r["payload"]) == pictures[(i + k) % 5][1]
+    for i in html:
+        mine = sorted((r["pos"], int(r["caption"].split()[1])) for r in out if r["page_id"] == i)
+        assert [k for _, k in mine] == list(range(len(mine)))
+
+
 def test_references_and_missing_payload(spark):
     pages = spark.createDataFrame([(1, f'<p>a<img src="media:{"0" * 64}"><img src="http://x/y.png">'), (2, None)], "page_id long, html string")
     refs = references(parse_pages(pages))
@@ -67,6 +98,32 @@ def test_held_out_accuracy(spark, docs):
     assert sorted(map(str, again)) == sorted(str(type(again[0])(**{k: r[k] for k in again[0].__fields__})) for r in out)
 
 
+def test_sizes_by_brute_force(spark, docs):
+    """Prediction and score from zstandard's own sizes, with dictionaries cut here."""
+    import zstandard
+
+    learned = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("doc_id").alias("h"), "text").collect()
+    counts, dicts = Counter(r["lang"] for r in learned), {}
+    for lang in counts:
+        text, held = [], 0
+        for r in sorted((r for r in learned if r["lang"] == lang), key=lambda r: r["h"])[:600]:
+            if held < 112 << 10:
+                text.append(only_letters(r["text"][: 112 << 10]))
+                held += len(r["text"][: 112 << 10].encode())
+        d = zstandard.ZstdCompressionDict(" ".join(text).encode()[: 112 << 10], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        dicts[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+    want = {}
+    for r in docs.where("doc_id % 7 = 0").collect():
+        data = only_letters(r["text"] or "").encode()
+        if not data:
+            want[r["doc_id"]] = ("und", 0.0)
+            continue
+        sizes = sorted((sum(len(c.compress(data[k : k + 4096])) for k in range(0, len(data), 4096)), -counts[x], x) for x, c in dicts.items())
+        want[r["doc_id"]] = (sizes[0][2], round(1 - sizes[0][0] / sizes[1][0], 9))
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in predict_languages(docs).collect()}
+    assert {i: got[i] for i in want} == want and len(want) > 100
+
+
 def test_rejects(spark, docs):
     kept = keep_identified(docs, 0.002)
     assert kept.columns == docs.columns and docs.count() * 0.98 < kept.count() <= docs.count()
