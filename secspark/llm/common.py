@@ -1,20 +1,27 @@
 """What the operators of this subpackage share: tables in the shared folder, and null rules.
 
 Intermediate results are written as Parquet under ``spark.checkpoint.dir`` and read again, so a lost
-executor never costs more than the job that is running. A machine-local folder is used only where
-that setting is absent, as in tests.
+executor never costs more than the job that is running. Where that setting is absent a local folder is
+used, on a local master only; on a cluster the setting is required.
+
+Inside ``with scratch(spark):`` all tables go to one folder, which is deleted at the end. Operators that write
+more than their result do their work in one. What a returned frame still reads belongs to the caller, who can
+call the operator inside a ``scratch`` of their own and is rid of it at its end.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: list[str] = []
+_open: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,15 +29,40 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="spark-llm-"))
     return _local[0]
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; its shuffle files are freed at once."""
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file system layer."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Everything that :func:`save` writes inside goes to one folder, deleted at the end."""
+    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    _open.append(path)
+    try:
+        yield path
+    finally:
+        _open.remove(path)
+        delete(spark, path)
+
+
+def save(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; its shuffle files are freed at once.
+
+    With ``outlive`` the table stays when the innermost :func:`scratch` ends: it belongs to what is around it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}-{name}"
+    folders = [shared_dir(spark), *_open]
+    path = f"{folders[-2] if outlive and len(folders) > 1 else folders[-1]}/llm-{uuid.uuid4().hex}-{name}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -50,14 +82,7 @@ def drop(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_saved_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch: texts are long, and Python workers have little memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+            delete(df.sparkSession, path)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, save, small_batches, text_or_empty
+from .common import drop, save, scratch, text_or_empty
 from .hashing import Words, mix, rolling, signed
 from .substring import _lists, _slices
 
@@ -139,12 +139,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that Spark can split the join at a node with very many links
+        least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = save(both.join(least, "u").where("v > u and m <> v").select(F.col("m").alias("u"), "v"), "large")
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        best = large.groupBy("v").agg(F.min("u").alias("m"))
         made = F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.when(F.col("u") != F.col("m"), F.struct(F.col("m").alias("u"), F.col("u").alias("v"))))
-        small = save(large.join(least, "v").select(F.explode(made).alias("x")).where("x is not null").select("x.u", "x.v").distinct(), "small")
-        drop(large, e)
+        small = save(large.join(best, "v").select(F.explode(made).alias("x")).where("x is not null").select("x.u", "x.v").distinct(), "small")
+        drop(large, e, least)
         e = small
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
@@ -182,56 +183,56 @@ def _worth_a_look(percent: int, bands: int, rows: int) -> Column:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept; and node (digest of the set), root (of its component), th (text hash)."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    signed_ = save(texts.mapInArrow(_sign(shingle, bands, rows), "doc_id long, th long, node binary, n_shingles long, bands array<long>, bits array<long>"), "signed")
-    narrow = signed_.select("doc_id", "th", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), "n_shingles")
-    did = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    per_set = signed_.where("n_shingles > 0").groupBy("node")
-    keys = per_set.agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
-    nodes = save(per_set.agg(F.min("doc_id").alias("least"), F.min(did).alias("did"), F.min_by("th", did).alias("th")), "nodes")
-    shared = save(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = save(keys.join(shared, "key").select("key", "node", "size"), "members")
-    drop(shared)
-    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
-    hubs = members.select("key", "node").join(weight, "node").withColumn("rank", rank).where(F.col("rank") <= HUBS).select("key", F.col("node").alias("u"))
-    hubs = save(hubs, "hubs")
-    star = members.join(hubs, "key").where("u <> node").select("u", F.col("node").alias("v")).distinct()
-    star = save(star, "star")
-    involved = members.select("node").distinct()
-    # one text for each set that shares a bucket: only those are read again
-    chosen = nodes.join(involved, "node").select("th", "did").distinct()
-    bare = texts.withColumn("did", did).join(chosen, ["th", "did"], "left_semi").select("text")
-    hashed = bare.mapInArrow(_sets(shingle), "node binary, items array<long>")
-    sets = save(hashed.join(involved, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    links = save(confirm(star, sets, percent), "links")
-    found = save(components(links), "found")
-    # what is left: members outside the main component of their bucket
-    labelled = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    parts = labelled.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    mixed = save(parts.where("roots > 1").select("key", "main"), "mixed")
-    details = per_set.agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    open_ = save(labelled.join(mixed, "key").join(details, "node"), "open")
-    drop(members, hubs, mixed)
-    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
-    cross = x.join(y, F.col("x.key") == F.col("y.key")).where(_worth_a_look(percent, bands, rows))
-    cross = cross.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
-    tested = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    cross = save(cross.join(tested, ["u", "v"], "left_anti"), "cross")
-    drop(open_)
-    late = save(confirm(cross, sets, percent), "late")
-    if late.take(1):
-        found = save(components(links.union(late)), "found")
-    drop(cross, sets, star)
-    least = nodes.select("node", "least")
-    named = least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = save(named.join(names, "root").select("node", "root", "component_id"), "names")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = narrow.join(by_node, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), "node", "root", "th")
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node", "root", "th")
-
+    with scratch(docs.sparkSession):
+        texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+        signed_ = save(texts.mapInArrow(_sign(shingle, bands, rows), "doc_id long, th long, node binary, n_shingles long, bands array<long>, bits array<long>"), "signed")
+        narrow = signed_.select("doc_id", "th", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), "n_shingles")
+        did = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+        per_set = signed_.where("n_shingles > 0").groupBy("node")
+        keys = per_set.agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
+        nodes = save(per_set.agg(F.min("doc_id").alias("least"), F.min(did).alias("did"), F.min_by("th", did).alias("th")), "nodes")
+        shared = save(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+        members = save(keys.join(shared, "key").select("key", "node", "size"), "members")
+        drop(shared)
+        weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
+        hubs = members.select("key", "node").join(weight, "node").withColumn("rank", rank).where(F.col("rank") <= HUBS).select("key", F.col("node").alias("u"))
+        hubs = save(hubs, "hubs")
+        star = members.join(hubs, "key").where("u <> node").select("u", F.col("node").alias("v")).distinct()
+        star = save(star, "star")
+        involved = members.select("node").distinct()
+        # one text for each set that shares a bucket: only those are read again
+        chosen = nodes.join(involved, "node").select("th", "did").distinct()
+        bare = texts.withColumn("did", did).join(chosen, ["th", "did"], "left_semi").select("text")
+        hashed = bare.mapInArrow(_sets(shingle), "node binary, items array<long>")
+        sets = save(hashed.join(involved, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        links = save(confirm(star, sets, percent), "links")
+        found = save(components(links), "found")
+        # what is left: members outside the main component of their bucket
+        labelled = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        parts = labelled.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
+        mixed = save(parts.where("roots > 1").select("key", "main"), "mixed")
+        details = per_set.agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        open_ = save(labelled.join(mixed, "key").join(details, "node"), "open")
+        drop(members, hubs, mixed)
+        x, y = open_.where("root <> main").alias("x"), open_.alias("y")
+        cross = x.join(y, F.col("x.key") == F.col("y.key")).where(_worth_a_look(percent, bands, rows))
+        cross = cross.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+        tested = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        cross = save(cross.join(tested, ["u", "v"], "left_anti"), "cross")
+        drop(open_)
+        late = save(confirm(cross, sets, percent), "late")
+        if late.take(1):
+            found = save(components(links.union(late)), "found")
+        drop(cross, sets, star)
+        least = nodes.select("node", "least")
+        named = least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        # written, so that Spark can split the join of a component with very many sets
+        names = save(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+        by_node = save(named.join(names, "root").select("node", "root", "component_id"), "names")
+        component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        out = narrow.join(by_node, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), "node", "root", "th")
+        return save(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node", "root", "th"), "near", outlive=True)
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,12 +242,13 @@ def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     smallest text hash stays (a null id counts as the largest); of equal rows, one. Rows without words
     are linked with nothing and all stay.
     """
-    found = near_duplicates(docs, shingle, percent, id_col=id_col, text_col=text_col)
-    linked = found.where(F.col("node").isNotNull())
-    did = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    best = linked.groupBy("root").agg(F.min(did).alias("did"))
-    best = linked.select("root", "th", did.alias("did")).join(best, ["root", "did"]).groupBy("root", "did").agg(F.min("th").alias("th"))
-    stay = save(best.select("did", "th").distinct(), "stay")
+    with scratch(docs.sparkSession):
+        found = near_duplicates(docs, shingle, percent, id_col=id_col, text_col=text_col)
+        linked = found.where(F.col("node").isNotNull())
+        did = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+        best = linked.groupBy("root").agg(F.min(did).alias("did"))
+        best = linked.select("root", "th", did.alias("did")).join(best, ["root", "did"]).groupBy("root", "did").agg(F.min("th").alias("th"))
+        stay = save(best.select("did", "th").distinct(), "stay", outlive=True)
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("did"),

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, save, small_batches, text_or_empty
+from .common import drop, save, scratch, text_or_empty
 from .hashing import Words, mix, rolling, signed, sliding
 
 WORDS = 20
@@ -178,27 +178,25 @@ def substring_dedup(docs: DataFrame, k: int = WORDS, m: int = ANCHOR_WORDS, id_c
 
     Returns doc_id, n_words, n_removed, kept_sha256 and is_copy (an earlier row has the same text).
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("did"), text_or_empty(text_col).alias("text"))
     rows = rows.select("doc_id", "did", F.xxhash64("text").alias("th"), F.hash("text").alias("tl"), "text")
-    sketch = rows.select("did", "th", "tl", "text").mapInArrow(_sketch(k, m), "did long, th long, tl int, n_words long, full_sha string, anchor array<long>, pos array<int>")
-    base = save(sketch.groupBy("th", "tl").agg(F.min("did").alias("did"), *[F.first(c).alias(c) for c in ("n_words", "full_sha", "anchor", "pos")]), "base")
-    found = base.select("th", "tl", "did", F.explode(F.arrays_zip("anchor", "pos")).alias("x")).select("th", "tl", "did", F.col("x.anchor").alias("h"), F.col("x.pos").alias("pos"))
-    repeated = save(
-        found.groupBy("h").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.min("pos").alias("c"), F.max("pos").alias("d")).where("a <> b or c <> d").select("h"),
-        "repeated",
-    )
-    lists = save(found.join(repeated, "h").groupBy("th", "tl", "did").agg(F.collect_list("pos").alias("pos")), "lists")
-    drop(repeated)
-    texts = rows.select("th", "tl", "did", "text").join(lists, ["th", "tl", "did"])
-    texts = save(texts.dropDuplicates(["th", "tl"]), "texts")
-    drop(lists)
-    spans = repeated_paths(texts, k, m).groupBy("th", "did").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
-    cut = save(texts.join(save(spans, "spans"), ["th", "did"], "left").select("th", "tl", "text", "spans").mapInArrow(_cut(k), "th long, tl int, cut long, cut_sha string"), "cut")
-    drop(texts)
-    known = save(base.select("th", "tl", F.col("did").alias("first"), "n_words", "full_sha").join(cut, ["th", "tl"], "left"), "known")
-    drop(base, cut)
+    with scratch(docs.sparkSession):
+        sketch = rows.select("did", "th", "tl", "text").mapInArrow(_sketch(k, m), "did long, th long, tl int, n_words long, full_sha string, anchor array<long>, pos array<int>")
+        base = save(sketch.groupBy("th", "tl").agg(F.min("did").alias("did"), *[F.first(c).alias(c) for c in ("n_words", "full_sha", "anchor", "pos")]), "base")
+        found = base.select("th", "tl", "did", F.explode(F.arrays_zip("anchor", "pos")).alias("x")).select("th", "tl", "did", F.col("x.anchor").alias("h"), F.col("x.pos").alias("pos"))
+        repeated = save(
+            found.groupBy("h").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.min("pos").alias("c"), F.max("pos").alias("d")).where("a <> b or c <> d").select("h"),
+            "repeated",
+        )
+        lists = save(found.join(repeated, "h").groupBy("th", "tl", "did").agg(F.collect_list("pos").alias("pos")), "lists")
+        drop(repeated)
+        texts = rows.select("th", "tl", "did", "text").join(lists, ["th", "tl", "did"])
+        texts = save(texts.dropDuplicates(["th", "tl"]), "texts")
+        drop(lists)
+        spans = repeated_paths(texts, k, m).groupBy("th", "did").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
+        cut = save(texts.join(save(spans, "spans"), ["th", "did"], "left").select("th", "tl", "text", "spans").mapInArrow(_cut(k), "th long, tl int, cut long, cut_sha string"), "cut")
+        drop(texts)
+        known = save(base.select("th", "tl", F.col("did").alias("first"), "n_words", "full_sha").join(cut, ["th", "tl"], "left"), "known", outlive=True)
     copy = (F.col("did") > F.col("first")) & (F.col("n_words") >= k)
     return (
         rows.select("doc_id", "did", "th", "tl")
