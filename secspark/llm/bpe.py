@@ -1,6 +1,6 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text of up to ``LEAF`` characters is encoded by the library as it is. A longer text, unsplit runs
+A text of up to ``LEAF`` characters is a leaf of its own (:mod:`.units` calls the library for its distinct units). A longer text, unsplit runs
 included, is cut in halves, again and again, until the pieces are that short. Each piece is a row of its
 own, dealt over all tasks and encoded there with the offsets of its tokens. Neighbours are then joined
 level by level: a window of text around the cut is encoded anew, twice as far each time, until at both
@@ -22,7 +22,6 @@ Defined results
 from __future__ import annotations
 
 import hashlib
-import os
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, save, text_or_empty
 from .substring import _slices
+from .units import tokenizer, units
 
 LEAF = 1 << 16
 WINDOW = 64
@@ -41,18 +41,6 @@ AGREE = 3
 _HALF = "row long, n long, text string, starts array<int>, ends array<int>, ids array<int>"
 
 
-@lru_cache(maxsize=4)
-def tokenizer(path: str):
-    """One for each worker process."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
-
-
 @lru_cache(maxsize=4)
 def _numerals(path: str) -> list[str]:
     return [str(i) for i in range(tokenizer(path).get_vocab_size(with_added_tokens=True))]
@@ -200,7 +188,9 @@ def encoded(docs: DataFrame, path: str, finish: Callable, kinds: str, carry: tup
     def short(batches) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _slices(whole, "text"):
-                yield made(b, encode_all(path, b["text"].to_pylist()))
+                ids, n = units(path).encode(b["text"])
+                stops, ids = np.cumsum(n), ids.tolist()
+                yield made(b, [ids[z - k : z] for z, k in zip(stops.tolist(), n.tolist())])
 
     def long(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:

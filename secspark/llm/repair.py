@@ -50,29 +50,30 @@ _CELLS = 18
 SCHEMA = "part int, shard int, doc_id array<long>, n_ids array<long>, rules binary, lengths binary, seq binary, total long"
 
 
-def _frequent(seq: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs that occur ``least`` times without overlapping themselves: places by pair, the pairs' keys, first places and counts."""
-    keys = (seq[:-1] << bits) | seq[1:]
+def _frequent(seq: np.ndarray, live: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs at ``live`` places that occur ``least`` times without overlapping themselves: places by pair, the pairs' keys, first places and counts."""
+    keys = (seq[live] << bits) | seq[live + 1]
     # pairs in cells of a hash table: in a cell with too few of them none is frequent
     cell = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CELLS)).view(np.int64)
-    at = np.flatnonzero((np.bincount(cell, minlength=1 << _CELLS) >= least)[cell])
-    twin = np.flatnonzero(keys[1:] == keys[:-1]) + 1
+    some = np.flatnonzero((np.bincount(cell, minlength=1 << _CELLS) >= least)[cell])
+    at, keys = live[some], keys[some]
+    twin = np.flatnonzero((at[1:] == at[:-1] + 1) & (keys[1:] == keys[:-1])) + 1
     if len(twin):  # of a run of one symbol every second place counts
         start = np.concatenate(([True], np.diff(twin) != 1))
         first = twin[start][np.cumsum(start) - 1] - 1
-        odd = np.zeros(len(keys), dtype=bool)
-        odd[twin[(twin - first) % 2 == 1]] = True
-        at = at[~odd[at]]
-    place = int(len(keys)).bit_length()
+        even = np.ones(len(at), dtype=bool)
+        even[twin[(twin - first) % 2 == 1]] = False
+        at, keys = at[even], keys[even]
+    place = int(len(seq)).bit_length()
     if 2 * bits + place < 64:  # sorting key and place as one number is faster
-        packed = (keys[at] << place) | at
+        packed = (keys << place) | at
         packed.sort()
-        key, at = packed >> place, packed & ((1 << place) - 1)
+        keys, at = packed >> place, packed & ((1 << place) - 1)
     else:
-        at = at[np.argsort(keys[at], kind="stable")]
-        key = keys[at]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else at
-    return at, key, first, np.diff(np.append(first, len(key)))
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else at
+    return at, keys, first, np.diff(np.append(first, len(keys)))
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,9 +86,11 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
     rules, lengths = [], [np.ones(m, dtype=np.int64)]
     made = made_as = np.zeros(0, dtype=np.int64)  # pairs that have a rule, sorted, and their symbols
     size = m
-    while len(seq) > 1:
+    # a pair that isn't frequent doesn't get so unless one of its symbols is made again: other places needn't be looked at
+    live = np.arange(max(len(seq) - 1, 0))
+    while len(live):
         bits = int(size).bit_length()
-        at, key, first, counts = _frequent(seq, bits, least)
+        at, key, first, counts = _frequent(seq, live, bits, least)
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
@@ -110,6 +113,11 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
         name = np.zeros(len(fine), dtype=np.int64)
         name[fine] = symbol
         seq[take] = name[here[take]]
+        hot = here > 0
+        hot[:-1] |= hot[1:]  # every second place of a run of one symbol has no rank
+        hot[1:] |= hot[:-1]
+        hot[take] = True
+        hot[np.maximum(take - 1, 0)] = True
         pair = pair[~old]
         rules.append(pair)
         known = np.concatenate(lengths)
@@ -120,6 +128,14 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
         keep = np.ones(len(seq), dtype=bool)
         keep[take + 1] = False
         seq = seq[keep]
+        hot = np.append(hot, False)[keep]
+        if old.any():  # more of a symbol that was there before: its pairs may be frequent now
+            again = np.zeros(size + len(pair), dtype=bool)
+            again[symbol[old]] = True
+            again = again[seq]
+            hot |= again
+            hot[:-1] |= again[1:]
+        live = np.flatnonzero(hot[:-1])
         size += len(pair)
     flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     symbols = np.concatenate((terminals, np.arange(FIRST, FIRST + size - m))).astype("<u4")

@@ -1,23 +1,39 @@
-"""Byte-level BPE ids of whole batches, each distinct unit encoded once.
+"""BPE ids of whole batches, each distinct unit encoded once.
 
-A unit is a stretch of bytes that a byte-level pre-tokenizer (contractions; letters, digits or other signs,
-each with a leading space; white space) never joins with its neighbours. Texts are cut into units by
-comparing bytes in numpy, Arrow finds the distinct ones, the library encodes those that a bounded cache
-doesn't hold, and Arrow puts the ids in the order of the texts. Cutting less is always right, so bytes of
-rarer scripts simply stay together.
+A unit is a stretch of bytes that the pre-tokenizer (contractions; letters, digits or other signs; white
+space) never joins with its neighbours. Texts are cut into units by comparing bytes in numpy, Arrow finds
+the distinct ones, the library encodes those that a bounded cache doesn't hold, and Arrow puts the ids in
+the order of the texts. Cutting less is always right, so bytes of rarer scripts simply stay together.
+
+Two kinds of tokenizer are known: byte-level ones, where a space belongs to the word behind it, and those
+with a sign for the end of a word, which drop white space.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-from .bpe import tokenizer
 
-CACHE = 600_000
+CACHE = 900_000
+
+
+@lru_cache(maxsize=4)
+def tokenizer(path: str):
+    """One for each worker process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
 _END = "\n"
 
 
@@ -45,10 +61,12 @@ def _classes() -> np.ndarray:
 
 _CLASSES = _classes()
 #: A unit that stands alone between line ends: visible signs with at most one space in front.
-_APART = re.compile(rb" ?(?=[!-~\xc3-\xdf])[!-~\x80-\xff]*(?:[!-~]|[\xc3-\xdf][\x80-\xbf])")
+_GLUED = re.compile(rb" ?(?=[!-~\xc3-\xdf])[!-~\x80-\xff]*(?:[!-~]|[\xc3-\xdf][\x80-\xbf])")
+#: The same where white space is dropped: no sign whose lower case or normal form has another length.
+_BARE = re.compile(rb"(?:[!-~]|\xc3[\x80-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
 
 
-def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def cuts(data: np.ndarray, starts: np.ndarray, glued: bool = True) -> np.ndarray:
     """For each byte: does a unit begin before it for sure? ``starts`` are those of the texts."""
     cut = np.zeros(len(data), dtype=bool)
     if len(data) < 2:
@@ -64,7 +82,7 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     latin = high & (np.concatenate((data[:1], data[:-2])) == 0xC3) & (data[:-1] != 0x97) & (data[:-1] != 0xB7)
     cut[1:] = (
         (white[1:] & (ends | (white[:-1] & follows)))  # white space after a visible character, the last white space of several
-        | (((p & (_WHITE | _SPACE)) == _WHITE) & begins[1:])  # a character after a line end or tab
+        | (((p & ((_WHITE | _SPACE) if glued else _WHITE)) == _WHITE) & begins[1:])  # a character after a line end or tab
         | (((c & _SIGN) != 0) & (((p & _LETTER) != 0) | latin))  # a sign after a letter
         | (((p & (_SIGN | _QUOTE)) == _SIGN) & ((c & _LETTER) != 0))  # a letter after a sign that opens no contraction
     )
@@ -78,10 +96,13 @@ class Units:
         self.tokenizer = tokenizer(path)
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.special = [x.encode() for x in special]
+        suffix = self.tokenizer.model.end_of_word_suffix or ""
+        self.glued = not suffix
+        self.alone = _GLUED if self.glued else _BARE
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for x, i in vocab.items():
-            self.sizes[i] = len(x)  # one character of the vocabulary stands for a byte
+            self.sizes[i] = len(x.removesuffix(suffix))  # one character of the vocabulary stands for a byte
         self.cache = cache
         self._forget()
 
@@ -111,10 +132,12 @@ class Units:
         text = _END.join([u.decode() for u in units])
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
         ends = np.cumsum(self.sizes[ids])
-        stops = np.cumsum(np.array([len(u) for u in units]) + 1) - 1
+        stops = np.cumsum([len(u) + self.glued for u in units]) - self.glued
         last = np.searchsorted(ends, stops)
-        if not (ends[last] == stops).all():
+        if not (ends[np.minimum(last, len(ends) - 1)] == stops).all():
             raise ValueError("a unit was joined with its neighbour")
+        if not self.glued:
+            return ids, np.diff(last, prepend=-1)
         keep = np.ones(len(ids), dtype=bool)
         keep[last[:-1] + 1] = False  # the line ends
         return ids[keep], np.diff(last, prepend=-2) - 1
@@ -132,7 +155,7 @@ class Units:
             again = [(u, k) for u in missing if (k := self.old.get(u)) is not None]
             self.young.update(again)
             missing = [u for u in missing if u not in self.young]
-        apart = [u for u in missing if _APART.fullmatch(u)]
+        apart = [u for u in missing if self.alone.fullmatch(u)]
         for at in range(0, len(apart), 1024):
             self._add(apart[at : at + 1024], *self._apart(apart[at : at + 1024]))
         other = [u for u in missing if u not in self.young] if len(apart) < len(missing) else []
@@ -151,7 +174,7 @@ class Units:
         if not len(data):
             return np.zeros(0, "<u4"), np.zeros(n, np.int64)
         whole = data.tobytes()
-        begin = cuts(data, off[off < len(data)])
+        begin = cuts(data, off[off < len(data)], self.glued)
         for x in self.special:  # the library looks for special tokens first: a text with one is a unit
             at = whole.find(x)
             while at >= 0:

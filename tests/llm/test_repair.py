@@ -14,7 +14,7 @@ from secspark.llm.units import Units
 
 from .helpers import SCHEMA, as_set, rows, table
 
-BYTE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
 def samples():
@@ -59,15 +59,16 @@ def test_fixed_point(ids):
     assert 4 * len(seq) + 12 * len(rules) <= 4 * len(ids)
 
 
-def test_units_are_exact():
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_units_are_exact(path):
     r = random.Random(5)
-    bits = ["don't", "'ll", "we're", "Hello", "naïve", "x1y22", "…", "!!", "日本語", "é", "a" * 30, "%%%", "tion", "́", "̣", "😀", "'s", "''", " ", "  ", "\n", "\n\n", "\t", "\xa0", " ", "　", "\x85", "\x0b", "\x1c", "​", "÷", "×", "ÿ", "Ж", "“", "—", "<|endoftext|>", "١٢", "½", "12", "’s", "ª", "\x7f", "\x00", "﻿", "ẞ", "ก", "'", "-", "'re", " '", "' ", "s", "t"]
-    encoder = Units(BYTE, cache=500)
+    bits = ["don't", "'ll", "we're", "Hello", "naïve", "x1y22", "…", "!!", "日本語", "é", "a" * 30, "%%%", "tion", "́", "̣", "😀", "'s", "''", " ", "  ", "\n", "\n\n", "\t", "\xa0", " ", "　", "\x85", "\x0b", "\x1c", "​", "÷", "×", "ÿ", "Ж", "“", "—", "<|endoftext|>", "١٢", "½", "12", "’s", "ª", "\x7f", "\x00", "﻿", "ẞ", "ก", "'", "-", "'re", " '", "' ", "s", "t", "İ", "Σ", "ς", "ΑΣ", "̸", "=", "K", "Å", "ſ", "ŉ", "</w>", "≠", "<"]
+    encoder = Units(path, cache=500)
     for _ in range(60):
         data = ["".join(r.choice(bits) + r.choice(["", "", " "]) for _ in range(r.randint(0, 40))) for _ in range(50)]
         ids, n = encoder.encode(pa.array(data))
         at = np.cumsum(n)
-        for t, want, a, b in zip(data, encode_all(BYTE, data), at - n, at):
+        for t, want, a, b in zip(data, encode_all(path, data), at - n, at):
             assert ids[a:b].tolist() == want, repr(t)
         assert len(encoder.young) + len(encoder.old) < 4000
     assert encoder.encode(pa.array([], pa.string()))[0].tolist() == []
