@@ -25,8 +25,17 @@ def field(key: str, column: str = "fields"):
     return F.get_json_object(F.col(column), f"$['{key}']")
 
 
-def canonical_events(df: DataFrame) -> DataFrame:
-    """The driver's events in the event model; lazy projections only, so filters reach the scan."""
+def canonical_events(df: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """The driver's events in the event model; lazy projections only.
+
+    The model's ts is an expression, which a scan can't filter by. ``start`` and ``end`` (seconds, both included) bound
+    the stored timestamp itself, so that row groups outside are skipped.
+    """
+    at = lambda s: F.timestamp_seconds(F.lit(s)).cast(df.schema["ts"].dataType)
+    if start is not None:
+        df = df.where(F.col("ts") >= at(start))
+    if end is not None:
+        df = df.where(F.col("ts") < at(end + 1))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     kind, user = F.col("event_type"), F.col("user_id")
     return df.select(

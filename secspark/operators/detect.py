@@ -54,15 +54,21 @@ def evaluate_rules(df: DataFrame, rules: list[Rule], now: int) -> DataFrame:
 def merge_alerts(alerts: DataFrame, results: DataFrame, now: int) -> DataFrame:
     """dedup, status, ts, last_ts after a tick: new alerts, refreshed ones, and resolved ones.
 
-    ``results`` has dedup, fired (null: the evaluation failed, which changes nothing).
+    ``results`` has dedup, fired (null: the evaluation failed, which changes nothing). Only open alerts (new or
+    acknowledged) meet their result; what is closed stays as it is, and its key is free for a new alert.
     """
-    a = alerts.select("dedup", "status", "ts", "last_ts", F.lit(True).alias("_a"))
-    j = a.join(results.select("dedup", "fired"), "dedup", "full")
-    open_ = F.col("_a") & F.col("status").isin("new", "ack")
-    status = F.when(open_ & (F.col("fired") == F.lit(False)), "resolved").when(open_, F.col("status")).when(F.coalesce("fired", F.lit(False)), "new").otherwise(F.col("status"))
-    fresh = ~F.coalesce(open_, F.lit(False)) & F.coalesce("fired", F.lit(False))
-    out = j.select("dedup", status.alias("status"), F.when(fresh, F.lit(now)).otherwise(F.col("ts")).alias("ts"), F.when(F.coalesce("fired", F.lit(False)), F.lit(now)).otherwise(F.col("last_ts")).alias("last_ts"))
-    return out.where("status is not null")
+    columns = ["dedup", "status", "ts", "last_ts"]
+    is_open = F.coalesce(F.col("status").isin("new", "ack"), F.lit(False))
+    old = alerts.select(*columns).where(~is_open)
+    live = alerts.select(*columns, F.lit(True).alias("live")).where(is_open)
+    fired = F.coalesce("fired", F.lit(False))
+    # an alert without a key meets no result
+    j = live.join(results.select("dedup", "fired").where("dedup is not null"), "dedup", "full")
+    held = F.coalesce("live", F.lit(False))
+    status = F.when(held & (F.col("fired") == F.lit(False)), "resolved").when(held, F.col("status")).when(fired, "new")
+    # an open alert that fires again is fresh: its time moves on
+    out = j.select("dedup", status.alias("status"), F.when(fired, F.lit(now)).otherwise(F.col("ts")).alias("ts"), F.when(fired, F.lit(now)).otherwise(F.col("last_ts")).alias("last_ts"))
+    return out.where("status is not null").unionByName(old)
 
 
 def blind_rules(history: DataFrame, hour: int = 3600) -> DataFrame:

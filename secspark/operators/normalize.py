@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from secspark.functions.predicates import all_of, any_of, java_pattern, octet_prefix
 from secspark.model import DEFAULT_ENV, RESERVED_SOURCE
+from secspark.vocabulary import CATEGORIES, MODEL_VERSION
 
 BAG = "map<string,string>"
 MAX_MESSAGE, MAX_KEYS, MAX_VALUE = 8192, 24, 256
@@ -17,9 +19,29 @@ MAX_MESSAGE, MAX_KEYS, MAX_VALUE = 8192, 24, 256
 IOC_FIELDS = ["domain", "dns_query", "query", "url", "md5", "sha1", "sha256", "hash", "src_ip", "dst_ip"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def unique(m: Column) -> Column:
+    """A map that was read from JSON with one entry for each key: of a repeated key the last one stays."""
+
+    def last(x: Column) -> Column:
+        keys = F.reverse(F.map_keys(x))
+        return F.map_from_entries(F.filter(F.map_entries(x), lambda e, i: F.array_position(keys, e["key"]) == F.size(x) - i))
+
+    return let(m, lambda x: F.when(F.size(F.array_distinct(F.map_keys(x))) == F.size(x), x).otherwise(last(x)))
+
+
+def json_map(text: Column) -> Column:
+    """A JSON object as a map without repeated keys; empty if absent or unreadable."""
+    return F.coalesce(unique(F.from_json(text, BAG)), F.create_map().cast(BAG))
+
+
 def bag(column: str = "fields") -> Column:
     """The JSON bag as a map; empty if absent or unreadable."""
-    return F.coalesce(F.from_json(F.col(column), BAG), F.create_map().cast(BAG))
+    return json_map(F.col(column))
 
 
 def to_bag(m: Column) -> Column:
@@ -74,7 +96,7 @@ def key_values(text: Column) -> Column:
 
 def json_values(text: Column) -> Column:
     """Map of a JSON object's first MAX_KEYS members; empty if the text isn't one."""
-    m = F.coalesce(F.when(F.ltrim(text).startswith("{"), F.from_json(text, BAG)), F.create_map().cast(BAG))
+    m = json_map(F.when(F.ltrim(text).startswith("{"), text))
     entries = F.slice(F.map_entries(m), 1, MAX_KEYS)
     return F.map_from_entries(F.transform(entries, lambda x: F.struct(x["key"].alias("key"), F.substring(x["value"], 1, MAX_VALUE).alias("value"))))
 
@@ -94,40 +116,41 @@ def apply_declarative_parsers(df: DataFrame, specs: list[dict]) -> DataFrame:
     Targets are category, severity, src_ip, dst_ip, url, action, and ``fields.<key>``. The first writer of a
     target wins; severity is taken only from 0 to 4.
     """
+    taken = [F.col(f"`{c}`") for c in df.columns]
     text, columns = F.substring("message", 1, MAX_MESSAGE), {}
-    m = bag()
-    for spec in specs:
+    # each spec's captures become columns of an inner struct, so that later steps read them and don't repeat them
+    rows = df.select(F.struct(*taken).alias("row"), text.alias("text"), bag().alias("bag"))
+    at = lambda c: F.col("row").getField(c)
+    none = F.create_map().cast(BAG)
+    for n, spec in enumerate(specs):
         applies = F.lit(True)
         if spec.get("source", "*") != "*":
-            applies &= F.col("source") == spec["source"]
+            applies &= F.coalesce(at("source") == spec["source"], F.lit(False))
         if spec.get("guard"):
-            applies &= F.coalesce(text.rlike(java_pattern(spec["guard"])), F.lit(False))
-        found = F.create_map().cast(BAG)
-        for step in spec.get("extract", ()):
-            if "regex" in step:
-                new = captured(text, step["regex"])
-            else:
-                new = json_values(text) if "json" in step else key_values(text)
-            found = merge(found, new)
-        found = F.when(applies, found).otherwise(F.create_map().cast(BAG))
-        m = merge(m, found)
+            applies &= F.coalesce(F.col("text").rlike(java_pattern(spec["guard"])), F.lit(False))
+        found = [captured(F.col("text"), x["regex"]) if "regex" in x else json_values(F.col("text")) if "json" in x else key_values(F.col("text")) for x in spec.get("extract", ())]
+        rows = rows.withColumn(f"applies{n}", applies)
+        whole = reduce(lambda x, y: let(F.struct(x.alias("x"), y.alias("y")), lambda z: merge(z["x"], z["y"])), found) if found else none
+        rows = rows.withColumn(f"found{n}", F.when(F.col(f"applies{n}"), whole).otherwise(none))
         for target, value in spec.get("map", {}).items():
-            v = found[value[1:]] if isinstance(value, str) and value.startswith("$") else F.lit(str(value))
-            v = F.when(applies, v)
-            columns.setdefault(target, []).append(v)
-    out = {}
+            v = F.col(f"found{n}")[value[1:]] if isinstance(value, str) and value.startswith("$") else F.lit(str(value))
+            columns.setdefault(target, []).append(F.when(F.col(f"applies{n}"), v))
+    out, extra = {}, []
     for target, values in columns.items():
         v = F.coalesce(*values)
-        if target.startswith("fields."):
-            m = merge(m, F.create_map(F.lit(target[7:]), v))
+        if target.startswith("fields.") or target == "action":
+            extra.append(F.create_map(F.lit(target.removeprefix("fields.")), v))
         elif target == "severity":
             n = v.try_cast("int")
-            out[target] = F.coalesce(F.when(n.between(0, 4), n), F.col("severity") if "severity" in df.columns else F.lit(None))
-        elif target == "action":
-            m = merge(m, F.create_map(F.lit("action"), v))
+            out[target] = F.coalesce(F.when(n.between(0, 4), n), at("severity") if "severity" in df.columns else F.lit(None))
         else:
-            out[target] = F.coalesce(F.nullif(F.col(target), F.lit("")), v) if target in df.columns else v
-    return df.withColumns({**out, "fields": to_bag(m)})
+            out[target] = F.coalesce(F.nullif(at(target), F.lit("")), v) if target in df.columns else v
+    m = F.col("bag")
+    for new in [*[F.col(f"found{n}") for n in range(len(specs))], *extra]:
+        m = let(F.struct(m.alias("x"), new.alias("y")), lambda z: merge(z["x"], z["y"]))
+    out["fields"] = let(m, to_bag)
+    names = [*df.columns, *[c for c in out if c not in df.columns]]
+    return rows.select(*[out[c].alias(c) if c in out else at(c).alias(c) for c in names])
 
 
 # Endpoint alerts, where each family's fields stand in the payload.
@@ -206,7 +229,7 @@ def derive_auth_fields(df: DataFrame) -> DataFrame:
     return df.withColumns({"fields": to_bag(merge(bag(), new)), "src_ip": F.coalesce(F.col("src_ip"), auth_source_ip(m)), "severity": F.when(bad, 3).otherwise(F.coalesce("severity", F.lit(0)))})
 
 
-def resolve_category(df: DataFrame, vocabulary: list[str], parsed: str | None = None) -> DataFrame:
+def resolve_category(df: DataFrame, vocabulary: list[str] = CATEGORIES, parsed: str | None = None) -> DataFrame:
     """The collector's category wins over a parser's; category_state is canonical, off-vocabulary or absent."""
     c = F.nullif(F.col("category"), F.lit(""))
     if parsed:
@@ -215,7 +238,7 @@ def resolve_category(df: DataFrame, vocabulary: list[str], parsed: str | None =
     return df.withColumns({"category": c, "category_state": state})
 
 
-def stamp_version(df: DataFrame, version: str) -> DataFrame:
+def stamp_version(df: DataFrame, version: str = MODEL_VERSION) -> DataFrame:
     """The model version in the bag, whatever stood there."""
     rest = F.map_filter(bag(), lambda k, v: k != "cim")
     return df.withColumn("fields", to_bag(F.map_concat(rest, F.create_map(F.lit("cim"), F.lit(version)))))
@@ -234,30 +257,39 @@ def ioc_keys(iocs: DataFrame, now: int) -> DataFrame:
     return live.groupBy(F.lower(F.trim("value")).alias("key")).agg(F.max(meta).alias("meta"))
 
 
-def match_iocs(df: DataFrame, iocs: DataFrame, now: int, id_col: str = "id") -> DataFrame:
+def match_iocs(df: DataFrame, iocs: DataFrame, now: int) -> DataFrame:
     """Adds ti_match, ti_confidence, ti_severity and threat_intel for the first indicator that hits; no row is dropped.
 
-    Candidates are exploded to (id, position, key) and joined; Spark broadcasts the indicators only while
-    they are under its size threshold, and a Bloom filter or a shuffle join takes over beyond it.
+    A row gives its candidates and one sentinel that carries the row; candidates meet the indicators, and only those
+    that hit are brought back to their row, by a number given in the same pass. So rows are shuffled once, and null or
+    repeated ids do no harm. Spark broadcasts the indicators only while they are under its size threshold.
     """
     own = [F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("src_ip", "dst_ip", "url")]
     tried = F.array(*own, *[F.get_json_object("fields", f"$['{k}']") for k in IOC_FIELDS])
-    keys = df.select(F.col(id_col).alias("_id"), F.posexplode(F.transform(tried, lambda x: F.lower(F.trim(x)))).alias("_pos", "key")).where("key <> ''")
-    hits = keys.join(ioc_keys(iocs, now), "key").groupBy("_id").agg(F.min_by(F.struct("key", "meta"), "_pos").alias("_hit"))
-    out = df.join(hits, df[id_col] == hits["_id"], "left").drop("_id")
-    return out.withColumns({
-        "ti_match": F.col("_hit.key"), "ti_confidence": F.col("_hit.meta.confidence"), "ti_severity": F.col("_hit.meta.severity"),
-        "threat_intel": F.col("_hit").isNotNull(),
-    }).drop("_hit")
-
-
-def tag_scope(df: DataFrame, scopes: DataFrame, id_col: str = "id") -> DataFrame:
-    """engagement_id of the smallest scope whose matcher and window hold the event. Scopes are a small table."""
-    hit = ((F.col("is_prefix") & F.col("src_ip").startswith(F.col("matcher"))) | (~F.col("is_prefix") & (F.col("src_ip") == F.col("matcher")))) & F.col("ts").between(F.col("window_start"), F.col("window_end"))
-    found = df.select(id_col, "src_ip", "ts").join(scopes.withColumnRenamed("id", "_scope"), hit).groupBy(id_col).agg(F.min("_scope").alias("_scope"))
-    out = df.join(found, id_col, "left")
-    kept = F.col("engagement_id") if "engagement_id" in df.columns else F.lit(None).cast("string")
-    return out.withColumn("engagement_id", F.coalesce("_scope", kept)).drop("_scope")
+    keys = F.filter(F.transform(tried, lambda x, i: F.struct(i.alias("pos"), F.lower(F.trim(x)).alias("key"))), lambda x: x["key"] != "")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(row.alias("row"), F.monotonically_increasing_id().alias("n"), keys.alias("keys"))
+    sentinel = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("key")))
+    rows = rows.select("n", "row", F.explode(F.concat(sentinel, "keys")).alias("try"))
+    rows = rows.select("n", "try.pos", "try.key", F.when(F.col("try.pos") < 0, F.col("row")).alias("row"))
+    met = rows.join(ioc_keys(iocs, now), "key", "left").where("pos < 0 or meta is not null")
+    got = met.groupBy("n").agg(F.first("row", ignorenulls=True).alias("row"), F.min(F.when(F.col("pos") >= 0, F.struct("pos", "key", "meta"))).alias("hit"))
+    new = {"ti_match": F.col("hit.key"), "ti_confidence": F.col("hit.meta.confidence"), "ti_severity": F.col("hit.meta.severity"), "threat_intel": F.col("hit").isNotNull()}
+    return got.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+
+
+def tag_scope(df: DataFrame, scopes: DataFrame) -> DataFrame:
+    """engagement_id of the smallest scope whose matcher and window hold the event.
+
+    Scopes are a small settings table: they come along as one array, so no event is shuffled.
+    """
+    every = scopes.agg(F.collect_list(F.struct("id", "matcher", "is_prefix", "window_start", "window_end")).alias("scopes"))
+    kept = [F.col(f"`{c}`").alias(c) for c in df.columns if c != "engagement_id"]
+    rows = df.select(F.struct(*kept).alias("row"), "src_ip", "ts", (F.col("engagement_id") if "engagement_id" in df.columns else F.lit(None).cast("string")).alias("before"))
+    rows = rows.crossJoin(F.broadcast(every))  # a single row
+    ip, ts = F.col("src_ip"), F.col("ts")
+    hits = F.filter("scopes", lambda x: F.when(x["is_prefix"], ip.startswith(x["matcher"])).otherwise(ip == x["matcher"]) & ts.between(x["window_start"], x["window_end"]))
+    return rows.select("row.*", F.coalesce(F.array_min(F.transform(hits, lambda x: x["id"])), "before").alias("engagement_id"))
 
 
 def _rule_test(rule: dict, columns: list[str]) -> Column:
@@ -348,16 +380,19 @@ def reparse(df: DataFrame, parsers: list[tuple[str, str]], since: int) -> DataFr
     return df.where(F.col("ts") < since).unionByName(again)
 
 
-def relabel_corroborated(df: DataFrame, deploys: DataFrame, window: int = 3600, lowered: int = 1, id_col: str = "id") -> DataFrame:
+def relabel_corroborated(df: DataFrame, deploys: DataFrame, window: int = 3600, lowered: int = 1) -> DataFrame:
     """Lower, never raise, the severity of integrity events that a deployment explains (name, hash, deployed_at)."""
+    kept = [F.col(f"`{c}`").alias(c) for c in df.columns if c not in ("fields", "severity")]
     name, sha = F.substring_index(F.get_json_object("fields", "$['path']"), "/", -1), F.get_json_object("fields", "$['hash']")
-    near = df.where(F.col("category") == "integrity").select(F.col(id_col).alias("_id"), name.alias("_name"), sha.alias("_hash"), F.col("ts").alias("_ts"))
-    d = deploys.select(F.col("name").alias("_name"), F.col("hash").alias("_hash"), F.col("deployed_at").alias("_at"))
-    hits = near.join(d, ["_name", "_hash"]).where((F.col("_ts") >= F.col("_at")) & (F.col("_ts") <= F.col("_at") + window)).select("_id").distinct().withColumn("_hit", F.lit(True))
-    out = df.join(hits, df[id_col] == hits["_id"], "left")
-    hit = F.coalesce("_hit", F.lit(False)) & (F.col("severity") > lowered)
-    kept = merge(F.create_map(F.lit("severity_original"), F.col("severity").cast("string")), bag())
-    return out.withColumns({"fields": F.when(hit, to_bag(kept)).otherwise(F.col("fields")), "severity": F.when(hit, F.lit(lowered)).otherwise(F.col("severity"))}).drop("_hit", "_id")
+    own = F.col("category") == "integrity"
+    rows = df.select(F.struct(*kept).alias("row"), "ts", "severity", "fields", F.when(own, name).alias("name"), F.when(own, sha).alias("hash"))
+    known = deploys.groupBy("name", "hash").agg(F.collect_set("deployed_at").alias("times"))
+    rows = rows.join(known, ["name", "hash"], "left")
+    ts = F.col("ts")
+    hit = F.coalesce(F.exists("times", lambda t: (ts >= t) & (ts <= t + window)), F.lit(False)) & (F.col("severity") > lowered)
+    marked = merge(F.create_map(F.lit("severity_original"), F.col("severity").cast("string")), bag())
+    out = {"fields": F.when(hit, to_bag(marked)).otherwise(F.col("fields")), "severity": F.when(hit, F.lit(lowered)).otherwise(F.col("severity"))}
+    return rows.select(*[out[c].alias(c) if c in out else F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def scan_patterns(df: DataFrame, patterns: dict[str, str], columns: list[str], id_col: str = "id") -> DataFrame:

@@ -28,8 +28,13 @@ def risk_from_iocs(matched: DataFrame, points: dict[int, int] | None = None) ->
 
 
 def attack_tactic(df: DataFrame, tactics: DataFrame, column: str = "mitre") -> DataFrame:
-    """``df`` with technique (the parent) and its tactic; null if unknown. ``tactics``: technique, tactic."""
-    return df.withColumn("technique", parent_technique(F.col(column))).join(tactics, "technique", "left")
+    """``df`` with technique (the parent) and its tactic. ``tactics``: technique, tactic.
+
+    A technique outside the table stands for itself, so that tactics are never undercounted; without a technique
+    there is none.
+    """
+    named = df.withColumn("technique", parent_technique(F.col(column))).join(tactics, "technique", "left")
+    return named.withColumn("tactic", F.coalesce("tactic", F.nullif(F.trim(column), F.lit(""))))
 
 
 def risk_rollup(contributions: DataFrame, tactics: DataFrame, now: int) -> DataFrame:

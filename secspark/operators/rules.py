@@ -1,5 +1,8 @@
 """The shipped rules as data for the rule evaluator.
 
+Only the two values that start with the reserved source name stand for others: ``de-detection-content-mutated``
+reads this library's own source, and the key of ``co-sensitive-cred-access`` is a neutral one.
+
 A rule counts rows, or the groups whose count or number of distinct values is over a limit. Fields that are no
 columns are read from the bag. Rules that are off by default are there to be switched on.
 """
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from secspark.functions import predicates as P
 from secspark.model import RESERVED_SOURCE
-from secspark.operators.detect import Rule
+from secspark.operators.detect import Rule, compare
 
 COLUMNS = ("source", "category", "severity", "host", "message", "src_ip", "dst_ip", "url")
 
@@ -35,7 +38,7 @@ TABLE = [
     ("ca-cred-web-login-bruteforce", {"source": "web", "status": "401"}, "src_ip", ("count", 20), "> 0", 900, 3, "T1110", False),
     ("ca-ssh-authkeys-persistence", {"source": "integrity", "kind": "authkeys"}, None, ("count", None), "> 0", 3600, 4, "T1098.004", False),
     ("cl-kube-anonymous-access", {"source": "kube-audit", "user": "*anonymous"}, None, ("count", None), "> 0", 900, 3, "T1078", False),
-    ("cl-object-store-public-bucket", {"source": "object-store", "kind": "bucket", "risk": "public"}, None, ("count", None), "> 0", 3600, 3, "T1530", False),
+    ("cl-minio-public-bucket", {"source": "minio", "kind": "bucket", "risk": "public"}, None, ("count", None), "> 0", 3600, 3, "T1530", False),
     ("co-sensitive-cred-access", {"source": "dataaccess", "key": "service_creds", "action": "read"}, "user", ("count", 5), "> 0", 1800, 3, "T1552.001", False),
     ("de-auditd-disabled", {"source": "auditd", "category": "exec", "exe": "*auditctl*"}, None, ("count", None), "> 0", 1800, 4, "T1562.001", False),
     ("de-auditd-no-exec-rule", {"source": "auditd", "category": "config", "exec_rule_b64": "0"}, None, ("count", None), "> 0", 7200, 2, "T1562.001", False),
@@ -44,13 +47,13 @@ TABLE = [
     ("de-detection-content-mutated", {"source": RESERVED_SOURCE + "config", "category": "config", "kind": ["rule", "parser"]}, None, ("count", None), "> 0", 1800, 2, "T1562.001", True),
     ("di-conntrack-internal-sweep", {"source": "conntrack", "scope": "internal", "dir": "outbound"}, "src_ip", ("dst_ip", 20), "> 0", 1800, 3, "T1046", False),
     ("di-kube-forbidden-burst", {"source": "kube-audit", "action": "forbidden"}, "user", ("count", 15), "> 0", 900, 3, "T1069", False),
-    ("di-object-store-denied-recon", {"source": "object-audit", "status": "AccessDenied"}, "accessKey", ("count", 10), "> 0", 1800, 2, "T1526", False),
+    ("di-minio-denied-recon", {"source": "minio-audit", "status": "AccessDenied"}, "accessKey", ("count", 10), "> 0", 1800, 2, "T1526", False),
     ("ex-egress-fanout-external", {"source": "conntrack", "dir": "outbound", "scope": "external", "proc!=": ["k3s-server", "containerd"]}, "proc", ("dst_ip", 50), "> 0", 1800, 2, "T1071", False),
     ("ex-falco-runtime", {"source": "falco", "category": "ebpf", "severity>=": 3}, None, ("count", None), "> 0", 900, 3, "T1059", False),
     ("ex-host-exec-from-tmp", {"source": "auditd", "category": "exec", "exe": ["/tmp/*", "/dev/shm/*", "/var/tmp/*", "/run/*"]}, None, ("count", None), "> 0", 900, 3, "T1059.004", False),
     ("ex-ids-suricata-alert", {"source": "suricata", "category": "alert", "severity>=": 3}, None, ("count", None), "> 0", 900, 3, "T1190", False),
     ("ex-mail-mass-outbound", {"source": "mail", "category": "mailflow"}, "sender", ("count", 200), "> 0", 1800, 2, "T1048", False),
-    ("ex-object-store-mass-get", {"source": "object-audit", "api": "GetObject"}, "accessKey", ("count", 500), "> 0", 1800, 3, "T1530", False),
+    ("ex-minio-mass-get", {"source": "minio-audit", "api": "GetObject"}, "accessKey", ("count", 500), "> 0", 1800, 3, "T1530", False),
     ("ex-webshell-post-script", {"source": "web", "method": "POST", "status": "200", "path": "*.php"}, "src_ip", ("count", 3), "> 0", 900, 3, "T1505.003", False),
     ("im-ban-storm", {"category": "ban"}, None, ("src_ip", None), "> 0", 900, 2, "T1595", False),
     ("im-fim-mass-delete", {"category": "integrity", "fim_event": "deleted"}, "agent_name", ("count", 50), "> 0", 900, 4, "T1485", False),
@@ -107,6 +110,31 @@ LIBRARY = [_rule(*row) for row in TABLE]
 ENABLED = [r for r in LIBRARY if r.enabled]
 
 
+def evaluate_library(df: DataFrame, now: int, names: list[str] | None = None) -> DataFrame:
+    """rule, value, severity, mitre, fired of the shipped rules (those on by default, or ``names``), in one pass.
+
+    Each row gives an entry for every rule that it matches; entries are counted by rule and group, then by rule.
+    """
+    used = [r for r in TABLE if (r[8] if names is None else r[0] in names)]
+    rows = canonical_rules(df).where(F.col("ts").between(now - max(r[5] for r in used), now))
+    entries = []
+    for name, tests, by, (what, _), _, window, *_ in used:
+        hit = P.all_of([F.col("ts") >= now - window, *[_test(k, v) for k, v in tests.items()]])
+        text = lambda x: F.lit(None).cast("string") if x in (None, "count") else _value(x).cast("string")
+        entries.append(F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(name).alias("rule"), text(by).alias("group"), text(what).alias("what"))))
+    found = rows.select(F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    counts = found.groupBy("rule", "group").agg(F.count("*").alias("n"), F.countDistinct("what").alias("d"))
+    spec = df.sparkSession.createDataFrame(
+        [(name, what == "count", by is not None, limit if by is not None else None, *threshold.split(), severity, mitre) for name, _, by, (what, limit), threshold, _, severity, mitre, _ in used],
+        "rule string, rows boolean, grouped boolean, most int, op string, least string, severity int, mitre string",
+    )  # a row for each rule
+    measured = counts.join(F.broadcast(spec.select("rule", "rows", "grouped", "most")), "rule").withColumn("v", F.when(F.col("rows"), F.col("n")).otherwise(F.col("d")))
+    values = measured.groupBy("rule").agg(F.sum(F.when(F.col("grouped"), (F.col("v") > F.col("most")).cast("long")).otherwise(F.col("v"))).alias("value"))
+    out = spec.join(values, "rule", "left").withColumn("value", F.coalesce("value", F.lit(0)).cast("double"))
+    fired = F.coalesce(*[F.when(F.col("op") == op, compare(F.col("value"), op, F.col("least").cast("double"))) for op in (">", ">=", "<", "<=", "==", "!=")])
+    return out.select("rule", "value", "severity", "mitre", fired.alias("fired"))
+
+
 def switched_on(*names: str) -> list[Rule]:
     """The given rules, whatever their default."""
     from dataclasses import replace

@@ -241,7 +241,8 @@ def _bar_token(token: str, values: bool) -> Column:
             c = F.col(name) if name in ("source", "category", "host", "src_ip", "dst_ip", "url", "message", "ts", "id", "action", "env_id") else F.get_json_object("fields", f"$['{name}']")
             return test(c, float(value)) if test in (P.ge, P.le, P.gt, P.lt) else test(c, value)
     word = token.lower()
-    hit = F.array_contains(F.split(F.lower("message"), r"\W+"), word)
+    # most messages don't hold the word at all: they needn't be split
+    hit = F.lower("message").contains(word) & F.array_contains(F.split(F.lower("message"), r"\W+"), word)
     if values:
         bag = F.map_values(F.from_json("fields", "map<string,string>"))
         hit = F.coalesce(hit, F.lit(False)) | F.coalesce(F.exists(bag, lambda v: F.array_contains(F.split(F.lower(v), r"\W+"), word)), F.lit(False))

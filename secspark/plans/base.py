@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical_events(table(spark, sf_dir, "events"))
+def ev(spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    return canonical_events(table(spark, sf_dir, "events"), start, end)
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a local one only on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-plans-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 class Registry:

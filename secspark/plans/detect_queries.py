@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from secspark.operators import detect as D
 from secspark.operators import risk as K
-from secspark.operators.rules import canonical_rules, switched_on
+from secspark.operators.rules import TABLE, canonical_rules, evaluate_library, switched_on
 
 from .base import T0, T1, Registry, ev
 
@@ -22,21 +24,25 @@ RULES = [
  UNION ALL SELECT 'spread', CAST(count(DISTINCT src_ip) AS DOUBLE), 2, 'T1046', count(DISTINCT src_ip) >= 10000 FROM ev WHERE ts BETWEEN {T0 - 86400} AND {T0}
  UNION ALL SELECT 'quiet', CAST(count(*) AS DOUBLE), 1, '', count(*) = 0 FROM ev WHERE ts BETWEEN {T0 - 3600} AND {T0} AND source = 'signup'""")
 def _(spark, d):
-    return D.evaluate_rules(ev(spark, d), RULES, T0)
+    return D.evaluate_rules(ev(spark, d, T0 - 86400, T0), RULES, T0)
 
 
-_A = "SELECT src_ip AS dedup, CASE WHEN max(id) % 3 = 0 THEN 'closed' ELSE 'new' END AS status, min(ts) AS ts, max(ts) AS last_ts FROM ev WHERE source = 'error' GROUP BY src_ip"
-_F = f"SELECT src_ip AS dedup, count(*) > 2 AS fired FROM ev WHERE source = 'purchase' AND ts > {T0} GROUP BY src_ip"
+# open and closed alerts of the same key, and alerts without one
+_A = "SELECT nullif(src_ip, '10.0.1.2') AS dedup, CASE WHEN max(id) % 3 = 0 THEN 'closed' WHEN max(id) % 3 = 1 THEN 'ack' ELSE 'new' END AS status, min(ts) AS ts, max(ts) AS last_ts FROM ev WHERE source = 'error' GROUP BY src_ip UNION ALL SELECT src_ip, 'closed', 1, 2 FROM ev WHERE source = 'signup' GROUP BY src_ip"
+_F = f"SELECT src_ip AS dedup, count(*) > 2 AS fired FROM ev WHERE source = 'purchase' AND ts > {T0} GROUP BY src_ip UNION ALL SELECT 'x' || src_ip, NULL FROM ev GROUP BY src_ip"
 
 
-@R.add("d02_merge_alerts", f""", a AS ({_A}), f AS ({_F}) SELECT dedup,
- CASE WHEN status = 'new' AND fired = false THEN 'resolved' WHEN status = 'new' THEN 'new' WHEN fired THEN 'new' ELSE status END AS status,
- CASE WHEN fired AND coalesce(status, '') <> 'new' THEN {T1} ELSE ts END AS ts, CASE WHEN fired THEN {T1} ELSE last_ts END AS last_ts FROM a FULL JOIN f USING (dedup) WHERE status IS NOT NULL OR fired""")
+@R.add("d02_merge_alerts", f""", a AS ({_A}), f AS ({_F}), o AS (SELECT * FROM a WHERE status IN ('new', 'ack'))
+ SELECT dedup, CASE WHEN fired = false THEN 'resolved' ELSE status END AS status, CASE WHEN fired THEN {T1} ELSE ts END AS ts, CASE WHEN fired THEN {T1} ELSE last_ts END AS last_ts FROM o LEFT JOIN f USING (dedup)
+ UNION ALL SELECT * FROM a WHERE status = 'closed' UNION ALL SELECT dedup, 'new', {T1}, {T1} FROM f WHERE fired AND dedup NOT IN (SELECT dedup FROM o WHERE dedup IS NOT NULL)""")
 def _(spark, d):
     e = ev(spark, d)
-    a = e.where("source = 'error'").groupBy(F.col("src_ip").alias("dedup")).agg(F.when(F.max("id") % 3 == 0, "closed").otherwise("new").alias("status"), F.min("ts").alias("ts"), F.max("ts").alias("last_ts"))
+    status = F.when(F.max("id") % 3 == 0, "closed").when(F.max("id") % 3 == 1, "ack").otherwise("new")
+    a = e.where("source = 'error'").groupBy("src_ip").agg(status.alias("status"), F.min("ts").alias("ts"), F.max("ts").alias("last_ts")).select(F.nullif("src_ip", F.lit("10.0.1.2")).alias("dedup"), "status", "ts", "last_ts")
+    old = e.where("source = 'signup'").select(F.col("src_ip").alias("dedup"), F.lit("closed").alias("status"), F.lit(1).cast("long").alias("ts"), F.lit(2).cast("long").alias("last_ts")).distinct()
     f = e.where(f"source = 'purchase' and ts > {T0}").groupBy(F.col("src_ip").alias("dedup")).agg((F.count("*") > 2).alias("fired"))
-    return D.merge_alerts(a, f, T1)
+    failed = e.select(F.concat(F.lit("x"), "src_ip").alias("dedup"), F.lit(None).cast("boolean").alias("fired")).distinct()
+    return D.merge_alerts(a.unionByName(old), f.unionByName(failed), T1)
 
 
 @R.add("d03_blind_rules", """, h AS (SELECT host AS rule, ts, action <> 'failure' AS ok FROM ev), l AS (SELECT rule, max(ts) FILTER (WHERE ok) AS last_ok FROM h GROUP BY rule)
@@ -93,7 +99,7 @@ def _(spark, d):
 
 @R.add("d18_drilldown", f"SELECT id FROM ev WHERE ts BETWEEN {T0 - 86400} AND {T0} AND action = 'failure'")
 def _(spark, d):
-    return D.drilldown(ev(spark, d), RULES[0], T0).select("id")
+    return D.drilldown(ev(spark, d, T0 - 86400, T0), RULES[0], T0).select("id")
 
 
 @R.add("d19_rule_library", f""", p AS (SELECT src_ip FROM ev WHERE source = 'view' AND ts BETWEEN {T0 - 3600} AND {T0} GROUP BY src_ip HAVING count(*) > 12)
@@ -110,6 +116,64 @@ def _(spark, d):
     return D.evaluate_rules(canonical_rules(e), switched_on("fw-portscan-low-and-slow", "ca-cred-distributed-bruteforce", "portprobe-low-and-slow", "de-auditd-silent"), T0)
 
 
+# One event in 46 fits each shipped rule (the last one fits none); its source address is also what a rule counts.
+def _sample(rule) -> dict:
+    out = {"source": "none", "category": "none", "severity": "0", "message": "quiet"}
+    for k, v in rule[1].items():
+        v = str((v[0] if isinstance(v, list) else v)).replace("*", "x")
+        if k == "":
+            out["message"] = "an " + v + " call"
+        elif not k.endswith("!="):
+            out[k.removesuffix(">=")] = v
+    return out
+
+
+_SAMPLES = [_sample(r) for r in TABLE] + [{"source": "none", "category": "none", "severity": "0", "message": "quiet"}]
+_TOP = ("source", "category", "severity", "message")
+
+
+def _sql_test(k: str, v) -> str:
+    col = lambda x: ("CAST(severity AS VARCHAR)" if x == "severity" else x) if x in _TOP else {"src_ip": "src_ip", "host": "host"}.get(x, f"json_extract_string(fields, '$.{x}')")
+    if k == "":
+        return f"contains(lower(message), '{v}')"
+    if k.endswith(">="):
+        return f"TRY_CAST({col(k[:-2])} AS DOUBLE) >= {v}"
+    if k.endswith("!="):
+        return " AND ".join(f"({col(k[:-2])} IS NULL OR {col(k[:-2])} <> '{x}')" for x in v)
+    return "(" + " OR ".join(f"{col(k)} LIKE '{x.replace('*', '%')}'" if "*" in x else f"{col(k)} = '{x}'" for x in (v if isinstance(v, list) else [v])) + ")"
+
+
+def _sql_rule(rule) -> str:
+    name, tests, by, (what, limit), threshold, window, severity, mitre, _ = rule
+    col = lambda x: x if x in ("src_ip", "host") else f"json_extract_string(fields, '$.{x}')"
+    hits = f"FROM s WHERE ts BETWEEN {T0 - window} AND {T0} AND " + " AND ".join(_sql_test(k, v) for k, v in tests.items())
+    value = "count(*)" if what == "count" else f"count(DISTINCT {col(what)})"
+    found = f"(SELECT {value} {hits})" if by is None else f"(SELECT count(*) FROM (SELECT {value} AS v {hits} GROUP BY {col(by)}) WHERE v > {limit})"
+    return f"SELECT '{name}' AS rule, CAST({found} AS DOUBLE) AS value, {severity} AS severity, '{mitre}' AS mitre, {found} {threshold} AS fired"
+
+
+def _sql_list(key: str) -> str:
+    return "[" + ", ".join("'" + x.get(key, "").replace("'", "''") + "'" for x in _SAMPLES) + "]"
+
+
+_EXTRA = [json.dumps({k: v for k, v in x.items() if k not in _TOP})[1:-1] for x in _SAMPLES]
+_LIBRARY = f""", s AS (SELECT id, ts // 40 + {T0 - T0 // 40} AS ts, host, src_ip, {_sql_list('source')}[id % 46 + 1] AS source, {_sql_list('category')}[id % 46 + 1] AS category, CAST({_sql_list('severity')}[id % 46 + 1] AS INT) AS severity, {_sql_list('message')}[id % 46 + 1] AS message,
+ '{{' || [{", ".join("'" + x.replace("'", "''") + "'" for x in _EXTRA)}][id % 46 + 1] || CASE WHEN [{", ".join("'" + x.replace("'", "''") + "'" for x in _EXTRA)}][id % 46 + 1] = '' THEN '' ELSE ',' END || '"dst_ip":"' || src_ip || '","dst_port":"' || id || '","acct":"' || host || '","agent_name":"a","sender":"b","accessKey":"c"}}' AS fields FROM ev)
+"""
+
+
+@R.add("d19b_whole_library", _LIBRARY + " UNION ALL ".join(_sql_rule(r) for r in TABLE))
+def _(spark, d):
+    e, n = ev(spark, d), (F.col("id") % 46).cast("int")
+    pick = lambda key: F.get(F.array(*[F.lit(x.get(key, "")) for x in _SAMPLES]), n)
+    extra = F.get(F.array(*[F.lit(x + "," if x else "") for x in _EXTRA]), n)
+    fields = F.concat(F.lit("{"), extra, F.format_string('"dst_ip":"%s","dst_port":"%d","acct":"%s","agent_name":"a","sender":"b","accessKey":"c"}', F.col("src_ip"), F.col("id"), F.col("host")))
+    # 40 seconds as one, so that the rules' windows hold many events
+    ts = F.floor(F.col("ts") / 40) + (T0 - T0 // 40)
+    e = e.select("id", ts.alias("ts"), "host", "src_ip", pick("source").alias("source"), pick("category").alias("category"), pick("severity").cast("int").alias("severity"), pick("message").alias("message"), fields.alias("fields"))
+    return evaluate_library(e, T0, [r[0] for r in TABLE])
+
+
 _C = """, c AS (
  SELECT 'ip' AS entity_type, src_ip AS entity, max(ts) AS ts, 20 AS risk_score, 'failures' AS rule, max(severity) AS severity, 'T1110' AS mitre, 'failures|' || src_ip || '|' || (ts // 3600 * 3600) AS dedup FROM ev WHERE action = 'failure' GROUP BY src_ip, ts // 3600 * 3600
  UNION ALL SELECT 'ip', src_ip, max(ts), 5, 'changes', max(severity), 'T1098.001', 'changes|' || src_ip || '|' || (ts // 7200 * 7200) FROM ev WHERE action = 'modify' GROUP BY src_ip, ts // 7200 * 7200)
@@ -118,9 +182,9 @@ RISK = [
     {"name": "failures", "window_s": 3600, "risk_score": 20, "risk_entity_type": "ip", "risk_entity_field": "src_ip", "mitre": "T1110"},
     {"name": "changes", "window_s": 7200, "risk_score": 5, "risk_entity_type": "ip", "risk_entity_field": "src_ip", "mitre": "T1098.001"},
 ]
-_T = "(SELECT 'T1110' AS technique, 'credential-access' AS tactic UNION ALL SELECT 'T1098', 'persistence')"
-_RR = _C + f""", r AS (SELECT entity_type, entity, sum(risk_score)::BIGINT AS score, count(*) AS contributions, count(DISTINCT tactic) AS n_tactics, list(DISTINCT tactic ORDER BY tactic) AS tactics,
- sum(CASE WHEN ts > {T0 - 3600} THEN risk_score ELSE 0 END)::BIGINT AS hot_score, max(severity) AS max_severity, min(ts) AS first_ts, max(ts) AS last_ts FROM c JOIN {_T} t ON split_part(c.mitre, '.', 1) = t.technique WHERE ts > {T0 - 86400} AND ts <= {T0} GROUP BY ALL)
+_T = "(SELECT 'T1110' AS technique, 'credential-access' AS tactic)"  # T1098.001 is outside the table and stands for itself
+_RR = _C + f""", r AS (SELECT entity_type, entity, sum(risk_score)::BIGINT AS score, count(*) AS contributions, count(DISTINCT coalesce(tactic, c.mitre)) AS n_tactics, list(DISTINCT coalesce(tactic, c.mitre) ORDER BY coalesce(tactic, c.mitre)) AS tactics,
+ sum(CASE WHEN ts > {T0 - 3600} THEN risk_score ELSE 0 END)::BIGINT AS hot_score, max(severity) AS max_severity, min(ts) AS first_ts, max(ts) AS last_ts FROM c LEFT JOIN {_T} t ON split_part(c.mitre, '.', 1) = t.technique WHERE ts > {T0 - 86400} AND ts <= {T0} GROUP BY ALL)
 """
 
 
@@ -130,7 +194,7 @@ def _contributions(spark, d):
 
 
 def _rolled(spark, d):
-    tactics = spark.createDataFrame([("T1110", "credential-access"), ("T1098", "persistence")], "technique string, tactic string")
+    tactics = spark.createDataFrame([("T1110", "credential-access")], "technique string, tactic string")
     return K.risk_rollup(_contributions(spark, d), tactics, T0)
 
 

@@ -209,6 +209,11 @@ def _(spark, d):
     return N.report_rows(Search(ev(spark, d)).search(F.col("severity") == 3), {"src_ip": "hash"})[0]
 
 
+@R.add("p20b_report_first_rows", "SELECT id, ts, substr(sha256('salt' || chr(0) || src_ip), 1, 16) AS src_ip, host FROM ev WHERE severity = 3 ORDER BY ts DESC, id DESC LIMIT 20")
+def _(spark, d):
+    return N.report_rows(Search(ev(spark, d)).search(F.col("severity") == 3), {"src_ip": "hash"}, "salt")[1].select("id", "ts", "src_ip", "host")
+
+
 # governance
 @R.add("g01_masks", "SELECT substr(sha256('salt' || chr(0) || src_ip), 1, 16) AS src_ip, '***' AS host, count(*) AS count FROM ev GROUP BY ev.src_ip")
 def _(spark, d):

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from secspark.functions.scalar import epoch, iso_epoch
 
-from secspark.operators.normalize import BAG, auth_action, auth_source_ip, auth_user, key_values, merge, to_bag
+from secspark.operators.normalize import BAG, auth_action, auth_source_ip, auth_user, json_map, key_values, merge, to_bag, unique
+from secspark.vocabulary import PRESETS, SOURCETYPE_CATEGORY
 
 EVENT_COLUMNS = ["ts", "source", "category", "severity", "host", "message", "src_ip", "dst_ip", "url", "dedup", "fields"]
 
@@ -72,10 +73,7 @@ def read_journald(spark: SparkSession, path: str) -> DataFrame:
     return decode_journald(lines(spark, path))
 
 
-# S3. Categories by source type.
-SOURCETYPE_CATEGORY = {"wineventlog:system": "system", "wineventlog:application": "application", "sysmon": "endpoint", "linux:audit": "endpoint", "auditd": "endpoint", "osquery:results": "endpoint", "syslog": "syslog", "rfc5424": "syslog", "rfc3164": "syslog", "docker": "container", "container": "container", "kube:container": "container", "kubernetes": "k8s", "k8s": "k8s"}
-
-
+# S3
 def _split_json(batches):
     """Objects of concatenated JSON, one after another; a broken stretch is skipped to the next brace."""
     import json
@@ -112,9 +110,9 @@ def split_json(df: DataFrame) -> DataFrame:
 def decode_hec(df: DataFrame) -> DataFrame:
     """Collector records, one JSON object in ``value`` each. Records with neither event nor fields are left out."""
     v = F.col("value")
-    event, own = j(v, "$.event"), F.coalesce(F.from_json(j(v, "$.fields"), BAG), F.create_map().cast(BAG))
-    inner = F.when(F.ltrim(event).startswith("{"), F.from_json(event, BAG))
-    bag = merge(merge(own, F.coalesce(inner, F.create_map().cast(BAG))), F.create_map(F.lit("sourcetype"), j(v, "$.sourcetype"), F.lit("index"), j(v, "$.index")))
+    event, own = j(v, "$.event"), json_map(j(v, "$.fields"))
+    inner = json_map(F.when(F.ltrim(event).startswith("{"), event))
+    bag = merge(merge(own, inner), F.create_map(F.lit("sourcetype"), j(v, "$.sourcetype"), F.lit("index"), j(v, "$.index")))
     table = F.create_map(*[F.lit(x) for kv in SOURCETYPE_CATEGORY.items() for x in kv])
     usable = df.where(event.isNotNull() | (F.size(own) > 0))
     return events(usable, ts=epoch(j(v, "$.time")), source=F.coalesce(j(v, "$.source"), F.lit("hec")), category=F.get(F.array(table[F.lower(j(v, "$.sourcetype"))]), 0), severity=F.lit(0), host=j(v, "$.host"), message=F.coalesce(event, F.lit("")), fields=to_bag(bag))
@@ -169,7 +167,7 @@ def read_otlp_traces(spark: SparkSession, path: str) -> DataFrame:
 
 
 # S5. Label aliases, the first that is present counts; severity by level.
-LABEL_SOURCE = ["source", "job", "app", "service_name", "service", "container"]
+LABEL_SOURCE = ["job", "service_name", "service", "unit", "container", "app", "filename"]
 LABEL_HOST = ["host", "hostname", "instance", "node", "nodename"]
 LABEL_LEVEL = ["level", "severity", "detected_level"]
 LEVEL_SEVERITY = {"critical": 4, "fatal": 4, "emerg": 4, "alert": 4, "error": 3, "err": 3, "warn": 2, "warning": 2, "notice": 1, "info": 0, "debug": 0, "trace": 0}
@@ -177,7 +175,7 @@ LEVEL_SEVERITY = {"critical": 4, "fatal": 4, "emerg": 4, "alert": 4, "error": 3,
 
 def decode_loki(df: DataFrame) -> DataFrame:
     rows = df.select(F.explode(F.from_json("value", "streams array<struct<stream:map<string,string>,values:array<array<string>>>>")["streams"]).alias("s"))
-    rows = rows.select(F.col("s.stream").alias("l"), F.explode("s.values").alias("v"))
+    rows = rows.select(unique(F.col("s.stream")).alias("l"), F.explode("s.values").alias("v"))
     pick = lambda names: F.coalesce(*[F.nullif(F.col("l")[n], F.lit("")) for n in names])
     levels = F.create_map(*[F.lit(x) for kv in LEVEL_SEVERITY.items() for x in kv])
     return events(rows, ts=F.floor(F.get("v", 0).try_cast("decimal(20,0)") / 1_000_000_000).cast("long"), source=F.coalesce(pick(LABEL_SOURCE), F.lit("loki")), severity=F.coalesce(levels[F.lower(pick(LABEL_LEVEL))], F.lit(0)), host=pick(LABEL_HOST), message=F.coalesce(F.get("v", 1), F.lit("")), fields=to_bag(F.col("l")))
@@ -198,7 +196,11 @@ def decode_exposition(df: DataFrame, now: int) -> DataFrame:
     value = F.regexp_extract(v, SAMPLE, 3).try_cast("double")
     label = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
     body = F.regexp_extract(v, SAMPLE, 2)
-    pairs = F.map_from_arrays(F.regexp_extract_all(body, F.lit(label), F.lit(1)), F.transform(F.regexp_extract_all(body, F.lit(label), F.lit(2)), lambda x: F.regexp_replace(x, r'\\(["\\])', "$1")))
+    keys = F.regexp_extract_all(body, F.lit(label), F.lit(1))
+    values = F.transform(F.regexp_extract_all(body, F.lit(label), F.lit(2)), lambda x: F.regexp_replace(x, r'\\(["\\])', "$1"))
+    # of a repeated label the first one stays
+    first = F.filter(F.arrays_zip(keys.alias("key"), values.alias("value")), lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+    pairs = F.map_from_entries(first)
     ms = F.regexp_extract(v, SAMPLE, 4).try_cast("long")
     out = rows.select(F.coalesce(F.floor(ms / 1000), F.lit(now)).alias("ts"), F.regexp_extract(v, SAMPLE, 1).alias("name"), F.to_json(pairs).alias("labels"), value.alias("value"))
     return out.where("value is not null and not isnan(value) and abs(value) < double('Infinity')")
@@ -251,9 +253,13 @@ def decode_object_audit(df: DataFrame, buckets: list[str] = (), drop_apis: list[
     src = F.nullif(F.regexp_replace(j(r, "$.remotehost"), r"^\[+|\]+$", ""), F.lit(""))
     request = j(r, "$.requestID")
     bag = F.create_map(*[x for k, c in {"bucket": bucket, "object": name, "api": api, "accessKey": j(r, "$.accessKey"), "src_ip": src, "status": j(r, "$.api.status"), "statusCode": j(r, "$.api.statusCode"), "request_id": request, "user_agent": j(r, "$.userAgent"), "version_delete": F.when(gone, "1")}.items() for x in (F.lit(k), c)])
-    message = F.concat(F.lit("object-audit "), api, F.lit(" "), bucket, F.lit("/"), name, F.when(gone, " VERSION-DELETE").otherwise(""))
-    dedup = F.concat(F.lit("objectaudit-"), F.coalesce(request, F.concat_ws("-", api, bucket, name)))
-    return events(rows, ts=iso_epoch(j(r, "$.time")), source=F.lit("object-audit"), category=F.lit("data"), severity=severity, message=message, src_ip=src, dedup=dedup, fields=to_bag(F.map_filter(bag, lambda k, v: v.isNotNull())))
+    told = lambda c: F.coalesce(c, F.lit(""))
+    message = F.concat(
+        F.lit("minio-audit "), api, F.lit(" "), bucket, F.lit("/"), name, F.lit(" status="), told(j(r, "$.api.status")), F.lit(" code="), told(j(r, "$.api.statusCode")), F.lit(" ak="), told(j(r, "$.accessKey")),
+        F.lit(" src="), told(src), F.lit(" req="), told(request), F.when(gone, " VERSION-DELETE").otherwise(""),
+    )
+    dedup = F.concat(F.lit("minioaudit-"), F.coalesce(request, F.concat_ws("-", api, bucket, name)))
+    return events(rows, ts=iso_epoch(j(r, "$.time")), source=F.lit("minio-audit"), category=F.lit("data"), severity=severity, message=message, src_ip=src, dedup=dedup, fields=to_bag(F.map_filter(bag, lambda k, v: v.isNotNull())))
 
 
 def read_object_audit(spark: SparkSession, path: str, buckets: list[str] = (), drop_apis: list[str] = NOISE_CALLS) -> DataFrame:
@@ -262,23 +268,36 @@ def read_object_audit(spark: SparkSession, path: str, buckets: list[str] = (), d
 
 # S10
 def map_records(df: DataFrame, field_map: dict[str, str], records_path: str = "$") -> DataFrame:
-    """Any JSON to events. ``field_map``: target -> ``$.path`` or ``=constant``; ``fields.<key>`` goes into the bag.
+    """Any JSON to events. ``field_map``: target -> path (``$.a.b`` or ``a.b``) or ``=constant``; ``fields.<key>`` goes into the bag.
 
-    Without a dedup target the key is a hash of the record.
+    Without a dedup target (or an id, which stands for it) the key is a hash of the record. Severity is a number
+    from 0 to 4 or a level by name.
     """
-    rows = df.select(F.explode(items(F.col("value"), records_path.replace("[*]", ""))).alias("r"))
-    value = lambda p: F.lit(p[1:]) if p.startswith("=") else j("r", p)
+    place = lambda p: p if p.startswith("$") else f"$.{p}"
+    rows = df.select(F.explode(items(F.col("value"), place(records_path.replace("[*]", "")) if records_path else "$")).alias("r"))
+    value = lambda p: F.lit(p[1:]) if p.startswith("=") else j("r", place(p))
+    if "id" in field_map and "dedup" not in field_map:
+        field_map = {**field_map, "dedup": field_map["id"]}
     got = {k: value(p) for k, p in field_map.items()}
     bag = F.create_map(*[x for k, c in got.items() if k.startswith("fields.") for x in (F.lit(k[7:]), c)]).cast(BAG) if any(k.startswith("fields.") for k in got) else F.create_map().cast(BAG)
     text = got.get("ts")
     ts = F.coalesce(epoch(text), iso_epoch(text)) if text is not None else F.lit(None).cast("long")
     n = got["severity"].try_cast("int") if "severity" in got else F.lit(0)
-    severity = F.when(n.between(0, 4), n).otherwise(0)
+    named = F.create_map(*[F.lit(x) for kv in LEVEL_SEVERITY.items() for x in kv])[F.lower(got["severity"])] if "severity" in got else F.lit(None).cast("int")
+    severity = F.when(n.between(0, 4), n).otherwise(F.coalesce(named, F.lit(0)))
     dedup = F.coalesce(got["dedup"], F.sha2("r", 256)) if "dedup" in got else F.sha2("r", 256)
     plain = {k: c for k, c in got.items() if k in EVENT_COLUMNS and k not in ("ts", "severity", "dedup", "fields")}
     return events(rows, **plain, ts=ts, severity=severity, dedup=dedup, fields=to_bag(F.map_filter(bag, lambda k, v: v.isNotNull())))
 
 
+def map_preset(df: DataFrame, name: str) -> DataFrame:
+    """:func:`map_records` by a connector preset; the category follows from the record's source type."""
+    preset = PRESETS[name]
+    kind = preset["fields"].get("sourcetype", "=")[1:]
+    constants = {"source": "=" + preset["source"]} | ({"category": "=" + preset["categories"][kind]} if kind in preset["categories"] else {})
+    return map_records(df, preset["fields"] | constants, preset["records"])
+
+
 # S11
 STIX_VALUE = r"\[\s*([\w-]+):([\w.'-]+)\s*=\s*'([^']*)'\s*\]"
 STIX_TYPES = {"ipv4-addr": "ip", "ipv6-addr": "ip", "domain-name": "domain", "url": "url", "email-addr": "email", "file": "hash"}

@@ -1,6 +1,8 @@
 """Structured Streaming forms of the batch operators.
 
-Watermarks bound every state. ``event_time`` is the event's ts as a timestamp; rows later than the watermark
+Watermarks bound the state of windows and of duplicates; keyed processors give up a key that has been idle for
+``ttl_s`` seconds of processing time. A query with an available-now trigger sets it to None: with a time to live
+Spark would go on waiting for state to expire, and such a query keeps no state beyond its run. ``event_time`` is the event's ts as a timestamp; rows later than the watermark
 are told apart by :func:`split_late`, written to a table of their own, and mark their hour for
 :func:`secspark.operators.rollups.refresh_rollup`.
 """
@@ -16,6 +18,8 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from secspark.operators.normalize import match_iocs
 
+#: Processing time after which an idle key's state is given up: 30 days.
+TTL_S = 30 * 86400
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -57,6 +61,28 @@ def split_late(batch: DataFrame, watermark: int) -> tuple[DataFrame, DataFrame]:
     return batch.where(~late), batch.where(late)
 
 
+def split_late_stream(events: DataFrame, late_s: int, on_time: str, late: str, checkpoint: str) -> DataStreamWriter:
+    """Rows older than the watermark when their batch begins go to the table ``late``, the others to ``on_time``.
+
+    The watermark is the newest ts of all earlier batches less ``late_s``, as Spark's is. It is read from the tables,
+    so a restarted query goes on with it; the batch number in each row lets a repeated batch replace its own rows.
+    """
+
+    def newest(spark: SparkSession, n: int) -> int | None:
+        if n == 0:
+            return None
+        found = [spark.read.schema("ts long, batch int").parquet(p).where(F.col("batch") < n).agg(F.max("ts")).first()[0] for p in (on_time, late)]
+        return max((x for x in found if x is not None), default=None)
+
+    def step(df: DataFrame, n: int) -> None:
+        seen = newest(df.sparkSession, n)
+        fresh, old = split_late(df, seen - late_s) if seen is not None else (df, df.where("false"))
+        for rows, path in ((fresh, on_time), (old, late)):
+            rows.withColumn("batch", F.lit(n)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
+
+
 # T5
 def dedup_stream(events: DataFrame, within: str = "1 day") -> DataFrame:
     """One row for each (host, dedup) inside the watermark; rows without a key pass under a key of their own."""
@@ -72,11 +98,11 @@ def _sorted_rows(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 class SequenceProcessor(StatefulProcessor):
     """Ordered steps by key: state is the step reached, its hits so far, the anchor, and the time it began."""
 
-    def __init__(self, counts: list[int], window_s: int):
-        self.counts, self.window_s = counts, window_s
+    def __init__(self, counts: list[int], window_s: int, ttl_s: int | None):
+        self.counts, self.window_s, self.ttl_s = counts, window_s, ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("progress", "step int, hits int, began long")
+        self.state = handle.getValueState("progress", "step int, hits int, began long", self.ttl_s and self.ttl_s * 1000)
 
     def handleInputRows(self, key, rows, timers):
         step, hits, began = self.state.get() if self.state.exists() else (0, 0, 0)
@@ -100,21 +126,21 @@ class SequenceProcessor(StatefulProcessor):
         pass
 
 
-def correlate_stream(events: DataFrame, steps: list[tuple[Column, int]], key: str, window_s: int) -> DataFrame:
+def correlate_stream(events: DataFrame, steps: list[tuple[Column, int]], key: str, window_s: int, ttl_s: int | None = TTL_S) -> DataFrame:
     """key, completed whenever an entity's events satisfy the steps in order within the window."""
     numbered = F.filter(F.array(*[F.when(p, F.lit(i)) for i, (p, _) in enumerate(steps)]), lambda x: x.isNotNull())
     rows = events.select(F.col(key).cast("string").alias("key"), "ts", numbered.alias("steps")).where((F.size("steps") > 0) & F.col("key").isNotNull())
-    return rows.groupBy("key").transformWithStateInPandas(SequenceProcessor([n for _, n in steps], window_s), "key string, completed long", "Append", "None")
+    return rows.groupBy("key").transformWithStateInPandas(SequenceProcessor([n for _, n in steps], window_s, ttl_s), "key string, completed long", "Append", "ProcessingTime" if ttl_s else "None")
 
 
 class ThrottleProcessor(StatefulProcessor):
     """Lets a key through once in a window."""
 
-    def __init__(self, window_s: int):
-        self.window_s = window_s
+    def __init__(self, window_s: int, ttl_s: int | None):
+        self.window_s, self.ttl_s = window_s, ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "ts long")
+        self.state = handle.getValueState("last", "ts long", self.ttl_s and self.ttl_s * 1000)
 
     def handleInputRows(self, key, rows, timers):
         last = self.state.get()[0] if self.state.exists() else None
@@ -132,21 +158,24 @@ class ThrottleProcessor(StatefulProcessor):
         pass
 
 
-def throttle_stream(units: DataFrame, window_s: int) -> DataFrame:
+def throttle_stream(units: DataFrame, window_s: int, ttl_s: int | None = TTL_S) -> DataFrame:
     """key, ts of the units that may fire."""
-    return units.select(F.col("key").cast("string").alias("key"), "ts").groupBy("key").transformWithStateInPandas(ThrottleProcessor(window_s), "key string, ts long", "Append", "None")
+    return units.select(F.col("key").cast("string").alias("key"), "ts").groupBy("key").transformWithStateInPandas(ThrottleProcessor(window_s, ttl_s), "key string, ts long", "Append", "ProcessingTime" if ttl_s else "None")
 
 
 class SnapshotProcessor(StatefulProcessor):
     """Passes a state on when its hash changes."""
 
+    def __init__(self, ttl_s: int | None):
+        self.ttl_s = ttl_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("hash", "hash string")
+        self.state = handle.getValueState("hash", "hash string", self.ttl_s and self.ttl_s * 1000)
 
     def handleInputRows(self, key, rows, timers):
         last = self.state.get()[0] if self.state.exists() else None
         out = []
-        for ts, value in _sorted_rows(rows, ["ts"])[["ts", "hash"]].itertuples(index=False):
+        for ts, value in _sorted_rows(rows, ["ts", "hash"])[["ts", "hash"]].itertuples(index=False):
             if value != last:
                 out.append({"kind": key[0], "host": key[1], "ts": ts, "hash": value})
                 last = value
@@ -158,9 +187,9 @@ class SnapshotProcessor(StatefulProcessor):
         pass
 
 
-def snapshot_changes(snapshots: DataFrame) -> DataFrame:
+def snapshot_changes(snapshots: DataFrame, ttl_s: int | None = TTL_S) -> DataFrame:
     """kind, host, ts, hash whenever the state of a host changes."""
-    return snapshots.select("kind", "host", "ts", "hash").groupBy("kind", "host").transformWithStateInPandas(SnapshotProcessor(), "kind string, host string, ts long, hash string", "Append", "None")
+    return snapshots.select("kind", "host", "ts", "hash").groupBy("kind", "host").transformWithStateInPandas(SnapshotProcessor(ttl_s), "kind string, host string, ts long, hash string", "Append", "ProcessingTime" if ttl_s else "None")
 
 
 # T7
