@@ -18,7 +18,8 @@ def test_matches_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(registry.ORACLES) == set(registry.QUERIES)
+    # the sequence processor's restarts have no SQL: tests/test_streaming.py holds it against expected completions
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"t6_correlate_stream"}
 
 
 def test_entry(spark):

@@ -82,7 +82,7 @@ def test_object_audit(spark, tmp_path):
     rec = lambda api, **k: json.dumps({"api": {"name": api, "bucket": k.pop("bucket", "backups"), "object": "o", "statusCode": 204}, "time": "2024-01-10T00:00:00.5Z", "remotehost": "[::1]", **k})
     p = files(tmp_path, "\n".join([rec("DeleteObject", requestID="r1", requestQuery={"versionId": "v"}), rec("GetObject"), rec("ListObjects"), rec("PutObject", bucket="other"), rec("PutObject", bucket="")]))
     got = sorted((r["severity"], r["dedup"], r["src_ip"], r["ts"]) for r in one(R.read_object_audit(spark, p, ["backups"])))
-    assert got == [(3, "objectaudit-GetObject-backups-o", "::1", 1704844800), (4, "objectaudit-r1", "::1", 1704844800)]
+    assert got == [(3, "minioaudit-GetObject-backups-o", "::1", 1704844800), (4, "minioaudit-r1", "::1", 1704844800)]
 
 
 def test_stix(spark, tmp_path):

@@ -63,7 +63,7 @@ def test_dedup(spark, landed):
 def test_sequence(spark, landed):
     df, tmp = landed
     steps = [(F.col("action") == "failure", 3), (F.col("action") == "success", 1)]
-    got = drain(T.correlate_stream(events(spark, tmp), steps, "host", 10**6), tmp, "sequence")
+    got = drain(T.correlate_stream(events(spark, tmp), steps, "host", 10**6, None), tmp, "sequence")
     want = []
     for h in sorted({r["host"] for r in df.collect()}):
         fails = 0
@@ -78,12 +78,12 @@ def test_sequence(spark, landed):
 
 def test_throttle_and_snapshots(spark, landed):
     df, tmp = landed
-    got = drain(T.throttle_stream(events(spark, tmp).select(F.col("host").alias("key"), "ts"), 5000), tmp, "throttle")
+    got = drain(T.throttle_stream(events(spark, tmp).select(F.col("host").alias("key"), "ts"), 5000, None), tmp, "throttle")
     for h in {k for k, _ in got}:
         t = sorted(x for k, x in got if k == h)
         assert all(b - a >= 5000 for a, b in zip(t, t[1:])) and len(t) > 3
     snaps = events(spark, tmp).select(F.lit("state").alias("kind"), "host", "ts", F.col("action").alias("hash"))
-    got = drain(T.snapshot_changes(snaps), tmp, "snaps")
+    got = drain(T.snapshot_changes(snaps, None), tmp, "snaps")
     want = capture_snapshots(df.select("id", "ts", F.lit("state").alias("kind"), "host", F.col("action").alias("hash")))
     assert sorted(got) == sorted((r["kind"], r["host"], r["ts"], r["hash"]) for r in want.collect())
 
