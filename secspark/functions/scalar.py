@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has: for columns of an operator's own."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def if_(condition: Column, then, other) -> Column:
     """``then`` where the condition is true; a null condition counts as false."""
     return F.when(condition, then).otherwise(other)

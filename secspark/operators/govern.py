@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from secspark.functions.scalar import unused
 from secspark.model import DEFAULT_ENV
 
 FLOOR_DAYS, CEILING_DAYS, DAY = 7, 3650, 86400
@@ -99,7 +100,8 @@ def retain(df: DataFrame, policies: dict[str, int], global_days: int, holds: Dat
 def cap_rows(df: DataFrame, n: int) -> DataFrame:
     """Newest ``n`` rows of each environment."""
     rank = F.row_number().over(Window.partitionBy("env_id").orderBy(F.desc("ts"), F.desc("id")))
-    return df.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n")
+    name = unused(df, "_n")
+    return df.withColumn(name, rank).where(F.col(name) <= n).drop(name)
 
 
 def cap_bytes(df: DataFrame, n: int, size: Column) -> DataFrame:
@@ -108,14 +110,17 @@ def cap_bytes(df: DataFrame, n: int, size: Column) -> DataFrame:
     Bytes are first summed by environment and hour; only rows of the hours around the limit are ordered, so
     no environment has to pass through one task row by row.
     """
-    rows = df.withColumn("_size", size.cast("long")).withColumn("_hour", F.floor(F.col("ts") / 3600))
-    hours = rows.groupBy("env_id", "_hour").agg(F.sum("_size").alias("_h"))
-    newer = Window.partitionBy("env_id").orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.withColumn("_before", F.coalesce(F.sum("_h").over(newer), F.lit(0))).where(F.col("_before") <= n)
-    inside = rows.join(hours, ["env_id", "_hour"])
-    w = Window.partitionBy("env_id", "_hour").orderBy(F.desc("ts"), F.desc("id"))
-    running = F.col("_before") + F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("_run", running).where(F.col("_run") <= n).drop("_run", "_before", "_h", "_size", "_hour")
+    columns = [F.col(f"`{c}`").alias(c) for c in df.columns]
+    # a struct is never null, so rows without an environment are capped among themselves
+    at = F.struct("env_id", F.floor(F.col("ts") / 3600).alias("hour"))
+    rows = df.select(F.struct(*columns).alias("row"), at.alias("at"), "ts", "id", size.cast("long").alias("size"))
+    newer = Window.partitionBy("of.env_id").orderBy(F.desc("of.hour")).rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy(F.col("at").alias("of")).agg(F.sum("size").alias("held"))
+    hours = hours.withColumn("before", F.coalesce(F.sum("held").over(newer), F.lit(0))).where(F.col("before") <= n)
+    inside = rows.join(hours, F.col("at") == F.col("of"))
+    w = Window.partitionBy("at").orderBy(F.desc("ts"), F.desc("id"))
+    running = F.col("before") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("running", running).where(F.col("running") <= n).select("row.*")
 
 
 def _scope(scope: dict) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from secspark.functions.predicates import all_of, any_of, java_pattern, octet_prefix
+from secspark.functions.scalar import unused
 from secspark.model import DEFAULT_ENV, RESERVED_SOURCE
 from secspark.vocabulary import CATEGORIES, MODEL_VERSION
 
@@ -335,20 +336,22 @@ def sample_every_n(df: DataFrame, n: int, *keys: str) -> DataFrame:
     Rows are numbered inside each hour and the rows of earlier hours added, so that a busy key, or no key at
     all, never puts all rows into one task.
     """
-    rows = df.withColumn("_hour", F.floor(F.col("ts") / 3600))
-    before = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys, "_hour").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_hour").alias("_h"), "_before")
-    number = F.row_number().over(Window.partitionBy(*keys, "_hour").orderBy("ts", "id"))
-    on = all_of([F.col("_hour").eqNullSafe(F.col("_h")), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]])
-    out = rows.withColumn("_n", number).join(offsets, on).where((F.col("_n") + F.col("_before")) % n == (1 % n))
-    return out.select(*df.columns)
+    columns = [F.col(f"`{c}`").alias(c) for c in df.columns]
+    rows = df.select(F.struct(*columns).alias("row"), F.struct(*keys, F.floor(F.col("ts") / 3600).alias("_hour")).alias("at"), "ts", "id")
+    key, hour = [F.col("at").getField(k) for k in keys], F.col("at._hour")
+    before = Window.partitionBy(*key).orderBy(hour).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("at").agg(F.count("*").alias("held"))
+    offsets = counts.select(F.col("at").alias("of"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("at").orderBy("ts", "id"))
+    out = rows.withColumn("number", number).join(offsets, F.col("at") == F.col("of"))  # a struct is never null, so null keys meet
+    return out.where((F.col("number") + F.col("before")) % n == (1 % n)).select("row.*")
 
 
 def dedup_events(df: DataFrame) -> DataFrame:
     """First row by ts, id of each (host, dedup); rows without a dedup key all stay."""
     w = Window.partitionBy("host", "dedup").orderBy("ts", "id")
-    keyed = df.where(F.col("dedup").isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    n = unused(df, "_n")
+    keyed = df.where(F.col("dedup").isNotNull()).withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
     return df.where(F.col("dedup").isNull()).unionByName(keyed)
 
 

@@ -106,7 +106,7 @@ def merge_rollup_raw(rollup: DataFrame, df: DataFrame, by: list[str], start: int
     """Exact counts by source and/or severity in [start, end]: whole rolled hours, raw head and tail, and late rows.
 
     The four parts are disjoint: rows of rolled hours that the rollup doesn't know yet have an id beyond
-    ``covered_id``.
+    ``covered_id``. Head, tail and late rows come from one scan; without a whole hour all rows are head or tail.
     """
     if not set(by) <= {"source", "severity"}:
         raise ValueError("only source and severity are exact in the rollup")
@@ -114,13 +114,9 @@ def merge_rollup_raw(rollup: DataFrame, df: DataFrame, by: list[str], start: int
     hi = max(lo, hi)
     body = rollup.where((F.col("bucket") >= lo) & (F.col("bucket") < hi)).select(*by, "n")
     one = F.lit(1).cast("long").alias("n")
-    raw = df.where(F.col("ts").between(start, end))
-    head = raw.where(F.col("ts") < lo).select(*by, one)
-    tail = raw.where(F.col("ts") >= hi).select(*by, one)
-    late = raw.where((F.col("ts") >= lo) & (F.col("ts") < hi) & (F.col("id") > covered_id)).select(*by, one)
-    if lo >= hi:  # no whole hour: head and tail would overlap
-        return raw.groupBy(*by).agg(F.count("*").alias("count"))
-    return body.unionByName(head).unionByName(tail).unionByName(late).groupBy(*by).agg(F.sum("n").alias("count"))
+    outside = (F.col("ts") < lo) | (F.col("ts") >= hi)
+    raw = df.where(F.col("ts").between(start, end) & (outside | (F.col("id") > covered_id))).select(*by, one)
+    return body.unionByName(raw).groupBy(*by).agg(F.sum("n").alias("count"))
 
 
 def missing_bands(covered: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:

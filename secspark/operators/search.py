@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from secspark.functions import predicates as P
-from secspark.functions.scalar import bucket
+from secspark.functions.scalar import bucket, unused
 from secspark.model import DEFAULT_ENV, SEVERITY_NAMES
 
 # Aliases of field names in the search bar.
@@ -142,8 +142,9 @@ class Search:
         order = [*self.order, F.col("id")] if self.order else [F.col("id")]
 
         def step(d: DataFrame) -> DataFrame:
-            n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-            return d.withColumn("_n", n).where("_n = 1").drop("_n")  # Spark keeps one row a key in each task before it shuffles
+            n = unused(d, "_n")
+            first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+            return d.withColumn(n, first).where(F.col(n) == 1).drop(n)  # Spark keeps one row a key in each task before it shuffles
 
         return self._then("dedup", step)
 
@@ -222,7 +223,7 @@ def metric(df: DataFrame, name: str, by: list[str] = (), start: int = 0, end: in
     tests = [F.col("name") == name] + ([F.col("ts") >= start] if start else []) + ([F.col("ts") <= end] if end else [])
     out = df.where(P.all_of(tests))
     if by:
-        out = out.withColumn("_l", F.from_json("labels", "map<string,string>")).withColumns({k: F.col("_l")[k] for k in by}).drop("_l")
+        out = out.withColumns({k: F.from_json("labels", "map<string,string>")[k] for k in by})
     return out
 
 

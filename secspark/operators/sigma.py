@@ -61,47 +61,40 @@ def _selection(body, columns) -> Column:
     return any_of([F.coalesce(F.col("message").ilike(f"%{_wild(str(x))}%"), F.lit(False)) for x in body])
 
 
-def _tokens(condition: str) -> list[str]:
-    return re.findall(r"\(|\)|[\w*]+", condition)
-
-
-def _condition(tokens: list[str], found: dict[str, Column]) -> Column:
-    """Recursive descent over and, or, not, parentheses, ``all of x*`` and ``1 of x*``."""
-
-    def atom() -> Column:
-        t = tokens.pop(0)
-        if t == "(":
-            c = either()
-            tokens.pop(0)
-            return c
-        if t.lower() == "not":
-            return ~atom()
-        if t.lower() in ("all", "1", "any") and tokens and tokens[0].lower() == "of":
-            tokens.pop(0)
-            name = tokens.pop(0)
-            names = [k for k in found if name == "them" or re.fullmatch(name.replace("*", ".*"), k)]
-            if not names:
-                raise ValueError(f"no selection named {name}")
-            return (all_of if t.lower() == "all" else any_of)([found[k] for k in names])
-        return found[t]
-
-    def both() -> Column:
-        c = atom()
-        while tokens and tokens[0].lower() == "and":
-            tokens.pop(0)
-            c &= atom()
-        return c
-
-    def either() -> Column:
-        c = both()
-        while tokens and tokens[0].lower() == "or":
-            tokens.pop(0)
-            c |= both()
-        return c
-
-    out = either()
-    if tokens:
-        raise ValueError(f"left over in condition: {' '.join(tokens)}")
+_TOKEN = re.compile(r"\b(?P<how>all|any|1)\s+of\s+(?P<names>[\w*]+)|(?P<word>[\w*]+)|(?P<mark>[()])|\s+|(?P<other>.)", re.I)
+_SIGNS = {"and": "&", "or": "|", "not": "~"}
+
+
+def _condition(condition: str, found: dict[str, Column]) -> Column:
+    """and, or, not, parentheses, ``all of x*`` and ``1 of x*`` over the selections.
+
+    Each word becomes a sign or a named predicate, whose signs Python binds as tightly as a condition's words.
+    """
+    parts: dict[str, Column] = {}
+
+    def sign(m: re.Match) -> str:
+        if m["other"]:
+            raise ValueError(f"no part of a condition: {m['other']}")
+        word = m["word"]
+        if word and word.lower() in _SIGNS:
+            return _SIGNS[word.lower()]
+        if not word and not m["names"]:
+            return m[0]
+        wanted = word or m["names"]
+        names = [k for k in found if k == wanted or m["names"] and (wanted == "them" or re.fullmatch(wanted.replace("*", ".*"), k))]
+        if not names:
+            raise ValueError(f"no selection named {wanted}")
+        name = f"p{len(parts)}"
+        parts[name] = (all_of if (m["how"] or "").lower() == "all" else any_of)([found[k] for k in names])
+        return name
+
+    signs = " ".join(_TOKEN.sub(sign, condition).split())  # p0, p1, ... and & | ~ ( ) only
+    try:
+        out = eval(signs, {"__builtins__": {}}, parts)
+    except (SyntaxError, TypeError) as e:
+        raise ValueError(f"not a condition: {condition}") from e
+    if not isinstance(out, Column):
+        raise ValueError(f"not a condition: {condition}")
     return out
 
 
@@ -109,7 +102,7 @@ def sigma_predicate(doc: dict, columns=COLUMNS) -> Column:
     """The detection of a rule as one predicate; its log source narrows the category."""
     d = doc["detection"]
     found = {k: _selection(v, columns) for k, v in d.items() if k not in ("condition", "timeframe")}
-    out = _condition(_tokens(d["condition"]), found)
+    out = _condition(d["condition"], found)
     category = LOGSOURCE_CATEGORY.get(doc.get("logsource", {}).get("category", ""))
     if category and "category" in columns:
         from secspark.functions.predicates import category as with_aliases

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from secspark.functions.scalar import unused
 from secspark.operators.normalize import match_iocs
 
 #: Processing time after which an idle key's state is given up: 30 days.
@@ -87,7 +88,8 @@ def split_late_stream(events: DataFrame, late_s: int, on_time: str, late: str, c
 def dedup_stream(events: DataFrame, within: str = "1 day") -> DataFrame:
     """One row for each (host, dedup) inside the watermark; rows without a key pass under a key of their own."""
     key = F.coalesce(F.concat(F.length(F.coalesce("host", F.lit(""))).cast("string"), F.lit(":"), F.coalesce("host", F.lit("")), F.lit(":"), "dedup"), F.concat(F.lit("id:"), F.col("id").cast("string")))
-    return events.withColumn("_key", key).withWatermark("event_time", within).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    name = unused(events, "_key")
+    return events.withColumn(name, key).withWatermark("event_time", within).dropDuplicatesWithinWatermark([name]).drop(name)
 
 
 # T6

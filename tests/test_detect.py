@@ -9,7 +9,8 @@ from secspark.operators import panels as N
 from secspark.operators import risk as K
 from secspark.operators import rollups as R
 from secspark.operators import sigma as S
-from secspark.operators.normalize import match_iocs, sample_every_n
+from secspark.operators.normalize import dedup_events, match_iocs, sample_every_n
+from secspark.operators.search import Search
 
 EV = "id long, ts long, source string, severity int, action string, host string, src_ip string, fields string"
 
@@ -182,6 +183,49 @@ def test_sigma_forms(spark):
         S.sigma_predicate({"detection": {"a": {"x": 1}, "condition": "all of z*"}}, [])
 
 
+@pytest.mark.parametrize(
+    "condition,want",
+    [
+        ("not sel_a and sel_b or other", lambda a, b, c: (not a and b) or c),
+        ("sel_a or sel_b and not other", lambda a, b, c: a or (b and not c)),
+        ("not (sel_a or sel_b)", lambda a, b, c: not (a or b)),
+        ("1 of sel_* and not other", lambda a, b, c: (a or b) and not c),
+        ("NOT All OF sel_*", lambda a, b, c: not (a and b)),
+        ("all of them", lambda a, b, c: a and b and c),
+        ("any of them", lambda a, b, c: a or b or c),
+    ],
+)
+def test_sigma_conditions(spark, condition, want):
+    rows = [(i, "x", "".join(w for k, w in enumerate(("aa", "bb", "cc")) if i >> k & 1)) for i in range(8)]
+    df = spark.createDataFrame(rows, "id int, category string, message string")
+    rule = {"detection": {"sel_a": ["aa"], "sel_b": ["bb"], "other": ["cc"], "condition": condition}}
+    assert [r["id"] for r in df.where(S.sigma_predicate(rule, df.columns)).orderBy("id").collect()] == [i for i in range(8) if want(i & 1, i & 2, i & 4)]
+
+
+@pytest.mark.parametrize("condition", ["a and", "a a", "()", "(a)(a)", "", "b", "a | count() > 5", "__import__", "1 of b*", "not"])
+def test_sigma_conditions_that_are_none(spark, condition):
+    with pytest.raises(ValueError):
+        S.sigma_predicate({"detection": {"a": ["x"], "condition": condition}}, [])
+
+
+def test_columns_named_like_internals(spark):
+    """A caller's columns keep their values, whatever they are called."""
+    rows = [(i, 1000 * i, f"h{i % 3}", f"d{i % 4}" if i % 5 else None, None if i % 7 else "lab", i, -i, i * 2, f"r{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, ts long, host string, dedup string, env_id string, _n long, _hour long, _before long, _N_ string")
+    whole = {r["id"]: r for r in df.collect()}
+    for out in (dedup_events(df), sample_every_n(df, 3, "dedup"), G.cap_rows(df, 5), G.cap_bytes(df, 60, F.lit(10)), Search(df).dedup("dedup").df):
+        got = out.collect()
+        assert out.columns == df.columns and 0 < len(got) < 40 and all(r == whole[r["id"]] for r in got)
+    seen, want = {}, []
+    for r in rows:
+        seen[r[3]] = seen.get(r[3], 0) + 1
+        if seen[r[3]] % 3 == 1:
+            want.append(r[0])
+    assert sorted(r["id"] for r in sample_every_n(df, 3, "dedup").collect()) == want
+    newest = {e: sorted((r[0] for r in rows if r[4] == e), reverse=True)[:6] for e in (None, "lab")}
+    assert sorted(r["id"] for r in G.cap_bytes(df, 60, F.lit(10)).collect()) == sorted(newest[None] + newest["lab"])
+
+
 def test_iocs_first_hit(spark):
     df = spark.createDataFrame([(1, None, "9.9.9.9", None, '{"md5":"AA"}'), (2, " 1.1.1.1", "9.9.9.9", None, None), (3, None, None, None, None)], "id long, src_ip string, dst_ip string, url string, fields string")
     iocs = spark.createDataFrame([("ip", "9.9.9.9", "f", 10, 1, 0), ("hash", "aa", "f", 20, 2, 0), ("ip", "1.1.1.1", "f", 30, 3, 5), ("ip", "1.1.1.1", "g", 40, 3, 500)], "type string, value string, source string, confidence int, severity int, expires long")
