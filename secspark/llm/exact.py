@@ -59,7 +59,8 @@ def duplicate_groups(docs: DataFrame, keep: str = "max", id_col: str = "doc_id",
 
 def exact_dedup(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: one for each text."""
-    groups = save(merge_runs(digests(docs, id_col, text_col), keep), "runs").select(*_KEY, "keep_id")
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), *_digest(text_or_empty(text_col)))
-    same = [left[c] == groups[c] for c in _KEY] + [left["doc_id"].eqNullSafe(groups["keep_id"])]
-    return left.join(groups, same, "left_semi").dropDuplicates(_KEY).select("row.*")
+    # ids in a struct: null ids are equal there, so that join and dropDuplicates share one exchange of whole rows
+    stays = [*_KEY, "id"]
+    groups = save(merge_runs(digests(docs, id_col, text_col), keep), "runs").select(*_KEY, F.struct(F.col("keep_id").alias("id")).alias("id"))
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col(id_col).alias("id")).alias("id"), *_digest(text_or_empty(text_col)))
+    return left.join(groups, stays, "left_semi").dropDuplicates(stays).select("row.*")
