@@ -29,7 +29,8 @@ _KEY = ["digest", "n_bytes", "h2"]
 
 
 def _digest(text: Column) -> list[Column]:
-    return [F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).alias("n_bytes"), F.xxhash64(text).alias("h2")]
+    # never null, and declared so: Spark would hash every text once more to filter null keys before a join
+    return [F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"")).alias("digest"), F.octet_length(text).alias("n_bytes"), F.xxhash64(text).alias("h2")]
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
