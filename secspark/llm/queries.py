@@ -15,6 +15,7 @@ from .lines import drop_boilerplate
 from .media import document_media
 from .minhash import near_duplicates
 from .mixing import mix_blocks
+from .phrases import mine_phrases
 from .repair import read_documents, write_shards
 from .sharding import shard_documents
 from .substring import substring_dedup
@@ -64,7 +65,11 @@ def op10_repair_tokens(spark: SparkSession, sf_dir: str, path: str = public_toke
     return read_documents(write_shards(table(spark, sf_dir, "documents"), path, end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_media_sequences, op3_exact_dedup, op4_bpe_tree, op5_line_dedup, op6_minhash_near_dedup, op7_pfair_mixing, op8_language_id, op9_virtual_slots, op10_repair_tokens)}
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_media_sequences, op3_exact_dedup, op4_bpe_tree, op5_line_dedup, op6_minhash_near_dedup, op7_pfair_mixing, op8_language_id, op9_virtual_slots, op10_repair_tokens, op12_phrase_mining)}
 
 ORACLES = {
     "op1_substring_dedup": r"""
@@ -114,4 +119,5 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
     "op5_line_dedup": sql.LINES,
     "op7_pfair_mixing": sql.MIXING,
     "op9_virtual_slots": sql.SHARDS,
+    "op12_phrase_mining": sql.PHRASES,
 }

@@ -93,3 +93,35 @@ WITH RECURSIVE crc AS (
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, base + row_number() OVER (PARTITION BY vslot ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard, vslot
 FROM slotted JOIN map USING (vslot)
 """
+
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece
+  FROM documents
+), ws AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM ws GROUP BY lang
+), starts AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM ws, (VALUES (1), (2), (3), (4)) t (k) WHERE len(w) >= k
+), counts AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS phrase FROM starts) GROUP BY ALL
+), candidates AS (
+  SELECT lang, k, phrase, f FROM counts WHERE k >= 2 AND f >= 30
+), cuts AS (
+  SELECT lang, k, phrase, f, c, array_to_string(list_slice(string_split(phrase, ' '), 1, c), ' ') AS head, array_to_string(list_slice(string_split(phrase, ' '), c + 1, k), ' ') AS rest
+  FROM candidates, (VALUES (1), (2), (3)) t (c) WHERE c < k
+), scored AS (
+  SELECT x.lang, x.k, x.phrase, x.f AS a, x.c, a.f AS l, b.f AS r, (2000000::HUGEINT * x.f // (a.f + b.f))::BIGINT AS score
+  FROM cuts x JOIN counts a ON a.lang = x.lang AND a.phrase = x.head JOIN counts b ON b.lang = x.lang AND b.phrase = x.rest
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), stay AS (
+  SELECT * FROM lowest x WHERE NOT EXISTS (
+    SELECT 1 FROM candidates y
+    WHERE y.lang = x.lang AND y.k > x.k AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100::HUGEINT * y.f >= 80 * x.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM stay JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
