@@ -42,7 +42,8 @@ LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
 #: Rank, in multiples of ``top``, of the pair whose score is the first floor, and the factor of each further wave.
 FIRST_RANK, STEP = 2, 4
 #: Bytes of text in a stretch, and bits of the filter that the tasks get.
-STRETCH, FILTER_BITS = 4 << 20, 1 << 26
+STRETCH, FILTER_BITS = 2 << 20, 1 << 26
+_ROWS = 1 << 16  # of a batch of phrases
 _PROBES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _GRAM = 0x9FB21C651E98DF25
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -175,8 +176,8 @@ def _count(n: int, words=None, prefixes=None, suffixes=None, wholes=None):
 
     def run(batches):
         for b in batches:
-            for lang, names, ids, own in zip(b["lang"].to_pylist(), b["words"], b["ids"].to_pylist(), b["own"].to_pylist()):
-                names, ids = names.values, np.frombuffer(ids, dtype="<i4")
+            for lang, names, ids, own in zip(b["lang"].to_pylist(), b["words"], b["ids"], b["own"].to_pylist()):
+                names, ids = names.values, np.frombuffer(ids.as_buffer(), dtype="<i4")
                 hashes = Words(names).hashes
                 some = np.append(hashes, np.uint64(0))[ids]  # a break takes the last
                 fit = ids >= 0
@@ -204,10 +205,12 @@ def _count(n: int, words=None, prefixes=None, suffixes=None, wholes=None):
                     code = code * len(names) + ids[at + j]
                 _, first, count = np.unique(code, return_index=True, return_counts=True)
                 first = at[first]
-                phrase = names.take(pa.array(ids[first]))
-                for j in range(1, n):
-                    phrase = pc.binary_join_element_wise(phrase, names.take(pa.array(ids[first + j])), " ")
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(first), np.int32))), phrase, pa.array(count)], names=["lang", "phrase", "f"])
+                for i in range(0, len(first), _ROWS):
+                    some, number = first[i : i + _ROWS], count[i : i + _ROWS]
+                    phrase = names.take(pa.array(ids[some]))
+                    for j in range(1, n):
+                        phrase = pc.binary_join_element_wise(phrase, names.take(pa.array(ids[some + j])), " ")
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), phrase, pa.array(number)], names=["lang", "phrase", "f"])
 
     return run
 

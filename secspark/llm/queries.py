@@ -10,11 +10,13 @@ from . import sql
 from .bpe import token_digests
 from .common import table
 from .exact import duplicate_groups
+from .innerproducts import top_products
 from .langid import predict_languages
 from .lines import drop_boilerplate
 from .media import document_media
 from .minhash import near_duplicates
 from .mixing import mix_blocks
+from .negatives import hard_negatives
 from .phrases import mine_phrases
 from .repair import read_documents, write_shards
 from .sharding import shard_documents
@@ -65,11 +67,20 @@ def op10_repair_tokens(spark: SparkSession, sf_dir: str, path: str = public_toke
     return read_documents(write_shards(table(spark, sf_dir, "documents"), path, end_id=2))
 
 
+def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), modulus=50, k=5)
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_media_sequences, op3_exact_dedup, op4_bpe_tree, op5_line_dedup, op6_minhash_near_dedup, op7_pfair_mixing, op8_language_id, op9_virtual_slots, op10_repair_tokens, op12_phrase_mining)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), modulus=100, label=label)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_media_sequences, op3_exact_dedup, op4_bpe_tree, op5_line_dedup, op6_minhash_near_dedup, op7_pfair_mixing, op8_language_id, op9_virtual_slots, op10_repair_tokens, op11_top_products, op12_phrase_mining, op13_hard_negatives)}
 
 ORACLES = {
     "op1_substring_dedup": r"""
@@ -119,5 +130,7 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
     "op5_line_dedup": sql.LINES,
     "op7_pfair_mixing": sql.MIXING,
     "op9_virtual_slots": sql.SHARDS,
+    "op11_top_products": sql.TOP_PRODUCTS,
     "op12_phrase_mining": sql.PHRASES,
+    "op13_hard_negatives": sql.NEGATIVES,
 }
