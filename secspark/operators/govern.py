@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from secspark.functions.scalar import unused
 from secspark.model import DEFAULT_ENV
+from secspark.sources import files
 
 FLOOR_DAYS, CEILING_DAYS, DAY = 7, 3650, 86400
+#: A hold over so many days or more stands under one key for all days.
+DAYS = 400
 MASKS = {"deny": 0, "redact": 1, "mask": 2, "hash": 3, "partial": 4}
 
 
@@ -69,32 +74,67 @@ def check_references(referenced: set[str], masks: dict[str, str]) -> None:
         raise PermissionError(f"filter on masked fields: {', '.join(hidden)}")
 
 
+def _under_hold(df: DataFrame, holds: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides of the equi-join of rows and active holds, and its condition.
+
+    A hold stands under its source, or under one key for all sources, and under the days its span touches: up to ``DAYS``
+    of them one by one, else one key for all days. A row looks under the four keys that are its own. So rows meet only the
+    holds of their source and day, and the long ones; the exact test comes after.
+    """
+    lo, hi = F.floor(F.col("scope_start_ts") / DAY), F.floor(F.col("scope_end_ts") / DAY)
+    some = lo.isNotNull() & hi.isNotNull() & (hi - lo < DAYS)
+    days = F.when(some, F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))).otherwise(F.array(F.lit(None).cast("long")))
+    keyed = holds.where(F.coalesce(F.col("active"), F.lit(False))).select("scope_source", "scope_start_ts", "scope_end_ts", F.explode(days).alias("_day"))
+    keyed = keyed.withColumn("_key", F.concat_ws("|", F.coalesce(F.concat(F.lit("="), "scope_source"), F.lit("*")), F.coalesce(F.col("_day").cast("string"), F.lit("*"))))
+    day = F.floor(F.col("ts") / DAY).cast("string")
+    own = [F.concat_ws("|", s, d) for s in (F.lit("*"), F.concat(F.lit("="), "source")) for d in (F.lit("*"), day)]
+    test = (F.col("scope_source").isNull() | F.col("scope_source").eqNullSafe(F.col("source"))) & (F.col("scope_start_ts").isNull() | (F.col("ts") >= F.col("scope_start_ts"))) & (F.col("scope_end_ts").isNull() | (F.col("ts") <= F.col("scope_end_ts")))
+    return own, keyed.select("_key", "scope_source", "scope_start_ts", "scope_end_ts"), test
+
+
+def _split_by_holds(df: DataFrame, holds: DataFrame, how: str) -> DataFrame:
+    """Rows with (left_semi) or without (left_anti) a hold. Rows are not multiplied: each of the four keys is a join of its own."""
+    own, keyed, test = _under_hold(df, holds)
+    if how == "left_anti":
+        for key in own:
+            df = df.join(keyed, (key == F.col("_key")) & test, "left_anti")
+        return df
+    out, rest = None, df
+    for key in own:
+        hit = rest.join(keyed, (key == F.col("_key")) & test, "left_semi")
+        out, rest = hit if out is None else out.unionByName(hit), rest.join(keyed, (key == F.col("_key")) & test, "left_anti")
+    return out
+
+
 def held(df: DataFrame, holds: DataFrame | None) -> DataFrame:
-    """Rows under an active legal hold (scope_source null: every source; open bounds are null). Holds are a small table."""
-    test = F.col("active") & (F.col("scope_source").isNull() | (F.col("scope_source") == F.col("source"))) & (F.col("scope_start_ts").isNull() | (F.col("ts") >= F.col("scope_start_ts"))) & (F.col("scope_end_ts").isNull() | (F.col("ts") <= F.col("scope_end_ts")))
-    return df.join(holds, test, "left_semi")
+    """Rows under an active legal hold (scope_source null: every source; open bounds are null); without readable holds, all.
+
+    A row without a time or source is under the holds that ask for none.
+    """
+    return df if holds is None else _split_by_holds(df, holds, "left_semi")
 
 
 def legal_hold_filter(candidates: DataFrame, holds: DataFrame | None) -> DataFrame:
     """Rows that may be deleted; without readable holds, none."""
-    if holds is None:
-        return candidates.where(F.lit(False))
-    test = F.col("active") & (F.col("scope_source").isNull() | (F.col("scope_source") == F.col("source"))) & (F.col("scope_start_ts").isNull() | (F.col("ts") >= F.col("scope_start_ts"))) & (F.col("scope_end_ts").isNull() | (F.col("ts") <= F.col("scope_end_ts")))
-    return candidates.join(holds, test, "left_anti")
+    return candidates.where(F.lit(False)) if holds is None else _split_by_holds(candidates, holds, "left_anti")
 
 
-def retain(df: DataFrame, policies: dict[str, int], global_days: int, holds: DataFrame | None, now: int, control_sources: list[str] = ()) -> DataFrame:
-    """Rows that stay: inside their environment's limit (days, between floor and ceiling), control rows, held rows."""
+def _expired(df: DataFrame, policies: dict[str, int], global_days: int, now: int, control_sources: list[str]) -> Column:
     clamp = lambda n: min(max(n, FLOOR_DAYS), CEILING_DAYS)
     env = F.coalesce("env_id", F.lit(DEFAULT_ENV)) if "env_id" in df.columns else F.lit(DEFAULT_ENV)
     days = F.lit(clamp(global_days))
     for name, n in sorted(policies.items()):
         days = F.when(env == name, clamp(n)).otherwise(days)
     old = (F.col("ts") < F.lit(now) - days * DAY) & ~F.coalesce(F.col("source").isin(list(control_sources)), F.lit(False))
-    fresh = df.where(~old)
+    return F.coalesce(old, F.lit(False))
+
+
+def retain(df: DataFrame, policies: dict[str, int], global_days: int, holds: DataFrame | None, now: int, control_sources: list[str] = ()) -> DataFrame:
+    """Rows that stay: inside their environment's limit (days, between floor and ceiling), control rows, held rows, rows without a time."""
     if holds is None:
         return df
-    return fresh.unionByName(held(df.where(old), holds))
+    old = _expired(df, policies, global_days, now, control_sources)
+    return df.where(~old).unionByName(held(df.where(old), holds))
 
 
 def cap_rows(df: DataFrame, n: int) -> DataFrame:
@@ -159,8 +199,8 @@ def plan_digest(plan: DataFrame) -> DataFrame:
     return plan.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bit_xor("digest"), F.lit(0)).alias("digest"))
 
 
-def purge_apply(df: DataFrame, scope: dict, digest: tuple[int, int], holds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that stay, hours to rebuild), if the plan still has the digest; held rows stay."""
+def purge_apply(df: DataFrame, scope: dict, digest: tuple[int, int], holds: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, hours to rebuild), if the plan still has the digest; held rows stay, without readable holds all do."""
     now = plan_digest(_purge_counts(df, scope)).first()
     if (now["n"], now["digest"]) != tuple(digest):
         raise RuntimeError("the rows have changed since the plan was made")
@@ -169,6 +209,91 @@ def purge_apply(df: DataFrame, scope: dict, digest: tuple[int, int], holds: Data
     return df.where(~F.coalesce(_scope(scope), F.lit(False))).unionByName(held(df.where(_scope(scope)), holds)), hours
 
 
+PROOF = "files long, rows_before long, rows_gone long, rows_after long, digest_before long, digest_after long"
+
+
+def _row_digest(columns: list[str]) -> list[Column]:
+    return [F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in columns])), F.lit(0)).alias("digest")]
+
+
+def rewrite_without(spark: SparkSession, path: str, schema: str, doomed: Callable[[DataFrame], DataFrame], work: str, partition_by: list[str] = ()) -> DataFrame:
+    """Takes the doomed rows out of a written table; returns the proof, one row.
+
+    ``doomed`` gives the rows that go out of a frame of the table's rows. Only files that hold one are rewritten, in these
+    steps: the rows that stay go to a staged copy in ``work``; their number and digest in the old files must equal those in
+    the staged ones, and with the doomed rows make up the old files; a manifest of the old files and the new ones is
+    written; the new files are moved in, the old ones deleted. A run that breaks off before the manifest has changed
+    nothing; after it, :func:`finish_rewrite` ends it. Readers should wait while files are swapped.
+    """
+    if files.exists(spark, f"{work}/manifest"):
+        raise RuntimeError("an earlier rewrite has not ended: call finish_rewrite")
+    table = spark.read.schema(schema).parquet(path)
+    columns = table.columns
+    named = table.withColumn("_file", F.expr("_metadata.file_path"))
+    root = urlsplit(files.qualified(spark, path)).path + "/"
+    # names of files, not rows; file_path is a URI, and the folders below the root have the partition columns
+    touched = sorted(unquote(urlsplit(r["_file"]).path)[len(root) :] for r in doomed(named).select("_file").distinct().collect())
+    files.delete(spark, f"{work}/staged")
+    empty = spark.createDataFrame([(0, 0, 0, 0, 0, 0)], PROOF)
+    if not touched:
+        return empty
+    read = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{x}" for x in touched])
+    going = doomed(read)
+    before, gone = read.agg(*_row_digest(columns)).first(), going.agg(*_row_digest(columns)).first()
+    keys = read.withColumn("_place", F.struct(F.expr("_metadata.file_path"), F.expr("_metadata.row_index")))
+    lost = doomed(keys).select("_place")
+    stay = keys.join(lost, "_place", "left_anti").drop("_place")
+    stay.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(f"{work}/staged")
+    staged = spark.read.schema(schema).parquet(f"{work}/staged").agg(*_row_digest(columns)).first()
+    if staged["n"] + gone["n"] != before["n"] or staged["digest"] ^ gone["digest"] != before["digest"]:
+        files.delete(spark, f"{work}/staged")
+        raise RuntimeError("the staged rows and the doomed rows don't make up the old files")
+    old = [(x, False) for x in touched]
+    new = [(x, True) for x in files.data_files(spark, f"{work}/staged")]
+    proof = (len(touched), before["n"], gone["n"], staged["n"], before["digest"] ^ gone["digest"], staged["digest"])
+    spark.createDataFrame([proof], PROOF).coalesce(1).write.mode("overwrite").parquet(f"{work}/proof")
+    spark.createDataFrame(old + new, "name string, staged boolean").coalesce(1).write.parquet(f"{work}/manifest")
+    return finish_rewrite(spark, path, work)
+
+
+def finish_rewrite(spark: SparkSession, path: str, work: str) -> DataFrame:
+    """Ends a rewrite from its manifest, as often as it takes; returns the proof."""
+    if files.exists(spark, f"{work}/manifest"):
+        listed = spark.read.schema("name string, staged boolean").parquet(f"{work}/manifest").collect()
+        for r in sorted(x["name"] for x in listed if x["staged"]):
+            files.move(spark, f"{work}/staged/{r}", f"{path}/{r}")
+        for r in sorted(x["name"] for x in listed if not x["staged"]):
+            files.delete(spark, f"{path}/{r}")
+        files.delete(spark, f"{work}/staged")
+        files.delete(spark, f"{work}/manifest")
+    return spark.read.schema(PROOF).parquet(f"{work}/proof")
+
+
+def purge_written(spark: SparkSession, path: str, schema: str, scope: dict, digest: tuple[int, int], holds: DataFrame | None, work: str, partition_by: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(proof, hours to rebuild): a purge of a written table, if its plan still has the digest. Held rows and rows without a time stay."""
+    table = spark.read.schema(schema).parquet(path)
+    now = plan_digest(_purge_counts(table, scope)).first()
+    if (now["n"], now["digest"]) != tuple(digest):
+        raise RuntimeError("the rows have changed since the plan was made")
+    doomed = lambda df: legal_hold_filter(df.where(_scope(scope)), holds)
+    return _rewrite_and_hours(spark, path, schema, doomed, work, partition_by)
+
+
+def retain_written(
+    spark: SparkSession, path: str, schema: str, policies: dict[str, int], global_days: int, holds: DataFrame | None, now: int, control_sources: list[str], work: str, partition_by: list[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(proof, hours to rebuild): :func:`retain` on a written table."""
+    doomed = lambda df: legal_hold_filter(df.where(_expired(df, policies, global_days, now, control_sources)), holds)
+    return _rewrite_and_hours(spark, path, schema, doomed, work, partition_by)
+
+
+def _rewrite_and_hours(spark: SparkSession, path: str, schema: str, doomed: Callable[[DataFrame], DataFrame], work: str, partition_by: list[str]) -> tuple[DataFrame, DataFrame]:
+    going = doomed(spark.read.schema(schema).parquet(path)).select((F.floor(F.col("ts") / 3600) * 3600).alias("bucket")).distinct()
+    going.write.mode("overwrite").parquet(f"{work}/hours")  # before the rows are gone
+    proof = rewrite_without(spark, path, schema, doomed, work, partition_by)
+    return proof, spark.read.schema("bucket long").parquet(f"{work}/hours")
+
+
 def chain_hash(prev: Column) -> Column:
     return F.sha2(F.concat_ws("|", prev, F.col("ts").cast("string"), "kind", "detail"), 256)
 

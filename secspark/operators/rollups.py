@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from secspark.functions.scalar import hour_ceil, hour_floor
 from secspark.model import DEFAULT_ENV
+from secspark.sources import files
 
 HOUR = 3600
 REMAINDER = "!dim"
@@ -82,10 +83,10 @@ def banned_ip(df: DataFrame, label: str = "action") -> DataFrame:
 
 
 def metric_rollup(df: DataFrame, cutoff: int) -> tuple[DataFrame, DataFrame]:
-    """(hourly avg, min, max, n of samples before the cutoff; raw samples from it on)."""
-    old = df.where(F.col("ts") < cutoff)
-    rolled = old.groupBy(hour_floor(F.col("ts")).alias("bucket"), "name", "labels", "host").agg(F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n"))
-    return rolled, df.where(F.col("ts") >= cutoff)
+    """(hourly avg, min, max, n of samples before the cutoff; raw samples from it on, and those without a time)."""
+    old = F.coalesce(F.col("ts") < cutoff, F.lit(False))
+    rolled = df.where(old).groupBy(hour_floor(F.col("ts")).alias("bucket"), "name", "labels", "host").agg(F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n"))
+    return rolled, df.where(~old)
 
 
 def dirty_hours(df: DataFrame, watermark: int, covered_id: int, now: int) -> DataFrame:
@@ -102,11 +103,58 @@ def refresh_rollup(before: DataFrame, df: DataFrame, watermark: int, covered_id:
     return before.join(dirty, "bucket", "left_anti").unionByName(event_rollup(again, **kw))
 
 
+LEDGER = "run long, watermark long, covered_id long, hours long"
+
+
+def covered(spark: SparkSession, ledger: str) -> dict | None:
+    """The newest entry of a refresh ledger: what the written rollup knows; None before the first refresh."""
+    runs = [int(x.partition("=")[2]) for x in files.children(spark, ledger) if x.startswith("run=")]
+    if not runs:
+        return None
+    return spark.read.schema(LEDGER.partition(", ")[2]).parquet(f"{ledger}/run={max(runs)}").first().asDict() | {"run": max(runs)}
+
+
+def refresh_written(df: DataFrame, path: str, ledger: str, now: int, hours: DataFrame | None = None, **kw) -> DataFrame:
+    """Brings a written rollup (one partition an hour) up to date and returns what was rebuilt: bucket, whether rows are left.
+
+    The ledger says up to which id and time the rollup knows the events. Dirty hours are those of rows beyond the covered
+    id, the two hot ones, and ``hours`` (bucket; of late rows or a purge). Only their events are read again, only their
+    partitions are written, and those without a row left are deleted; files of other hours are not touched. The ledger's
+    entry comes last, so a refresh that broke off is done again in full. Rows without a time are in no hour.
+    """
+    spark = df.sparkSession
+    known = covered(spark, ledger) or {"run": -1, "watermark": None, "covered_id": None}
+    at, timed = hour_floor(F.col("ts")), df.where(F.col("ts").isNotNull())
+    new = F.lit(True) if known["covered_id"] is None else F.coalesce(F.col("id") > known["covered_id"], F.lit(True))
+    # one bounded answer: an hour is a few bytes, and a table has 8,766 of them a year
+    fresh = timed.where(new | (F.col("ts") >= (now // HOUR - 1) * HOUR)).groupBy(at.alias("bucket")).agg(F.max("id").alias("id"), F.max("ts").alias("ts")).collect()
+    dirty = sorted({r["bucket"] for r in fresh} | ({r["bucket"] for r in hours.select("bucket").distinct().collect()} if hours is not None else set()))
+    if not dirty:
+        return spark.createDataFrame([], "bucket long, rows boolean")
+    listed = spark.createDataFrame([(x,) for x in dirty], "hour long")
+    # bounds reach the scan; the join leaves the dirty hours of the span
+    again = timed.where(F.col("ts").between(dirty[0], dirty[-1] + HOUR - 1)).join(F.broadcast(listed), at == F.col("hour"), "left_semi")
+    event_rollup(again, **kw).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    full = {r["bucket"] for r in again.select(at.alias("bucket")).distinct().collect()}
+    for x in sorted(set(dirty) - full):
+        files.delete(spark, f"{path}/bucket={x}")
+    reach = lambda k, *more: max((x for x in (known[k], *more) if x is not None), default=None)
+    entry = (reach("watermark", *(r["ts"] for r in fresh)), reach("covered_id", *(r["id"] for r in fresh)), len(dirty))
+    spark.createDataFrame([entry], LEDGER.partition(", ")[2]).coalesce(1).write.mode("overwrite").parquet(f"{ledger}/run={known['run'] + 1}")
+    return spark.createDataFrame([(x, x in full) for x in dirty], "bucket long, rows boolean")
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    schema = "source string, severity int, action string, src_ip string, host string, env_id string, n long, last_ts long, bucket long"
+    return spark.read.schema(schema).parquet(path).select("bucket", "source", "severity", "action", "src_ip", "host", "env_id", "n", "last_ts")
+
+
 def merge_rollup_raw(rollup: DataFrame, df: DataFrame, by: list[str], start: int, end: int, watermark: int, covered_id: int) -> DataFrame:
     """Exact counts by source and/or severity in [start, end]: whole rolled hours, raw head and tail, and late rows.
 
     The four parts are disjoint: rows of rolled hours that the rollup doesn't know yet have an id beyond
-    ``covered_id``. Head, tail and late rows come from one scan; without a whole hour all rows are head or tail.
+    ``covered_id``. Head, tail and late rows come from one scan; without a whole hour all rows are head or tail. A null source or severity is
+    '' or 0, as it is in the rollup, so that one key is one row on both sides of the boundary.
     """
     if not set(by) <= {"source", "severity"}:
         raise ValueError("only source and severity are exact in the rollup")
@@ -115,7 +163,8 @@ def merge_rollup_raw(rollup: DataFrame, df: DataFrame, by: list[str], start: int
     body = rollup.where((F.col("bucket") >= lo) & (F.col("bucket") < hi)).select(*by, "n")
     one = F.lit(1).cast("long").alias("n")
     outside = (F.col("ts") < lo) | (F.col("ts") >= hi)
-    raw = df.where(F.col("ts").between(start, end) & (outside | (F.col("id") > covered_id))).select(*by, one)
+    plain = {"source": F.coalesce("source", F.lit("")).alias("source"), "severity": F.coalesce("severity", F.lit(0)).alias("severity")}
+    raw = df.where(F.col("ts").between(start, end) & (outside | (F.col("id") > covered_id))).select(*[plain[k] for k in by], one)
     return body.unionByName(raw).groupBy(*by).agg(F.sum("n").alias("count"))
 
 

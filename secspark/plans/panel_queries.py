@@ -12,7 +12,7 @@ from secspark.operators import semantic as M
 from secspark.operators import sigma as S
 from secspark.operators.search import Search
 
-from .base import T0, T1, Registry, ev
+from .base import T0, T1, Registry, ev, work_dir
 
 R = Registry()
 AL = """, al AS (SELECT id, ts, source AS rule, severity, 'event ' || id AS title, CASE WHEN id % 3 = 0 THEN 'closed' WHEN id % 3 = 1 THEN 'new' ELSE 'ack' END AS status,
@@ -247,6 +247,32 @@ def _(spark, d):
     return plan.join(few, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("samples", F.coalesce("samples", F.array().cast("array<long>")))
 
 
+def _stored(spark, d: str) -> tuple[str, str]:
+    """The events as a table with one folder a day, and its schema."""
+    path = work_dir(spark, "events")
+    e = ev(spark, d).withColumn("day", F.to_date(F.timestamp_seconds("ts")))
+    e.repartition("day").write.partitionBy("day").parquet(path)
+    return path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in e.schema)
+
+
+@R.add("g06b_purge_apply", f"SELECT id, ts, source, host, fields FROM ev WHERE NOT (host = 'h3' AND ts BETWEEN {T0} AND {T1}) OR source = 'error' OR ts BETWEEN {T0 + 86400} AND {T0 + 172800}")
+def _(spark, d):
+    path, schema = _stored(spark, d)
+    scope = {"host": "h3", "start": T0, "end": T1}
+    plan = G.plan_digest(G.purge_plan(spark.read.schema(schema).parquet(path), scope)).first()
+    holds = spark.createDataFrame([("error", None, None, True), (None, T0 + 86400, T0 + 172800, True), ("click", None, None, False)], "scope_source string, scope_start_ts long, scope_end_ts long, active boolean")
+    G.purge_written(spark, path, schema, scope, tuple(plan), holds, work_dir(spark, "purge"), ["day"])
+    return spark.read.schema(schema).parquet(path).select("id", "ts", "source", "host", "fields")
+
+
+@R.add("g03b_retain_written", f"SELECT id, ts, source FROM ev WHERE NOT (ts < {T1} - 14 * 86400 AND source <> 'signup') OR (source = 'error' AND ts >= {T0})")
+def _(spark, d):
+    path, schema = _stored(spark, d)
+    holds = spark.createDataFrame([("error", T0, None, True)], "scope_source string, scope_start_ts long, scope_end_ts long, active boolean")
+    G.retain_written(spark, path, schema, {}, 14, holds, T1, ["signup"], work_dir(spark, "retain"), ["day"])
+    return spark.read.schema(schema).parquet(path).select("id", "ts", "source")
+
+
 @R.add("g08_verify_chain", "SELECT CAST(42 AS BIGINT) AS first_broken FROM ev LIMIT 1")
 def _(spark, d):
     from pyspark.sql import Window

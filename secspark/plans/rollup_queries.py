@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from secspark.operators import govern as G
 from secspark.operators import rollups as RU
 
-from .base import T0, Registry, ev
+from .base import T0, T1, Registry, ev, work_dir
 
 R = Registry()
 
@@ -82,6 +83,25 @@ def _(spark, d):
     return RU.refresh_rollup(before, known.unionByName(new), T0, 0, T0 + 7200, topn=2)
 
 
+@R.add("r07b_refresh_written", (_CAP + _ROLLUP).replace("FROM ev GROUP BY ALL", "FROM ev WHERE NOT (host = 'h3' AND ts BETWEEN 1704844800 AND 1706745600) GROUP BY ALL"))
+def _(spark, d):
+    # three rounds on written tables: first rows, late and new rows, and a purge whose hours are rebuilt
+    events, rollup, ledger, work = (work_dir(spark, x) for x in ("events", "rollup", "ledger", "purge"))
+    e = ev(spark, d).withColumn("day", F.to_date(F.timestamp_seconds("ts")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in e.schema)
+    late = (F.col("ts") < T0) & (F.col("id") % 97 == 0)
+    known = e.where((F.col("ts") < T0) & ~late).withColumn("id", -F.col("id") - 1)
+    for rows in (known, e.where((F.col("ts") >= T0) | late)):
+        rows.repartition("day").write.mode("append").partitionBy("day").parquet(events)
+        RU.refresh_written(spark.read.schema(schema).parquet(events), rollup, ledger, T0, topn=2)
+    scope = {"host": "h3", "start": T0, "end": T1}
+    plan = G.plan_digest(G.purge_plan(spark.read.schema(schema).parquet(events), scope)).first()
+    holds = spark.createDataFrame([], "scope_source string, scope_start_ts long, scope_end_ts long, active boolean")
+    _, hours = G.purge_written(spark, events, schema, scope, tuple(plan), holds, work, ["day"])
+    RU.refresh_written(spark.read.schema(schema).parquet(events), rollup, ledger, T0, hours, topn=2)
+    return RU.read_rollup(spark, rollup)
+
+
 @R.add("r08_merge_rollup_raw", f"SELECT source, severity, count(*)::BIGINT AS count FROM ev WHERE ts BETWEEN {T0 - 200001} AND {T0 + 5003} GROUP BY source, severity")
 def _(spark, d):
     e = ev(spark, d)

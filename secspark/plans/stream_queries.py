@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +66,8 @@ def _(spark, d):
     schema = "id long, ts long"
     for part in (F.col("ts") >= T0, F.col("ts") < T0):
         e.where(part).coalesce(1).write.mode("append").parquet(landed)
-        ran(T.split_late_stream(spark.readStream.schema(schema).parquet(landed), 86400, path + "-in", path + "-late", path + "-checkpoint"), spark)
-    late = spark.read.schema("id long, ts long, batch int").parquet(path + "-late")
-    return spark.read.parquet(path + "-in").select("id", F.lit(False).alias("late")).unionByName(late.select("id", F.lit(True).alias("late")))
+        ran(T.split_late_stream(spark.readStream.schema(schema).parquet(landed), 86400, path, path + "-checkpoint"), spark)
+    return reduce(DataFrame.unionByName, [T.late_rows(spark, path, schema, late).select("id", F.lit(late).alias("late")) for late in (False, True)])
 
 
 @R.add("t5_dedup_stream", "SELECT DISTINCT host, json_extract_string(fields, '$.k') AS dedup FROM ev WHERE id % 7 <> 0 UNION ALL SELECT host, NULL FROM ev WHERE id % 7 = 0")
@@ -75,20 +76,30 @@ def _(spark, d):
     return result(T.dedup_stream(keyed, "400 days").select("host", "dedup"))
 
 
-@R.add("t6_correlate_stream")
+_HITS = """
+, hit AS (
+  SELECT src_ip AS key, ts, 0 AS step FROM ev WHERE action = 'failure' UNION ALL SELECT src_ip, ts, 1 FROM ev WHERE source = 'signup' UNION ALL SELECT src_ip, ts, 2 FROM ev WHERE source = 'purchase'
+), closed AS (SELECT * FROM hit WHERE ts <= (SELECT max(ts) FROM hit) - 600
+), a AS (SELECT key, ts AS s, min(nth) AS t FROM (SELECT key, ts, lead(ts, 2) OVER (PARTITION BY key ORDER BY ts) AS nth FROM closed WHERE step = 0) WHERE nth IS NOT NULL GROUP BY key, ts
+), b AS (SELECT a.key, s, h.ts AS t FROM a JOIN closed h ON h.key = a.key AND h.ts >= a.t WHERE step = 1 QUALIFY row_number() OVER (PARTITION BY a.key, s ORDER BY h.ts) = 2
+), c AS (SELECT b.key, s, h.ts AS t FROM b JOIN closed h ON h.key = b.key AND h.ts >= b.t WHERE step = 2 QUALIFY row_number() OVER (PARTITION BY b.key, s ORDER BY h.ts) = 1)
+"""
+
+
+@R.add("t6_correlate_stream", _HITS + "SELECT DISTINCT key, t AS completed FROM c WHERE t <= s + 864000")
 def _(spark, d):
     steps = [(F.col("action") == "failure", 3), (F.col("source") == "signup", 2), (F.col("source") == "purchase", 1)]
-    return result(T.correlate_stream(live(spark, d), steps, "src_ip", 864000, None))
+    return result(T.correlate_stream(live(spark, d), steps, "src_ip", 864000))
 
 
-@R.add("t6b_snapshot_changes", ", s AS (SELECT DISTINCT host, ts, action AS hash FROM ev) SELECT 'state' AS kind, host, ts, hash FROM s QUALIFY coalesce(lag(hash) OVER (PARTITION BY host ORDER BY ts, hash) <> hash, true)")
+@R.add("t6b_snapshot_changes", f", s AS (SELECT DISTINCT host, ts, action AS hash FROM ev WHERE ts <= {_LAST} - 600) SELECT 'state' AS kind, host, ts, hash FROM s QUALIFY coalesce(lag(hash) OVER (PARTITION BY host ORDER BY ts, hash) <> hash, true)")
 def _(spark, d):
-    return result(T.snapshot_changes(live(spark, d).select(F.lit("state").alias("kind"), "host", "ts", F.col("action").alias("hash")), None))
+    return result(T.snapshot_changes(live(spark, d).select(F.lit("state").alias("kind"), "host", "ts", F.col("action").alias("hash"))))
 
 
-@R.add("t6c_throttle_stream", ", r AS (SELECT DISTINCT host AS key, ts FROM ev) SELECT key, min(ts) AS ts FROM r GROUP BY key")
+@R.add("t6c_throttle_stream", f", r AS (SELECT host AS key, min(ts) AS ts FROM ev GROUP BY host) SELECT key, ts FROM r WHERE ts <= {_LAST} - 600")
 def _(spark, d):
-    return result(T.throttle_stream(live(spark, d).select(F.col("host").alias("key"), "ts"), 400 * 86400, None))
+    return result(T.throttle_stream(live(spark, d).select(F.col("host").alias("key"), "ts"), 400 * 86400))
 
 
 @R.add("t7_match_iocs_stream", "SELECT id, CASE WHEN src_ip LIKE '10.0.1.%' THEN src_ip END AS ti_match, src_ip LIKE '10.0.1.%' AS threat_intel FROM ev")
@@ -114,6 +125,16 @@ def _(spark, d):
     return result(T.closed_buckets(live(spark, d), "host", "6 hours"))
 
 
+@R.add("t8b_stream_baseline", f""", o AS (
+  SELECT * FROM (SELECT host AS entity, ts // 21600 * 21600 AS bucket, CAST(count(*) AS DOUBLE) AS value FROM ev GROUP BY ALL) WHERE bucket + 21600 <= {_LAST} - 600
+)
+SELECT entity, bucket, value, count(value) OVER w AS n, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS sd,
+  CASE WHEN count(value) OVER w >= 5 AND stddev_samp(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_samp(value) OVER w END AS z
+FROM o WINDOW w AS (PARTITION BY entity ORDER BY bucket RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING)""")
+def _(spark, d):
+    return result(T.baseline_stream(live(spark, d), "host", 21600, 604800, 5))
+
+
 @R.add("t9_forward_stream", "SELECT id, '<' || CASE severity WHEN 3 THEN 11 ELSE 12 END || '>1 ' || strftime(to_timestamp(ts), '%Y-%m-%dT%H:%M:%SZ') || ' ' || host || ' ' || source || ' - - - ' || action AS body FROM ev WHERE severity >= 2")
 def _(spark, d):
     path = work_dir(spark, "forward")

@@ -1,10 +1,12 @@
 """Streaming operators against their batch forms, with availableNow triggers."""
 
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from secspark.operators.detect import baseline_scores, correlate_sequence
 from secspark.operators.normalize import capture_snapshots
 from secspark.streaming import stream as T
 
@@ -60,31 +62,92 @@ def test_dedup(spark, landed):
     assert len(got) == df.where("dedup is null").count() + df.where("dedup is not null").select("host", "dedup").distinct().count()
 
 
-def test_sequence(spark, landed):
-    df, tmp = landed
-    steps = [(F.col("action") == "failure", 3), (F.col("action") == "success", 1)]
-    got = drain(T.correlate_stream(events(spark, tmp), steps, "host", 10**6, None), tmp, "sequence")
-    want = []
-    for h in sorted({r["host"] for r in df.collect()}):
-        fails = 0
-        for r in df.where(F.col("host") == h).orderBy("ts").collect():
-            if fails < 3:
-                fails += r["action"] == "failure"
-            elif r["action"] == "success":
-                want.append((h, r["ts"]))
-                fails = 0
-    assert sorted(got) == sorted(want) and want
+def land(spark, rows, schema, path):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def windows(df, steps, key, window_s):
+    """What the batch operator completes in the windows that begin at each hit of the first step."""
+    out = set()
+    for k, s in {(r[0], r[1]) for r in df.where(steps[0][0]).where(F.col(key).isNotNull()).select(key, "ts").collect()}:
+        out |= {tuple(r) for r in correlate_sequence(df.where(F.col(key) == k), steps, key, s, s + window_s).collect()}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sequence_equals_the_batch_form_on_every_window(spark, tmp_path, seed):
+    T.use_rocksdb(spark)
+    r, path = random.Random(seed), f"file://{tmp_path}"
+    steps = [(F.col("kind") == "a", 2), (F.col("kind").isin("b", "ab"), 2), (F.col("kind").isin("c", "a"), 1)]  # one row can be a hit of two steps
+    rows = [(r.choice(["x", "x", "y", None]), r.randint(0, 60) if i % 9 else None, r.choice(["a", "a", "b", "ab", "c", "-"])) for i in range(70)]
+    rows += [("x", 5000, "c"), ("y", 5000, "-")]  # moves the watermark past all others
+    r.shuffle(rows)
+    got = []
+    schema = "host string, ts long, kind string"
+    last = [x for x in rows if x[1] == 5000]
+    for part in ([x for x in rows if x not in last][::2], [x for x in rows if x not in last][1::2], last):  # three runs that go on from the checkpoint
+        land(spark, part, schema, f"{path}/in")
+        live = T.correlate_stream(spark.readStream.schema(schema).parquet(f"{path}/in"), steps, "host", 25, "4000 seconds")
+        q = live.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = sorted(tuple(x) for x in spark.read.parquet(f"{path}/out").collect())
+    df = spark.createDataFrame([x for x in rows if x[1] is not None and x[1] < 1000], schema)
+    assert got == windows(df, steps, "host", 25) and len(got) > 1
+
+
+def test_sequence_may_begin_at_any_earlier_hit(spark, tmp_path):
+    T.use_rocksdb(spark)
+    path, schema = f"file://{tmp_path}", "host string, ts long"
+    land(spark, [("h", t) for t in (12, 0, 11, 9, 999)], schema, f"{path}/in")
+    got = drain(T.correlate_stream(spark.readStream.schema(schema).parquet(f"{path}/in"), [(F.lit(True), 3)], "host", 10, "5 seconds"), path, "any")
+    assert got == [("h", 12)]
+
+
+def test_baseline_equals_the_batch_form(spark, tmp_path):
+    T.use_rocksdb(spark)
+    r, path, schema = random.Random(4), f"file://{tmp_path}", "host string, ts long, event_time timestamp"
+    rows = [(r.choice(["x", "y", None]), 100 * b + r.randint(0, 99)) for b in range(30) for _ in range(r.randint(0, 6))] + [("z", 100_000)]
+    for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+        df = spark.createDataFrame(part, "host string, ts long").withColumn("event_time", F.timestamp_seconds("ts"))
+        df.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        live = T.baseline_stream(spark.readStream.schema(schema).parquet(f"{path}/in"), "host", 100, 700, 3, "1 second")
+        live.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    near = lambda t: tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in t)
+    got = sorted((near(x) for x in spark.read.parquet(f"{path}/out").collect()), key=str)
+    want = baseline_scores(spark.createDataFrame(rows[:-1], "host string, ts long"), "host", 100, 700, 3)
+    assert got == sorted((near(x) for x in want.collect()), key=str) and any(x[-1] is not None for x in got)
+
+
+def test_late_rows_batch_by_batch(spark, tmp_path):
+    path, schema = f"file://{tmp_path}", "id long, ts long"
+    parts = [[(1, 10_000), (2, None)], [(3, 9_000), (4, 20_000), (5, 9_950)], [(6, 100), (7, None), (8, 19_950)]]
+    for part in parts:  # each run is one batch and goes on from the checkpoint
+        land(spark, part, schema, f"{path}/in")
+        T.split_late_stream(spark.readStream.schema(schema).parquet(f"{path}/in"), 100, f"{path}/out", f"{path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    ids = lambda late: sorted(r["id"] for r in T.late_rows(spark, f"{path}/out", schema, late).collect())
+    assert ids(True) == [3, 6] and ids(False) == [1, 2, 4, 5, 7, 8]
+    assert sorted((r["bucket"], r["batch"]) for r in spark.read.parquet(f"{path}/out/hours").collect()) == [(0, 2), (7200, 1)]
+    # a batch that runs again replaces its rows, and reads only the mark of the one before it
+    step = T.split_late_stream(spark.readStream.schema(schema).parquet(f"{path}/in"), 100, f"{path}/out", f"{path}/cp2")
+    assert step is not None
+    assert spark.read.parquet(f"{path}/out/marks").where("batch = 1").first()["newest"] == 20_000
 
 
 def test_throttle_and_snapshots(spark, landed):
     df, tmp = landed
-    got = drain(T.throttle_stream(events(spark, tmp).select(F.col("host").alias("key"), "ts"), 5000, None), tmp, "throttle")
-    for h in {k for k, _ in got}:
-        t = sorted(x for k, x in got if k == h)
-        assert all(b - a >= 5000 for a, b in zip(t, t[1:])) and len(t) > 3
+    end = df.agg(F.max("ts")).first()[0] - 600
+    got = drain(T.throttle_stream(events(spark, tmp).select(F.col("host").alias("key"), "ts"), 5000), tmp, "throttle")
+    want = []
+    for h in sorted({r["host"] for r in df.collect()}):
+        last = None
+        for t in sorted(r["ts"] for r in df.where(F.col("host") == h).collect()):
+            if t <= end and (last is None or t - last >= 5000):
+                want.append((h, t))
+                last = t
+    assert sorted(got) == want and len(want) > 10
     snaps = events(spark, tmp).select(F.lit("state").alias("kind"), "host", "ts", F.col("action").alias("hash"))
-    got = drain(T.snapshot_changes(snaps, None), tmp, "snaps")
-    want = capture_snapshots(df.select("id", "ts", F.lit("state").alias("kind"), "host", F.col("action").alias("hash")))
+    got = drain(T.snapshot_changes(snaps), tmp, "snaps")
+    want = capture_snapshots(df.where(F.col("ts") <= end).select("id", "ts", F.lit("state").alias("kind"), "host", F.col("action").alias("hash")))
     assert sorted(got) == sorted((r["kind"], r["host"], r["ts"], r["hash"]) for r in want.collect())
 
 
@@ -101,6 +164,8 @@ def test_batches(spark, landed):
     assert hits == [7]
     ok, late = T.split_late(df, 1_704_844_800 + 97 * 100)
     assert late.count() == 100 and ok.count() == 300
+    ok, late = T.split_late(spark.createDataFrame([(1, None), (2, 5)], "id long, ts long"), 10)
+    assert [r["id"] for r in ok.collect()] == [1] and [r["id"] for r in late.collect()] == [2]
 
 
 def test_closed_buckets_and_lookup(spark, landed):
