@@ -269,9 +269,12 @@ def series(metrics: DataFrame, name: str | None, matchers: dict[str, str]) -> Da
 
 # P20
 def report_rows(search, masks: dict[str, str], salt: str = "", n: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(number of rows, first rows) of a search under a role's masks: the newest where rows have a time, else by their columns."""
-    from secspark.operators.govern import apply_masks
+    """(number of rows, first rows) of a search run under a role's masks: the newest where rows have a time, else by their columns.
 
-    rows = apply_masks(search.df, masks, salt)
+    A search that filters by a masked field is refused with PermissionError.
+    """
+    from secspark.operators.govern import under_masks
+
+    rows = under_masks(search, masks, salt)
     order = [F.desc(c) for c in ("ts", "id") if c in rows.columns] or [F.col(f"`{c}`") for c in rows.columns]
     return rows.agg(F.count("*").alias("rows")), rows.orderBy(*order).limit(n)

@@ -44,14 +44,38 @@ def _aggs(aggs) -> list[Column]:
     return [a if isinstance(a, Column) else aggregate(*((a,) if isinstance(a, str) else a)) for a in aggs]
 
 
+def _aggregated(aggs) -> tuple[tuple[str, Column | str | None], ...]:
+    """(name, what it is made of) of aggregates; a Column stands for itself under no name of its own."""
+    return tuple(("", a) if isinstance(a, Column) else (a if isinstance(a, str) else a[0], None if isinstance(a, str) or len(a) < 2 else a[1]) for a in aggs)
+
+
+def _grouped(aggs, by, *more) -> Note:
+    made = (*_aggregated(aggs), *more)
+    return Note(made=made, only=(*by, *(n for n, _ in made)))
+
+
+@dataclass(frozen=True)
+class Note:
+    """What a stage does to fields, for masks: what it filters by, what it makes out of what, and what it renames."""
+
+    filters: tuple[Column | str, ...] = ()
+    made: tuple[tuple[str, Column | str | None], ...] = ()
+    renamed: tuple[tuple[str, str], ...] = ()
+    only: tuple[str, ...] | None = None
+    sub: Search | DataFrame | None = None
+    again: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+
+
 @dataclass(frozen=True)
 class Search:
     df: DataFrame
     stages: tuple[tuple[str, Callable[[DataFrame], DataFrame]], ...] = ()
     order: tuple[Column, ...] = attr(default=())
+    notes: tuple[Note, ...] = ()
+    base: DataFrame | None = None
 
-    def _then(self, name: str, step: Callable[[DataFrame], DataFrame], order=None) -> Search:
-        return Search(step(self.df), (*self.stages, (name, step)), self.order if order is None else order)
+    def _then(self, name: str, step: Callable[[DataFrame], DataFrame], order=None, note: Note = Note()) -> Search:
+        return Search(step(self.df), (*self.stages, (name, step)), self.order if order is None else order, (*self.notes, note), self.df if self.base is None else self.base)
 
     # predicates and projections
     def search(self, *predicates: Column, start: int = 0, end: int = 0, env: str | None = None) -> Search:
@@ -63,22 +87,22 @@ class Search:
             tests.append(F.col("ts") <= end)
         if env is not None:
             tests.append(F.coalesce("env_id", F.lit(DEFAULT_ENV)) == env)
-        return self._then("search", lambda d: d.where(P.all_of(tests)))
+        return self._then("search", lambda d: d.where(P.all_of(tests)), note=Note(filters=tuple(tests)))
 
     def where(self, predicate: Column) -> Search:
-        return self._then("where", lambda d: d.where(predicate))
+        return self._then("where", lambda d: d.where(predicate), note=Note(filters=(predicate,)))
 
     def fields(self, *names: str) -> Search:
-        return self._then("fields", lambda d: d.select(*names))
+        return self._then("fields", lambda d: d.select(*names), note=Note(only=names))
 
     table = fields
 
     def rename(self, **names: str) -> Search:
         """new=old."""
-        return self._then("rename", lambda d: d.withColumnsRenamed({old: new for new, old in names.items()}))
+        return self._then("rename", lambda d: d.withColumnsRenamed({old: new for new, old in names.items()}), note=Note(renamed=tuple(names.items())))
 
     def eval(self, **columns: Column) -> Search:
-        return self._then("eval", lambda d: d.withColumns(columns))
+        return self._then("eval", lambda d: d.withColumns(columns), note=Note(made=tuple(columns.items())))
 
     def rex(self, column: str, pattern: str) -> Search:
         """Named groups become columns; no match is null."""
@@ -88,7 +112,7 @@ class Search:
         names = re.findall(r"\(\?<([A-Za-z]\w*)>", java)
         order = [m[1] for m in re.finditer(r"(?<!\\)\((?!\?)|(?<!\\)\(\?<([A-Za-z]\w*)>", java)]
         found = {n: F.when(P.regex(F.col(column), pattern), F.regexp_extract(column, java, order.index(n) + 1)) for n in names}
-        return self._then("rex", lambda d: d.withColumns(found))
+        return self._then("rex", lambda d: d.withColumns(found), note=Note(made=tuple((n, column) for n in found)))
 
     def exclude(self, column: str, networks: list[str], hosts: list[str] = (), host_column: str = "host", mode: str = "prefix") -> Search:
         """Without the given addresses, networks and hosts; null addresses stay."""
@@ -96,14 +120,14 @@ class Search:
         test = ~F.coalesce(inside, F.lit(False))
         if hosts:
             test &= ~F.coalesce(F.col(host_column).isin(list(hosts)), F.lit(False))
-        return self._then("exclude", lambda d: d.where(test))
+        return self._then("exclude", lambda d: d.where(test), note=Note(filters=(column, *([host_column] if hosts else []))))
 
     # aggregation, ordering, shaping
     def stats(self, *aggs, by: list[str] = ()) -> Search:
-        return self._then("stats", lambda d: d.groupBy(*by).agg(*_aggs(aggs)), ())
+        return self._then("stats", lambda d: d.groupBy(*by).agg(*_aggs(aggs)), (), _grouped(aggs, by))
 
     def timechart(self, span: int, *aggs, by: list[str] = ()) -> Search:
-        return self._then("timechart", lambda d: d.groupBy(bucket(F.col("ts"), span).alias("bucket"), *by).agg(*_aggs(aggs)), ())
+        return self._then("timechart", lambda d: d.groupBy(bucket(F.col("ts"), span).alias("bucket"), *by).agg(*_aggs(aggs)), (), _grouped(aggs, by, ("bucket", "ts")))
 
     def eventstats(self, *aggs, by: list[str] = ()) -> Search:
         """Aggregates joined to each row. Groups are aggregated first, so a hot group never sits in one task."""
@@ -116,7 +140,7 @@ class Search:
             on = P.all_of([d[k].eqNullSafe(right[f"_k_{k}"]) for k in by])
             return d.join(right, on, "left").drop(*[f"_k_{k}" for k in by])
 
-        return self._then("eventstats", step)
+        return self._then("eventstats", step, note=Note(made=_aggregated(aggs)))
 
     def top(self, column: str, n: int = 10, *, rare: bool = False) -> Search:
         """Value, count and percent of the most (or least) frequent values; ties by value."""
@@ -128,14 +152,14 @@ class Search:
             best = counts.orderBy(first, column).limit(n)
             return best.crossJoin(total).select(column, "count", (F.col("count") * 100.0 / F.col("_total")).alias("percent"))  # a single row
 
-        return self._then("rare" if rare else "top", step, ())
+        return self._then("rare" if rare else "top", step, (), Note(only=(column,)))
 
     def rare(self, column: str, n: int = 10) -> Search:
         return self.top(column, n, rare=True)
 
     def rate(self, span: int, by: list[str] = ()) -> Search:
         """Events a second in each bucket."""
-        return self._then("rate", lambda d: d.groupBy(bucket(F.col("ts"), span).alias("bucket"), *by).agg((F.count("*") / F.lit(span)).alias("rate")), ())
+        return self._then("rate", lambda d: d.groupBy(bucket(F.col("ts"), span).alias("bucket"), *by).agg((F.count("*") / F.lit(span)).alias("rate")), (), Note(made=(("bucket", "ts"),), only=("bucket", *by)))
 
     def dedup(self, *keys: str) -> Search:
         """First row of each key in the current order, then by id."""
@@ -167,11 +191,13 @@ class Search:
     # joins
     def join(self, sub: Search | DataFrame, on: str | list[str], how: str = "inner") -> Search:
         right = sub.df if isinstance(sub, Search) else sub
-        return self._then("join", lambda d: d.join(right, on, how))
+        keys = (on,) if isinstance(on, str) else tuple(on)
+        return self._then("join", lambda d: d.join(right, on, how), note=Note(filters=keys, sub=sub, again=lambda d, r: d.join(r, on, how)))
 
     def append(self, sub: Search | DataFrame) -> Search:
         right = sub.df if isinstance(sub, Search) else sub
-        return self._then("append", lambda d: d.unionByName(right, allowMissingColumns=True))
+        both = lambda d, r: d.unionByName(r, allowMissingColumns=True)
+        return self._then("append", lambda d: both(d, right), note=Note(sub=sub, again=both))
 
     def lookup(self, table: DataFrame, key: str, output: list[str] | None = None) -> Search:
         """Columns of a lookup table (key, val as JSON); without ``output`` the raw value."""
@@ -181,7 +207,7 @@ class Search:
             right = table.select(F.col("key").alias("_lookup_key"), *made)
             return d.join(right, d[key] == right["_lookup_key"], "left").drop("_lookup_key")
 
-        return self._then("lookup", step)
+        return self._then("lookup", step, note=Note(made=tuple((o, key) for o in output or ["lookup"])))
 
     def auto_lookup(self, specs: list[tuple[DataFrame, str, list[str]]]) -> Search:
         s = self

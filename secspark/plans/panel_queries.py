@@ -214,6 +214,12 @@ def _(spark, d):
     return N.report_rows(Search(ev(spark, d)).search(F.col("severity") == 3), {"src_ip": "hash"}, "salt")[1].select("id", "ts", "src_ip", "host")
 
 
+@R.add("p20c_report_aggregate", "SELECT who, count(*) AS count, list_sort(list(DISTINCT '***')) AS values, max(ts) AS max FROM (SELECT substr(sha256('salt' || chr(0) || src_ip), 1, 16) AS who, ts FROM ev WHERE severity >= 1) GROUP BY who ORDER BY count DESC, who LIMIT 20")
+def _(spark, d):
+    s = Search(ev(spark, d)).search(F.col("severity") >= 1).rename(who="src_ip").stats("count", ("values", "host"), ("max", "ts"), by=["who"]).sort("-count", "who").head(20)
+    return N.report_rows(s, {"src_ip": "hash", "host": "mask"}, "salt")[1]
+
+
 # governance
 @R.add("g01_masks", "SELECT substr(sha256('salt' || chr(0) || src_ip), 1, 16) AS src_ip, '***' AS host, count(*) AS count FROM ev GROUP BY ev.src_ip")
 def _(spark, d):
