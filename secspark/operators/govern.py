@@ -75,14 +75,13 @@ def check_references(referenced: set[str], masks: dict[str, str]) -> None:
         raise PermissionError(f"filter on masked fields: {', '.join(hidden)}")
 
 
-def _referred(df: DataFrame, what: Column | str | None, masks: dict[str, str]) -> set[str]:
-    """Columns of ``df`` that an expression refers to, and the masked members of the bag it may read."""
+def _referred(df: DataFrame, what: Column | str | None, inner: set[str]) -> set[str]:
+    """Columns of ``df`` that an expression refers to, and which of the masked members of the bag (``inner``) it may read."""
     if what is None:
         return set()
     plan = df.select(F.col(what) if isinstance(what, str) else what)._jdf.queryExecution().analyzed()
     refs = plan.references().toSeq()
     names = {refs.apply(i).name() for i in range(refs.size())}
-    inner = {m for m in masks if m not in df.columns}
     if "fields" in names and inner:
         text = plan.expressions().mkString(" ")
         paths = set(re.findall(r"\$(?:\['|\.|\[\")(\w+)", text))
@@ -99,14 +98,14 @@ def under_masks(search, masks: dict[str, str], salt: str = "") -> DataFrame:
     leak values; grouping, sorting and lookups see masked values only. Searches that are joined or appended run under the same masks.
     """
     df, hidden = apply_masks(search.df if search.base is None else search.base, masks, salt), set(masks)
+    inner = {m for m in masks if m not in df.columns}
     for (_, step), note in zip(search.stages, search.notes):
         for f in note.filters:
-            check_references(_referred(df, f, masks) & hidden, dict.fromkeys(hidden, ""))
+            check_references(_referred(df, f, inner) & hidden, dict.fromkeys(hidden, ""))
         made = set()
         for name, what in note.made:
             columns = [name] if name else df.groupBy().agg(what).columns
-            made |= {(c, bool(_referred(df, what, masks) & hidden)) for c in columns}
-        before = df
+            made |= {(c, bool(_referred(df, what, inner) & hidden)) for c in columns}
         if note.sub is not None:
             right = note.sub if isinstance(note.sub, DataFrame) else under_masks(note.sub, masks, salt)
             # of a plain frame, columns with masked names are masked here
@@ -114,9 +113,9 @@ def under_masks(search, masks: dict[str, str], salt: str = "") -> DataFrame:
         else:
             df = step(df)
         hidden = {new for new, old in note.renamed if old in hidden} | (hidden - {old for _, old in note.renamed})
-        hidden = (hidden - {c for c, _ in made}) | {c for c, bad in made if bad} | {m for m in masks if m not in before.columns}
+        hidden = (hidden - {c for c, _ in made}) | {c for c, bad in made if bad} | inner
         if note.only is not None:
-            hidden &= set(df.columns) | {m for m in masks if "fields" in df.columns}
+            hidden &= set(df.columns) | inner
     return df
 
 

@@ -15,6 +15,8 @@ from secspark.model import DEFAULT_ENV, RESERVED_SOURCE
 from secspark.vocabulary import CATEGORIES, MODEL_VERSION
 
 BAG = "map<string,string>"
+#: A scope over so many days or more stands under one key for all days.
+SCOPE_DAYS = 400
 MAX_MESSAGE, MAX_KEYS, MAX_VALUE = 8192, 24, 256
 # Fields that may hold an indicator, in the order they are tried.
 IOC_FIELDS = ["domain", "dns_query", "query", "url", "md5", "sha1", "sha256", "hash", "src_ip", "dst_ip"]
@@ -258,39 +260,112 @@ def ioc_keys(iocs: DataFrame, now: int) -> DataFrame:
     return live.groupBy(F.lower(F.trim("value")).alias("key")).agg(F.max(meta).alias("meta"))
 
 
+FILTER_BITS = 1 << 22
+
+
+def _bit(key: Column, probe: int, bits: int) -> tuple[Column, Column]:
+    at = F.pmod(F.xxhash64(key, F.lit(probe)), F.lit(bits))
+    return F.shiftright(at, 6).cast("int"), at.bitwiseAND(F.lit(63)).cast("int")
+
+
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """bits: one row with an array of ``bits`` bits in which two of each key (column ``key``) are set; its size is the same for any number of keys."""
+    word, at = zip(*(_bit(F.col("key"), p, bits) for p in range(2)))
+    set_ = keys.select(F.explode(F.array(*[F.struct(w.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), a).alias("value")) for w, a in zip(word, at)])).alias("x"))
+    words = set_.groupBy("x.word").agg(F.bit_or("x.value").alias("value"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("value", F.lit(0)).alias("value")))), lambda x: x["value"]).alias("bits"))
+
+
+def _may_be(key: Column, words: Column, bits: int) -> Column:
+    """Is the key perhaps in the filter? Null is not."""
+    tests = []
+    for p in range(2):
+        word, at = _bit(key, p, bits)
+        tests.append(F.call_function("shiftright", F.get(words, word), at).bitwiseAND(F.lit(1)) == 1)
+    return key.isNotNull() & tests[0] & tests[1]
+
+
+def with_hits(df: DataFrame, probe: Callable[[Column], Column], keys: DataFrame, find: Callable[[DataFrame], DataFrame], use: Callable[[Column], dict[str, Column]], bits: int = FILTER_BITS) -> DataFrame:
+    """Columns from rare matches, without moving the rows that have none.
+
+    ``probe`` makes of the bits of a filter over ``keys`` a value that is null where a row can't match, and else holds all that
+    its match depends on. Rows with null pass as they are. The distinct values of the others go to ``find``, which gives back
+    ``probe`` and ``hit``, and the answers are joined to their rows by value: nothing hangs on ids or on row numbers, which a
+    task that runs again could give otherwise. The filter has a fixed size and is broadcast; ``find`` may use any join.
+    """
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.crossJoin(F.broadcast(key_filter(keys, bits).withColumnRenamed("bits", "_bits")))  # a single row of bits / 8 bytes
+    rows = rows.select(kept, probe(F.col("_bits")).alias("probe"))
+    some = rows.where(F.col("probe").isNotNull())
+    hits = find(some.select("probe").distinct())
+    met = some.join(hits, "probe", "left").select("row", "hit")
+    hit = dict(hits.dtypes)["hit"]
+    out = rows.where(F.col("probe").isNull()).select("row", F.lit(None).cast(hit).alias("hit")).unionByName(met)
+    new = use(F.col("hit"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+
+
 def match_iocs(df: DataFrame, iocs: DataFrame, now: int) -> DataFrame:
     """Adds ti_match, ti_confidence, ti_severity and threat_intel for the first indicator that hits; no row is dropped.
 
-    A row gives its candidates and one sentinel that carries the row; candidates meet the indicators, and only those
-    that hit are brought back to their row, by a number given in the same pass. So rows are shuffled once, and null or
-    repeated ids do no harm. Spark broadcasts the indicators only while they are under its size threshold.
+    Only rows with a candidate that passes a filter of fixed size over the indicators meet them, each distinct list of candidates once.
     """
     own = [F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("src_ip", "dst_ip", "url")]
-    tried = F.array(*own, *[F.get_json_object("fields", f"$['{k}']") for k in IOC_FIELDS])
-    keys = F.filter(F.transform(tried, lambda x, i: F.struct(i.alias("pos"), F.lower(F.trim(x)).alias("key"))), lambda x: x["key"] != "")
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(row.alias("row"), F.monotonically_increasing_id().alias("n"), keys.alias("keys"))
-    sentinel = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("key")))
-    rows = rows.select("n", "row", F.explode(F.concat(sentinel, "keys")).alias("try"))
-    rows = rows.select("n", "try.pos", "try.key", F.when(F.col("try.pos") < 0, F.col("row")).alias("row"))
-    met = rows.join(ioc_keys(iocs, now), "key", "left").where("pos < 0 or meta is not null")
-    got = met.groupBy("n").agg(F.first("row", ignorenulls=True).alias("row"), F.min(F.when(F.col("pos") >= 0, F.struct("pos", "key", "meta"))).alias("hit"))
-    new = {"ti_match": F.col("hit.key"), "ti_confidence": F.col("hit.meta.confidence"), "ti_severity": F.col("hit.meta.severity"), "threat_intel": F.col("hit").isNotNull()}
-    return got.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    member = (lambda k: F.get_json_object("fields", f"$['{k}']")) if "fields" in df.columns else lambda k: F.lit(None).cast("string")
+    tried = F.transform(F.array(*own, *[member(k) for k in IOC_FIELDS]), lambda x, i: F.struct(i.alias("pos"), F.lower(F.trim(x)).alias("key")))
+    live = ioc_keys(iocs, now).where("key <> ''")
+
+    def probe(bits: Column) -> Column:
+        return let(F.filter(tried, lambda x: _may_be(x["key"], bits, FILTER_BITS)), lambda x: F.when(F.size(x) > 0, x))
+
+    def find(lists: DataFrame) -> DataFrame:
+        met = lists.select("probe", F.explode("probe").alias("x")).select("probe", "x.pos", "x.key").join(live, "key")
+        return met.groupBy("probe").agg(F.min(F.struct("pos", "key", "meta")).alias("hit"))
+
+    def use(hit: Column) -> dict[str, Column]:
+        return {"ti_match": hit["key"], "ti_confidence": hit["meta"]["confidence"], "ti_severity": hit["meta"]["severity"], "threat_intel": hit.isNotNull()}
+
+    return with_hits(df, probe, live, find, use)
+
+
+def _octets(ip: Column, n: int) -> Column:
+    """The first ``n`` octets with their dots; null if there are fewer dots."""
+    return F.when(F.size(F.split(ip, r"\.", -1)) > n, F.concat(F.substring_index(ip, ".", n), F.lit(".")))
 
 
 def tag_scope(df: DataFrame, scopes: DataFrame) -> DataFrame:
-    """engagement_id of the smallest scope whose matcher and window hold the event.
+    """engagement_id of the smallest scope whose matcher (an address, or its beginning) and window hold the event.
 
-    Scopes are a small settings table: they come along as one array, so no event is shuffled.
+    A scope stands under keys that an event can look up: its whole octets (none: a key of all addresses) and the days of its window, or
+    one key for all days where it is long. Events whose keys pass a filter of fixed size meet the scopes of the same key, each
+    distinct (address, time) once; the exact test comes after. A null address or time is in no scope.
     """
-    every = scopes.agg(F.collect_list(F.struct("id", "matcher", "is_prefix", "window_start", "window_end")).alias("scopes"))
-    kept = [F.col(f"`{c}`").alias(c) for c in df.columns if c != "engagement_id"]
-    rows = df.select(F.struct(*kept).alias("row"), "src_ip", "ts", (F.col("engagement_id") if "engagement_id" in df.columns else F.lit(None).cast("string")).alias("before"))
-    rows = rows.crossJoin(F.broadcast(every))  # a single row
-    ip, ts = F.col("src_ip"), F.col("ts")
-    hits = F.filter("scopes", lambda x: F.when(x["is_prefix"], ip.startswith(x["matcher"])).otherwise(ip == x["matcher"]) & ts.between(x["window_start"], x["window_end"]))
-    return rows.select("row.*", F.coalesce(F.array_min(F.transform(hits, lambda x: x["id"])), "before").alias("engagement_id"))
+    ip, ts, day = F.col("src_ip").cast("string"), F.col("ts"), 86400
+    matcher = F.col("matcher")
+    stem = F.when(~F.col("is_prefix"), F.concat(F.lit("="), matcher)).when(matcher.contains("."), F.regexp_extract(matcher, r"^((?:[^.]*\.){1,3})", 1)).otherwise("")
+    lo, hi = F.floor(F.col("window_start") / day), F.floor(F.col("window_end") / day)
+    days = F.when((hi >= lo) & (hi - lo < SCOPE_DAYS), F.sequence(lo, hi).cast("array<string>")).when(hi >= lo, F.array(F.lit("*")))
+    keyed = scopes.select("id", "matcher", "is_prefix", "window_start", "window_end", stem.alias("stem"), F.explode(days).alias("day"))
+    keyed = keyed.select(F.concat_ws("|", "stem", "day").alias("key"), "id", "matcher", "is_prefix", "window_start", "window_end")
+
+    def keys(ip: Column, ts: Column) -> Column:
+        stems = F.array(F.concat(F.lit("="), ip), F.lit(""), *[_octets(ip, n) for n in (1, 2, 3)])
+        own = F.transform(F.filter(stems, lambda x: x.isNotNull()), lambda x: F.array(F.concat(x, F.lit("|*")), F.concat(x, F.lit("|"), F.floor(ts / day).cast("string"))))
+        return F.flatten(own)
+
+    def probe(bits: Column) -> Column:
+        return F.when(ip.isNotNull() & ts.isNotNull() & F.exists(keys(ip, ts), lambda k: _may_be(k, bits, FILTER_BITS)), F.struct(ip.alias("ip"), ts.alias("ts")))
+
+    def find(values: DataFrame) -> DataFrame:
+        looked = values.select("probe", F.explode(keys(F.col("probe.ip"), F.col("probe.ts"))).alias("key")).join(keyed, "key")
+        inside = F.when(F.col("is_prefix"), F.col("probe.ip").startswith(F.col("matcher"))).otherwise(F.col("probe.ip") == F.col("matcher"))
+        return looked.where(inside & F.col("probe.ts").between(F.col("window_start"), F.col("window_end"))).groupBy("probe").agg(F.min("id").alias("hit"))
+
+    rows = df if "engagement_id" in df.columns else df.withColumn("engagement_id", F.lit(None).cast("string"))
+    before = unused(rows, "_before")
+    out = with_hits(rows.withColumnRenamed("engagement_id", before), probe, keyed.select("key").distinct(), find, lambda hit: {"engagement_id": hit})
+    return out.withColumn("engagement_id", F.coalesce("engagement_id", before)).drop(before)
 
 
 def _rule_test(rule: dict, columns: list[str]) -> Column:
@@ -378,24 +453,36 @@ def diff_baseline(current: DataFrame, baseline: DataFrame, keys: list[str], valu
 
 
 def reparse(df: DataFrame, parsers: list[tuple[str, str]], since: int) -> DataFrame:
-    """Parsers once more over rows from ``since`` on; only missing fields are filled."""
-    again = apply_regex_parsers(df.where(F.col("ts") >= since), parsers)
-    return df.where(F.col("ts") < since).unionByName(again)
+    """Parsers once more over rows from ``since`` on; only missing fields are filled. Rows without a time stay as they are."""
+    late = F.coalesce(F.col("ts") >= since, F.lit(False))
+    return df.where(~late).unionByName(apply_regex_parsers(df.where(late), parsers))
 
 
 def relabel_corroborated(df: DataFrame, deploys: DataFrame, window: int = 3600, lowered: int = 1) -> DataFrame:
-    """Lower, never raise, the severity of integrity events that a deployment explains (name, hash, deployed_at)."""
-    kept = [F.col(f"`{c}`").alias(c) for c in df.columns if c not in ("fields", "severity")]
+    """Lower, never raise, the severity of integrity events that a deployment explains (name, hash, deployed_at).
+
+    Only integrity events whose name and hash pass a filter of fixed size over the deployments meet them; all others pass as they are.
+    """
     name, sha = F.substring_index(F.get_json_object("fields", "$['path']"), "/", -1), F.get_json_object("fields", "$['hash']")
-    own = F.col("category") == "integrity"
-    rows = df.select(F.struct(*kept).alias("row"), "ts", "severity", "fields", F.when(own, name).alias("name"), F.when(own, sha).alias("hash"))
-    known = deploys.groupBy("name", "hash").agg(F.collect_set("deployed_at").alias("times"))
-    rows = rows.join(known, ["name", "hash"], "left")
     ts = F.col("ts")
-    hit = F.coalesce(F.exists("times", lambda t: (ts >= t) & (ts <= t + window)), F.lit(False)) & (F.col("severity") > lowered)
-    marked = merge(F.create_map(F.lit("severity_original"), F.col("severity").cast("string")), bag())
-    out = {"fields": F.when(hit, to_bag(marked)).otherwise(F.col("fields")), "severity": F.when(hit, F.lit(lowered)).otherwise(F.col("severity"))}
-    return rows.select(*[out[c].alias(c) if c in out else F.col("row").getField(c).alias(c) for c in df.columns])
+    known = deploys.where("name is not null and hash is not null").groupBy("name", "hash").agg(F.collect_set("deployed_at").alias("times"))
+    text = lambda a, b: F.concat_ws("|", F.length(a).cast("string"), a, b)
+    may = (F.col("category") == "integrity") & (F.col("severity") > lowered) & ts.isNotNull() & name.isNotNull() & sha.isNotNull()
+
+    def probe(bits: Column) -> Column:
+        return F.when(may, F.when(_may_be(text(name, sha), bits, FILTER_BITS), F.struct(name.alias("name"), sha.alias("hash"), ts.alias("ts"))))
+
+    def find(values: DataFrame) -> DataFrame:
+        met = values.select("probe", "probe.name", "probe.hash").join(known, ["name", "hash"])
+        return met.where(F.exists("times", lambda t: (F.col("probe.ts") >= t) & (F.col("probe.ts") <= t + window))).select("probe", F.lit(True).alias("hit"))
+
+    def use(hit: Column) -> dict[str, Column]:
+        row = lambda c: F.col("row").getField(c)
+        marked = merge(F.create_map(F.lit("severity_original"), row("severity").cast("string")), json_map(row("fields")))
+        return {"fields": F.when(hit, to_bag(marked)).otherwise(row("fields")), "severity": F.when(hit, F.lit(lowered)).otherwise(row("severity"))}
+
+    out = with_hits(df, probe, known.select(text(F.col("name"), F.col("hash")).alias("key")), find, use)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def scan_patterns(df: DataFrame, patterns: dict[str, str], columns: list[str], id_col: str = "id") -> DataFrame:
