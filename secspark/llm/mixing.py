@@ -9,9 +9,8 @@ end is cut there, and its pieces take the slots of their blocks, so the bound ho
 be ahead by as much as the rest of its last record.
 
 Weights are target weights: whole numbers are taken as they are, others as whole shares of about 2^31
-(``rates_*``). :func:`schedule` first runs over all slots and keeps only the state at the start of each
-stretch of slots, then gives the slots of the stretches in parallel. The first run is one task, so blocks
-grow with the corpus: they are as long as it takes to have ``MOST_SLOTS`` slots at most.
+(``rates_*``). Slots are those of one period, repeated; stretches of a long period are scheduled in parallel, without a
+run over what lies before them (:func:`period`). So blocks have the given size at every volume.
 
 When a source has run out its slots are passed over, and the rest keep their order. Every byte stays.
 
@@ -23,7 +22,7 @@ Defined results
 - extra columns are ignored; an empty table gives an empty result.
 
 Rows are ordered in windows over (source, part of the MD5) and over stretches of slots, never in one task. A
-row of the first run holds one entry for each source: sources are meant to number thousands, not millions.
+stretch's row holds one entry for each source, and each slot looks at all of them: sources are meant to number thousands, not millions.
 """
 
 from __future__ import annotations
@@ -34,10 +33,10 @@ from pyspark.sql import functions as F
 from .common import save, scratch, text_or_empty
 
 BLOCK_BYTES = 16_384
-MOST_SLOTS = 1 << 20
 STRETCHES = 4096
 SHARES = 1 << 31
-STEPS = 1024
+#: Slots of a stretch: as many as the longest window between these two.
+STEPS, MOST_STEPS = 1024, 8192
 
 
 def rates_by_root_share(sizes: DataFrame) -> DataFrame:
@@ -60,62 +59,83 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def schedule(rates: DataFrame, steps: int = STEPS) -> DataFrame:
-    """source, block, release, deadline, slot of the first ``blocks`` blocks of each source.
+def _let(value: Column, use) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _release(k: Column, rate: Column, total: Column) -> Column:
+    return _div(k * total, rate)
+
+
+def _deadline(k: Column, rate: Column, total: Column) -> Column:
+    return _div((k + 1) * total + rate - 1, rate)
 
-    ``rates`` has source, rate, blocks. Sources that have run out keep their slots, which stay empty.
+
+def period(rates: DataFrame, steps: int = STEPS) -> DataFrame:
+    """source, turn, slot: the slots of one period, of as many slots as all rates together, or of the first part that is needed.
+
+    ``rates`` has source, rate, blocks. Earliest deadline first meets all deadlines, so at a period's end each source has had
+    its rate of blocks and everything starts again: block k has the slot of block k mod rate, k div rate periods later.
+
+    Slots are given in stretches, each on its own. What a stretch finds is known but for the blocks that are released and
+    not yet due: of those as many are done as slots are left, the others wait. Which ones doesn't matter for long: two
+    runs that start with different ones done (those due first, in one of them) are the same as soon as these blocks
+    are due. So a stretch starts from that guess as many slots earlier as the longest window has, and then is exact.
     """
     plan = rates.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", F.col("rate").cast("long").alias("rate"), F.col("blocks").cast("long").alias("blocks")))).alias("s"), F.sum("rate").alias("total"))
     total, far = F.col("total"), F.lit((1 << 62) - 1)
 
-    def release(k: Column, rate: Column) -> Column:
-        return _div(k * total, rate)
-
-    def deadline(k: Column, rate: Column) -> Column:
-        return _div((k + 1) * total + rate - 1, rate)
-
     def block(k: Column, rate: Column) -> Column:
-        return F.struct(k.alias("k"), rate.alias("rate"), release(k, rate).alias("release"), deadline(k, rate).alias("deadline"))
+        return F.struct(k.alias("k"), rate.alias("rate"), _release(k, rate, total).alias("release"), _deadline(k, rate, total).alias("deadline"))
 
     def pick(state: Column, t: Column) -> Column:
         return F.array_min(F.transform(state, lambda x, i: F.struct(F.when(x["release"] <= t, x["deadline"]).otherwise(far).alias("due"), i.alias("i"))))["i"]
 
-    def let(value: Column, use) -> Column:
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
     def after(state: Column, i: Column) -> Column:
         return F.transform(state, lambda x, n: F.when(n == i, block(x["k"] + 1, x["rate"])).otherwise(x))
 
-    def slots(n: Column) -> Column:
-        return F.sequence(n * F.col("steps"), (n + 1) * F.col("steps") - 1)
-
-    def skip(state: Column, t: Column) -> Column:
-        return let(pick(state, t), lambda i: after(state, i))
-
-    # the last deadline bounds the slots; longer stretches keep their number near that of their slots
-    plan = plan.where("total > 0").withColumn("last", F.array_max(F.transform("s", lambda x: deadline(x["blocks"] - 1, x["rate"]))))
-    plan = plan.withColumn("steps", F.greatest(F.lit(steps), F.ceil(F.sqrt(F.col("last").cast("double")))).cast("long"))
-    start = F.transform("s", lambda x: block(F.lit(0).cast("long"), x["rate"]))
-    stretch = "struct<n:bigint,state:array<struct<k:bigint,rate:bigint,release:bigint,deadline:bigint>>>"
-    first = F.struct(start.alias("state"), F.array().cast(f"array<{stretch}>").alias("out"))
-    stretches = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), _div(F.col("last") - 1, F.col("steps"))),
-        first,
-        lambda acc, n: F.struct(
-            F.aggregate(slots(n), acc["state"], skip).alias("state"), F.concat(acc["out"], F.array(F.struct(n.alias("n"), acc["state"].alias("state")))).alias("out")
-        ),
-    )
-    starts = save(plan.select("s", "total", "steps", F.explode(stretches["out"]).alias("x")).select("s", "total", "steps", "x.n", "x.state"), "starts")
+    def slots(first: Column, end: Column) -> Column:
+        return F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    plan = plan.where("total > 0").withColumn("last", F.least(total, F.array_max(F.transform("s", lambda x: _deadline(x["blocks"] - 1, x["rate"], total)))))
+    plan = plan.withColumn("window", F.array_max(F.transform("s", lambda x: _div(total + x["rate"] - 1, x["rate"]) + 1)))
+    plan = plan.withColumn("steps", F.least(F.greatest(F.lit(steps), "window"), F.lit(max(steps, MOST_STEPS))).cast("long"))
+    each = plan.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("last") - 1, F.col("steps"))))).repartition("n")
+    each = each.withColumn("first", F.col("n") * F.col("steps")).withColumn("end", F.least("last", F.col("first") + F.col("steps"))).withColumn("from", F.greatest(F.lit(0), F.col("first") - F.col("window")))
+    due = F.transform("s", lambda x: _div(F.col("from") * x["rate"], total))  # blocks that are due by then
+    each = each.withColumn("due", due).withColumn("some", F.col("from") - F.aggregate("due", F.lit(0).cast("long"), lambda acc, x: acc + x))
+    begun = F.transform(F.arrays_zip("s", "due"), lambda x, i: F.when(_release(x["due"], x["s"]["rate"], total) < F.col("from"), F.struct(_deadline(x["due"], x["s"]["rate"], total).alias("deadline"), i.alias("i"))))
+    done = F.transform(F.slice(F.array_sort(F.filter(begun, lambda x: x.isNotNull())), F.lit(1), F.col("some").cast("int")), lambda x: x["i"])
+    each = each.withColumn("done", done)
+    guess = F.transform(F.arrays_zip("s", "due"), lambda x, i: block(x["due"] + F.when(F.array_contains("done", i), F.lit(1)).otherwise(F.lit(0)), x["s"]["rate"]))
+    each = each.withColumn("guess", guess)
+    state = F.aggregate(slots(F.col("from"), F.col("first")), F.col("guess"), lambda acc, t: _let(pick(acc, t), lambda i: after(acc, i)))
+    each = each.withColumn("state", state)
 
     def step(acc: Column, t: Column) -> Column:
-        return let(pick(acc["state"], t), lambda i: F.struct(after(acc["state"], i).alias("state"), F.concat(acc["out"], F.array(F.struct(i.alias("i"), F.get(acc["state"], i)["k"].alias("k"), t.alias("slot")))).alias("out")))
+        return _let(pick(acc["state"], t), lambda i: F.struct(after(acc["state"], i).alias("state"), F.concat(acc["out"], F.array(F.struct(i.alias("i"), F.get(acc["state"], i)["k"].alias("k"), t.alias("slot")))).alias("out")))
+
+    none = F.struct(F.col("state").alias("state"), F.array().cast("array<struct<i:int,k:bigint,slot:bigint>>").alias("out"))
+    found = each.select("s", F.explode(F.aggregate(slots(F.col("first"), F.col("end")), none, step)["out"]).alias("x"))
+    found = found.select(F.get("s", F.col("x.i")).alias("source"), F.col("x.k").alias("turn"), F.col("x.slot").alias("slot"))
+    return found.where(F.col("turn") < F.col("source.blocks")).select("source.source", "turn", "slot")
+
+
+def _slotted(blocks: DataFrame, slots: DataFrame) -> DataFrame:
+    """``blocks`` (source, block, rate, total and more) with release, deadline and slot."""
+    k, rate, total = F.col("block"), F.col("rate"), F.col("total")
+    found = blocks.withColumn("turn", k % rate).join(slots.withColumnRenamed("slot", "_in_period"), ["source", "turn"])
+    return found.withColumns({"release": _release(k, rate, total), "deadline": _deadline(k, rate, total), "slot": _div(k, rate) * total + F.col("_in_period")}).drop("turn", "_in_period")
 
-    row = "struct<i:int,k:bigint,slot:bigint>"
-    none = F.struct(F.col("state").alias("state"), F.array().cast(f"array<{row}>").alias("out"))
-    found = starts.repartition("n").select("s", "total", F.explode(F.aggregate(slots(F.col("n")), none, step)["out"]).alias("x")).select(F.get("s", F.col("x.i")).alias("source"), "total", F.col("x.k").alias("k"), F.col("x.slot").alias("slot"))
-    found = found.where(F.col("k") < F.col("source.blocks"))
-    rate = F.col("source.rate")
-    return found.select("source.source", F.col("k").alias("block"), release(F.col("k"), rate).alias("release"), deadline(F.col("k"), rate).alias("deadline"), "slot")
+
+def schedule(rates: DataFrame, steps: int = STEPS) -> DataFrame:
+    """source, block, release, deadline, slot of the first ``blocks`` blocks of each source (source, rate, blocks).
+
+    Sources that have run out keep their slots, which stay empty.
+    """
+    total = F.sum("rate").over(Window.partitionBy())  # a row for each source
+    every = rates.withColumn("total", total).select("source", F.col("rate").cast("long").alias("rate"), "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
+    return _slotted(every, period(rates, steps)).select("source", "block", "release", "deadline", "slot")
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
@@ -136,26 +156,26 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tup
 
 
 def _plan(sizes: DataFrame, weights: dict[str, float] | None, block_bytes: int) -> DataFrame:
-    """source, rate, blocks, length (bytes of a block, the same for all)."""
+    """source, rate, total (of all rates), blocks."""
     rates = rates_by_root_share(sizes) if weights is None else rates_by_weight(sizes, weights)
-    every = Window.partitionBy()  # a row for each source
-    rates = rates.withColumn("total", F.sum("rate").over(every))
-    longest = F.max(F.col("bytes") * F.col("total").cast("double") / F.col("rate")).over(every)  # bytes put out until the last source ends
-    rates = rates.withColumn("length", F.greatest(F.lit(block_bytes), F.ceil(longest / MOST_SLOTS)).cast("long"))
-    return rates.select("source", "rate", "length", (_div(F.col("bytes") - 1, F.col("length")) + 1).alias("blocks"))
+    total = F.sum("rate").over(Window.partitionBy())  # a row for each source
+    return rates.select("source", "rate", total.alias("total"), (_div(F.col("bytes") - 1, F.lit(block_bytes).cast("long")) + 1).alias("blocks"))
 
 
-def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block_bytes: int, id_col: str, text_col: str, source_col: str, last: Column) -> DataFrame:
-    """A row for each block from a record's first to ``last`` with block, start, bytes, release, deadline, slot."""
+def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block_bytes: int, id_col: str, text_col: str, source_col: str, whole: bool) -> DataFrame:
+    """A row for each block from a record's first to its last (``whole``: only the first) with block, start, bytes, release, deadline, slot."""
     with scratch(docs.sparkSession):
         placed, sizes = _placed(docs, id_col, text_col, source_col)
         plan = save(_plan(sizes, weights, block_bytes), "plan")
-        length = F.col("length")
-        pieces = placed.join(plan.select("source", "length"), "source")
-        pieces = pieces.withColumn("block", F.explode(F.sequence(_div(F.col("before"), length), last)))
+        length = F.lit(block_bytes).cast("long")
+        first = _div(F.col("before"), length)
+        last = first if whole else _div(F.col("before") + F.col("size") - 1, length)
+        pieces = placed.withColumn("block", F.explode(F.sequence(first, last)))
         start = F.greatest(F.lit(0), F.col("block") * length - F.col("before"))
         pieces = pieces.withColumn("start", start).withColumn("bytes", F.least(F.col("size"), (F.col("block") + 1) * length - F.col("before")) - F.col("start"))
-        return save(pieces.join(schedule(plan), ["source", "block"]).select("doc_id", "source", "size", "block", "start", "bytes", "before", "release", "deadline", "slot"), "slots", outlive=True)
+        slots = save(period(plan), "period")
+        found = _slotted(pieces.join(plan.select("source", "rate", "total"), "source"), slots)
+        return save(found.select("doc_id", "source", "size", "block", "start", "bytes", "before", "release", "deadline", "slot"), "slots", outlive=True)
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -173,14 +193,13 @@ def mix_blocks(docs: DataFrame, weights: dict[str, float] | None = None, block_b
 
     A row for each piece of a record: its bytes from ``start`` on that lie in ``block``.
     """
-    last = _div(F.col("before") + F.col("size") - 1, F.col("length"))
-    rows = _scheduled(docs, weights, block_bytes, id_col, text_col, source_col, last)
+    rows = _scheduled(docs, weights, block_bytes, id_col, text_col, source_col, whole=False)
     return _numbered(rows).select("doc_id", "source", "size", "block", "start", "bytes", "release", "deadline", "slot", "position")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, block, release, deadline, slot, position (gapless from 0): a row for each whole record."""
-    rows = _scheduled(docs, weights, block_bytes, id_col, text_col, source_col, _div(F.col("before"), F.col("length")))
+    rows = _scheduled(docs, weights, block_bytes, id_col, text_col, source_col, whole=True)
     return _numbered(rows).select("doc_id", "source", "size", "block", "release", "deadline", "slot", "position")
 
 

@@ -2,6 +2,7 @@
 
 import re
 import zlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -97,18 +98,8 @@ def test_bytes_put_out_are_fair(spark, weights):
     assert t > 100
 
 
-def test_slots_are_bounded(spark, monkeypatch):
-    from secspark.llm import mixing
-
-    monkeypatch.setattr(mixing, "MOST_SLOTS", 50)
-    out = mix_blocks(table(spark, n=200), {"a": 1, "b": 9}, block_bytes=1).collect()
-    assert max(r["slot"] for r in out) < 60 and len({(r["doc_id"], r["start"], r["size"]) for r in out}) > 150
-
-
-def test_schedule(spark):
-    """Stretches joined give the same as one run over all slots."""
-    rates = {"a": (1_000_003, 90), "b": (77, 3), "c": (333_333, 40), "d": (2_000_001, 150)}
-    got = schedule(spark.createDataFrame([(s, r, n) for s, (r, n) in rates.items()], "source string, rate long, blocks long"), steps=16).collect()
+def serial(rates):
+    """Earliest deadline first over all slots, one by one."""
     total, had, want = sum(r for r, _ in rates.values()), dict.fromkeys(rates, 0), []
     while any(had[s] < n for s, (_, n) in rates.items()):
         t = sum(had.values())
@@ -116,7 +107,33 @@ def test_schedule(spark):
         if had[s] < rates[s][1]:
             want.append((s, had[s], had[s] * total // rates[s][0], due, t))
         had[s] += 1
-    assert sorted(map(tuple, got)) == sorted(want)
+    return sorted(want)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches_start_from_a_guess(spark, seed):
+    """Many stretches over one or several periods, small whole weights and shares of 2^31."""
+    r = random.Random(seed)
+    top = [60, 250, 1 << 31][seed % 3]
+    rates = {f"s{i}": (r.randint(top // 20 + 1, top), r.randint(1, 400)) for i in range(r.randint(2, 9))}
+    df = spark.createDataFrame([(s, q, n) for s, (q, n) in rates.items()], "source string, rate long, blocks long")
+    assert sorted(map(tuple, schedule(df, steps=8).collect())) == serial(rates)
+
+
+def test_blocks_keep_their_size(spark):
+    """Blocks of a byte: as many slots as bytes times the inverse of the share, and none of them is made but those with a block."""
+    data = [(i, "x" * 2000, "en", "a" if i % 3 else "b", 1, 1, "s", "k") for i in range(12)]
+    out = mix_blocks(table(spark, data), {"a": 1, "b": 9}, block_bytes=1)
+    assert out.count() == 12 * 2001 and out.agg({"bytes": "max"}).first()[0] == 1
+    last = out.agg({"slot": "max"}).first()[0]
+    assert last == max(t for *_, t in serial({"a": (1, 8 * 2001), "b": (9, 4 * 2001)}))
+
+
+def test_schedule(spark):
+    """Stretches joined give the same as one run over all slots."""
+    rates = {"a": (1_000_003, 90), "b": (77, 3), "c": (333_333, 40), "d": (2_000_001, 150)}
+    got = schedule(spark.createDataFrame([(s, r, n) for s, (r, n) in rates.items()], "source string, rate long, blocks long"), steps=16).collect()
+    assert sorted(map(tuple, got)) == serial(rates)
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
 
 
