@@ -133,11 +133,14 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(v, "v").join(u, "u").where(both * 100 >= percent * (F.size("_a") + F.size("_b") - both)).select("u", "v")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root (smallest node of its component) for every node of ``edges`` (u, v); large-star and small-star in turn."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (smallest node of its component) for every node of ``edges`` (u, v); large-star and small-star in turn.
+
+    Rounds go on until one changes nothing: links only ever move to smaller nodes, so there is such a round.
+    """
     e = save(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    for _ in range(rounds):
+    while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that Spark can split the join at a node with very many links
         least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
@@ -151,8 +154,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).union(e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
