@@ -44,12 +44,18 @@ from .units import units
 SHARD_IDS = 1 << 18
 GRAMMAR_IDS = 1 << 22
 SLICE_BYTES = 6 << 20
-FIRST = 1 << 20  # above every token id
+FIRST = 1 << 20  # above every token id, which is checked
 LEAST = 4
 _CELLS = 18
 SCHEMA = "part int, shard int, doc_id array<long>, n_ids array<long>, rules binary, lengths binary, seq binary, total long"
 
 
+def known(ids: np.ndarray) -> None:
+    """Ids from ``FIRST`` on would be taken for rules."""
+    if ids.max(initial=0) >= FIRST or ids.min(initial=0) < 0:
+        raise ValueError(f"token ids must be under {FIRST}")
+
+
 def _frequent(seq: np.ndarray, live: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs at ``live`` places that occur ``least`` times without overlapping themselves: places by pair, the pairs' keys, first places and counts."""
     keys = (seq[live] << bits) | seq[live + 1]
@@ -195,6 +201,7 @@ def _write(path: str, end_id: int, shard_ids: int, grammar_ids: int):
             for b in _slices(whole, "text", SLICE_BYTES):
                 part = b["part"][0].as_py()
                 ids, counts = encoder.encode(b["text"])
+                known(ids)
                 stops = np.cumsum(counts)
                 for d, a, z in zip(b["doc_id"].to_pylist(), (stops - counts).tolist(), stops.tolist()):
                     docs.append((d, z - a + 1))
@@ -212,8 +219,9 @@ def _write(path: str, end_id: int, shard_ids: int, grammar_ids: int):
 def write_shards(docs: DataFrame, path: str, end_id: int, shard_ids: int = SHARD_IDS, grammar_ids: int = GRAMMAR_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, compress and write ``docs``; returns the table of shards read back from its files.
 
-    ``path`` names a byte-level BPE tokenizer.
+    ``path`` names a byte-level BPE tokenizer; an id that the file format can't hold (``FIRST`` and above) raises ValueError.
     """
+    known(np.array([end_id]))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     parts = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")

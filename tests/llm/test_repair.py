@@ -95,3 +95,17 @@ def test_brute_force(spark, shard_ids, grammar_ids):
 
 def test_empty(spark):
     assert read_documents(write_shards(spark.createDataFrame([], SCHEMA), BYTE, 2)).count() == 0
+
+
+def test_ids_that_look_like_rules_are_refused(spark):
+    import numpy as np
+
+    from secspark.llm.repair import FIRST, known
+
+    known(np.zeros(0, dtype=np.int64))
+    known(np.array([FIRST - 1]))
+    for bad in ([FIRST], [-1]):
+        with pytest.raises(ValueError):
+            known(np.array(bad))
+    with pytest.raises(ValueError):
+        write_shards(table(spark, []), public_tokenizers.path("byte_bpe_50k.json"), end_id=FIRST)
