@@ -151,25 +151,55 @@ def playbook_targets(found: DataFrame, seen: DataFrame, actions: DataFrame, wind
     return pairs.join(done, ["target", "host"], "left_anti")
 
 
+#: Labels of an alert that policies and silences may ask for.
+LABELS = ("rule", "host", "mitre", "src_ip", "severity")
+
+
+def _asked(settings: DataFrame, key: str) -> DataFrame:
+    """key, label, value, wanted: a row for each label a policy asks for; an absent label is asked for by a null value."""
+    wanted = F.filter(F.map_entries(F.coalesce("match", F.create_map().cast("map<string,string>"))), lambda x: ~(x["value"].isNull() & ~x["key"].isin(*LABELS)))
+    return settings.select(key, F.explode_outer(wanted).alias("x"), F.size(wanted).alias("wanted")).select(key, "x.key", "x.value", "wanted")
+
+
+def _matches(labels: DataFrame, settings: DataFrame, key: str) -> DataFrame:
+    """labels, key: which settings hold for which set of labels, by counting.
+
+    Labels and settings meet in an equi-join on (label, value); a setting holds where as many of its labels were met as it asks
+    for. One that asks for nothing holds for all and is met under a label that every set has.
+    """
+    asked = _asked(settings, key)
+    own = F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("value")), *[F.struct(F.lit(c).alias("key"), F.col("labels").getField(c).alias("value")) for c in LABELS])
+    text = lambda v: F.coalesce(F.concat(F.lit("="), v), F.lit("-"))  # noqa: E731  a null is a value of its own
+    have = labels.select("labels", F.explode(own).alias("x")).select("labels", F.col("x.key").alias("_key"), text(F.col("x.value")).alias("_value"))
+    none = F.col("wanted") == 0
+    want = asked.select(key, "wanted", F.when(none, "").otherwise(F.col("key")).alias("_key"), F.when(none, "=").otherwise(text(F.col("value"))).alias("_value"))
+    met = have.join(want, ["_key", "_value"]).groupBy("labels", key).agg(F.count("*").alias("met"), F.max("wanted").alias("wanted"))
+    return met.where((F.col("met") == F.col("wanted")) | (F.col("wanted") == 0)).select("labels", key)
+
+
 def route_alerts(alerts: DataFrame, policies: DataFrame, silences: DataFrame, now: int, channels: list[str]) -> DataFrame:
     """id, channels, silenced. Policies: id, match (map), channels (array), continue. Silences: match (map), until.
 
     Of the policies whose labels all match, the most specific wins (ties: smallest id); while it says
-    ``continue`` the next one adds its channels. Without a policy all channels get the alert. Both tables are
-    small settings; the join condition is a test of labels.
+    ``continue`` (null: no) the next one adds its channels. Without a policy all channels get the alert. Policies without labels match
+    every alert. Each distinct set of labels is routed once and joined back by value, so null and repeated ids keep their route.
     """
-    labels = F.map_filter(F.create_map(*[x for c in ("rule", "host", "mitre", "src_ip") for x in (F.lit(c), F.col(c))], F.lit("severity"), F.col("severity").cast("string")), lambda k, v: v.isNotNull())
-    a = alerts.withColumn("labels", labels)
-    holds = F.forall(F.map_entries("match"), lambda x: F.col("labels")[x["key"]].eqNullSafe(x["value"]))
-    hits = a.select("id", "labels").join(policies.withColumnRenamed("id", "policy"), holds)
-    hit = F.struct((-F.size("match")).alias("o"), "policy", "channels", F.col("continue").alias("more"))
-    ranked = hits.groupBy("id").agg(F.array_sort(F.collect_list(hit)).alias("p"))
+    labels = F.struct(*[F.col(c).cast("string").alias(c) for c in LABELS])
+    a = alerts.select("id", labels.alias("labels"))
+    sets = a.select("labels").distinct()
+    # a policy is known by its content: ids may be null or repeated
+    named = policies.select(F.col("id").alias("policy"), "channels", F.coalesce("continue", F.lit(False)).alias("more"), "match")
+    kept = F.struct(F.coalesce(-F.size("match"), F.lit(0)).alias("o"), "policy", "channels", "more", F.array_sort(F.map_entries("match")).alias("of"))
+    hits = _matches(sets, named.select(kept.alias("p"), "match"), "p")
+    ranked = hits.groupBy("labels").agg(F.array_sort(F.collect_list("p")).alias("p"))
     stop = F.array_position(F.transform("p", lambda x: x["more"]), F.lit(False))
     used = F.when(stop > 0, F.slice("p", 1, stop.cast("int"))).otherwise(F.col("p"))
-    named = ranked.select("id", F.array_sort(F.array_distinct(F.flatten(F.transform(used, lambda x: x["channels"])))).alias("channels"))
-    quiet = a.select("id", "labels").join(silences.where(F.col("until") > now), holds).select("id").distinct().withColumn("silenced", F.lit(True))
+    routed = ranked.select("labels", F.array_sort(F.array_distinct(F.flatten(F.transform(used, lambda x: x["channels"])))).alias("channels"))
+    live = silences.where(F.col("until") > now).select(F.struct("until", F.array_sort(F.map_entries("match")).alias("of")).alias("s"), "match")
+    quiet = _matches(sets, live, "s").select("labels").distinct().withColumn("silenced", F.lit(True))
     every = F.array(*[F.lit(c) for c in sorted(channels)])
-    return a.select("id").join(named, "id", "left").join(quiet, "id", "left").select("id", F.coalesce("channels", every).alias("channels"), F.coalesce("silenced", F.lit(False)).alias("silenced"))
+    out = a.join(routed, "labels", "left").join(quiet, "labels", "left")
+    return out.select("id", F.coalesce("channels", every).alias("channels"), F.coalesce("silenced", F.lit(False)).alias("silenced"))
 
 
 def drilldown(df: DataFrame, rule: Rule, ts: int) -> DataFrame:

@@ -61,41 +61,68 @@ def _selection(body, columns) -> Column:
     return any_of([F.coalesce(F.col("message").ilike(f"%{_wild(str(x))}%"), F.lit(False)) for x in body])
 
 
-_TOKEN = re.compile(r"\b(?P<how>all|any|1)\s+of\s+(?P<names>[\w*]+)|(?P<word>[\w*]+)|(?P<mark>[()])|\s+|(?P<other>.)", re.I)
-_SIGNS = {"and": "&", "or": "|", "not": "~"}
+_WORDS = re.compile(r"\b(?:all|any|1)\s+of\s+[\w*]+|[\w*]+|[()]|\S", re.I)
+_BINDS = {"or": 1, "and": 2, "not": 3}
+MAX_CONDITION = 2000
+
+
+def _named(word: str, found: dict[str, Column]) -> Column:
+    """A selection, or ``all of x*``, ``1 of x*``, ``1 of them`` over those whose names fit."""
+    several = re.fullmatch(r"(all|any|1)\s+of\s+([\w*]+)", word, re.I)
+    how, wanted = several.groups() if several else ("", word)
+    some = [k for k in found if k == wanted or how and (wanted == "them" or re.fullmatch(wanted.replace("*", ".*"), k))]
+    if not some:
+        raise ValueError(f"no selection named {wanted}")
+    return (all_of if how.lower() == "all" else any_of)([found[k] for k in some])
 
 
 def _condition(condition: str, found: dict[str, Column]) -> Column:
-    """and, or, not, parentheses, ``all of x*`` and ``1 of x*`` over the selections.
+    """and, or, not, parentheses, ``all of x*`` and ``1 of x*`` over the selections, as a fold over the words.
 
-    Each word becomes a sign or a named predicate, whose signs Python binds as tightly as a condition's words.
+    Words wait until one comes that binds no tighter. Conditions of over ``MAX_CONDITION`` words are refused.
     """
-    parts: dict[str, Column] = {}
-
-    def sign(m: re.Match) -> str:
-        if m["other"]:
-            raise ValueError(f"no part of a condition: {m['other']}")
-        word = m["word"]
-        if word and word.lower() in _SIGNS:
-            return _SIGNS[word.lower()]
-        if not word and not m["names"]:
-            return m[0]
-        wanted = word or m["names"]
-        names = [k for k in found if k == wanted or m["names"] and (wanted == "them" or re.fullmatch(wanted.replace("*", ".*"), k))]
-        if not names:
-            raise ValueError(f"no selection named {wanted}")
-        name = f"p{len(parts)}"
-        parts[name] = (all_of if (m["how"] or "").lower() == "all" else any_of)([found[k] for k in names])
-        return name
-
-    signs = " ".join(_TOKEN.sub(sign, condition).split())  # p0, p1, ... and & | ~ ( ) only
-    try:
-        out = eval(signs, {"__builtins__": {}}, parts)
-    except (SyntaxError, TypeError) as e:
-        raise ValueError(f"not a condition: {condition}") from e
-    if not isinstance(out, Column):
-        raise ValueError(f"not a condition: {condition}")
-    return out
+    words = _WORDS.findall(re.sub(r"\s+", " ", condition))
+    wrong = ValueError(f"not a condition: {condition[:200]}")
+    if len(words) > MAX_CONDITION:
+        raise wrong
+    values: list[Column] = []
+    waiting: list[str] = []
+    value_next = True
+
+    def settle() -> None:
+        sign = waiting.pop()
+        right = values.pop()
+        values.append(~right if sign == "not" else values.pop() & right if sign == "and" else values.pop() | right)
+
+    for word in words:
+        sign = word.lower()
+        if value_next != (sign in ("not", "(") or sign not in ("and", "or", ")")):
+            raise wrong
+        if sign == "not" and waiting and waiting[-1] == "not":
+            waiting.pop()  # twice is nothing
+        elif sign in ("not", "("):
+            waiting.append(sign)
+        elif sign in ("and", "or"):
+            while waiting and _BINDS.get(waiting[-1], 0) >= _BINDS[sign]:
+                settle()
+            waiting.append(sign)
+            value_next = True
+        elif sign == ")":
+            while waiting and waiting[-1] != "(":
+                settle()
+            if not waiting:
+                raise wrong
+            waiting.pop()
+        else:
+            values.append(_named(word, found))
+            value_next = False
+    while waiting and not value_next:
+        if waiting[-1] == "(":
+            raise wrong
+        settle()
+    if value_next or len(values) != 1:
+        raise wrong
+    return values[0]
 
 
 def sigma_predicate(doc: dict, columns=COLUMNS) -> Column:
