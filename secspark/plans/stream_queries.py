@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from secspark.model import canonical_events
+from secspark.operators import ingest as I
 from secspark.streaming import stream as T
 
 from .base import T0, Registry, ev, table, work_dir
@@ -48,6 +49,39 @@ def _(spark, d):
     return result(live(spark, d)).select("id", "ts", "source", "host")
 
 
+@R.add("t1b_ingest_chain", f"""
+, raw AS (
+  SELECT id, ts, host, action, severity, src_ip, source AS kind, CASE source WHEN 'signup' THEN 'ext:secspark-x' ELSE source END AS source,
+    CASE WHEN source IN ('error', 'click') THEN src_ip END AS ip, CASE WHEN source = 'error' THEN 'k' || (id % 50) END AS dedup
+  FROM ev WHERE source <> 'view'
+)
+SELECT id, source, CASE WHEN kind = 'error' THEN 'auth' END AS category, CASE WHEN kind = 'error' THEN 'canonical' ELSE 'absent' END AS category_state,
+  CASE WHEN kind = 'error' THEN 4 ELSE severity END AS severity, CASE WHEN kind = 'error' THEN host END AS user, CASE WHEN kind = 'click' THEN '[redacted]' ELSE ip END AS src_ip,
+  CASE WHEN ip LIKE '10.0.1.%' THEN ip END AS ti_match, CASE WHEN ip IS NOT NULL AND ts < {T0} THEN 'b' END AS engagement_id, CASE WHEN kind = 'purchase' THEN 'lab' ELSE 'prod' END AS env_id, 'v1' AS cim
+FROM raw QUALIFY dedup IS NULL OR row_number() OVER (PARTITION BY host, dedup ORDER BY ts, id) = 1
+""")
+def _(spark, d):
+    path, e = work_dir(spark, "ingest"), live(spark, d)
+    message = F.when(F.col("source") == "error", F.concat(F.lit("user="), "host", F.lit(' ip="'), "src_ip", F.lit('"'))).when(F.col("source") == "click", F.to_json(F.struct(F.col("src_ip").alias("rhost")))).otherwise(F.col("action"))
+    dedup = F.when(F.col("source") == "error", F.concat(F.lit("k"), F.col("id") % 50))
+    landed = e.select("id", "ts", F.when(F.col("source") == "signup", "secspark-x").otherwise(F.col("source")).alias("source"), "severity", "host", message.alias("message"), dedup.alias("dedup"))
+    bad = ev(spark, d).where(F.col("src_ip").startswith("10.0.1.")).select(F.lit("ip").alias("type"), F.col("src_ip").alias("value"), F.lit("feed").alias("source"), F.lit(90).alias("confidence"), F.lit(3).alias("severity"), F.lit(0).cast("long").alias("expires")).distinct()
+    settings = I.Settings(
+        regex_parsers=(("error", r"user=(?<user>\S+)"),),
+        generic_sources=("click",),
+        specs=({"source": "error", "guard": "^user=", "extract": [{"kv": True}], "map": {"category": "auth", "severity": "4", "src_ip": "$ip"}},),
+        iocs=bad,
+        scopes=spark.createDataFrame([("b", "10.0.", True, 0, T0 - 1)], "id string, matcher string, is_prefix boolean, window_start long, window_end long"),
+        version="v1",
+        deploys=spark.createDataFrame([("x", "y", T0)], "name string, hash string, deployed_at long"),
+        processors=({"field": "source", "op": "eq", "value": "view", "action": "drop"}, {"field": "source", "op": "eq", "value": "click", "action": "mask", "arg": "src_ip"}, {"field": "source", "op": "eq", "value": "purchase", "action": "route", "arg": "lab"}),
+    )
+    ran(I.ingest_stream(landed, settings, lambda: T0, path, path + "-checkpoint"), spark)
+    out = spark.read.parquet(f"{path}/rows")
+    member = lambda k: F.get_json_object("fields", f"$.{k}").alias(k)
+    return out.select("id", "source", "category", "category_state", "severity", member("user"), "src_ip", "ti_match", "engagement_id", "env_id", member("cim"))
+
+
 @R.add("t2_hourly_rollup", f"SELECT * FROM (SELECT ts // 3600 * 3600 AS bucket, source, severity, count(*) AS n, max(ts) AS last_ts FROM ev GROUP BY ALL) WHERE bucket + 3600 <= {_LAST} - 7200")
 def _(spark, d):
     return result(T.hourly_rollup(live(spark, d), ["source", "severity"]))
