@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from secspark.functions.scalar import bucket
 from secspark.operators.search import Search
@@ -36,18 +37,83 @@ class Rule:
     risk_score: int = 0
     compliance: str = ""
     fields: tuple[str, ...] = attr(default=())
+    #: A column and the value that every row of the rule has in it; many rules are filed under it.
+    under: tuple[str, str] | None = None
 
 
-def evaluate_rules(df: DataFrame, rules: list[Rule], now: int) -> DataFrame:
-    """rule, value, fired, severity, mitre: the last column of the first row of each rule's search."""
-    out = []
-    for r in rules:
-        if not r.enabled:
+#: Measures of a rule that one pass can take for all rules.
+MEASURES = {"count": "n", "dc": "d", "sum": "sum", "avg": "avg", "min": "min", "max": "max"}
+
+
+def _measure(df: DataFrame, r: Rule) -> tuple[Column, str, str | None] | None:
+    """(test of a row, measure, column) of a rule that only filters and then takes one measure of all rows; else None."""
+    s = r.query(Search(df))
+    names, notes = [n for n, _ in s.stages], s.notes
+    if not names or names[-1] != "stats" or set(names[:-1]) - {"search", "where"} or len(notes[-1].made) != 1:
+        return None
+    name, what = notes[-1].made[0]
+    if notes[-1].only != (name,) or name not in MEASURES or not (what is None or isinstance(what, str)):
+        return None
+    if name not in ("count", "dc") and not isinstance(df.schema[what].dataType, NumericType) if what in df.columns else what is not None:
+        return None
+    tests = [t for n in notes[:-1] for t in n.filters]
+    if not all(isinstance(t, Column) for t in tests):
+        return None
+    return reduce(lambda a, b: a & b, tests, F.lit(True)), name, what
+
+
+def evaluate_at_once(df: DataFrame, rules: list[Rule], now: int) -> tuple[DataFrame | None, list[Rule]]:
+    """(rule, value, severity, mitre, fired of the rules that one scan can measure; the other rules).
+
+    A row gives an entry for every rule that it matches. Rules are filed under a value of a column (``under``), and a
+    row tests only those under its own values and those that are filed nowhere. Entries are then summed by rule.
+    """
+    made = [(r, _measure(df, r)) for r in rules]
+    rest, some = [r for r, m in made if m is None], [(i, r, m) for i, (r, m) in enumerate(made) if m is not None]
+    if not some:
+        return None, rest
+    none = F.array().cast("array<struct<rule:int,text:string,number:double>>")
+    filed: dict[str | None, dict[str, list[Column]]] = {}
+    for i, r, (test, name, what) in some:
+        hit = F.coalesce(test & F.col("ts").between(now - r.window_s, now), F.lit(False))
+        text = F.lit(None).cast("string") if what is None else F.col(what).cast("string")
+        number = F.lit(None).cast("double") if what is None or name in ("count", "dc") else F.col(what).cast("double")
+        entry = F.when(hit, F.struct(F.lit(i).alias("rule"), text.alias("text"), number.alias("number")))
+        column, value = r.under or (None, "")
+        filed.setdefault(column, {}).setdefault(value, []).append(entry)
+    branches = []
+    for column, values in filed.items():
+        if column is None:
+            branches.append(F.array(*values[""]))
             continue
+        case = None
+        for value, entries in values.items():
+            case = F.when(F.col(column) == value, F.array(*entries)) if case is None else case.when(F.col(column) == value, F.array(*entries))
+        branches.append(case.otherwise(none))
+    rows = df.where(F.col("ts").between(now - max(r.window_s for _, r, _ in some), now))
+    found = rows.select(F.explode(F.filter(F.concat(*branches), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    counts = found.groupBy("rule").agg(F.count("*").alias("n"), F.count("text").alias("c"), F.countDistinct("text").alias("d"), *[getattr(F, k)("number").alias(k) for k in ("sum", "avg", "min", "max")])
+    spec = df.sparkSession.createDataFrame([(i, r.name, "c" if name == "count" and what else MEASURES[name], r.op, float(r.threshold), r.severity, r.mitre) for i, r, (_, name, what) in some], "rule int, name string, measure string, op string, least double, severity int, mitre string")
+    value = F.coalesce(*[F.when(F.col("measure") == k, F.coalesce(F.col(k).cast("double"), F.lit(0.0 if k in ("n", "c", "d") else None).cast("double"))) for k in ("n", "c", "d", "sum", "avg", "min", "max")])
+    out = spec.join(counts, "rule", "left").withColumn("value", value)
+    fired = F.coalesce(*[F.when(F.col("op") == op, compare(F.col("value"), op, F.col("least"))) for op in (">", ">=", "<", "<=", "==", "!=")], F.lit(False))
+    return out.select(F.col("name").alias("rule"), "value", "severity", "mitre", fired.alias("fired")), rest
+
+
+def evaluate_rules(df: DataFrame, rules: list[Rule], now: int) -> DataFrame:
+    """rule, value, severity, mitre, fired: the last column of the first row of each rule's search.
+
+    Rules that filter and take one measure are evaluated in one scan, whatever their number; each other one has a scan of its own.
+    """
+    at_once, rest = evaluate_at_once(df, [r for r in rules if r.enabled], now)
+    out = [] if at_once is None else [at_once]
+    for r in rest:
         found = r.query(Search(df).search(start=now - r.window_s, end=now)).df
-        first = found.limit(1).select(F.col(found.columns[-1]).cast("double").alias("value"))
+        first = found.limit(1).select(F.col(found.columns[-1]).try_cast("double").alias("value"))
         one = first.agg(F.max("value").alias("value")).select(F.lit(r.name).alias("rule"), "value", F.lit(r.severity).alias("severity"), F.lit(r.mitre).alias("mitre"), F.coalesce(compare(F.col("value"), r.op, r.threshold), F.lit(False)).alias("fired"))
         out.append(one)
+    if not out:
+        return df.sparkSession.createDataFrame([], "rule string, value double, severity int, mitre string, fired boolean")
     return reduce(DataFrame.unionByName, out)
 
 

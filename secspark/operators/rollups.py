@@ -62,6 +62,24 @@ def dim_rollup(df: DataFrame, specs: list[tuple[str, str]], topn: int = 50) -> D
     return kept.select(remainder.columns).unionByName(remainder)
 
 
+#: Registers of a sketch as a power of two; the standard error is 1.04 / sqrt(2 ** LG_K), 1.6 %.
+LG_K = 12
+
+
+def sketch_rollup(df: DataFrame, column: str, by: list[str], lg_k: int = LG_K) -> DataFrame:
+    """bucket, by, sketch: a HyperLogLog sketch of the values of a column for each hour, which merge over hours and keys. Nulls don't count."""
+    return df.groupBy(hour_floor(F.col("ts")).alias("bucket"), *by).agg(F.hll_sketch_agg(F.col(column).cast("string"), lg_k).alias("sketch"))
+
+
+def distinct_from_sketches(rollup: DataFrame, by: list[str], start: int | None = None, end: int | None = None) -> DataFrame:
+    """by, dc: estimated number of distinct values over the hours in [start, end); no event is read again."""
+    if start is not None:
+        rollup = rollup.where(F.col("bucket") >= start)
+    if end is not None:
+        rollup = rollup.where(F.col("bucket") < end)
+    return rollup.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("dc"))
+
+
 def host_rollup(events: DataFrame, metrics: DataFrame, snapshots: DataFrame, hot_from: int) -> DataFrame:
     """Per host and environment: last, first, all signals and those since ``hot_from``."""
     every = None

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from secspark.functions import predicates as P
 from secspark.model import RESERVED_SOURCE
 from secspark.operators.detect import Rule, compare
+from secspark.operators.normalize import json_map
 
 COLUMNS = ("source", "category", "severity", "host", "message", "src_ip", "dst_ip", "url")
 
@@ -71,13 +72,13 @@ TABLE = [
 
 
 def canonical_rules(df: DataFrame) -> DataFrame:
-    """``df`` with every column that the rules refer to; missing ones are null."""
+    """``df`` with every column that the rules refer to; missing ones are null. The bag is read once, as the map ``_bag``."""
     missing = {c: F.lit(None).cast("int" if c == "severity" else "string") for c in (*COLUMNS, "fields") if c not in df.columns}
-    return df.withColumns(missing)
+    return df.withColumns(missing).withColumn("_bag", json_map(F.col("fields")))
 
 
 def _value(name: str) -> Column:
-    return F.col(name) if name in COLUMNS else F.get_json_object("fields", f"$['{name}']")
+    return F.col(name) if name in COLUMNS else F.col("_bag")[name]
 
 
 def _test(key: str, value) -> Column:

@@ -73,6 +73,16 @@ def _(spark, d):
     return RU.metric_rollup(m, T0)[0]
 
 
+@R.add("r01b_distinct_sketches", f"SELECT source, count(DISTINCT src_ip) AS exact, true AS near FROM ev WHERE ts >= {T0 - 864000} AND ts < {T0 + 864000} GROUP BY source")
+def _(spark, d):
+    # hourly sketches merged over 20 days, against the exact number: within three standard errors
+    e = ev(spark, d)
+    lo, hi = T0 - 864000, T0 + 864000
+    dc = RU.distinct_from_sketches(RU.sketch_rollup(e, "src_ip", ["source", "host"]), ["source"], lo, hi)
+    exact = e.where((F.col("ts") >= lo) & (F.col("ts") < hi)).groupBy("source").agg(F.countDistinct("src_ip").alias("exact"))
+    return exact.join(dc, "source").select("source", "exact", (F.abs(F.col("dc") - F.col("exact")) <= F.col("exact") * 3 * 1.04 / 2 ** (RU.LG_K / 2)).alias("near"))
+
+
 @R.add("r07_refresh_rollup", _CAP + _ROLLUP)
 def _(spark, d):
     e = ev(spark, d)
