@@ -36,6 +36,8 @@ from .substring import _slices
 from .units import tokenizer, units
 
 LEAF = 1 << 16
+#: Distinct units of which a worker keeps the ids, twice over.
+UNITS = 400_000
 WINDOW = 64
 AGREE = 3
 _HALF = "row long, n long, text string, starts array<int>, ends array<int>, ids array<int>"
@@ -188,7 +190,7 @@ def encoded(docs: DataFrame, path: str, finish: Callable, kinds: str, carry: tup
     def short(batches) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _slices(whole, "text"):
-                ids, n = units(path).encode(b["text"])
+                ids, n = units(path, UNITS).encode(b["text"])
                 stops, ids = np.cumsum(n), ids.tolist()
                 yield made(b, [ids[z - k : z] for z, k in zip(stops.tolist(), n.tolist())])
 
