@@ -7,6 +7,8 @@ function reads files first. JSON that can't be read never fails a job: it is dro
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,9 +120,25 @@ def decode_hec(df: DataFrame) -> DataFrame:
     return events(usable, ts=epoch(j(v, "$.time")), source=F.coalesce(j(v, "$.source"), F.lit("hec")), category=F.get(F.array(table[F.lower(j(v, "$.sourcetype"))]), 0), severity=F.lit(0), host=j(v, "$.host"), message=F.coalesce(event, F.lit("")), fields=to_bag(bag))
 
 
+def is_one_object(text: Column) -> Column:
+    """Is a text exactly one JSON object, with nothing before or after it?"""
+    wrapped = F.concat(F.lit('{"w":['), text, F.lit('],"end":1}'))
+    return F.coalesce(F.ltrim(text).startswith("{") & (F.get_json_object(wrapped, "$.end") == "1") & (F.json_array_length(F.get_json_object(wrapped, "$.w")) == 1), F.lit(False))
+
+
 def read_hec(spark: SparkSession, path: str) -> DataFrame:
-    """Single, concatenated, line-wise or array records; fragments that can't be read are skipped."""
-    return decode_hec(split_json(whole_files(spark, path)).where("ok"))
+    """Single, concatenated, line-wise or array records; fragments that can't be read are skipped.
+
+    Files with one object a line are read line by line, split over tasks, without Python. Only files that hold anything else go
+    through the splitter, each as one value; their names are gathered when the reader is called.
+    """
+    each = spark.read.text(path).select("value", F.expr("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    odd = each.where(~is_one_object(F.col("value"))).select("file").distinct()
+    names = [r["file"] for r in odd.collect()]
+    plain = each.join(odd, "file", "left_anti").select("value") if names else each.select("value")
+    if names:
+        plain = plain.unionByName(split_json(spark.read.text([unquote(n) for n in names], wholetext=True)).where("ok").select("value"))
+    return decode_hec(plain)
 
 
 def bad_records(df: DataFrame) -> DataFrame:

@@ -161,3 +161,22 @@ def test_exports(spark, tmp_path):
     text = next((tmp_path / "csv").glob("part-*")).read_bytes() if len(list((tmp_path / "csv").glob("part-*"))) == 1 else b"".join(sorted(p.read_bytes() for p in (tmp_path / "csv").glob("part-*")))
     assert b"'=SUM(A1)" in text and b"\r\n" in text and b"# truncated" in text
     assert [r["line"] for r in one(K.csv_lines(df))] == ["1,'=SUM(A1)", '2,"a,""b"""', "3,'@x"]
+
+
+def test_hec_files_of_lines_need_no_python(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    (tmp_path / "in").mkdir()
+    line = lambda i: json.dumps({"time": i + 1, "event": f"e{i} ] }} {{ [", "source": "s"})
+    (tmp_path / "in" / "a b.json").write_text("\n".join(line(i) for i in range(5)) + "\n\n")
+    native = R.read_hec(spark, f"file://{tmp_path}/in")
+    assert "Python" not in native._jdf.queryExecution().executedPlan().toString() and native.count() == 5
+    (tmp_path / "in" / "c d.json").write_text(line(5) + line(6) + "\n" + line(7))  # two on one line
+    (tmp_path / "in" / "e.json").write_text("[" + line(8) + "," + line(9) + "]")
+    (tmp_path / "in" / "f.json").write_text(line(10) + "\n{broken\n" + line(11))
+    (tmp_path / "in" / "g.json").write_text("")
+    got = R.read_hec(spark, f"file://{tmp_path}/in")
+    assert sorted(r["ts"] for r in got.collect()) == list(range(1, 13))
+    tests = {'{"a":1}': True, ' {"a":[1,{"b":"]}"}]} ': True, '{"a":1}{"b":2}': False, '{"a":1},{"b":2}': False, "[1]": False, '{"a":1}]': False, '{"a":1}] {"b":2}': False, "{": False, "1": False, '"x"': False, "": False, '{"a":1} x': False}
+    df = spark.createDataFrame([(k,) for k in tests], "t string").select("t", R.is_one_object(F.col("t")).alias("one"))
+    assert {r["t"]: r["one"] for r in df.collect()} == tests
