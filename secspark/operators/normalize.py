@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import reduce
+from re._parser import parse
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -485,11 +486,60 @@ def relabel_corroborated(df: DataFrame, deploys: DataFrame, window: int = 3600,
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def required_text(pattern: str) -> tuple[str, bool] | None:
+    """(a text of three characters or more that every match holds, whether its case is free); None if there is none for sure.
+
+    The pattern is read by Python's own parser; what that doesn't know (or Java reads otherwise) has no text.
+    """
+    try:
+        tree = parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return None
+    runs, free = [""], bool(tree.state.flags & re.IGNORECASE)
+
+    def walk(items) -> bool:
+        """False where a group changes flags, which ends the search."""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                runs[-1] += chr(arg)
+            elif name == "SUBPATTERN":
+                if arg[1] or arg[2] or not walk(arg[3]):
+                    return False
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1:
+                runs.append("")
+                if not walk(arg[2]):
+                    return False
+                runs.append("")
+            else:
+                runs.append("")
+        return True
+
+    if not walk(tree):
+        return None
+    best = max(runs, key=len)
+    return (best, free) if len(best) >= 3 and (best.isascii() or not free) else None
+
+
 def scan_patterns(df: DataFrame, patterns: dict[str, str], columns: list[str], id_col: str = "id") -> DataFrame:
-    """id, column, pattern for every named pattern found in every text column; one pass over the rows."""
-    tests = [F.when(F.coalesce(F.col(c).rlike(java_pattern(p)), F.lit(False)), F.struct(F.lit(c).alias("column"), F.lit(k).alias("pattern"))) for c in columns for k, p in patterns.items()]
-    found = F.filter(F.array(*tests), lambda x: x.isNotNull())
-    return df.select(id_col, F.explode(found).alias("x")).select(id_col, "x.column", "x.pattern")
+    """id, column, pattern for every named pattern found in every text column; one pass over the rows.
+
+    A pattern is tried only on texts that hold the text which each of its matches needs; the lower-cased text is made once a column.
+    """
+    low = {c: unused(df, f"_low_{i}") for i, c in enumerate(columns)}
+    rows = df.withColumns({low[c]: F.lower(F.col(c)) for c in columns})
+
+    def found(c: str, p: str) -> Column:
+        java, need = java_pattern(p), required_text(p)
+        hit = F.col(c).rlike(java)
+        if need is None:
+            return hit
+        text, free = need
+        return F.when(F.col(low[c]).contains(text.lower()) if free else F.col(c).contains(text), hit)
+
+    tests = [F.when(F.coalesce(found(c, p), F.lit(False)), F.struct(F.lit(c).alias("column"), F.lit(k).alias("pattern"))) for c in columns for k, p in patterns.items()]
+    hits = F.filter(F.array(*tests), lambda x: x.isNotNull())
+    return rows.select(id_col, F.explode(hits).alias("x")).select(id_col, "x.column", "x.pattern")
 
 
 URL = r"""(?i)\bhttps?://[^\s<>"'\\)\]}]+"""
