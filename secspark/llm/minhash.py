@@ -157,6 +157,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).union(e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, root) after more links (u, v): components meet by their roots, so rounds go over roots only."""
+    ends = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
+    every = save(found.select("node", "root").union(ends.join(found, "node", "left_anti").select("node", F.col("node").alias("root"))), "every")
+    of = lambda c: every.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    edges = links.join(of("u"), "u").join(of("v"), "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+    moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return save(every.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "found")
+
+
 def _worth_a_look(percent: int, bands: int, rows: int) -> Column:
     """Of two members x and y of a bucket: should the pair be confirmed, here and not at an earlier band?
 
@@ -224,7 +234,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         drop(open_)
         late = save(confirm(cross, sets, percent), "late")
         if late.take(1):
-            found = save(components(links.union(late)), "found")
+            found = joined(found, late)
         drop(cross, sets, star)
         least = nodes.select("node", "least")
         named = least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

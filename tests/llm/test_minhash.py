@@ -70,3 +70,18 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_more_links_join_components(spark):
+    """Components found first and then joined are those of all links at once."""
+    from secspark.llm.minhash import joined
+
+    r = random.Random(8)
+    first = [(bytes([r.randint(0, 60)]), bytes([r.randint(0, 60)])) for _ in range(25)]
+    for n in (0, 1, 12):
+        more = [(bytes([r.randint(0, 90)]), bytes([r.randint(0, 90)])) for _ in range(n)]
+        frame = lambda x: spark.createDataFrame(x, "u binary, v binary")
+        got = {(bytes(a), bytes(b)) for a, b in joined(components(frame(first)), frame(more)).collect()}
+        want = {(bytes(a), bytes(b)) for a, b in components(frame(first + more)).collect()}
+        # a link of a node with itself leaves the node a component of its own
+        assert {x for x in got if x[0] != x[1] or x in want} == want and all(x[0] == x[1] for x in got - want)
