@@ -37,7 +37,7 @@ from .units import tokenizer, units
 
 LEAF = 1 << 16
 #: Distinct units of which a worker keeps the ids, twice over.
-UNITS = 400_000
+UNITS = 120_000
 WINDOW = 64
 AGREE = 3
 _HALF = "row long, n long, text string, starts array<int>, ends array<int>, ids array<int>"
