@@ -7,6 +7,7 @@ apart only among rows that processors let through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -54,21 +55,25 @@ def normalise(df: DataFrame, s: Settings) -> DataFrame:
     return N.promote_columns(df)
 
 
-def enrich(df: DataFrame, s: Settings, now: int) -> DataFrame:
-    """The second half: indicators, scopes, category and version, explained changes, processors."""
+def enrich(df: DataFrame, s: Settings, now: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The second half: indicators, scopes, category and version, explained changes, processors.
+
+    Each lookup reads its rows three times, so lookups over one another triple the plan. ``keep`` is what writes the rows before
+    each of them and reads them again; without it the plan is made as it stands.
+    """
     if s.iocs is not None:
-        df = N.match_iocs(df, s.iocs, now)
+        df = N.match_iocs(keep(df), s.iocs, now)
     if s.scopes is not None:
-        df = N.tag_scope(df, s.scopes)
+        df = N.tag_scope(keep(df), s.scopes)
     df = N.stamp_version(N.resolve_category(df, list(s.vocabulary)), s.version)
     if s.deploys is not None:
-        df = N.relabel_corroborated(df, s.deploys, s.deploy_window_s)
+        df = N.relabel_corroborated(keep(df), s.deploys, s.deploy_window_s)
     return N.apply_processors(df, list(s.processors)) if s.processors else df
 
 
-def ingest(df: DataFrame, s: Settings, now: int) -> DataFrame:
-    """Stored events of a batch of landed rows."""
-    return N.dedup_events(enrich(normalise(df, s), s, now))
+def ingest(df: DataFrame, s: Settings, now: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Stored events of a batch of landed rows; for ``keep`` see :func:`enrich`."""
+    return N.dedup_events(keep(enrich(normalise(df, s), s, now, keep)))
 
 
 def ingest_stream(landed: DataFrame, s: Settings, now, path: str, checkpoint: str, within_s: int = 7 * 86400) -> DataStreamWriter:
@@ -76,11 +81,20 @@ def ingest_stream(landed: DataFrame, s: Settings, now, path: str, checkpoint: st
 
     Keys of stored rows stand in ``path``/keys by day: a batch looks up those of its own days and ``within_s`` seconds before, so its
     cost doesn't grow with what is stored; an older duplicate is stored again. A batch that runs again replaces what it wrote.
+    Rows between two steps stand in ``path``/steps until the batch is stored, so that each plan is as small as its step.
     """
 
     def step(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
-        fresh = ingest(df, s, now())
+        spark, made = df.sparkSession, []
+
+        def keep(rows: DataFrame) -> DataFrame:
+            made.append(f"{path}/steps/batch={n}/{len(made)}")
+            rows.write.mode("overwrite").parquet(made[-1])
+            if len(made) > 1:
+                files.delete(spark, made[-2])
+            return spark.read.schema(rows.schema).parquet(made[-1])
+
+        fresh = ingest(df, s, now(), keep)
         first = df.agg(F.min("ts")).first()[0]
         if n and first is not None and files.exists(spark, f"{path}/keys"):
             known = spark.read.schema("host string, dedup string, day date, batch int").parquet(f"{path}/keys")
@@ -91,5 +105,6 @@ def ingest_stream(landed: DataFrame, s: Settings, now, path: str, checkpoint: st
         stored = spark.read.parquet(f"{path}/rows/batch={n}").where("dedup is not null")
         keys = stored.select("host", "dedup", F.to_date(F.timestamp_seconds("ts")).alias("day"), F.lit(n).alias("batch"))
         keys.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{path}/keys")
+        files.delete(spark, f"{path}/steps/batch={n}")
 
     return landed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)

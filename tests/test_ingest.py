@@ -71,3 +71,22 @@ def test_old_keys_are_not_read(spark, tmp_path):
         live = spark.readStream.schema(ROWS).parquet(f"{path}/in")
         ingest_stream(live, Settings(), lambda: 1, f"{path}/out", f"{path}/cp", 86400).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r["id"] for r in spark.read.parquet(f"{path}/out/rows").collect()) == [0, 1]
+
+
+def test_a_batch_reads_its_steps_again(spark, tmp_path):
+    """Lookups don't stand over one another in one plan, and nothing of the steps is left."""
+    made = []
+
+    def keep(df):
+        made.append(len(df._jdf.queryExecution().analyzed().toString()))
+        df.write.parquet(f"file://{tmp_path}/{len(made)}")
+        return spark.read.parquet(f"file://{tmp_path}/{len(made)}")
+
+    s = settings(spark)
+    kept, plain = ingest(rows(spark, DATA), s, 1, keep), ingest(rows(spark, DATA), s, 1)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, plain.collect()))
+    assert len(made) == 3 and len(kept._jdf.queryExecution().analyzed().toString()) * 10 < len(plain._jdf.queryExecution().analyzed().toString())
+    rows(spark, DATA).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    live = spark.readStream.schema(ROWS).parquet(f"file://{tmp_path}/in")
+    ingest_stream(live, s, lambda: 1, f"file://{tmp_path}/out", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    assert not (tmp_path / "out/steps/batch=0").exists()
