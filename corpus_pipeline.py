@@ -1,8 +1,8 @@
 """A corpus pipeline: each stage is one operator, written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
-return the columns of ``docs``; the last returns token digests and each document's position in the mix, because
-Parquet promises no order of rows. Null and empty texts follow the rules of
+return the columns of ``docs``; the last returns token digests and each document's position in the mix, as its place in the
+files that the mixing stage has written (by file name and row number, which Parquet's reader gives). Null and empty texts follow the rules of
 each operator; documents without a letter go at the first stage.
 """
 
@@ -12,14 +12,13 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from secspark.llm.bpe import token_digests
-from secspark.llm.common import delete, scratch, shared_dir, text_or_empty
+from secspark.llm.common import delete, scratch, shared_dir
 from secspark.llm.exact import exact_dedup
 from secspark.llm.langid import keep_identified
 from secspark.llm.minhash import keep_representatives
-from secspark.llm.mixing import in_order, with_position
+from secspark.llm.mixing import in_order, in_written_order
 
 #: Documents whose language is found by less than this share of compressed bytes are rejected.
 MIN_MARGIN = 0.002
@@ -46,11 +45,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, position in the order of the mix, n_tokens, ids_sha256, decoded_sha256."""
-    source, size = F.coalesce("source", F.lit("")).alias("source"), (F.octet_length(text_or_empty()).cast("long") + 1).alias("size")
-    texts = docs.select("doc_id", "text", source, size)
-    digests = token_digests(texts, public_tokenizers.path("word_bpe_49k.json"), carry=("source", "size"))
-    return with_position(digests, docs)
+    """doc_id, position in the order that the mixing stage has written, n_tokens, ids_sha256, decoded_sha256."""
+    texts = in_written_order(docs).select("doc_id", "text", "position")
+    digests = token_digests(texts, public_tokenizers.path("word_bpe_49k.json"), carry=("position",))
+    return digests.select("doc_id", "position", *[c for c in digests.columns if c not in ("doc_id", "position")])
 
 
 STAGES = [

@@ -215,14 +215,13 @@ def in_order(docs: DataFrame, weights: dict[str, float] | None = None, block_byt
     return joined.repartitionByRange("position").sortWithinPartitions("position").select("_row.*")
 
 
-def with_position(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, source, size and more, one for each of ``docs``) without source and size, but with position.
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """``docs``, read from Parquet files, with position: a row's place (gapless from 0) in the files, by file name and row number.
 
-    Repeated ids: the n-th row of an id, source and size takes their n-th position.
+    Spark names files by partition, so what :func:`in_order` has written comes back in its order.
     """
-    keys = ["doc_id", "source", "size"]
-    left = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in rows.columns if c not in keys])))
-    right = mix(docs).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("position")))
-    right = right.select(*[F.col(c).alias(f"_{c}2") for c in (*keys, "_n")], "position")
-    same = [left[c].eqNullSafe(right[f"_{c}2"]) for c in (*keys, "_n")]
-    return left.join(right, same).select("doc_id", "position", *[c for c in rows.columns if c not in keys])
+    rows = docs.select("*", F.expr("_metadata.file_name").alias("_file"), F.expr("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    counts = rows.groupBy(F.col("_file").alias("file")).agg(F.count("*").alias("n"))
+    offsets = counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("before"))
+    return rows.join(F.broadcast(offsets), rows["_file"] == offsets["file"]).select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("before") + F.col("_row")).alias("position"))

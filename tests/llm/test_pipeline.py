@@ -92,3 +92,11 @@ def test_repeated_and_null_ids(spark):
     assert len(set(held)) == len(held)
     assert all(100 * len(a & b) < 80 * len(a | b) for n, a in enumerate(held) for b in held[:n])
     assert sum(not s for s in sets) == sum(not shingles(t, 2) for _, t, *_ in data)
+
+
+def test_tokens_follow_the_order_that_mixing_has_written(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartitionByRange(5, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")).write.parquet(f"file://{tmp_path}/in")
+    got = corpus_pipeline.tokens_stage(spark, spark.read.parquet(f"file://{tmp_path}/in"), "").collect()
+    assert sorted(r["position"] for r in got) == list(range(docs.count()))
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["position"])] == sorted((r["doc_id"] for r in docs.collect()), reverse=True)
