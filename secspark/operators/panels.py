@@ -15,9 +15,9 @@ OPEN = ("new", "ack")
 
 # P1 to P5: alerts
 def alert_groups(alerts: DataFrame, by: str) -> DataFrame:
-    """By rule, mitre, host or dedup: n, first, last, severity, open, newest title and id; no host is ''."""
+    """By rule, mitre, host or dedup: n, first, last, severity, open, newest title and id (of one second the smallest id); no host is ''."""
     key = F.coalesce(F.col(by), F.lit("")).alias("key")
-    newest = F.struct("ts", "id")
+    newest = F.struct(F.col("ts"), -F.col("id"))
     return alerts.groupBy(key).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max("severity").alias("max_severity"), F.count_if(F.col("status").isin(*OPEN)).alias("open"), F.max_by("title", newest).alias("title"), F.max_by("id", newest).alias("last_id"))
 
 

@@ -240,3 +240,9 @@ def test_silent_hosts_and_routing(spark):
     assert (got["expected"], got["silent"], got["worst"]) == (3, 2, ["c", "a"])
     assert got["fingerprint"] == N.silent_fleet(h.where("host <> 'b'"), 10_000).first()["fingerprint"] != N.silent_fleet(h, 5_000_000).first()["fingerprint"]
     assert N.alert_groups(spark.createDataFrame([(1, 1, None, 2, "new", "t"), (2, 2, "", 3, "closed", "u")], "id long, ts long, host string, severity int, status string, title string"), "host").collect()[0]["n"] == 2
+
+
+def test_alert_groups_take_the_smallest_id_of_the_newest_second(spark):
+    data = [(3, 9, "h", 2, "new", "c"), (1, 5, "h", 2, "new", "a"), (2, 9, "h", 2, "new", "b")]
+    got = N.alert_groups(spark.createDataFrame(data, "id long, ts long, host string, severity int, status string, title string"), "host").collect()
+    assert [(r["title"], r["last_id"], r["n"]) for r in got] == [("b", 2, 3)]
