@@ -72,9 +72,10 @@ TABLE = [
 
 
 def canonical_rules(df: DataFrame) -> DataFrame:
-    """``df`` with every column that the rules refer to; missing ones are null. The bag is read once, as the map ``_bag``."""
-    missing = {c: F.lit(None).cast("int" if c == "severity" else "string") for c in (*COLUMNS, "fields") if c not in df.columns}
-    return df.withColumns(missing).withColumn("_bag", json_map(F.col("fields")))
+    """``df`` with every column that the rules refer to; missing ones are read from the bag. The bag is read once, as the map ``_bag``."""
+    fields = F.col("fields") if "fields" in df.columns else F.lit(None).cast("string")
+    rows = df.withColumns({"fields": fields, "_bag": json_map(fields)})
+    return rows.withColumns({c: F.col("_bag")[c].try_cast("int" if c == "severity" else "string") for c in COLUMNS if c not in df.columns})
 
 
 def _value(name: str) -> Column:
@@ -111,16 +112,18 @@ LIBRARY = [_rule(*row) for row in TABLE]
 ENABLED = [r for r in LIBRARY if r.enabled]
 
 
-def evaluate_library(df: DataFrame, now: int, names: list[str] | None = None) -> DataFrame:
+def evaluate_library(df: DataFrame, now: int, names: list[str] | None = None, absent_differs: bool = False) -> DataFrame:
     """rule, value, severity, mitre, fired of the shipped rules (those on by default, or ``names``), in one pass.
 
-    Each row gives an entry for every rule that it matches; entries are counted by rule and group, then by rule.
+    Each row gives an entry for every rule that it matches; entries are counted by rule and group, then by rule. Rows without
+    a field don't meet an inequality on it, as in a search; with ``absent_differs`` they do.
     """
     used = [r for r in TABLE if (r[8] if names is None else r[0] in names)]
     rows = canonical_rules(df).where(F.col("ts").between(now - max(r[5] for r in used), now))
     entries = []
     for name, tests, by, (what, _), _, window, *_ in used:
-        hit = P.all_of([F.col("ts") >= now - window, *[_test(k, v) for k, v in tests.items()]])
+        met = [_test(k, v) | _value(k[:-2]).isNull() if absent_differs and k.endswith("!=") else _test(k, v) for k, v in tests.items()]
+        hit = P.all_of([F.col("ts") >= now - window, *met])
         text = lambda x: F.lit(None).cast("string") if x in (None, "count") else _value(x).cast("string")
         entries.append(F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(name).alias("rule"), text(by).alias("group"), text(what).alias("what"))))
     found = rows.select(F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("x")).select("x.*")

@@ -246,3 +246,12 @@ def test_alert_groups_take_the_smallest_id_of_the_newest_second(spark):
     data = [(3, 9, "h", 2, "new", "c"), (1, 5, "h", 2, "new", "a"), (2, 9, "h", 2, "new", "b")]
     got = N.alert_groups(spark.createDataFrame(data, "id long, ts long, host string, severity int, status string, title string"), "host").collect()
     assert [(r["title"], r["last_id"], r["n"]) for r in got] == [("b", 2, 3)]
+
+
+def test_absent_fields_and_inequality_in_the_library(spark):
+    from secspark.operators.rules import evaluate_library
+
+    name, bag = "ex-egress-fanout-external", '{"dir":"outbound","scope":"external","dst_ip":"%d"%s}'
+    fired = lambda more, **kw: evaluate_library(spark.createDataFrame([(i, 1000, "conntrack", bag % (i, more)) for i in range(60)], "id long, ts long, source string, fields string"), 1000, [name], **kw).first()["fired"]
+    assert not fired("") and fired("", absent_differs=True)
+    assert all(fired(',"proc":"curl"', absent_differs=x) and not fired(',"proc":"containerd"', absent_differs=x) for x in (True, False))
