@@ -175,3 +175,80 @@ def test_closed_buckets_and_lookup(spark, landed):
     names = spark.createDataFrame([("h1", "one")], "host string, name string")
     got = drain(T.enrich_stream(events(spark, tmp), names, "host").select("id", "name"), tmp, "named")
     assert sum(n == "one" for _, n in got) == df.where("host = 'h1'").count()
+
+
+class _State(dict):
+    """A map or value state that counts its calls."""
+
+    calls = 0
+
+    def __getattribute__(self, name):
+        if name in ("updateValue", "getValue", "containsKey", "removeKey"):
+            _State.calls += 1
+        return super().__getattribute__(name)
+
+    def updateValue(self, k, v):
+        self[k] = v
+
+    def getValue(self, k):
+        return self[k]
+
+    def containsKey(self, k):
+        return k in self
+
+    def removeKey(self, k):
+        del self[k]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def update(self, v):
+        self[()] = v
+
+    def get(self):
+        return self[()]
+
+    def exists(self):
+        return () in self
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getMapState(self, *_):
+        return _State()
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class _Now(int):
+    def getCurrentWatermarkInMs(self):
+        return int(self)
+
+
+def test_a_busy_key_is_taken_slot_by_slot():
+    import pandas as pd
+
+    p, h = T.SnapshotProcessor(10**9), _Handle()
+    p.init(h)
+    _State.calls, hours = 0, 50
+    rows = [(s, "ab"[s // 7 % 2]) for s in range(0, hours * 3600, 7)]
+    random.Random(1).shuffle(rows)
+    list(p.handleInputRows(("k", "h"), iter([pd.DataFrame(rows[i : i + 5000], columns=["ts", "item"]) for i in range(0, len(rows), 5000)]), None))
+    assert h.timers == {0}
+    h.timers.clear()
+    end = hours * 3600 - 5000
+    frames = list(p.handleExpiredTimer(("k", "h"), _Now(end * 1000), None))
+    assert [t for f in frames for t in f["ts"]] == [t for t in range(0, hours * 3600, 7) if t <= end]
+    assert len(frames) > 40 and max(map(len, frames)) <= 3600  # one frame of all before
+    assert _State.calls < len(rows) / 10  # four calls a row before
+    assert h.timers == {(end // 7 + 1) * 7 * 1000}
+    rest = list(p.handleExpiredTimer(("k", "h"), _Now(hours * 3600 * 1000), None))
+    assert sum(map(len, frames + rest)) == len(rows) and not p.pending
