@@ -90,12 +90,19 @@ def apply_regex_parsers(df: DataFrame, parsers: list[tuple[str, str]]) -> DataFr
 
 def key_values(text: Column) -> Column:
     """Map of ``k=v`` and ``k="v"`` pairs: at most MAX_KEYS, the first of a key stays, values are cut."""
-    pattern = r'([A-Za-z_][\w.-]*)=("(?:[^"\\]|\\.)*"|[^\s,;]+)'
-    keys, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    first = F.filter(pairs, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
-    cut = F.transform(F.slice(first, 1, MAX_KEYS), lambda x: F.struct(x["k"].alias("key"), F.substring(F.regexp_replace(x["v"], r'^"|"$', ""), 1, MAX_VALUE).alias("value")))
-    return F.coalesce(F.map_from_entries(cut), F.create_map().cast(BAG))
+    pattern = r'[A-Za-z_][\w.-]*=(?:"(?:[^"\\]|\\.)*"|[^\s,;]+)'
+    key = lambda x: F.substring_index(x, "=", 1)
+
+    def entry(x: Column) -> Column:
+        value = F.substr(x, F.length(key(x)) + 2)
+        return F.struct(key(x).alias("key"), F.substring(F.regexp_replace(value, r'^"|"$', ""), 1, MAX_VALUE).alias("value"))
+
+    def made(found: Column) -> Column:
+        # the pattern runs once over a text, and keys are taken out once
+        first = let(F.transform(found, key), lambda keys: F.filter(found, lambda x, i: F.array_position(keys, key(x)) == i + 1))
+        return F.map_from_entries(F.transform(F.slice(first, 1, MAX_KEYS), entry))
+
+    return F.coalesce(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), made), F.create_map().cast(BAG))
 
 
 def json_values(text: Column) -> Column:
@@ -261,7 +268,8 @@ def ioc_keys(iocs: DataFrame, now: int) -> DataFrame:
     return live.groupBy(F.lower(F.trim("value")).alias("key")).agg(F.max(meta).alias("meta"))
 
 
-FILTER_BITS = 1 << 22
+#: 64 KiB: the filter is copied with each row that it is joined to, so its size counts once a row.
+FILTER_BITS = 1 << 19
 
 
 def _bit(key: Column, probe: int, bits: int) -> tuple[Column, Column]:

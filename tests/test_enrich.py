@@ -127,3 +127,14 @@ def test_reparse_keeps_rows_without_a_time(spark):
     df = spark.createDataFrame([(1, None, "s", "a=1", None), (2, 50, "s", "a=2", None), (3, 1, "s", "a=3", None)], "id long, ts long, source string, message string, fields string")
     out = {r["id"]: r["fields"] for r in N.reparse(df, [("s", r"a=(?<a>\d)")], 10).collect()}
     assert out == {1: None, 2: '{"a":"2"}', 3: None}
+
+
+def test_key_values_run_their_pattern_once(spark):
+    df = spark.createDataFrame([('a=1 b="x \\" y" a=2, c=d=e;f= "g" h="" =i j',), (None,), ("",)], "m string").select(N.key_values(F.col("m")).alias("kv"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    got = df.collect()
+    assert got[0]["kv"] == {"a": "1", "b": 'x \\" y', "c": "d=e", "h": ""} and got[1]["kv"] == {} and got[2]["kv"] == {}
+
+
+def test_the_filter_is_small_enough_to_go_with_each_row():
+    assert N.FILTER_BITS // 8 <= 1 << 16
