@@ -244,6 +244,10 @@ def plan_digest(plan: DataFrame) -> DataFrame:
     return plan.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bit_xor("digest"), F.lit(0)).alias("digest"))
 
 
+def _unpurged(df: DataFrame, scope: dict, holds: DataFrame | None) -> DataFrame:
+    return df.where(~F.coalesce(_scope(scope), F.lit(False))).unionByName(held(df.where(_scope(scope)), holds))
+
+
 def purge_apply(df: DataFrame, scope: dict, digest: tuple[int, int], holds: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(rows that stay, hours to rebuild), if the plan still has the digest; held rows stay, without readable holds all do."""
     now = plan_digest(_purge_counts(df, scope)).first()
@@ -251,7 +255,7 @@ def purge_apply(df: DataFrame, scope: dict, digest: tuple[int, int], holds: Data
         raise RuntimeError("the rows have changed since the plan was made")
     going = legal_hold_filter(df.where(_scope(scope)), holds)
     hours = going.select((F.floor(F.col("ts") / 3600) * 3600).alias("bucket")).distinct()
-    return df.where(~F.coalesce(_scope(scope), F.lit(False))).unionByName(held(df.where(_scope(scope)), holds)), hours
+    return _unpurged(df, scope, holds), hours
 
 
 PROOF = "files long, rows_before long, rows_gone long, rows_after long, digest_before long, digest_after long"
@@ -261,14 +265,15 @@ def _row_digest(columns: list[str]) -> list[Column]:
     return [F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in columns])), F.lit(0)).alias("digest")]
 
 
-def rewrite_without(spark: SparkSession, path: str, schema: str, doomed: Callable[[DataFrame], DataFrame], work: str, partition_by: list[str] = ()) -> DataFrame:
+def rewrite_without(spark: SparkSession, path: str, schema: str, doomed: Callable[[DataFrame], DataFrame], stay: Callable[[DataFrame], DataFrame], work: str, partition_by: list[str] = ()) -> DataFrame:
     """Takes the doomed rows out of a written table; returns the proof, one row.
 
-    ``doomed`` gives the rows that go out of a frame of the table's rows. Only files that hold one are rewritten, in these
-    steps: the rows that stay go to a staged copy in ``work``; their number and digest in the old files must equal those in
-    the staged ones, and with the doomed rows make up the old files; a manifest of the old files and the new ones is
-    written; the new files are moved in, the old ones deleted. A run that breaks off before the manifest has changed
-    nothing; after it, :func:`finish_rewrite` ends it. Readers should wait while files are swapped.
+    ``doomed`` gives the rows that go out of a frame of the table's rows, ``stay`` all others. Only files that hold a doomed row
+    are rewritten, in these steps: the rows that stay go to a staged copy in ``work``; their number and digest in the old files
+    must equal those in the staged ones, and with the doomed rows make up the old files; a manifest of the old files and the new
+    ones is written; the new files are moved in, the old ones deleted. A run that breaks off before the manifest has changed
+    nothing; after it, :func:`finish_rewrite` ends it. Readers should wait while files are swapped. A partition with many rows
+    is dealt over several tasks and files.
     """
     if files.exists(spark, f"{work}/manifest"):
         raise RuntimeError("an earlier rewrite has not ended: call finish_rewrite")
@@ -285,10 +290,10 @@ def rewrite_without(spark: SparkSession, path: str, schema: str, doomed: Callabl
     read = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{x}" for x in touched])
     going = doomed(read)
     before, gone = read.agg(*_row_digest(columns)).first(), going.agg(*_row_digest(columns)).first()
-    keys = read.withColumn("_place", F.struct(F.expr("_metadata.file_path"), F.expr("_metadata.row_index")))
-    lost = doomed(keys).select("_place")
-    stay = keys.join(lost, "_place", "left_anti").drop("_place")
-    stay.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(f"{work}/staged")
+    left = stay(read)
+    if partition_by:
+        left = left.hint("rebalance", *partition_by)
+    left.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(f"{work}/staged")
     staged = spark.read.schema(schema).parquet(f"{work}/staged").agg(*_row_digest(columns)).first()
     if staged["n"] + gone["n"] != before["n"] or staged["digest"] ^ gone["digest"] != before["digest"]:
         files.delete(spark, f"{work}/staged")
@@ -314,28 +319,41 @@ def finish_rewrite(spark: SparkSession, path: str, work: str) -> DataFrame:
     return spark.read.schema(PROOF).parquet(f"{work}/proof")
 
 
+def _written_holds(spark: SparkSession, holds: DataFrame | None, work: str) -> DataFrame | None:
+    """The active holds as files: every step sees the same ones, and Spark knows their size, so that few of them are broadcast and rows aren't shuffled by their keys."""
+    if holds is None:
+        return None
+    active = holds.where(F.coalesce(F.col("active"), F.lit(False))).select("scope_source", "scope_start_ts", "scope_end_ts", "active")
+    active.write.mode("overwrite").parquet(f"{work}/holds")
+    return spark.read.schema(active.schema).parquet(f"{work}/holds")
+
+
 def purge_written(spark: SparkSession, path: str, schema: str, scope: dict, digest: tuple[int, int], holds: DataFrame | None, work: str, partition_by: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(proof, hours to rebuild): a purge of a written table, if its plan still has the digest. Held rows and rows without a time stay."""
     table = spark.read.schema(schema).parquet(path)
     now = plan_digest(_purge_counts(table, scope)).first()
     if (now["n"], now["digest"]) != tuple(digest):
         raise RuntimeError("the rows have changed since the plan was made")
+    holds = _written_holds(spark, holds, work)
     doomed = lambda df: legal_hold_filter(df.where(_scope(scope)), holds)
-    return _rewrite_and_hours(spark, path, schema, doomed, work, partition_by)
+    stay = lambda df: _unpurged(df, scope, holds)
+    return _rewrite_and_hours(spark, path, schema, doomed, stay, work, partition_by)
 
 
 def retain_written(
     spark: SparkSession, path: str, schema: str, policies: dict[str, int], global_days: int, holds: DataFrame | None, now: int, control_sources: list[str], work: str, partition_by: list[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """(proof, hours to rebuild): :func:`retain` on a written table."""
+    holds = _written_holds(spark, holds, work)
     doomed = lambda df: legal_hold_filter(df.where(_expired(df, policies, global_days, now, control_sources)), holds)
-    return _rewrite_and_hours(spark, path, schema, doomed, work, partition_by)
+    stay = lambda df: retain(df, policies, global_days, holds, now, control_sources)
+    return _rewrite_and_hours(spark, path, schema, doomed, stay, work, partition_by)
 
 
-def _rewrite_and_hours(spark: SparkSession, path: str, schema: str, doomed: Callable[[DataFrame], DataFrame], work: str, partition_by: list[str]) -> tuple[DataFrame, DataFrame]:
+def _rewrite_and_hours(spark: SparkSession, path: str, schema: str, doomed: Callable[[DataFrame], DataFrame], stay: Callable[[DataFrame], DataFrame], work: str, partition_by: list[str]) -> tuple[DataFrame, DataFrame]:
     going = doomed(spark.read.schema(schema).parquet(path)).select((F.floor(F.col("ts") / 3600) * 3600).alias("bucket")).distinct()
     going.write.mode("overwrite").parquet(f"{work}/hours")  # before the rows are gone
-    proof = rewrite_without(spark, path, schema, doomed, work, partition_by)
+    proof = rewrite_without(spark, path, schema, doomed, stay, work, partition_by)
     return proof, spark.read.schema("bucket long").parquet(f"{work}/hours")
 
 

@@ -257,7 +257,7 @@ def _stored(spark, d: str) -> tuple[str, str]:
     """The events as a table with one folder a day, and its schema."""
     path = work_dir(spark, "events")
     e = ev(spark, d).withColumn("day", F.to_date(F.timestamp_seconds("ts")))
-    e.repartition("day").write.partitionBy("day").parquet(path)
+    e.hint("rebalance", "day").write.partitionBy("day").parquet(path)
     return path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in e.schema)
 
 

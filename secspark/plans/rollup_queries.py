@@ -102,7 +102,7 @@ def _(spark, d):
     late = (F.col("ts") < T0) & (F.col("id") % 97 == 0)
     known = e.where((F.col("ts") < T0) & ~late).withColumn("id", -F.col("id") - 1)
     for rows in (known, e.where((F.col("ts") >= T0) | late)):
-        rows.repartition("day").write.mode("append").partitionBy("day").parquet(events)
+        rows.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(events)
         RU.refresh_written(spark.read.schema(schema).parquet(events), rollup, ledger, T0, topn=2)
     scope = {"host": "h3", "start": T0, "end": T1}
     plan = G.plan_digest(G.purge_plan(spark.read.schema(schema).parquet(events), scope)).first()

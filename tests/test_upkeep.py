@@ -128,6 +128,24 @@ def test_nothing_is_deleted_without_readable_holds(spark, tmp_path):
     assert G.retain(df, {}, 7, None, T * 2).count() == df.count()
 
 
+@pytest.mark.parametrize("size, fits", [("64m", True), ("100k", False)])
+def test_a_day_is_dealt_by_its_size_and_rows_are_not_shuffled_by_holds(spark, tmp_path, size, fits):
+    df = spark.range(0, 40_000, 1, 4).selectExpr("id", f"{T} + id AS ts", "CASE WHEN id % 3 = 0 THEN 's' END AS source", "1 AS severity", "'a' AS action", "sha2(CAST(id AS string), 256) AS src_ip", "'h' AS host", "'prod' AS env_id", "'one day' AS day")
+    path, schema = f"{tmp_path}/events", SCHEMA + ", day string"
+    df.write.partitionBy("day").parquet(path)
+    assert len(files.data_files(spark, path)) == 4
+    holds = spark.createDataFrame([("s", None, None, True), ("u", None, None, False)], HOLDS)
+    plan = G.retain(spark.read.schema(schema).parquet(path), {}, 7, G._written_holds(spark, holds, f"{tmp_path}/h"), T * 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    try:
+        proof, _ = G.retain_written(spark, path, schema, {}, 7, holds, T * 2, [], f"{tmp_path}/w", ["day"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert proof.first()["rows_gone"] == 26_666 and (len(files.data_files(spark, path)) == 1) == fits
+    assert plain(spark.read.schema(schema).parquet(path).select("id")) == plain(df.where("source = 's'").select("id"))
+
+
 def test_rows_without_a_time_stay(spark, tmp_path):
     df, path, schema = stored(spark, tmp_path)
     none = spark.createDataFrame([], HOLDS)
