@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from secspark.functions.scalar import epoch, iso_epoch
 
-from secspark.operators.normalize import BAG, auth_action, auth_source_ip, auth_user, json_map, key_values, merge, to_bag, unique
+from secspark.operators.normalize import BAG, auth_action, auth_source_ip, auth_user, json_map, json_members, key_values, merge, to_bag, unique
 from secspark.vocabulary import PRESETS, SOURCETYPE_CATEGORY
 
 EVENT_COLUMNS = ["ts", "source", "category", "severity", "host", "message", "src_ip", "dst_ip", "url", "dedup", "fields"]
@@ -79,45 +79,45 @@ def read_journald(spark: SparkSession, path: str) -> DataFrame:
 def _split_json(batches):
     """Objects of concatenated JSON, one after another; a broken stretch is skipped to the next brace."""
     import json
+    import re
 
-    import pandas as pd
+    import pyarrow as pa
 
-    decoder = json.JSONDecoder()
-    for pdf in batches:
+    decode, gap = json.JSONDecoder().raw_decode, re.compile(r"[ \t\r\n,]*")
+    for batch in batches:
         good, bad = [], []
-        for text in pdf["value"]:
-            at, text = 0, text or ""
-            while True:
-                while at < len(text) and text[at] in " \t\r\n,":
-                    at += 1
-                if at >= len(text):
-                    break
+        for text in batch.column(0).to_pylist():
+            text = text or ""
+            at = gap.match(text).end()
+            while at < len(text):
                 try:
-                    value, end = decoder.raw_decode(text, at)
+                    value, end = decode(text, at)
                     for x in value if isinstance(value, list) else [value]:
                         (good if isinstance(x, dict) else bad).append(json.dumps(x))
                 except ValueError:
                     end = text.find("{", at + 1)
                     end = len(text) if end < 0 else end
                     bad.append(text[at:end])
-                at = end
-        yield pd.DataFrame({"value": good + bad, "ok": [True] * len(good) + [False] * len(bad)})
+                at = gap.match(text, end).end()
+        yield pa.RecordBatch.from_arrays([pa.array(good + bad, pa.string()), pa.array([True] * len(good) + [False] * len(bad), pa.bool_())], ["value", "ok"])
 
 
 def split_json(df: DataFrame) -> DataFrame:
     """value (one object), ok (False: a fragment that can't be read)."""
-    return df.select("value").mapInPandas(_split_json, "value string, ok boolean")
+    return df.select("value").mapInArrow(_split_json, "value string, ok boolean")
 
 
 def decode_hec(df: DataFrame) -> DataFrame:
     """Collector records, one JSON object in ``value`` each. Records with neither event nor fields are left out."""
-    v = F.col("value")
-    event, own = j(v, "$.event"), json_map(j(v, "$.fields"))
+    # a generator's output is computed once, however often it is used and filtered by
+    rows = df.select(F.explode(F.array(json_members(F.col("value")))).alias("v"))
+    v = lambda k: F.nullif(F.col("v")[k], F.lit(""))
+    event, own = v("event"), F.col("own")
+    usable = rows.select("v", F.explode(F.array(json_map(v("fields")))).alias("own")).where(event.isNotNull() | (F.size(own) > 0))
     inner = json_map(F.when(F.ltrim(event).startswith("{"), event))
-    bag = merge(merge(own, inner), F.create_map(F.lit("sourcetype"), j(v, "$.sourcetype"), F.lit("index"), j(v, "$.index")))
+    bag = merge(merge(own, inner), F.create_map(F.lit("sourcetype"), v("sourcetype"), F.lit("index"), v("index")))
     table = F.create_map(*[F.lit(x) for kv in SOURCETYPE_CATEGORY.items() for x in kv])
-    usable = df.where(event.isNotNull() | (F.size(own) > 0))
-    return events(usable, ts=epoch(j(v, "$.time")), source=F.coalesce(j(v, "$.source"), F.lit("hec")), category=F.get(F.array(table[F.lower(j(v, "$.sourcetype"))]), 0), severity=F.lit(0), host=j(v, "$.host"), message=F.coalesce(event, F.lit("")), fields=to_bag(bag))
+    return events(usable, ts=epoch(v("time")), source=F.coalesce(v("source"), F.lit("hec")), category=F.get(F.array(table[F.lower(v("sourcetype"))]), 0), severity=F.lit(0), host=v("host"), message=F.coalesce(event, F.lit("")), fields=to_bag(bag))
 
 
 def is_one_object(text: Column) -> Column:

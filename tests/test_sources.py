@@ -180,3 +180,19 @@ def test_hec_files_of_lines_need_no_python(spark, tmp_path):
     tests = {'{"a":1}': True, ' {"a":[1,{"b":"]}"}]} ': True, '{"a":1}{"b":2}': False, '{"a":1},{"b":2}': False, "[1]": False, '{"a":1}]': False, '{"a":1}] {"b":2}': False, "{": False, "1": False, '"x"': False, "": False, '{"a":1} x': False}
     df = spark.createDataFrame([(k,) for k in tests], "t string").select("t", R.is_one_object(F.col("t")).alias("one"))
     assert {r["t"]: r["one"] for r in df.collect()} == tests
+
+
+def test_collector_records_are_parsed_once(spark):
+    texts = [
+        '{"time":5,"host":"a","host":"b","event":{"k": 1.50, "k":[1, {"x":null}]},"fields":{"f":"1","f":"2"}}', '{"host":null,"host":"c","event":"{\\"k\\": 1}"}', '{"event":"tab\there","index":"i"}', '{"event":NaN,"host":"d"}', '{"host":"d","event":"x","n":NaN}',
+        '{"fields":{"f":null}}', '{"fields":{}}', '{"event":"","fields":{"sourcetype":"own"},"sourcetype":"SSHD"}', '[{"event":1}]', '{"event":1} tail', '{"event":1, broken', '"text"', "", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    got = R.decode_hec(df)
+    j = lambda k: R.j("value", f"$.{k}")
+    paths = df.where(j("event").isNotNull() | (F.size(N.json_map(j("fields"))) > 0)).select(j("host"), F.coalesce(j("source"), F.lit("hec")), F.coalesce(j("event"), F.lit("")))
+    assert sorted(map(str, map(tuple, got.select("host", "source", "message").collect()))) == sorted(map(str, map(tuple, paths.collect())))
+    assert [r["fields"] for r in got.where("host = 'a'").collect()] == ['{"f":"2","k":"[1,{\\"x\\":null}]"}']
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # the record, its fields and its event
+    assert "get_json_object" not in plan and plan.count("from_json(") <= 3
