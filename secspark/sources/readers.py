@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from secspark.functions.scalar import epoch, iso_epoch
 
-from secspark.operators.normalize import BAG, auth_action, auth_source_ip, auth_user, json_map, json_members, key_values, merge, to_bag, unique
+from secspark.operators.normalize import BAG, auth_action, auth_source_ip, auth_user, json_map, json_members, key_values, let, merge, to_bag, unique
 from secspark.vocabulary import PRESETS, SOURCETYPE_CATEGORY
 
 EVENT_COLUMNS = ["ts", "source", "category", "severity", "host", "message", "src_ip", "dst_ip", "url", "dedup", "fields"]
@@ -347,15 +347,24 @@ RFC3164 = r"^<(\d{1,3})>([A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d) (\S+) ([^:\[\s]+)
 def parse_syslog(df: DataFrame, year: int = 2024, column: str = "value") -> DataFrame:
     """Both header forms; structured data into the bag; a line with neither keeps its text."""
     v = F.col(column)
-    new, old = v.rlike(RFC5424), v.rlike(RFC3164)
-    a, b = (lambda i: F.nullif(F.nullif(F.regexp_extract(v, RFC5424, i), F.lit("-")), F.lit(""))), (lambda i: F.nullif(F.regexp_extract(v, RFC3164, i), F.lit("")))
-    pick = lambda x, y: F.when(new, x).when(old, y)
-    priority = pick(a(1), b(1)).try_cast("int")
+    # each pattern runs once over a line and puts its groups apart by line feeds, which no group but the last can hold; a line that it doesn't match keeps its "<"
+    headed = v.startswith("<")
+    first = F.when(headed, F.regexp_replace(v, RFC5424, "\n$1\n$2\n$3\n$4\n$5\n$6\n$8\n$7"))
+    second = F.regexp_replace(v, RFC3164, "\n$1\n$2\n$3\n$4\n$5\n\n$6\n")
+    form = lambda new, x: F.struct(F.lit(new).alias("new"), x.alias("groups"))
+    found = let(first, lambda x: F.when(x.startswith("\n"), form(True, x)).when(headed, form(False, second)))
+    # a generator's output is computed once, however often it is used
+    rows = df.select(v.alias("v"), F.explode(F.array(found)).alias("f"))
+    rows = rows.select("v", F.coalesce("f.new", F.lit(False)).alias("new"), F.explode(F.array(F.split(F.when(F.col("f.groups").startswith("\n"), F.col("f.groups")), "\n", 9))).alias("g"))
+    v, new, g = F.col("v"), F.col("new"), lambda i: F.nullif(F.get("g", i), F.lit(""))
+    part = lambda i: F.when(new, F.nullif(g(i), F.lit("-"))).otherwise(g(i))
+    priority = part(1).try_cast("int")
     severity = F.coalesce(F.get(F.array(*[F.lit(s) for s in SYSLOG_SEVERITY]), priority % 8), F.lit(0))
-    stamp = F.concat(F.lit(f"{year} "), F.regexp_replace(b(2), "  ", " "))
-    ts = pick(F.unix_timestamp(F.try_to_timestamp(a(2))), F.unix_timestamp(F.try_to_timestamp(stamp, F.lit("yyyy MMM d HH:mm:ss"))))
-    bag = merge(F.map_filter(F.create_map(F.lit("facility"), F.floor(priority / 8).cast("string"), F.lit("pid"), pick(a(5), b(5)), F.lit("msgid"), F.when(new, a(6))), lambda k, x: x.isNotNull()), F.when(new, key_values(F.regexp_replace(F.coalesce(a(7), F.lit("")), r"\]\[?", " "))).otherwise(F.create_map().cast(BAG)))
-    return events(df, ts=ts, source=F.coalesce(pick(a(4), b(4)), F.lit("syslog")), category=F.lit("syslog"), severity=severity, host=pick(a(3), b(3)), message=F.coalesce(pick(F.regexp_extract(v, RFC5424, 8), F.regexp_extract(v, RFC3164, 6)), v), fields=to_bag(bag))
+    stamp = F.concat(F.lit(f"{year} "), F.replace(g(2), F.lit("  "), F.lit(" ")))
+    ts = F.when(new, F.unix_timestamp(F.try_to_timestamp(part(2)))).otherwise(F.unix_timestamp(F.try_to_timestamp(stamp, F.lit("yyyy MMM d HH:mm:ss"))))
+    own = F.map_filter(F.create_map(F.lit("facility"), F.floor(priority / 8).cast("string"), F.lit("pid"), part(5), F.lit("msgid"), part(6)), lambda k, x: x.isNotNull())
+    data = F.when(new & (g(8) != "-"), key_values(F.regexp_replace(g(8), r"\]\[?", " "))).otherwise(F.create_map().cast(BAG))
+    return events(rows, ts=ts, source=F.coalesce(part(4), F.lit("syslog")), category=F.lit("syslog"), severity=severity, host=part(3), message=F.coalesce(F.get("g", 7), v), fields=to_bag(merge(own, data)))
 
 
 # S13. Firewall log types and levels.

@@ -196,3 +196,24 @@ def test_collector_records_are_parsed_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     # the record, its fields and its event
     assert "get_json_object" not in plan and plan.count("from_json(") <= 3
+
+
+def test_syslog_patterns_run_once(spark):
+    lines = [
+        '<165>1 2024-01-10T00:00:01Z h app 7 ID [x@1 k="a\nb" q="\\]"][y z=1] msg\n', "<13>1 - - - - - -", "<34>Jan  9 22:14:15 h su[77]: failed\x01 x", "<34>Jan 19 22:14:15 h su: ", "<34>1 bad", "\n1\n2\n3", "<999>1 t h a p i - <34>Jan  9 22:14:15 h su: in", "<34>Jan 19 22:14:15 h su: a\nb", "", None,
+    ]
+    got = R.parse_syslog(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "id int, value string").coalesce(1))
+    assert [tuple(r) for r in got.select("ts", "source", "severity", "host", "message", "fields").collect()] == [
+        (1704844801, "app", 1, "h", "msg", '{"facility":"20","pid":"7","msgid":"ID","k":"a\\nb","q":"\\\\ ","z":"1"}'),
+        (None, "syslog", 1, None, "", '{"facility":"1"}'),
+        (1704838455, "su", 4, "h", "failed\x01 x", '{"facility":"4","pid":"77"}'),
+        (1705702455, "su", 4, "h", "", '{"facility":"4"}'),
+        (None, "syslog", 0, None, "<34>1 bad", None),
+        (None, "syslog", 0, None, "\n1\n2\n3", None),
+        (None, "a", 0, "h", "<34>Jan  9 22:14:15 h su: in", '{"facility":"124","pid":"p","msgid":"i"}'),
+        (None, "syslog", 0, None, "<34>Jan 19 22:14:15 h su: a\nb", None),
+        (None, "syslog", 0, None, "", None),
+        (None, "syslog", 0, None, None, None),
+    ]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Z][a-z]{2}") == 1 and plan.count(">1 (") == 1
