@@ -57,13 +57,19 @@ def bag(column: str = "fields") -> Column:
 
 def to_bag(m: Column) -> Column:
     """A map as JSON text; null if empty."""
-    return F.when(F.size(m) > 0, F.to_json(m))
+    return let(m, lambda x: F.when(F.size(x) > 0, F.to_json(x)))
 
 
 def merge(old: Column, new: Column) -> Column:
     """Entries of both maps; the old map's values win, nulls are left out."""
-    fresh = F.map_filter(new, lambda k, v: v.isNotNull() & ~F.coalesce(F.map_contains_key(old, k), F.lit(False)))
-    return F.map_concat(old, fresh)
+
+    def made(both: Column) -> Column:
+        # both maps are computed once, not anew for each entry
+        had = both["old"]
+        fresh = F.map_filter(both["new"], lambda k, v: v.isNotNull() & ~F.coalesce(F.map_contains_key(had, k), F.lit(False)))
+        return F.map_concat(had, fresh)
+
+    return let(F.struct(old.alias("old"), new.alias("new")), made)
 
 
 def group_names(pattern: str) -> list[tuple[str, int]]:

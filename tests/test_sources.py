@@ -198,6 +198,13 @@ def test_collector_records_are_parsed_once(spark):
     assert "get_json_object" not in plan and plan.count("from_json(") <= 3
 
 
+def test_merge_computes_both_maps_once(spark):
+    df = spark.createDataFrame([('{"a":"1","b":null}', '{"a":"2","b":"3","c":null,"d":"4"}'), (None, '{"a":"2"}'), ('{"a":"1"}', None), (None, None)], "x string, y string")
+    got = df.select(N.to_bag(N.merge(N.json_map(F.col("x")), N.json_map(F.col("y")))).alias("m"))
+    assert [r["m"] for r in got.collect()] == ['{"a":"1","b":null,"d":"4"}', '{"a":"2"}', '{"a":"1"}', None]
+    assert got._jdf.queryExecution().analyzed().toString().count("from_json(") == 2
+
+
 def test_syslog_patterns_run_once(spark):
     lines = [
         '<165>1 2024-01-10T00:00:01Z h app 7 ID [x@1 k="a\nb" q="\\]"][y z=1] msg\n', "<13>1 - - - - - -", "<34>Jan  9 22:14:15 h su[77]: failed\x01 x", "<34>Jan 19 22:14:15 h su: ", "<34>1 bad", "\n1\n2\n3", "<999>1 t h a p i - <34>Jan  9 22:14:15 h su: in", "<34>Jan 19 22:14:15 h su: a\nb", "", None,
